@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, quality
+from . import bpe, langid, linededup, quality, shards
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     languages, matrix = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
     found = langid.identify(docs, languages, matrix)
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return shards.read_shards(shards.write_shards(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json")))
