@@ -15,34 +15,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, let, stored, words
+from .common import let, stored, words
 
 #: The symbols counted, and the character classes in the order in which they are taken away.
 SYMBOLS = r"[#*$%&|<>]"
-CLASSES = {"letter": r"[\p{L}\p{M}]+", "symbol": SYMBOLS + "+", "digit": r"\p{Nd}+", "punctuation": r"\p{Punct}+"}
+CLASSES = {"letter or white space": r"[a-zA-Z\x09-\x0D\x20\p{L}\p{M}]+", "symbol": SYMBOLS + "+", "digit": r"\p{Nd}+", "punctuation": r"\p{Punct}+"}
 #: Beyond so many languages the references are joined without a broadcast.
 MAX_BROADCAST_LANGUAGES = 4096
+#: Up to so many common words of all languages stand in the plan as a set.
+MAX_LITERALS = 8192
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more; w is bound by let()."""
+    """Words that lie in a 3-word window found twice or more; w is bound by let().
+
+    Equal windows have equal hashes, so only windows whose hash occurs again are compared as words.
+    """
+
+    def paired(s: Column, name: str) -> Column:
+        """Of the sorted s, those whose neighbour has the same value in the field name."""
 
-    def spread(s: Column) -> Column:
         def same(x: Column, k: Column) -> Column:
-            return F.coalesce(x["g"] == F.get(s, k - 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get(s, k + 1)["g"], F.lit(False))
+            return F.coalesce(x[name] == F.get(s, k - 1)[name], F.lit(False)) | F.coalesce(x[name] == F.get(s, k + 1)[name], F.lit(False))
+
+        return F.filter(s, same)
+
+    def ordered(values: Column, name: str) -> Column:
+        return F.sort_array(F.transform(values, lambda x, i: F.struct(x.alias(name), i.alias("i"))))
 
-        starts = F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
+    def exact(s: Column) -> Column:
+        windows = F.transform(paired(s, "h"), lambda x: F.struct(F.concat_ws(" ", F.get(w, x["i"]), F.get(w, x["i"] + 1), F.get(w, x["i"] + 2)).alias("g"), x["i"].alias("i")))
+        starts = let(F.sort_array(windows), lambda g: F.sort_array(F.transform(paired(g, "g"), lambda x: x["i"])))
         reach = let(starts, lambda d: F.transform(d, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(d, k + 1) - p, F.lit(3)))))
         return F.aggregate(reach, F.lit(0), lambda a, x: a + x)
 
-    def spread_of(g: Column) -> Column:
-        return let(F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i")))), spread)
+    def of(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(ordered(h, "h"), exact))
 
-    starts = F.slice(w, F.lit(1), F.size(w) - 2)
-    hashes = F.transform(starts, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    windows = F.transform(starts, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
-    # Where all hashes differ, all windows differ; the windows themselves are compared only elsewhere.
-    return F.when(F.size(w) < 4, F.lit(0)).when(let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), F.lit(0)).otherwise(let(windows, spread_of))
+    hashes = F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(hashes, of))
 
 
 def _tokens(text: Column) -> Column:
@@ -51,12 +62,12 @@ def _tokens(text: Column) -> Column:
 
 
 def _with_classes(df: DataFrame, name: str) -> DataFrame:
-    """df with how many characters of the column chars are in each class, and last in none."""
-    rest, cols = F.col("chars"), df
+    """df with how many characters of the column text are in each class, and last in none."""
+    rest, cols = F.col("text"), df
     for i, pattern in enumerate(CLASSES.values()):
         cols = cols.withColumn(f"rest{i}", F.regexp_replace(rest, pattern, ""))
         rest = F.col(f"rest{i}")
-    left = [F.length("chars"), *(F.length(f"rest{i}") for i in range(len(CLASSES)))]
+    left = [F.length("text"), *(F.length(f"rest{i}") for i in range(len(CLASSES)))]
     return cols.withColumn(name, F.array(*(a - b for a, b in zip(left, left[1:], strict=False)), left[-1]))
 
 
@@ -65,23 +76,23 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     split = base.withColumn("w", words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    first = split.select("id", "lang", "text", F.size("w").alias("n_words"), F.array_join("w", "").alias("chars"), let(F.col("w"), _repeat_words).alias("n_repeat_words"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
-    return _with_classes(first, "classes").select("id", "lang", "text", "n_words", F.length("chars").alias("word_chars"), F.get("classes", F.lit(1)).alias("n_symbols"), "n_dup_lines", "n_repeat_words", "classes")
+    first = split.select("id", "lang", "text", F.size("w").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), let(F.col("w"), _repeat_words).alias("n_repeat_words"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
+    return _with_classes(first, "classes").select("id", "lang", "text", "n_words", "word_chars", F.get("classes", F.lit(1)).alias("n_symbols"), "n_dup_lines", "n_repeat_words", "classes")
 
 
 def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 32, min_reference_words: int = 5000) -> DataFrame:
     """For each language: its commonest words in order, their shares, and the shares of the character classes.
 
     Ties of count go to the smaller word. Every document counts; a class's share is the median over the documents with
-    a word, so that a minority of odd documents does not move it.
+    text, so that a minority of odd documents does not move it.
     """
     base = df.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     each = base.select("lang", F.explode(_tokens(F.col("text"))).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= common_words)
     total = each.groupBy("lang").agg(F.sum("n").alias("total"))
     top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    sized = _with_classes(base.select("lang", F.regexp_replace("text", WS_CLASS, "").alias("chars")).filter("chars <> ''"), "classes")
-    shares = sized.select("lang", *((F.get("classes", F.lit(i)) / F.length("chars")).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
+    sized = _with_classes(base.filter("text <> ''"), "classes")
+    shares = sized.select("lang", *((F.get("classes", F.lit(i)) / F.length("text")).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
     medians = shares.groupBy("lang").agg(F.array(*(F.percentile_approx(f"c{i}", 0.5, F.lit(10000)) for i in range(len(CLASSES) + 1))).alias("medians"))
     return (
         top.join(total.filter(F.col("total") >= min_reference_words), "lang")
@@ -100,24 +111,24 @@ def _distance(twice: Column) -> Column:
 
 
 def _word_distance(found: Column, ref_shares: Column) -> Column:
-    """found: the rank of each token among the reference's words (0: none of them), sorted."""
+    """found: n, the number of tokens, and r, the sorted ranks of those among the reference's words."""
+    n = found["n"].cast("double")
+    other = F.greatest(1.0 - F.aggregate(ref_shares, F.lit(0.0), lambda a, y: a + y), F.lit(0.0))
 
     def over(s: Column) -> Column:
-        total = F.size(s).cast("double")
         ends = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("r"), i.alias("i"), F.coalesce(F.get(s, i + 1) != x, F.lit(True)).alias("last"))), lambda x: x["last"])
 
         def runs(e: Column) -> Column:
             def each(x: Column, k: Column) -> Column:
-                p = (x["i"] - F.coalesce(F.get(e, k - 1)["i"], F.lit(-1))) / total
-                q = F.when(x["r"] > 0, F.get(ref_shares, x["r"].cast("int") - 1)).otherwise(1.0 - F.aggregate(ref_shares, F.lit(0.0), lambda a, y: a + y))
-                return let(F.struct(p.alias("p"), F.greatest(q, F.lit(0.0)).alias("q")), lambda b: F.struct(_part(b["p"], b["q"]).alias("both"), b["q"].alias("q")))
+                p = (x["i"] - F.coalesce(F.get(e, k - 1)["i"], F.lit(-1))) / n
+                return let(F.struct(p.alias("p"), F.get(ref_shares, x["r"].cast("int") - 1).alias("q")), lambda b: _part(b["p"], b["q"]) - b["q"])
 
             # A bin without tokens adds its reference share.
-            return F.aggregate(F.transform(e, each), F.lit(1.0), lambda a, b: a + b["both"] - b["q"])
+            return F.aggregate(F.transform(e, each), 1.0 - other, lambda a, b: a + b) + _part((n - F.size(s)) / n, other)
 
         return let(ends, runs)
 
-    return F.when(F.size(found) == 0, F.lit(1.0)).otherwise(_distance(let(found, over)))
+    return F.when(found["n"] == 0, F.lit(1.0)).otherwise(_distance(let(found["r"], over)))
 
 
 def quality_rules(
@@ -128,7 +139,7 @@ def quality_rules(
     common_words: int = 32,
     min_words: int = 50,
     min_reference_words: int = 5000,
-    max_class_distance: float = 0.205,
+    max_class_distance: float = 0.185,
     max_word_distance: float = 0.30,
     short_allowance: float = 0.9,
 ) -> DataFrame:
@@ -142,9 +153,13 @@ def quality_rules(
     scored = counts(df, id_col, text_col, lang_col)
     refs = stored(refs, "language-references")
     joined = scored.join(F.broadcast(refs) if refs.count() <= MAX_BROADCAST_LANGUAGES else refs, "lang", "left")
-    ranks = F.sort_array(F.transform(F.filter(_tokens(F.col("text")), lambda x: x != ""), lambda x: F.array_position(F.col("ref_words"), x)))
+    # A word that is common in no language has rank 0 in any; sorting ranks needs the others only.
+    vocabulary = [r[0] for r in refs.select(F.explode("ref_words")).distinct().limit(MAX_LITERALS + 1).collect()]
+    common = (lambda x: x.isin(vocabulary)) if vocabulary and len(vocabulary) <= MAX_LITERALS else (lambda x: x != "")
+    tokens = F.filter(_tokens(F.col("text")), lambda x: x != "")
+    ranks = let(tokens, lambda t: F.struct(F.size(t).alias("n"), F.sort_array(F.filter(F.transform(F.filter(t, common), lambda x: F.array_position(F.col("ref_words"), x)), lambda r: r > 0)).alias("r")))
     judged = F.col("ref_words").isNotNull() & (F.col("n_words") >= min_words)
-    total = F.greatest(F.col("word_chars"), F.lit(1))
+    total = F.greatest(F.length("text"), F.lit(1))
     class_distance = _distance(F.aggregate(F.zip_with("classes", "ref_classes", lambda c, q: let(c / total, lambda p: _part(p, q))), F.lit(0.0), lambda a, x: a + x))
     measured = joined.withColumn("ranks", F.when(judged, ranks)).select("*", F.when(judged, class_distance).alias("class_distance"), F.when(judged, _word_distance(F.col("ranks"), F.col("ref_shares"))).alias("word_distance"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
