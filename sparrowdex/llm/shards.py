@@ -22,7 +22,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,12 @@ HEADER_SIZE, FOOTER_SIZE = struct.calcsize(HEADER_FORMAT), struct.calcsize(FOOTE
 #: Ids that a writer or reader holds at once, about.
 BUFFER = 1 << 18
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 500_000
-_PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: White space beyond blank, tab, newline and return: texts that have it are encoded by the library in one go.
-_ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+REMEMBERED = 1_200_000
+#: Letters that the pieces below know. A text with other characters than Latin ones goes whole.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+_LATIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞₠-₿]*")
+#: A run of letters with its blank, or a run of others (with the letters of a contraction), or white space.
+_PIECE = re.compile(rf" ?[{_LETTERS}]+| ?[^ \t\n\r{_LETTERS}]+(?:(?<=')[{_LETTERS}]+)?|[ \t\n\r]+(?=[ \t\n\r][^ \t\n\r])|[ \t\n\r]+")
 
 
 def tokenizer(path: str):
@@ -57,24 +58,46 @@ def tokenizer(path: str):
     return cache["tokenizers", path]
 
 
+def _learn(missing: list[str], found, memory: dict[str, bytes]) -> None:
+    """Have the library encode the pieces. Those of letters go in one text, a newline between any two: its id parts them."""
+    newline = found.encode("\n", add_special_tokens=False).ids
+    letters = [p for p in missing if p[-1].isalpha() and p.strip(" ").isalpha()] if len(newline) == 1 else []
+    for at in range(0, len(letters), 2048):
+        some = letters[at : at + 2048]
+        ids = np.array(found.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (np.flatnonzero(ids == newline[0]) * 4).tolist()
+        data = ids.tobytes()
+        memory.update(zip(some, [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)], strict=True))
+    rest = [p for p in missing if p not in memory]
+    for at in range(0, len(rest), 4096):
+        some = rest[at : at + 4096]
+        memory.update(zip(some, [np.array(e.ids, dtype="<u4").tobytes() for e in found.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+
+
 def encode_batch(texts: list[str | None], path: str) -> list[np.ndarray]:
     """The ids of each text as the tokenizers library gives them, uint32.
 
-    Byte-level BPE splits before a run of white space that follows a printed character, so a text's ids are those of
-    its pieces; the ids of pieces are remembered. Texts with odd white space or with an added token go whole.
+    Byte-level BPE splits a text before it merges; a Latin text is cut into pieces at places where it always splits, and
+    the ids of pieces are remembered. Texts with other characters or with an added token go whole.
     """
     found, added, memory = tokenizer(path)
-    split: list[list[str] | None] = [None if not t or _ODD_SPACE.search(t) or added.search(t) else _PIECE.findall(t) for t in texts]
-    missing = list(set(chain.from_iterable(filter(None, split))) - memory.keys())
-    if len(memory) + len(missing) > REMEMBERED:
-        memory.clear()
-        missing = list(set(chain.from_iterable(filter(None, split))))
-    for at in range(0, len(missing), 4096):
-        some = missing[at : at + 4096]
-        for piece, got in zip(some, found.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            memory[piece] = np.asarray(got.ids, dtype="<u4").tobytes()
-    whole = [np.asarray(found.encode(t, add_special_tokens=False).ids, dtype="<u4") if t and p is None else None for t, p in zip(texts, split, strict=True)]
-    return [np.frombuffer(b"".join(map(memory.__getitem__, p)), dtype="<u4") if p is not None else w if w is not None else np.zeros(0, "<u4") for p, w in zip(split, whole, strict=True)]
+    split = [_PIECE.findall(t) if t and _LATIN.fullmatch(t) and not added.search(t) else None for t in texts]
+    got = [list(map(memory.get, p)) if p is not None else None for p in split]
+    gaps = [[i for i, x in enumerate(g) if x is None] if g is not None and None in g else [] for g in got]
+    missing = list(dict.fromkeys(p[i] for p, gap in zip(split, gaps, strict=True) for i in gap))
+    if missing:
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        _learn(missing, found, memory)
+    out = []
+    for text, p, g, gap in zip(texts, split, got, gaps, strict=True):
+        if g is None:
+            out.append(np.array(found.encode(text, add_special_tokens=False).ids if text else [], dtype="<u4"))
+            continue
+        for i in gap:
+            g[i] = memory[p[i]]
+        out.append(np.frombuffer(b"".join(g), dtype="<u4"))
+    return out
 
 
 def pack(ids: np.ndarray, percentile: float = 90.0) -> list[bytes]:
