@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, langid, linededup, quality, shards
+from . import bpe, decontam, htmltext, langid, linededup, ngramjoin, quality, shards
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
