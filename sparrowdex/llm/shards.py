@@ -40,6 +40,7 @@ BUFFER = 1 << 18
 REMEMBERED = 1_200_000
 #: Letters that the pieces below know. A text with other characters than Latin ones goes whole.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+_LATIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 _LATIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞₠-₿]*")
 #: A run of letters with its blank, or a run of others (with the letters of a contraction), or white space.
 _PIECE = re.compile(rf" ?[{_LETTERS}]+| ?[^ \t\n\r{_LETTERS}]+(?:(?<=')[{_LETTERS}]+)?|[ \t\n\r]+(?=[ \t\n\r][^ \t\n\r])|[ \t\n\r]+")
@@ -74,6 +75,13 @@ def _learn(missing: list[str], found, memory: dict[str, bytes]) -> None:
         memory.update(zip(some, [np.array(e.ids, dtype="<u4").tobytes() for e in found.encode_batch_fast(some, add_special_tokens=False)], strict=True))
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _LATIN_BYTES)
+    except UnicodeEncodeError:
+        return _LATIN.fullmatch(text) is not None
+
+
 def encode_batch(texts: list[str | None], path: str) -> list[np.ndarray]:
     """The ids of each text as the tokenizers library gives them, uint32.
 
@@ -81,7 +89,7 @@ def encode_batch(texts: list[str | None], path: str) -> list[np.ndarray]:
     the ids of pieces are remembered. Texts with other characters or with an added token go whole.
     """
     found, added, memory = tokenizer(path)
-    split = [_PIECE.findall(t) if t and _LATIN.fullmatch(t) and not added.search(t) else None for t in texts]
+    split = [_PIECE.findall(t) if t and _is_latin(t) and not added.search(t) else None for t in texts]
     got = [list(map(memory.get, p)) if p is not None else None for p in split]
     gaps = [[i for i, x in enumerate(g) if x is None] if g is not None and None in g else [] for g in got]
     missing = list(dict.fromkeys(p[i] for p, gap in zip(split, gaps, strict=True) for i in gap))
@@ -100,6 +108,13 @@ def encode_batch(texts: list[str | None], path: str) -> list[np.ndarray]:
     return out
 
 
+def _low_bits(rows: np.ndarray, width: int) -> np.ndarray:
+    """The lowest `width` bits of each value (uint32), row by row, as packed bytes."""
+    bytes_ = np.ascontiguousarray(rows, dtype="<u4").view(np.uint8).reshape(*rows.shape, 4)[:, :, : (width + 7) // 8]
+    bits = np.unpackbits(bytes_, axis=2, bitorder="little")[:, :, :width]
+    return np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+
+
 def pack(ids: np.ndarray, percentile: float = 90.0) -> list[bytes]:
     """The blocks of ids, in order."""
     full = len(ids) // BLOCK
@@ -114,8 +129,7 @@ def pack(ids: np.ndarray, percentile: float = 90.0) -> list[bytes]:
         for width in np.unique(widths):
             own = np.flatnonzero(widths == width)
             part = diff[own]
-            bits = ((part[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
+            packed = _low_bits(part, int(width))
             over = part >> np.uint32(width) if width < 32 else np.zeros_like(part)
             for k, i in enumerate(own):
                 odd = np.flatnonzero(over[k])
@@ -125,9 +139,8 @@ def pack(ids: np.ndarray, percentile: float = 90.0) -> list[bytes]:
         low = int(rest.min())
         diff = (rest - np.uint32(low)).astype(np.uint32)
         width = int(np.partition(diff, (k := int(np.ceil(percentile / 100 * len(diff))) - 1))[k]).bit_length()
-        bits = ((diff[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
         odd = np.flatnonzero(diff >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-        out.append(struct.pack(HEADER_FORMAT, low, width, len(rest), len(odd)) + np.packbits(bits.ravel(), bitorder="little").tobytes() + odd.astype("<u2").tobytes() + diff[odd].astype("<u4").tobytes())
+        out.append(struct.pack(HEADER_FORMAT, low, width, len(rest), len(odd)) + _low_bits(diff[None], width).tobytes() + odd.astype("<u2").tobytes() + diff[odd].astype("<u4").tobytes())
     return out
 
 
@@ -145,8 +158,9 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
         size = (n * width + 7) // 8
         at = starts[own] + HEADER_SIZE
         if width:
-            bits = np.unpackbits(raw[at[:, None] + np.arange(size)], axis=1, bitorder="little", count=n * width).reshape(len(own), n, width)
-            values = (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            bits = np.zeros((len(own), n, 16 if width <= 16 else 32), dtype=np.uint8)
+            bits[:, :, :width] = np.unpackbits(raw[at[:, None] + np.arange(size)], axis=1, bitorder="little", count=n * width).reshape(len(own), n, width)
+            values = np.packbits(bits, axis=2, bitorder="little").view("<u2" if width <= 16 else "<u4")[:, :, 0].astype(np.uint32)
         else:
             values = np.zeros((len(own), n), dtype=np.uint32)
         for k, i in enumerate(own):
