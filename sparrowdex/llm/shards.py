@@ -62,7 +62,7 @@ def tokenizer(path: str):
 def _learn(missing: list[str], found, memory: dict[str, bytes]) -> None:
     """Have the library encode the pieces. Those of letters go in one text, a newline between any two: its id parts them."""
     newline = found.encode("\n", add_special_tokens=False).ids
-    letters = [p for p in missing if p[-1].isalpha() and p.strip(" ").isalpha()] if len(newline) == 1 else []
+    letters = [p for p in missing if p.lstrip(" ").isalpha()] if len(newline) == 1 else []
     for at in range(0, len(letters), 2048):
         some = letters[at : at + 2048]
         ids = np.array(found.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -192,10 +192,11 @@ class Writer:
         self.blocks: list[int] = []
         self.docs: list[tuple[int, int]] = []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
-        self.held.append(ids)
-        self.n_held += len(ids)
+    def add(self, doc_id: int, *ids: np.ndarray) -> None:
+        n = sum(map(len, ids))
+        self.docs.append((doc_id, n))
+        self.held += ids
+        self.n_held += n
         if self.n_held >= BUFFER:
             self._flush(False)
 
@@ -251,10 +252,10 @@ def write_shards(df: DataFrame, tokenizer_path: str, out_dir: str | None = None,
         part, writer, end = TaskContext.get().partitionId(), None, np.array([end_id], dtype="<u4")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(ids), 256):
-                for doc_id, got in zip(ids[at : at + 256].to_pylist(), encode_batch(texts[at : at + 256].to_pylist(), tokenizer_path), strict=True):
+            for at in range(0, len(ids), 1024):
+                for doc_id, got in zip(ids[at : at + 1024].to_pylist(), encode_batch(texts[at : at + 1024].to_pylist(), tokenizer_path), strict=True):
                     writer = writer or Writer(f"{base}/part-{part:06d}-{uuid.uuid4().hex}.tpf", percentile)
-                    writer.add(doc_id, np.concatenate((got, end)))
+                    writer.add(doc_id, got, end)
         if writer:
             n_ids, n_docs = writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": pa.array([writer.path]), "n_ids": pa.array([n_ids], pa.int64()), "n_docs": pa.array([n_docs], pa.int64())})
@@ -283,7 +284,7 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id", ids: bool = False)
             for path, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held = []
                 for doc_id, start, got in read_documents(path):
-                    held.append((doc_id, base + start, len(got), zlib.crc32(got.astype("<u4").tobytes()), *[got.astype(np.int64)] * ids))
+                    held.append((doc_id, base + start, len(got), zlib.crc32(np.ascontiguousarray(got, dtype="<u4")), *[got.astype(np.int64)] * ids))
                     if len(held) >= 4096:
                         yield out(held)
                         held = []
