@@ -38,6 +38,7 @@ CHUNK = 1 << 20
 SHARED_IN_BATCH, SHARED, MAX_SHARED = 3, 40, 500_000
 #: Subset rows may be at most so many times the rows of the inverted lists.
 MAX_SUBSETS = 2
+#: Least bits of a parity bitmap, which has at least twice as many bits as the set has shingles.
 BITMAP = 1024
 LEADERS = 3
 SALTS = 16
@@ -145,11 +146,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int, shared: tuple[np.ndarray, n
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     rank = np.where(keys[at] == s, counts[at], 0)
                     s = s[np.argsort(rank, kind="stable")]
-                parity = (np.bincount((s >> np.uint64(20)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1).astype(np.uint8)
+                size = max(BITMAP, 1 << int(2 * n - 1).bit_length())
+                parity = (np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(np.uint8)
                 ids.append(doc_id)
                 ns.append(n)
                 prefixes.append(s[: n - least_overlap(n, percent) + 2].view(np.int64))
-                bits.append(np.packbits(parity).view(np.int64))
+                bits.append(np.packbits(parity, bitorder="little").view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "prefix", "bits"])
 
     return docs.mapInArrow(each, "id long, n long, prefix array<long>, bits array<long>")
@@ -194,8 +196,12 @@ def _alike_sizes(a: str, b: str, percent: int) -> Column:
 def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the distinct pairs (a < b), those that are linked."""
     side = {x: prefixes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"}
-    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side["a"], "a").join(side["b"], "b").filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    # The larger bitmap folds onto the smaller; bits that differ are shingles of one side only, at least.
+    larger, smaller = (F.when((F.size("bitsa") >= F.size("bitsb")) == way, F.col("bitsa")).otherwise(F.col("bitsb")) for way in (True, False))
+    both = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "na", "nb", larger.alias("x"), smaller.alias("y"))
+    folded = lambda i: F.aggregate(F.sequence(i, F.size("x") - 1, F.size("y")), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.get("x", k)))
+    apart = F.aggregate(F.transform("y", lambda v, i: F.bit_count(v.bitwiseXOR(folded(i)))), F.lit(0), lambda s, v: s + v)
+    near = both.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
     near = stored(near.select("a", "b").distinct(), "near-pairs")
     ids = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "compared-ids")
     wanted = docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
