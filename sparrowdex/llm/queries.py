@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, langid, linededup, ngramjoin, quality, shards, suffix
+from . import bpe, decontam, htmltext, langid, licenses, linededup, ngramjoin, quality, shards, suffix
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,41 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(licenses.document_paths(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id").withColumn("depth", F.col("depth").cast("long"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+ORACLES["op6_license_scan"] = rf"""
+WITH tpl(tid, license, kind, txt) AS (VALUES {_values([(i, *t) for i, t in enumerate(licenses.TEMPLATES)])}),
+tt AS (SELECT tid, license, kind, unnest(regexp_split_to_array(lower(txt), '[^\p{{L}}\p{{Nd}}.-]+')) AS term FROM tpl),
+tc AS (SELECT tid, license, kind, trim(term, '.-') AS term, count(*) AS tf FROM tt WHERE trim(term, '.-') <> '' GROUP BY ALL),
+idf AS (SELECT term, ln((1.0 + {len(licenses.TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY term),
+tw AS (SELECT tid, license, kind, term, tf * idf AS w FROM tc JOIN idf USING (term)),
+tv AS (SELECT tid, license, kind, term, w / sqrt(sum(w * w) OVER (PARTITION BY tid)) AS weight FROM tw),
+d AS (SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), CAST(doc_id // 1000 AS VARCHAR), doc_id || '.txt') AS path, coalesce(regexp_matches(text, '{licenses.CUES}'), false) AS cue FROM documents),
+s0 AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n+|([.!?;])\s+', '\1' || chr(1), 'g'), chr(1))) AS txt, generate_subscripts(string_split(regexp_replace(text, '\n+|([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)), 1) AS unit FROM d WHERE cue),
+u AS (SELECT doc_id, unit, 'header' AS kind, txt FROM s0 WHERE regexp_matches(txt, '{licenses.CUES}') UNION ALL SELECT doc_id, -1, 'file', text FROM d WHERE cue),
+ut AS (SELECT doc_id, unit, kind, trim(unnest(regexp_split_to_array(lower(txt), '[^\p{{L}}\p{{Nd}}.-]+')), '.-') AS term FROM u),
+uc AS (SELECT doc_id, unit, kind, term, count(*) AS tf FROM ut WHERE term <> '' GROUP BY ALL),
+uw AS (SELECT doc_id, unit, kind, term, tf, tf * coalesce(idf, ln(1.0 + {len(licenses.TEMPLATES)}) + 1) AS w FROM uc LEFT JOIN idf USING (term)),
+un AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm, sum(tf) AS n_terms FROM uw GROUP BY ALL),
+sc AS (SELECT uw.doc_id, uw.unit, tv.license, round(sum(uw.w * tv.weight) / any_value(un.norm), 6) AS cosine, any_value(un.n_terms) AS n_terms FROM uw JOIN tv ON tv.kind = uw.kind AND tv.term = uw.term JOIN un ON un.doc_id = uw.doc_id AND un.unit = uw.unit GROUP BY uw.doc_id, uw.unit, tv.tid, tv.license HAVING round(sum(uw.w * tv.weight) / any_value(un.norm), 6) >= 0.6),
+bu AS (SELECT doc_id, unit, cosine, license, n_terms FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, license) = 1),
+ow AS (SELECT doc_id, first(license ORDER BY cosine DESC, license, unit) AS license, max(cosine) AS cosine, sum(n_terms) FILTER (unit >= 0) AS matched, bool_or(unit < 0) AS whole FROM bu GROUP BY doc_id),
+sz AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{Nd}}.-]+')), '.-') AS term FROM d WHERE cue) WHERE term <> '' GROUP BY doc_id),
+a AS (SELECT d.doc_id, d.path, string_split(d.path, '/') AS p, ow.license, ow.cosine, ow.license IS NOT NULL AND (ow.whole OR coalesce(ow.matched, 0) >= 0.3 * n) AS license_file FROM d LEFT JOIN ow USING (doc_id) LEFT JOIN sz USING (doc_id)),
+g AS (SELECT array_to_string(p[1:len(p) - 1], '/') AS dir, first(license ORDER BY cosine DESC, license, path) AS license, max(cosine) AS cosine FROM a WHERE license_file GROUP BY 1),
+x AS (SELECT a.doc_id, k AS depth, g.license, g.cosine FROM a, (SELECT unnest(range(0, 4)) AS k), g WHERE a.license IS NULL AND g.dir = array_to_string(a.p[1:len(a.p) - 1 - k], '/')),
+b AS (SELECT doc_id, min(depth) AS depth, arg_min(license, depth) AS license, arg_min(cosine, depth) AS cosine FROM x GROUP BY doc_id)
+SELECT a.doc_id, a.path, coalesce(a.license, b.license) AS license, coalesce(a.cosine, b.cosine) AS cosine,
+  CASE WHEN a.license IS NOT NULL THEN 'own' WHEN b.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, a.license_file, CASE WHEN a.license IS NULL THEN b.depth END AS depth
+FROM a LEFT JOIN b USING (doc_id)
+"""
