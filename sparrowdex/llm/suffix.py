@@ -3,14 +3,15 @@
 Every byte that lies in a string of ``length`` bytes which also starts elsewhere is found. Shards: each window of that
 length is filed under its minimizer, the least hash of its ``K``-byte pieces; equal windows have equal minimizers at equal
 offsets, so a repeat never crosses shards. Consecutive windows with one minimizer form a run; runs with equal bytes are
-one class with a multiplicity. Of every minimizer that occurs twice, the bytes of one run of each class are gathered,
-an enhanced suffix array (order and common prefixes) of their windows is built, and a stack scan yields the intervals of
-its common-prefix tree. An interval whose occurrences have different bytes to their left, or stand at the left end of a
-run, is a maximal repeat group; its occurrences are what is removed. Classes map back to all runs, runs to documents.
+one class with a multiplicity. Of every minimizer with several classes, the bytes of each class are gathered, an enhanced
+suffix array (order and common prefixes) of their windows is built, and a stack scan yields the intervals of its
+common-prefix tree. An interval whose occurrences have different bytes to their left, or stand at the left end of a run,
+is a maximal repeat group; its occurrences are what is removed. A class that occurs twice is a leaf of that tree with two
+occurrences, and a repeat as it stands. Classes map back to all runs, runs to documents.
 
 Minimizers with more than ``HOT`` classes are not gathered in one place: the windows of their classes are compared by
-128-bit hashes in an aggregation, which gives the same spans. A bit set of fixed size, broadcast, drops most runs whose
-minimizer occurs once; it only saves work.
+128-bit hashes in an aggregation, which gives the same spans. Bit sets of fixed size, broadcast, tell which minimizers are
+wanted; a bit too many costs work only. Classes are told apart by the 64-bit hashes of minimizer and run together.
 
 Cases: a null text is an empty one; texts shorter than ``length`` bytes lose nothing. Copies remove each other whole: no
 occurrence is spared. Ids are unique or belong to equal rows, which count as copies. Extra columns are ignored; an empty
@@ -19,7 +20,6 @@ table gives an empty result. Texts are read whole, in chunks that overlap by a w
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, worker_cache
+from .common import stored, worker_cache
 
 #: Bytes of a minimizer's piece, windows of a text hashed at once, classes of a minimizer gathered at most.
-K, CHUNK, HOT = 32, 1 << 20, 512
-#: The bit set: so many bits, by the top bits of the hash.
+K, CHUNK, HOT = 64, 1 << 20, 16384
+#: A bit set: so many bits, by the top bits of the hash.
 BITS = 27
 #: Windows whose suffixes are sorted at once.
 SORTED = 60_000
@@ -75,7 +75,7 @@ class Sums:
 
 
 def runs(raw: np.ndarray, length: int, contexts: bool = True):
-    """Of a string: minimizer hash, both hashes, first window, windows and minimizer offset of each run of windows."""
+    """Of a string: minimizer hash, hash of all bytes, first window, windows and minimizer offset of each run of windows."""
     n, w = len(raw), length - K + 1
     sums = Sums(raw, contexts)
     at = np.arange(n - K + 1)
@@ -93,7 +93,7 @@ def runs(raw: np.ndarray, length: int, contexts: bool = True):
     if not contexts:
         return h[place[first]]
     end, salt = first + windows + length - 1, windows * 1024 + offset
-    return h[place[first]], sums.get(0, first, end, salt), sums.get(1, first, end, salt), first, windows, offset
+    return h[place[first]], sums.get(1, first, end, salt), first, windows, offset
 
 
 def _chunks(text: str | None, length: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -103,10 +103,11 @@ def _chunks(text: str | None, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, raw[at : at + step + length - 1]
 
 
-def maximal_repeats(regions: list[bytes], windows: np.ndarray, offsets: np.ndarray, shard: np.ndarray, length: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def maximal_repeats(regions: list[bytes], windows: np.ndarray, offsets: np.ndarray, shard: np.ndarray, length: int, low: int = 0, high: int = 1 << 30) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """The maximal repeat groups: common length, and the region and place of each occurrence.
 
-    Suffixes begin at the windows of the regions; a shard's suffixes with equal minimizer offset are compared.
+    Suffixes begin at the windows of the regions whose distance from the minimizer is in [low, high); a shard's suffixes
+    of equal distance are compared.
     """
     widest = max(map(len, regions))
     text = np.zeros((len(regions), 2 * widest), dtype=np.uint8)
@@ -115,6 +116,8 @@ def maximal_repeats(regions: list[bytes], windows: np.ndarray, offsets: np.ndarr
         row[: len(r)] += 1  # UTF-8 has no byte 255; 0 ends a region
     region = np.repeat(np.arange(len(regions)), windows)
     place = np.arange(len(region)) - np.repeat(np.cumsum(windows) - windows, windows)
+    near = (offsets[region] - place >= low) & (offsets[region] - place < high)
+    region, place = region[near], place[near]
     left = np.where(place > 0, text[region, place - 1], 256 + np.arange(len(region)))
     # A suffix sorts by its shard, its minimizer's distance, its bytes.
     keys = np.empty((len(region), widest + 8), dtype=np.uint8)
@@ -152,156 +155,183 @@ def maximal_repeats(regions: list[bytes], windows: np.ndarray, offsets: np.ndarr
     return out
 
 
-def _runs_of(docs: DataFrame, length: int, repeated: np.ndarray | None) -> DataFrame:
-    """Each run of each document; without `repeated` only its minimizer's hash, summed up by batch."""
-    if repeated is None:
+def _bit_set(hashes: DataFrame) -> np.ndarray:
+    """The bit set of the column h: at most 2 ** (BITS - 6) words reach the driver."""
+    word = F.shiftrightunsigned("h", 64 - BITS + 6).alias("word")
+    words = hashes.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _in_set(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    bit = h >> np.uint64(64 - BITS)
+    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _minimizers(docs: DataFrame, length: int) -> DataFrame:
+    """h and n: how often runs have it, counted to 2 in each batch."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [runs(raw, length, False) for t in batch.column(1) for _, raw in _chunks(t.as_py(), length)]
+            h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["h", "n"])
+
+    return docs.mapInArrow(hashes, "h long, n byte")
 
-        def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [runs(raw, length, False) for t in batch.column(1) for _, raw in _chunks(t.as_py(), length)]
-                h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["h", "n"])
 
-        return docs.mapInArrow(hashes, "h long, n byte")
-    bits = docs.sparkSession.sparkContext.broadcast(repeated)
-    names = ["id", "h", "c1", "c2", "at", "windows", "off"]
+def _runs_of(docs: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
+    """Each run of each document whose minimizer is in the bit set: c tells its bytes."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    names = ["id", "h", "c", "at", "windows"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
+        bits = shared.value
         for batch in batches:
             ids, cols = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for at, raw in _chunks(text.as_py(), length):
-                    h, c1, c2, first, windows, offset = runs(raw, length)
-                    bit = h >> np.uint64(64 - BITS)
-                    kept = (known[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                    h, c, first, windows, _ = runs(raw, length)
+                    kept = _in_set(h, bits)
                     if kept.any():
-                        ids.append(np.full(int(kept.sum()), doc_id, dtype=np.int64))
-                        cols.append([x[kept] for x in (h.view(np.int64), c1.view(np.int64), c2.view(np.int64), (first + at).astype(np.int32), windows.astype(np.int16), offset.astype(np.int16))])
+                        ids += [doc_id] * int(kept.sum())
+                        cols.append([x[kept] for x in (h.view(np.int64), c.view(np.int64), (first + at).astype(np.int32), windows.astype(np.int16))])
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), *(pa.array(np.concatenate(x)) for x in zip(*cols, strict=True))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(x)) for x in zip(*cols, strict=True))], names=names)
 
-    return docs.mapInArrow(each, "id long, h long, c1 long, c2 long, at int, windows short, off short")
+    return docs.mapInArrow(each, "id long, h long, c long, at int, windows short")
 
 
-def _repeated_bits(docs: DataFrame, length: int) -> np.ndarray:
-    """The bit set of the minimizers that occur twice: at most 2 ** (BITS - 6) words reach the driver."""
-    twice = _runs_of(docs, length, None).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    bit = F.shiftrightunsigned("h", 64 - BITS)
-    words = twice.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def _gathered(classes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """For a class of a usual minimizer its bytes; for each window of one of a hot minimizer its hashes w1, w2."""
-    wanted = classes.groupBy("rep.id").agg(F.collect_list(F.struct("h", "c1", "c2", "m", "rep.at", "windows", "off", "hot")).alias("runs"))
-    names = ["h", "c1", "c2", "m", "windows", "off", "raw", "w1", "w2", "place"]
+def _class_bytes(docs: DataFrame, length: int, wanted: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """h, c, off, windows, raw of the classes of the wanted minimizers that are not hot; a class may come more than once."""
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, hot))
+    names = ["h", "c", "off", "windows", "raw"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
+        many, too_many = shared.value
         for batch in batches:
+            seen: set[tuple[int, int]] = set()
             rows: list[tuple] = []
-            for text, own in zip(batch.column(0), batch.column(1), strict=True):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                for r in own.as_py():
-                    part = raw[r["at"] : r["at"] + r["windows"] + length - 1]
-                    base = (r["h"], r["c1"], r["c2"], r["m"], r["windows"], r["off"])
-                    if not r["hot"]:
-                        rows.append((*base, part, None, None, None))
-                        continue
-                    sums, at = Sums(np.frombuffer(part, dtype=np.uint8)), np.arange(r["windows"])
-                    for i, (a, b) in enumerate(zip(sums.get(0, at, at + length).view(np.int64).tolist(), sums.get(1, at, at + length).view(np.int64).tolist(), strict=True)):
-                        rows.append((*base, None, a, b, i))
-                if len(rows) > 50_000:
-                    yield out(rows)
-                    rows = []
+            for text in batch.column(1):
+                for _, raw in _chunks(text.as_py(), length):
+                    h, c, first, windows, offset = runs(raw, length)
+                    for i in np.flatnonzero(_in_set(h, many) & ~_in_set(h, too_many)).tolist():
+                        key = int(h[i]), int(c[i])
+                        if key not in seen:
+                            seen.add(key)
+                            rows.append((i, h[i], c[i], offset[i], windows[i], raw[first[i] : first[i] + windows[i] + length - 1].tobytes()))
             if rows:
-                yield out(rows)
+                _, h, c, off, windows, parts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(h).view(np.int64)), pa.array(np.array(c).view(np.int64)), pa.array(np.array(off, dtype=np.int16)), pa.array(np.array(windows, dtype=np.int16)), pa.array(parts, pa.binary())], names=names)
 
-    joined = docs.filter(F.octet_length("text") >= length).join(wanted, "id").select("text", "runs")
-    return joined.mapInArrow(each, "h long, c1 long, c2 long, m long, windows int, off int, raw binary, w1 long, w2 long, place int")
+    return docs.mapInArrow(each, "h long, c long, off short, windows short, raw binary")
 
 
-def _class_spans(gathered: DataFrame, length: int) -> DataFrame:
-    """c1, c2, start, end: spans of each class that are removed, from its first byte on."""
+def _hot_spans(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """h, c, start, end of the repeated windows of the classes of hot minimizers."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    names = ["h", "c", "place", "w1", "w2"]
 
-    def spans(rows: list[tuple]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Row, start and end of each span of the gathered classes."""
-        regions, windows = [r[4] for r in rows], np.array([r[5] for r in rows])
-        hs = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        too_many = shared.value
+        for batch in batches:
+            seen: set[tuple[int, int]] = set()
+            cols: list[list[np.ndarray]] = []
+            for text in batch.column(1):
+                for _, raw in _chunks(text.as_py(), length):
+                    h, c, first, windows, _ = runs(raw, length)
+                    sums = None
+                    for i in np.flatnonzero(_in_set(h, too_many)).tolist():
+                        key = int(h[i]), int(c[i])
+                        if key in seen:
+                            continue
+                        seen.add(key)
+                        sums = sums or Sums(raw)
+                        place = np.arange(windows[i])
+                        at = first[i] + place
+                        cols.append([np.full(len(at), h[i]).view(np.int64), np.full(len(at), c[i]).view(np.int64), place.astype(np.int32), *(sums.get(k, at, at + length).view(np.int64) for k in (0, 1))])
+            if cols:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols, strict=True)], names=names)
+
+    windows = docs.mapInArrow(each, "h long, c long, place int, w1 long, w2 long").distinct()
+    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("t")).filter("t > 1")
+    return windows.join(again, ["w1", "w2"]).select("h", "c", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
+
+
+def _shard_spans(gathered: DataFrame, length: int) -> DataFrame:
+    """h, c, start, end of the maximal repeats' occurrences, from a class's first byte on, merged."""
+
+    def spans(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and end of each span of the classes of some shards."""
+        regions, windows, offsets = [r[4] for r in rows], np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+        shard = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
         change = np.zeros((len(rows), max(map(len, regions)) + 1), dtype=np.int32)
-        for i, r in enumerate(rows):
-            if r[3] > 1:  # the whole run occurs again: a maximal repeat at its left end
-                change[i, 0] += 1
-                change[i, len(r[4])] -= 1
-        own = np.flatnonzero(np.bincount(hs)[hs] > 1)
-        if len(own):
-            for depth, region, place in maximal_repeats([regions[i] for i in own], windows[own], np.array([rows[i][6] for i in own]), hs[own], length):
-                np.add.at(change, (own[region], place), 1)
-                np.add.at(change, (own[region], place + depth), -1)
+        # Suffixes are compared at equal distances from the minimizer only: a large shard goes distance by distance.
+        first, last = offsets - windows + 1, offsets
+        step = max(1, SORTED // len(rows))
+        for low in range(int(first.min()), int(last.max()) + 1, step):
+            own = np.flatnonzero((first < low + step) & (last >= low))
+            if len(own) > 1:
+                for depth, region, place in maximal_repeats([regions[i] for i in own], windows[own], offsets[own], shard[own], length, low, low + step):
+                    np.add.at(change, (own[region], place), 1)
+                    np.add.at(change, (own[region], place + depth), -1)
         cover = np.zeros((len(rows), change.shape[1] + 1), dtype=np.int8)
         cover[:, 1:] = np.cumsum(change, axis=1) > 0
         edge = np.diff(cover, axis=1)
         return np.nonzero(edge == 1)[0], np.nonzero(edge == 1)[1], np.nonzero(edge == -1)[1]
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             row, start, end = spans(rows)
-            c1, c2 = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c1[row]), pa.array(c2[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["c1", "c2", "start", "end"])
+            h, c = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(c[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["h", "c", "start", "end"])
 
         held: list[tuple] = []
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:2] == row[:2]:
+                    continue
                 # A minimizer's classes (at most HOT) stay together.
-                if size > SORTED and held and held[-1][0] != row[0]:
+                if size > SORTED and held[-1][0] != row[0]:
                     yield out(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[5]
+                size += row[3]
         if held:
             yield out(held)
 
     parts = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    usual = gathered.filter("raw IS NOT NULL").select("h", "c1", "c2", "m", "raw", "windows", "off").repartition(parts, "h").sortWithinPartitions("h", "c1", "c2")
-    sorted_ = usual.mapInArrow(shard, "c1 long, c2 long, start int, end int")
-    windows = gathered.filter("raw IS NULL").select("c1", "c2", "m", "w1", "w2", "place").distinct()
-    again = windows.groupBy("w1", "w2").agg(F.sum("m").alias("t")).filter("t > 1")
-    hot = windows.join(again, ["w1", "w2"]).select("c1", "c2", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
-    return sorted_.unionByName(hot)
+    return gathered.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(each, "h long, c long, start int, end int")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """id and spans (start, end: bytes, merged, ascending) of every document with a repeat."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = stored(_runs_of(docs, length, _repeated_bits(docs, length)), "runs")
-    classes = found.groupBy("h", "c1", "c2").agg(F.count("*").alias("m"), F.min(F.struct("id", "at")).alias("rep"), F.first("windows").alias("windows"), F.first("off").alias("off"))
-    classes = stored(classes, "classes")
-    groups = classes.groupBy("h").agg(F.count("*").alias("k"), F.sum("m").alias("t")).filter("t > 1").select("h", (F.col("k") > HOT).alias("hot"))
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    chosen = classes.withColumn("salt", F.pmod("c1", F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
-    path = f"{shared_dir(df.sparkSession)}/gathered-{hashlib.sha256(repr(found.inputFiles()[:1]).encode()).hexdigest()[:32]}"
-    gathered = _gathered(chosen, docs, length)
-    gathered.write.option("compression", "zstd").parquet(path)
-    spans = _class_spans(df.sparkSession.read.schema(gathered.schema).parquet(path), length)
-    merged = spans.groupBy("c1", "c2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    twice = _minimizers(docs, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = stored(_runs_of(docs, length, _bit_set(twice)), "runs")
+    classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("m"), F.first("windows").alias("windows")), "classes")
+    shards = stored(classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "shards")
+    hot = shards.filter(F.col("k") > HOT)
+    hot_bits = _bit_set(hot)
+    spans = _shard_spans(_class_bytes(docs, length, _bit_set(shards), hot_bits), length)
+    if hot_bits.any():
+        spans = spans.unionByName(_hot_spans(docs, length, hot_bits))
+    # What occurs twice is a repeat from end to end.
+    spans = spans.unionByName(classes.filter("m > 1").select("h", "c", F.lit(0).alias("start"), (F.col("windows") + length - 1).cast("int").alias("end")))
+    merged = spans.groupBy("h", "c").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     salted = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = found.select("id", "c1", "c2", "at", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["c1", "c2", "salt"])
+    placed = found.select("id", "h", "c", "at", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["h", "c", "salt"])
     each = placed.select("id", F.transform("spans", lambda s: F.struct((F.col("at") + s["start"]).alias("start"), (F.col("at") + s["end"]).alias("end"))).alias("spans"))
-    gathered = each.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    together = each.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     # Merge sorted spans: a span that begins after all before it have ended opens a new one.
     kind = "array<struct<start:int,end:int>>"
     merge = f"""aggregate(spans, cast(array() as {kind}), (a, s) -> CASE
       WHEN size(a) = 0 OR element_at(a, -1).end < s.start THEN concat(a, array(s))
       WHEN element_at(a, -1).end >= s.end THEN a
       ELSE concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', s.end))) END)"""
-    return stored(gathered.select("id", F.expr(merge).alias("spans")), "repeated-spans")
+    return stored(together.select("id", F.expr(merge).alias("spans")), "repeated-spans")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
