@@ -37,7 +37,7 @@ HEADER_SIZE, FOOTER_SIZE = struct.calcsize(HEADER_FORMAT), struct.calcsize(FOOTE
 #: Ids that a writer or reader holds at once, about.
 BUFFER = 1 << 18
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_600_000
 #: Letters that the pieces below know. A text with other characters than Latin ones goes whole.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _LATIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
@@ -130,10 +130,12 @@ def pack(ids: np.ndarray, percentile: float = 90.0) -> list[bytes]:
             own = np.flatnonzero(widths == width)
             part = diff[own]
             packed = _low_bits(part, int(width))
-            over = part >> np.uint32(width) if width < 32 else np.zeros_like(part)
-            for k, i in enumerate(own):
-                odd = np.flatnonzero(over[k])
-                out[i] = struct.pack(HEADER_FORMAT, int(low[i]), int(width), BLOCK, len(odd)) + packed[k].tobytes() + odd.astype("<u2").tobytes() + part[k, odd].astype("<u4").tobytes()
+            row, odd = np.nonzero(part >> np.uint32(width)) if width < 32 else (np.zeros(0, np.int64),) * 2
+            ends = np.cumsum(np.bincount(row, minlength=len(own))).tolist()
+            places, values, start = odd.astype("<u2").tobytes(), part[row, odd].astype("<u4").tobytes(), 0
+            for i, least, bits, end in zip(own.tolist(), low[own].tolist(), packed, ends, strict=True):
+                out[i] = struct.pack(HEADER_FORMAT, least, int(width), BLOCK, end - start) + bits.tobytes() + places[2 * start : 2 * end] + values[4 * start : 4 * end]
+                start = end
     rest = ids[full * BLOCK :]
     if len(rest):
         low = int(rest.min())
