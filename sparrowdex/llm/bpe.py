@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import worker_cache
 
@@ -70,7 +71,7 @@ def encode(text: str | None, enc, pattern: str, long: int = LONG) -> list[int]:
 
 
 def bpe_encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, the columns named in keep, n_tokens, and ids (array<long>) and/or digests.
+    """Per row: id, the columns named in keep, n_tokens, and ids (array<int>) and/or digests.
 
     Digests: ids_sha256 over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded bytes.
     """
@@ -84,21 +85,19 @@ def bpe_encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
                 got = encode(text.as_py(), enc, pattern)
                 n.append(len(got))
                 if ids:
-                    found.append(np.asarray(got, dtype=np.int64))
+                    found.append(np.asarray(got, dtype=np.int32))
                 if digests:
                     sha.append(hashlib.sha256(np.asarray(got, dtype="<u4").tobytes()).hexdigest())
                     back.append(hashlib.sha256(enc.decode_bytes(got)).hexdigest())
             out = [*batch.columns[:-1], pa.array(n, pa.int64())]
             if ids:
-                out.append(pa.array(found, pa.list_(pa.int64())))
+                out.append(pa.array(found, pa.list_(pa.int32())))
             if digests:
                 out += [pa.array(sha, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema] + ["n_tokens long"] + ["ids array<long>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema] + ["n_tokens long"] + ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
     names = [*cols, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
-    from pyspark.sql import functions as F
-
     return df.select(*cols, F.col(text_col).alias("__text")).mapInArrow(each, ", ".join(kinds))
 
 

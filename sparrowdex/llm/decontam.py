@@ -170,8 +170,8 @@ def scan(docs: list[list[bytes]], blocks: Iterator[Items]) -> list[tuple]:
     return out
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000) -> DataFrame:
-    """Per row: id, n_words, hits (runs of hit words: start, end), items (ids, sorted as strings), longest.
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, the columns named in keep, n_words, hits (runs of hit words: start, end), items (ids, sorted as strings), longest.
 
     longest: item, item_start, start, n_words of the longest verbatim match with an item; null if nothing is hit.
     """
@@ -193,15 +193,16 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
             if len(blocks) > 1:
                 b.__dict__.pop("_value", None)  # read again for the next shard: one block is held at a time
 
-    kind = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_words long, hits array<struct<start:int,end:int>>, items array<string>, longest struct<item:string,item_start:int,start:int,n_words:int>"
+    cols = [id_col, *keep]
+    kind = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols) + ", n_words long, hits array<struct<start:int,end:int>>, items array<string>, longest struct<item:string,item_start:int,start:int,n_words:int>"
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     best_type = pa.struct([("item", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("n_words", pa.int32())])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = scan([words(t.as_py()) for t in batch.column(1)], each_block())
+            found = scan([words(t.as_py()) for t in batch.column(len(cols))], each_block())
             hits = [[{"start": a, "end": b} for a, b in f[1]] for f in found]
             longest = [f[3] and dict(zip(("item", "item_start", "start", "n_words"), f[3], strict=True)) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array(hits, hit_type), pa.array([f[2] for f in found], pa.list_(pa.string())), pa.array(longest, best_type)], names=[id_col, "n_words", "hits", "items", "longest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.int64()), pa.array(hits, hit_type), pa.array([f[2] for f in found], pa.list_(pa.string())), pa.array(longest, best_type)], names=[*cols, "n_words", "hits", "items", "longest"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(shard, kind)
+    return df.select(*cols, F.col(text_col).alias("__text")).mapInArrow(shard, kind)

@@ -72,12 +72,12 @@ def _with_classes(df: DataFrame, name: str) -> DataFrame:
 
 
 def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: id, lang, text and the counts that the rules use."""
-    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Per row: id, lang, text, the counts that the rules use, and row, the whole input row."""
+    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
     split = base.withColumn("w", words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    first = split.select("id", "lang", "text", F.size("w").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), let(F.col("w"), _repeat_words).alias("n_repeat_words"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
-    return _with_classes(first, "classes").select("id", "lang", "text", "n_words", "word_chars", F.get("classes", F.lit(1)).alias("n_symbols"), "n_dup_lines", "n_repeat_words", "classes")
+    first = split.select("id", "row", "lang", "text", F.size("w").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), let(F.col("w"), _repeat_words).alias("n_repeat_words"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
+    return _with_classes(first, "classes").select("id", "row", "lang", "text", "n_words", "word_chars", F.get("classes", F.lit(1)).alias("n_symbols"), "n_dup_lines", "n_repeat_words", "classes")
 
 
 def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 32, min_reference_words: int = 5000) -> DataFrame:
@@ -143,7 +143,7 @@ def quality_rules(
     max_word_distance: float = 0.30,
     short_allowance: float = 0.9,
 ) -> DataFrame:
-    """Per row: id, the counts, both distances (null without a verdict) and the verdict.
+    """Per row: id, the counts, both distances (null without a verdict), the verdict kept, and row, the whole input row.
 
     A document fails where the distance of its character classes is over max_class_distance, or that of its common
     words over max_word_distance + short_allowance / sqrt(n_words), which leaves room for the chance deviation of short
@@ -166,4 +166,9 @@ def quality_rules(
     room = F.lit(short_allowance) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
     diverges = (F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance + room)
     long = {c: F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    return measured.select(F.col("id").alias(id_col), *long.values(), base_failed.alias("base_failed"), (~base_failed & ~F.coalesce(diverges, F.lit(False))).alias("kept"), "class_distance", "word_distance")
+    return measured.select(F.col("id").alias(id_col), *long.values(), base_failed.alias("base_failed"), (~base_failed & ~F.coalesce(diverges, F.lit(False))).alias("kept"), "class_distance", "word_distance", "row")
+
+
+def kept_rows(df: DataFrame, **rules) -> DataFrame:
+    """The rows of df that the rules keep, as they are."""
+    return quality_rules(df, **rules).filter("kept").select("row.*")
