@@ -9,7 +9,8 @@ whose length is measured.
 Equal sets become one first. Of each list and size class a few leaders are compared with the rest, which joins the large
 groups of near copies without all their pairs; then all pairs of a list that lie in different components so far are
 compared, so that every link is either verified or lies inside a component. Comparisons start with a bound from parity
-bitmaps; what passes is compared in full. Components come from star contraction on written tables.
+bitmaps (bits that differ are shingles of one side only), a small one within the lists and a large one for each pair;
+what passes both is compared in full. Components come from star contraction on written tables.
 
 Which shingles count as shared, and the leaders, affect the cost only, never the result: any order and any leaders give
 the same components. Shingles are 64-bit hashes of word sequences.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, worker_cache
@@ -40,6 +41,8 @@ SHARED_IN_BATCH, SHARED, MAX_SHARED = 3, 40, 500_000
 MAX_SUBSETS = 2
 #: Least bits of a parity bitmap, which has at least twice as many bits as the set has shingles.
 BITMAP = 1024
+#: Words of the small bitmaps that go with the lists whose pairs are all compared.
+SKETCH = 8
 LEADERS = 3
 SALTS = 16
 #: Up to so many documents are told by a broadcast of their ids whose shingles are to be compared in full.
@@ -129,14 +132,14 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, shared: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, n, prefix (of n - least overlap + 2 shingles in the global order), bits."""
+    """id, n, prefix (of n - least overlap + 2 shingles in the global order), bits, and sketch: bits folded to SKETCH words."""
     order = docs.sparkSession.sparkContext.broadcast(shared)
     least = -(-percent // (100 - percent))  # smaller sets are linked with equal ones only
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = order.value
         for batch in batches:
-            ids, ns, prefixes, bits = [], [], [], []
+            ids, ns, prefixes, bits, sketches = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py(), k)
                 n = len(s)
@@ -152,9 +155,10 @@ def _prefixes(docs: DataFrame, k: int, percent: int, shared: tuple[np.ndarray, n
                 ns.append(n)
                 prefixes.append(s[: n - least_overlap(n, percent) + 2].view(np.int64))
                 bits.append(np.packbits(parity, bitorder="little").view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "prefix", "bits"])
+                sketches.append(np.bitwise_xor.reduce(bits[-1].reshape(-1, SKETCH), axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n", "prefix", "bits", "sketch"])
 
-    return docs.mapInArrow(each, "id long, n long, prefix array<long>, bits array<long>")
+    return docs.mapInArrow(each, "id long, n long, prefix array<long>, bits array<long>, sketch array<long>")
 
 
 def _boundary(prefixes: DataFrame, percent: int) -> int:
@@ -189,10 +193,6 @@ def _postings(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
     return prefixes.select(F.explode(F.concat(light, heavy)).alias("key"), "id", "n")
 
 
-def _alike_sizes(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the distinct pairs (a < b), those that are linked."""
     side = {x: prefixes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"}
@@ -264,10 +264,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     placed = lists.join(joined, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    open_ = stored(placed.join(mixed, "key"), "open-lists")
-    other = open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
-    rest = open_.join(other, "key").filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _alike_sizes("n", "n2", percent))
-    rest = stored(rest.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), "rest-pairs")
+    sketches = prefixes.select("id", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
+    open_ = stored(placed.join(mixed, "key").join(sketches, "id"), "open-lists")
+    other = open_.select("key", *(F.col(c).alias(f"{c}_2") for c in open_.columns if c != "key"))
+    apart = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_2"))) for i in range(SKETCH))
+    alike = (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")) & (apart * (100 + percent) <= (F.col("n") + F.col("n_2")) * (100 - percent))
+    rest = open_.join(other, (open_["key"] == other["key"]) & (F.col("id") < F.col("id_2")) & (F.col("component") != F.col("component_2")) & alike)
+    rest = stored(rest.select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct(), "rest-pairs")
     more = _verified(rest, prefixes, docs, k, percent)
     found = components(links.unionByName(more))
 
