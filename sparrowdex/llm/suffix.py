@@ -35,7 +35,6 @@ K, CHUNK, HOT = 64, 1 << 20, 16384
 BITS = 27
 #: Windows whose suffixes are sorted at once.
 SORTED = 60_000
-SALTS = 16
 #: Up to so many documents with removed spans are joined by a broadcast (some 50 bytes each).
 MAX_BROADCAST_DOCS = 1_000_000
 
@@ -321,8 +320,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # What occurs twice is a repeat from end to end.
     spans = spans.unionByName(classes.filter("m > 1").select("h", "c", F.lit(0).alias("start"), (F.col("windows") + length - 1).cast("int").alias("end")))
     merged = spans.groupBy("h", "c").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    salted = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = found.select("id", "h", "c", "at", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["h", "c", "salt"])
+    # A class of many copies makes a large partition of runs, which adaptive execution splits.
+    placed = found.select("id", "h", "c", "at").join(merged, ["h", "c"])
     each = placed.select("id", F.transform("spans", lambda s: F.struct((F.col("at") + s["start"]).alias("start"), (F.col("at") + s["end"]).alias("end"))).alias("spans"))
     together = each.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     # Merge sorted spans: a span that begins after all before it have ended opens a new one.
