@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, worker_cache
@@ -43,6 +43,8 @@ MAX_SUBSETS = 2
 BITMAP = 1024
 #: Words of the small bitmaps that go with the lists whose pairs are all compared.
 SKETCH = 8
+#: So many of a set's earlier keys tell whether two sets meet in an earlier list.
+EARLIER = 4
 LEADERS = 3
 SALTS = 16
 #: Up to so many documents are told by a broadcast of their ids whose shingles are to be compared in full.
@@ -184,13 +186,13 @@ def _boundary(prefixes: DataFrame, percent: int) -> int:
 
 
 def _postings(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """key, id, n for every key that a set lists."""
+    """key, id, n, and pos (keys' places in an order that all sets share) for every key that a set lists."""
     pairs = F.flatten(F.transform("prefix", lambda a, i: F.transform(F.slice("prefix", i + 2, F.greatest(F.size("prefix") - i - 1, F.lit(0))), lambda b: F.xxhash64(a, b))))
     singles = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
     none = F.array().cast("array<long>")
     light = F.when(F.col("n") <= boundary, pairs).otherwise(none)
     heavy = F.when(100 * F.col("n") > percent * boundary, singles).otherwise(none)
-    return prefixes.select(F.explode(F.concat(light, heavy)).alias("key"), "id", "n")
+    return prefixes.select(F.posexplode(F.concat(light, heavy)).alias("pos", "key"), "id", "n")
 
 
 def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -262,14 +264,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = _verified(stored(stars, "star-pairs"), prefixes, docs, k, percent)
     joined = stored(components(links), "star-components")
 
-    placed = lists.join(joined, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = lists.join(joined, "id", "left").select("key", "pos", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     sketches = prefixes.select("id", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
-    open_ = stored(placed.join(mixed, "key").join(sketches, "id"), "open-lists")
+    # Sets that share one of the keys before this one are paired there already.
+    before = Window.partitionBy("id").orderBy("pos")
+    earlier = {f"p{i}": F.lag("key", i).over(before) for i in range(1, EARLIER + 1)}
+    open_ = stored(placed.join(mixed, "key").join(sketches, "id").withColumns(earlier).drop("pos"), "open-lists")
     other = open_.select("key", *(F.col(c).alias(f"{c}_2") for c in open_.columns if c != "key"))
     apart = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_2"))) for i in range(SKETCH))
     alike = (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")) & (apart * (100 + percent) <= (F.col("n") + F.col("n_2")) * (100 - percent))
-    rest = open_.join(other, (open_["key"] == other["key"]) & (F.col("id") < F.col("id_2")) & (F.col("component") != F.col("component_2")) & alike)
+    again = F.lit(False)
+    for x in earlier:
+        for y in earlier:
+            again = again | F.coalesce(F.col(x) == F.col(f"{y}_2"), F.lit(False))
+    rest = open_.join(other, (open_["key"] == other["key"]) & (F.col("id") < F.col("id_2")) & (F.col("component") != F.col("component_2")) & ~again & alike)
     rest = stored(rest.select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct(), "rest-pairs")
     more = _verified(rest, prefixes, docs, k, percent)
     found = components(links.unionByName(more))
