@@ -31,7 +31,7 @@ from .common import stored, worker_cache
 
 #: Bytes of a minimizer's piece, windows of a text hashed at once, classes of a minimizer gathered at most.
 K, CHUNK, HOT = 64, 1 << 20, 16384
-#: A bit set: so many bits, by the top bits of the hash.
+#: A bit set: so many bits, by the low bits of the hash (the high ones are small in a minimizer).
 BITS = 27
 #: Windows whose suffixes are sorted at once.
 SORTED = 60_000
@@ -156,15 +156,15 @@ def maximal_repeats(regions: list[bytes], windows: np.ndarray, offsets: np.ndarr
 
 def _bit_set(hashes: DataFrame) -> np.ndarray:
     """The bit set of the column h: at most 2 ** (BITS - 6) words reach the driver."""
-    word = F.shiftrightunsigned("h", 64 - BITS + 6).alias("word")
-    words = hashes.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
+    word = F.expr(f"shiftright(h & {(1 << BITS) - 1}L, 6)").alias("word")
+    words = hashes.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
 def _in_set(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    bit = h >> np.uint64(64 - BITS)
+    bit = h & np.uint64((1 << BITS) - 1)
     return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
