@@ -1,0 +1,116 @@
+"""Profiles, versions, hygiene: what a hit's path and source say about it, and what that does to its place."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def glob_regex(glob: str) -> str:
+    """`**` crosses directories (and takes the slash behind it), `*` and `?` don't."""
+    out, i = "", 0
+    while i < len(glob):
+        if glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+            i += glob.startswith("/", i)
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i]))
+            i += 1
+    return f"^{out}$"
+
+
+def profile_match(pages: DataFrame, profile: list[tuple[str, str | None]]) -> DataFrame:
+    """pages with in_profile and in_profile_sub. profile: (source, glob below it, or None for the whole source)."""
+    whole = [s for s, g in profile if g is None]
+    rel = F.regexp_replace("path", "^[^/]*/", "")
+    sub = F.lit(False)
+    for source, glob in profile:
+        if glob is not None:
+            sub = sub | ((F.col("source") == source) & rel.rlike(glob_regex(glob)))
+    all_ = F.col("source").isin(*whole) if whole else F.lit(False)
+    return pages.withColumns({"in_profile": all_ | sub, "in_profile_sub": sub & ~all_})
+
+
+def hygiene_penalty(path: Column, url: Column, patterns: list[tuple[str, int]]) -> Column:
+    """The highest penalty of the patterns that path or URL hold."""
+    text = F.lower(F.concat(path, F.lit("\n"), F.coalesce(url, F.lit(""))))
+    return F.greatest(F.lit(0), F.lit(0), *(F.when(F.contains(text, F.lit(p)), v).otherwise(0) for p, v in patterns))
+
+
+def apply_hygiene(hits: DataFrame, limit: int) -> DataFrame:
+    """hits (qid, path, place, penalty) by penalty and place; where a clean hit leads the first penalised one, only clean ones."""
+    q = Window.partitionBy("qid")
+    clean, dirty = F.min(F.when(F.col("penalty") == 0, F.col("place"))).over(q), F.min(F.when(F.col("penalty") > 0, F.col("place"))).over(q)
+    kept = hits.withColumns({"c": clean, "d": dirty}).filter(~F.coalesce(F.col("c") < F.col("d"), F.lit(False)) | (F.col("penalty") == 0)).drop("c", "d")
+    placed = kept.withColumn("new_place", F.row_number().over(q.orderBy("penalty", "place")))
+    return placed.filter(F.col("new_place") <= limit) if limit > 0 else placed
+
+
+def over_fetch(limit: int) -> int:
+    """How many candidates hygiene needs for so many hits."""
+    return min(max(5 * limit, limit + 10), max(50, limit))
+
+
+def version_of(source: Column) -> Column:
+    """family, version and lane from a source's name: family__v1.2, or the latest."""
+    family = F.regexp_extract(source, r"^(.*?)(__v|$)", 1)
+    version = F.regexp_extract(source, r"__v(.+)$", 1)
+    return F.struct(family.alias("family"), F.when(version != "", version).alias("version"), F.when(version != "", "pinned").otherwise("latest").alias("lane"))
+
+
+def lane_score(lane: Column, prefer_latest: Column, pinned_here: Column) -> Column:
+    """Points of a lane: for questions about the latest, for pins of the reader's own project, or in general."""
+    latest = F.when(lane == "latest", 500).when(lane == "lts", 250).when(lane == "pinned", 100).otherwise(0)
+    usual = F.when(pinned_here, 600).when(lane == "pinned", 450).when(lane == "latest", 300).when(lane == "lts", 150).when(lane == "unversioned", 50).otherwise(0)
+    return F.when(prefer_latest, latest).otherwise(usual)
+
+
+def matches_version(hit: Column, source_id: str | None = None, family: str | None = None, latest_only: bool = False, version: str | None = None) -> Column:
+    """Whether a hit (struct of source, family, version, lane) fits: a source alone decides, then family, latest, version."""
+    if source_id:
+        return hit["source"] == source_id
+    ok = F.lit(True) if not family else hit["family"] == family
+    if latest_only:
+        return ok & (hit["lane"] == "latest")
+    return ok & (hit["version"].eqNullSafe(F.lit(version))) if version else ok
+
+
+def collapse_versions(hits: DataFrame, stem: Column, limit: int = 0) -> DataFrame:
+    """The first hit of each stem of a query, places renumbered."""
+    first = hits.withColumn("__n", F.row_number().over(Window.partitionBy("qid", stem).orderBy("place"))).filter("__n = 1").drop("__n")
+    placed = first.withColumn("new_place", F.row_number().over(Window.partitionBy("qid").orderBy("place")))
+    return placed.filter(F.col("new_place") <= limit) if limit > 0 else placed
+
+
+def pins(evidence: DataFrame, latest: DataFrame) -> DataFrame:
+    """family, scope, version, files of each project's pins: lock files outrank other evidence; the latest is no pin.
+
+    evidence: family, scope, version, file, lockfile. latest: family, latest_version.
+    """
+    own = Window.partitionBy("family", "scope")
+    best = evidence.withColumn("any_lock", F.max("lockfile").over(own)).filter(F.col("lockfile") | ~F.col("any_lock"))
+    grouped = best.groupBy("family", "scope", "version").agg(F.array_sort(F.collect_set("file")).alias("files"))
+    return grouped.join(latest, "family", "left").filter(~F.coalesce(F.col("version") == F.col("latest_version"), F.lit(False))).drop("latest_version")
+
+
+def orphans(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Pins (family, version, scope) that nothing asks for any more."""
+    return before.join(now, ["family", "version", "scope"], "left_anti")
+
+
+def package_pins(files: DataFrame) -> DataFrame:
+    """path, package, version, exact of package manifests (path, text), from their dependencies."""
+    both = F.map_concat(*(F.coalesce(F.from_json(F.get_json_object("text", f"$.{k}"), "map<string,string>"), F.create_map().cast("map<string,string>")) for k in ("dependencies", "devDependencies")))
+    each = files.select("path", F.explode(both).alias("package", "spec"))
+    return each.select("path", "package", F.regexp_replace("spec", r"^[\^~=v]+", "").alias("version"), F.col("spec").rlike(r"^=?v?\d+(\.\d+)*([-+].*)?$").alias("exact"))
+
+
+def profile_lint(pages: DataFrame, profile: list[tuple[str, str | None]]) -> DataFrame:
+    """source, glob, n: how many pages each entry of a profile matches; 0 is worth a warning."""
+    spark = pages.sparkSession
+    entries = spark.createDataFrame([(s, g or "", glob_regex(g) if g else "^.*$") for s, g in profile], "source string, glob string, re string")
+    rel = pages.select("source", F.regexp_replace("path", "^[^/]*/", "").alias("rel"))
+    hit = rel.join(F.broadcast(entries), "source").filter(F.expr("rel rlike re")).groupBy("source", "glob").agg(F.count("*").alias("n"))
+    return entries.drop("re").join(hit, ["source", "glob"], "left").select("source", "glob", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import bm25 as B
+from .operators import manifest as M
 from .operators import rank as R
+from .operators import urls as U
 from .plans import query as Q
 from .plans import search as S
 from .sources import corpus as C
@@ -131,3 +133,165 @@ SELECT qid, path, score, place FROM r WHERE place <= 10
 def search_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 6), " ").alias("q"))
     return S.scan(corpus(spark, sf_dir), q).select("qid", "path", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, lang || '/' || CASE WHEN doc_id % 7 = 0 THEN '_INDEX.md' ELSE doc_id || '.md' END AS rel, coalesce(text, '') AS body FROM documents)
+SELECT source, count(*) AS n FROM d WHERE rel NOT LIKE '%_INDEX.md' AND split_part(rel, '/', 1) NOT IN ('de', 'es', 'fr') AND trim(body) <> '' GROUP BY source
+""")
+def indexable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    rel = F.concat("lang", F.lit("/"), F.when(F.col("doc_id") % 7 == 0, "_INDEX").otherwise(F.col("doc_id").cast("string")), F.lit(".md"))
+    pages = d.select("source", rel.alias("rel"), F.coalesce("text", F.lit("")).alias("body"))
+    return C.indexable(pages).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+c AS (SELECT page_id, host || '/' || CASE WHEN trim(path, '/') = '' THEN 'index' ELSE trim(path, '/') END || '.md' AS path FROM p),
+d AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS dir FROM c, (SELECT unnest(range(1, 12)) AS k) WHERE k < len(string_split(path, '/')))
+SELECT page_id, c.path, d.dir IS NOT NULL AS is_hub FROM c LEFT JOIN d ON d.dir = regexp_replace(c.path, '\\.md$', '')
+""")
+def hub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    c = C.from_pages(pages).select("path", "url").join(pages.select("page_id", "url"), "url")
+    return C.with_hub_flag(c).select("page_id", "path", "is_hub")
+
+
+@query("""
+WITH t AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages),
+u AS (SELECT page_id, trim(regexp_replace(t, '^(.+) \\| .*$', '\\1')) AS t FROM t)
+SELECT page_id, CASE WHEN len(string_split(t, ': ')) > 2 THEN trim(list_last(string_split(t, ': '))) ELSE t END AS title FROM u
+""")
+def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+@query("""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1)) AS link FROM pages)
+SELECT link, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM l WHERE link <> '' AND link NOT LIKE '#%' AND NOT regexp_matches(lower(link), '^(mailto|javascript|tel|data):') GROUP BY link
+""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(U.html_links(F.col("html"))).alias("link"))
+    return each.groupBy("link").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query("""
+WITH u AS (SELECT page_id AS idx, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[.,;:]+$', '') AS url FROM pages)
+SELECT min(idx) AS idx, url FROM u WHERE url <> '' GROUP BY url
+""")
+def url_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.dedupe_urls(table(spark, sf_dir, "pages").select(F.col("page_id").alias("idx"), "url"))
+
+
+LOCALE_URLS = "u AS (SELECT page_id * 2 + k AS idx, regexp_replace(url, '[?#].*$', '') || CASE WHEN k = 0 THEN '?hl=' || page_id % 3 WHEN page_id % 2 = 0 THEN '?ref=' || page_id ELSE '?lang=x' END AS url FROM pages, (SELECT unnest([0, 1]) AS k))"
+
+
+@query(f"""
+WITH {LOCALE_URLS}, h AS (SELECT *, regexp_replace(url, '[?#].*$', '') AS key, regexp_matches(url, '(?i)[?&](hl|lang|locale|language)=') AS has FROM u)
+SELECT min(idx) OVER (PARTITION BY key) AS idx, url FROM h QUALIFY row_number() OVER (PARTITION BY key ORDER BY has, idx) = 1
+""")
+def url_locale_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("u"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    end = F.when(F.col("k") == 0, F.concat(F.lit("?hl="), (F.col("page_id") % 3).cast("string"))).when(F.col("page_id") % 2 == 0, F.concat(F.lit("?ref="), F.col("page_id").cast("string"))).otherwise("?lang=x")
+    return U.dedupe_locales(p.select((F.col("page_id") * 2 + F.col("k")).alias("idx"), F.concat("u", end).alias("url")))
+
+
+
+
+@query("""
+WITH p AS (SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT DISTINCT host, unnest([0, 1]) AS idx, unnest(['/fr/', '/']) AS prefix, unnest(['fr-' || host, host]) AS source FROM p),
+m AS (SELECT DISTINCT url, idx, source, trim(substring(path, length(prefix) + 1), '/') AS rest FROM p JOIN r USING (host) WHERE starts_with(path, prefix))
+SELECT url, source, CASE WHEN rest = '' THEN 'index' ELSE rest END || '.md' AS rel FROM m QUALIFY row_number() OVER (PARTITION BY url ORDER BY idx) = 1
+""")
+def url_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    hosts = pages.select(host.alias("host")).distinct()
+    routes = hosts.select(F.lit(0).alias("idx"), "host", F.lit("/fr/").alias("prefix"), F.concat(F.lit("fr-"), "host").alias("source")).unionByName(hosts.select(F.lit(1).alias("idx"), "host", F.lit("/").alias("prefix"), F.col("host").alias("source")))
+    return U.route(pages.select("url").distinct(), routes)
+
+
+@query(f"WITH {CORPUS}, {QUESTIONS}, qt AS (SELECT qid, list_distinct(list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda x: x <> '')) AS ts FROM questions WHERE qid < 5), l AS (SELECT path, unnest(string_split(body, chr(10))) AS txt, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM corpus), h AS (SELECT qid, path, line, txt, len(list_filter(ts, lambda t: contains(lower(txt), t))) AS hits FROM l, qt), r AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY hits DESC, line) AS n FROM h WHERE hits > 0) SELECT qid, path, CAST(line AS INT) AS line, CASE WHEN strlen(trim(txt)) > 160 THEN left(trim(txt), 157) || '...' ELSE trim(txt) END AS text FROM r WHERE n <= 3")
+def snippet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 6), " ").alias("q"))
+    # the questions are few by the filter
+    both = corpus(spark, sf_dir).select("path", "body").crossJoin(F.broadcast(q))
+    return both.select("qid", "path", F.explode(T.snippets(F.col("body"), F.col("q"))).alias("s")).select("qid", "path", "s.line", "s.text")
+
+
+@query(f"WITH {CORPUS} SELECT path, CAST((strlen(trim(body)) + 3) // 4 AS BIGINT) AS tokens, strlen(trim(body)) < 200 AS low_content FROM corpus")
+def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("path", T.approx_tokens(F.col("body")).alias("tokens"), (F.octet_length(F.trim("body")) < 200).alias("low_content"))
+
+
+MANIFEST = "m AS (SELECT page_id % 3 AS run, regexp_replace(url, '[?#].*$', '') AS url, 'p' || page_id % 40 AS path, CAST(page_id AS VARCHAR) AS fetched_at FROM pages)"
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select((F.col("page_id") % 3).alias("run"), F.regexp_replace("url", "[?#].*$", "").alias("url"), F.concat(F.lit("p"), (F.col("page_id") % 40).cast("string")).alias("path"), F.col("page_id").cast("string").alias("fetched_at"))
+
+
+@query(f"WITH {MANIFEST} SELECT url, max(run) AS run FROM m GROUP BY url")
+def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.merge_runs(_manifest(spark, sf_dir)).select("url", "run")
+
+
+@query(f"WITH {MANIFEST} SELECT url, path, fetched_at FROM m QUALIFY row_number() OVER (PARTITION BY path ORDER BY fetched_at DESC, url) = 1")
+def manifest_dedupe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.dedupe_paths(_manifest(spark, sf_dir)).select("url", "path", "fetched_at")
+
+
+FATES = """
+o AS (SELECT 'u' || page_id AS url, 'p' || page_id AS path FROM pages WHERE page_id % 5 <> 0), n AS (SELECT 'u' || page_id AS url, 'q' || page_id AS path, page_id % 4 = 0 AS skipped FROM pages WHERE page_id % 3 <> 0),
+f AS (SELECT coalesce(o.url, n.url) AS url, o.path AS op, n.path AS np, CASE WHEN n.url IS NULL THEN 'pruned' WHEN skipped AND o.url IS NOT NULL THEN 'kept' WHEN skipped THEN 'skipped' ELSE 'fresh' END AS fate FROM o FULL JOIN n ON o.url = n.url)
+"""
+
+
+def _fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("i"))
+    old = p.filter("page_id % 5 <> 0").select(F.concat(F.lit("u"), "i").alias("url"), F.concat(F.lit("p"), "i").alias("path"))
+    new = p.filter("page_id % 3 <> 0").select(F.concat(F.lit("u"), "i").alias("url"), F.concat(F.lit("q"), "i").alias("path"), (F.col("page_id") % 4 == 0).alias("skipped"))
+    return M.replace_manifest(old, new)
+
+
+@query(f"WITH {FATES} SELECT url, CASE WHEN fate = 'fresh' THEN np ELSE op END AS path, fate FROM f")
+def manifest_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fates(spark, sf_dir)
+
+
+@query(f"WITH {FATES}, c AS (SELECT count(*) FILTER (fate IN ('kept', 'pruned', 'fresh')) AS n_old, count(*) FILTER (fate = 'pruned') AS n_pruned FROM f) SELECT n_old, n_pruned, NOT (n_pruned >= 50 OR (n_pruned >= 5 AND n_pruned > 0.1 * n_old)) AS allowed FROM c")
+def manifest_deletion_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.deletion_guard(_fates(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS path, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE 'old' END AS body FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 10 = 0")
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"))
+    base, fresh = o.filter("path % 7 <> 0").withColumn("body", F.lit("old")), o.filter("path % 10 = 0").withColumn("body", F.lit("new"))
+    return M.upsert(base, fresh)
+
+
+@query("SELECT o_orderkey AS path FROM orders WHERE o_orderkey % 7 = 0")
+def index_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"))
+    return M.missing(o, o.filter("path % 7 <> 0"))
+
+
+@query(f"WITH {CORPUS} SELECT path, CASE WHEN source IN ('src1', 'src2') THEN 'new' ELSE title END AS title FROM corpus WHERE source NOT IN ('src1', 'src2') OR length(body) > 500")
+def index_replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    fresh = c.filter(F.col("source").isin("src1", "src2") & (F.length("body") > 500)).withColumn("title", F.lit("new"))
+    return M.replace_source(c, fresh).select("path", "title")
+
+
+@query(f"WITH {CORPUS} SELECT source, 'docs' AS grp, count(*) AS n, string_agg('- [' || title || '](' || rel || ')', chr(10) ORDER BY rel) AS lines FROM corpus GROUP BY source")
+def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.source_index(corpus(spark, sf_dir))
+
+
+@query(f"WITH {CORPUS} SELECT source, 'docs' AS section, string_agg('- [' || title || '](' || path || ')', chr(10) ORDER BY path) AS lines FROM corpus GROUP BY source")
+def llms_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.llms_txt(corpus(spark, sf_dir))
