@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import bm25 as B
+from .operators import evaluation as EV
 from .operators import manifest as M
+from .operators import policy as P
 from .operators import rank as R
+from .operators import telemetry as TL
 from .operators import urls as U
+from .operators import vectors as V
 from .plans import query as Q
 from .plans import search as S
 from .sources import corpus as C
@@ -295,3 +299,228 @@ def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CORPUS} SELECT source, 'docs' AS section, string_agg('- [' || title || '](' || path || ')', chr(10) ORDER BY path) AS lines FROM corpus GROUP BY source")
 def llms_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.llms_txt(corpus(spark, sf_dir))
+
+
+# Vectors: path = labelL/vec-N, the first twenty as questions.
+VECS = "v AS (SELECT vec_id, 'label' || label || '/vec-' || vec_id AS path, embedding FROM embeddings), q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id < 20)"
+COSINE = "list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[]))))"
+NEAREST = f"{VECS}, s AS (SELECT qid, path, round({COSINE} - 0.005, 9) AS score FROM v, q), n AS (SELECT qid, path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS place FROM s QUALIFY place <= 10)"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings")
+    path = F.concat(F.lit("label"), F.col("label").cast("string"), F.lit("/vec-"), F.col("vec_id").cast("string"))
+    return e.select("vec_id", path.alias("path"), "embedding"), e.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+@query(f"WITH {NEAREST} SELECT qid, path, round(score, 6) AS score, place FROM n")
+def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    return V.nearest(v, q, 10).select("qid", "path", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {VECS}, s AS (SELECT vec_id, round({COSINE}, 6) AS score FROM v, (SELECT e FROM q WHERE qid = 3)) SELECT * FROM s")
+def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    one = q.filter("qid = 3").select(F.col("embedding").alias("e"))
+    return v.crossJoin(F.broadcast(one)).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
+
+
+@query(f"WITH {VECS}, c AS (SELECT qid, 'page' || vec_id % 50 AS path, max(round({COSINE}, 9)) AS score FROM v, q GROUP BY ALL) SELECT qid, path, round(score, 6) AS score FROM c")
+def vector_chunk_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    page = F.concat(F.lit("page"), (F.col("vec_id") % 50).cast("string")).alias("path")
+    chunks = v.select(page, "embedding")
+    wanted = q.select("qid", F.col("embedding").alias("q")).crossJoin(chunks.select("path").distinct())
+    return V.pooled(chunks, wanted).select("qid", "path", F.round("score", 6).alias("score"))
+
+
+TEXT_HITS = "h AS (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY path DESC) AS place FROM (SELECT qid, 'label' || label || '/vec-' || vec_id AS path FROM embeddings, (SELECT unnest(range(0, 20)) AS qid) WHERE vec_id % 40 = qid OR vec_id = qid + 1))"
+
+
+def _text_hits(v: DataFrame, q: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    pairs = v.crossJoin(F.broadcast(q.select("qid"))).filter("vec_id % 40 = qid OR vec_id = qid + 1").select("qid", "path")
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("path"))))
+
+
+@query(f"WITH {NEAREST}, {TEXT_HITS}, f AS (SELECT h.qid, h.path, h.place AS tp, round(0.7 / (60 + h.place) + coalesce(0.3 / (60 + n.place), 0), 12) AS fused FROM h LEFT JOIN n USING (qid, path)) SELECT qid, path, round(fused, 9) AS fused, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, tp) AS place FROM f")
+def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    return V.fuse(_text_hits(v, q), V.nearest(v, q, 10)).select("qid", "path", F.round("fused", 9).alias("fused"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {NEAREST}, {TEXT_HITS}, u AS (SELECT qid, path, 0 AS part, place FROM h UNION ALL SELECT qid, path, 1, place FROM n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.qid = n.qid AND h.path = n.path)) SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY part, place, path) AS place, 1 - part AS from_text FROM u")
+def hybrid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    return V.hybrid_candidates(_text_hits(v, q), V.nearest(v, q, 10)).select("qid", "path", F.col("place").cast("long").alias("place"), "from_text")
+
+
+@query(f"WITH {NEAREST}, ab AS (SELECT qid, max(score) FILTER (place = 1) AS a, max(score) FILTER (place = 2) AS b FROM n GROUP BY qid) SELECT qid, coalesce(a > 0 AND (a - b) / a >= 0.5, false) AS confident FROM ab")
+def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    return V.confident(V.nearest(v, q, 10), 0.5)
+
+
+@query(f"WITH {NEAREST}, o AS (SELECT qid, CASE place WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 1000 END AS pos, path, place FROM n) SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY pos, place) AS new_place FROM o")
+def reranker_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    orders = q.select("qid", F.array(F.lit(3), F.lit(99), F.lit(3), F.lit(1)).alias("order"))
+    return V.apply_order(V.nearest(v, q, 10), orders).select("qid", "path", F.col("new_place").cast("long").alias("new_place"))
+
+
+@query("SELECT 'm' || label % 3 AS model, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY 1")
+def vector_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return V.models(e.select(F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("model"), F.size("embedding").cast("long").alias("dim")))
+
+
+@query("SELECT vec_id AS path FROM embeddings WHERE vec_id % 6 <> 0 AND NOT (vec_id % 2 = 0 AND vec_id % 3 = 0)")
+def vectors_to_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), F.col("vec_id").alias("mtime_ns"), F.lit("m").alias("model"))
+    return V.to_embed(e, e.filter("path % 6 = 0")).select("path")
+
+
+# Evaluation: a question expects the documents that hold its item's text; the hits are those of the scan by words.
+EXPECT = "x AS (SELECT item_id AS qid, 'd' || doc_id AS path FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
+RANKED = "hits AS (SELECT item_id AS qid, 'd' || doc_id AS path, doc_id % 90 AS tokens, row_number() OVER (PARTITION BY item_id ORDER BY (CASE WHEN contains(documents.text, benchmark.text) THEN (doc_id + item_id) % 3 ELSE 1 + doc_id % 4 END), doc_id) AS place FROM benchmark, documents WHERE doc_id % 25 = item_id % 25 OR contains(documents.text, benchmark.text) QUALIFY place <= 10)"
+CASES = f"""{EXPECT}, {RANKED}, ne AS (SELECT qid, count(*) AS n_expected FROM x GROUP BY qid),
+j AS (SELECT hits.*, sum(tokens) OVER (PARTITION BY hits.qid ORDER BY place) AS so_far, x.path IS NOT NULL AS ok FROM hits LEFT JOIN x ON x.qid = hits.qid AND x.path = hits.path),
+g AS (SELECT qid, min(place) FILTER (ok) AS first, count(*) FILTER (ok AND place <= 5) AS in5, count(*) AS returned, sum(tokens) AS tokens, min(so_far) FILTER (ok) AS tth FROM j GROUP BY qid),
+c AS (SELECT qid, n_expected, coalesce(first, 0) AS first_hit, coalesce(first <= 1, false) AS hit_1, coalesce(first <= 3, false) AS hit_3, coalesce(first <= 5, false) AS hit_5, coalesce(first <= 10, false) AS hit_10, coalesce(in5, 0) / n_expected AS recall_5, coalesce(returned, 0) AS returned, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, CAST(coalesce(tth, 0) AS BIGINT) AS tokens_to_hit FROM ne LEFT JOIN g USING (qid))"""
+
+
+def _eval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the benchmark is the stated set of questions
+    both = d.crossJoin(F.broadcast(b)).withColumn("ok", F.contains("text", "t")).filter("ok OR doc_id % 25 = qid % 25").select("qid", "doc_id", "ok", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"))
+    questions = both.filter("ok").groupBy("qid").agg(F.collect_list("path").alias("expect"))
+    order = Window.partitionBy("qid").orderBy(F.expr("CASE WHEN ok THEN (doc_id + qid) % 3 ELSE 1 + doc_id % 4 END"), "doc_id")
+    hits = both.withColumn("place", F.row_number().over(order)).filter("place <= 10").select("qid", "path", "place", (F.col("doc_id") % 90).alias("tokens"))
+    return questions, hits
+
+
+@query(f"WITH {CASES} SELECT * FROM c")
+def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, hits = _eval(spark, sf_dir)
+    return EV.cases(questions, hits, F.col("tokens"))
+
+
+@query(f"""WITH {CASES}, t AS (SELECT coalesce(list_sort(list(tokens) FILTER (tokens > 0)), []) AS ts FROM c)
+SELECT count(*) AS n, avg(CAST(hit_1 AS DOUBLE)) AS hit_1, avg(CAST(hit_3 AS DOUBLE)) AS hit_3, avg(CAST(hit_5 AS DOUBLE)) AS hit_5, avg(CAST(hit_10 AS DOUBLE)) AS hit_10, round(avg(CASE WHEN first_hit > 0 THEN 1.0 / first_hit ELSE 0 END), 9) AS mrr, round(avg(recall_5), 9) AS recall_5,
+any_value(ts[CAST(floor((len(ts) - 1) * 0.5) AS INT) + 1]) AS tokens_p50, any_value(ts[CAST(floor((len(ts) - 1) * 0.99) AS INT) + 1]) AS tokens_p99 FROM c, t""")
+def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, hits = _eval(spark, sf_dir)
+    return EV.summary(EV.cases(questions, hits, F.col("tokens"))).withColumns({c: F.round(c, 9) for c in ("mrr", "recall_5")})
+
+
+@query(f"WITH {CASES} SELECT budget, avg(CAST(first_hit > 0 AND tokens_to_hit <= budget AS DOUBLE)) AS rate FROM c, (SELECT unnest([50, 100, 400]) AS budget) GROUP BY budget")
+def eval_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, hits = _eval(spark, sf_dir)
+    return EV.within_budget(EV.cases(questions, hits, F.col("tokens")), [50, 100, 400])
+
+
+RUNS = "a AS (SELECT item_id AS qid, 'q' || item_id % 30 AS q, item_id % 6 AS first_hit FROM benchmark), b AS (SELECT item_id AS qid, 'q' || item_id % 35 AS q, item_id % 4 AS first_hit FROM benchmark WHERE item_id > 1)"
+
+
+@query(f"""WITH {RUNS}, x AS (SELECT q, arg_max(first_hit, qid) AS before FROM a GROUP BY q), y AS (SELECT q, arg_max(first_hit, qid) AS now FROM b GROUP BY q),
+z AS (SELECT coalesce(x.q, y.q) AS q, before, now, CASE WHEN now > 0 THEN now ELSE 100 END - CASE WHEN before > 0 THEN before ELSE 100 END AS d FROM x FULL JOIN y ON x.q = y.q)
+SELECT q, before, now, CASE WHEN before IS NOT NULL AND now IS NOT NULL THEN d END AS delta, CASE WHEN before IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' WHEN d < 0 THEN 'better' WHEN d > 0 THEN 'worse' ELSE 'same' END AS kind FROM z""")
+def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    run = lambda d, n, m: d.select("qid", F.concat(F.lit("q"), (F.col("qid") % n).cast("string")).alias("q"), (F.col("qid") % m).alias("first_hit"))
+    return EV.compare(run(b, 30, 6), run(b.filter("qid > 1"), 35, 4))
+
+
+@query("WITH a AS (SELECT source, count(*) AS before FROM documents WHERE doc_id % 3 <> 0 AND source <> 'src3' GROUP BY source), b AS (SELECT source, count(*) AS now FROM documents WHERE doc_id % 5 <> 0 AND source <> 'src4' GROUP BY source) SELECT coalesce(a.source, b.source) AS source, coalesce(before, 0) AS before, coalesce(now, 0) AS now FROM a FULL JOIN b ON a.source = b.source WHERE coalesce(before, 0) <> coalesce(now, 0)")
+def eval_source_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return EV.source_drift(d.filter("doc_id % 3 <> 0 AND source <> 'src3'"), d.filter("doc_id % 5 <> 0 AND source <> 'src4'"))
+
+
+@query(f"WITH {EXPECT} SELECT qid, path FROM x WHERE CAST(substring(path, 2) AS BIGINT) % 2 = 1")
+def eval_unknown_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, _ = _eval(spark, sf_dir)
+    known = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"))
+    return EV.unknown_expectations(questions, known)
+
+
+LOG = "log AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, 'q ' || user_id % 97 AS query, CASE event_type WHEN 'view' THEN 'eval' WHEN 'click' THEN 'shell' WHEN 'error' THEN 'agent' WHEN 'signup' THEN 'web' ELSE 'bench' END AS run_context, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS result_count FROM events)"
+TRAFFIC = "CASE WHEN regexp_matches(run_context, 'eval|bench|test') THEN 'evaluation' WHEN regexp_matches(run_context, 'agent|bot|batch|cron|ci') THEN 'automated' ELSE 'human' END"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context = F.expr("CASE event_type WHEN 'view' THEN 'eval' WHEN 'click' THEN 'shell' WHEN 'error' THEN 'agent' WHEN 'signup' THEN 'web' ELSE 'bench' END")
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.concat(F.lit("q "), (F.col("user_id") % 97).cast("string")).alias("query"), context.alias("run_context"), (F.get_json_object("props", "$.k").cast("long") % 5).alias("result_count"), F.lit(None).cast("string").alias("top_path"))
+
+
+@query(f"WITH {LOG} SELECT {TRAFFIC} AS traffic, count(*) AS entries, count(DISTINCT query) AS queries, round(avg(CAST(result_count = 0 AS DOUBLE)), 9) AS zero FROM log GROUP BY 1")
+def telemetry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TL.summary(_log(spark, sf_dir)).withColumn("zero", F.round("zero", 9))
+
+
+@query(f"WITH {LOG} SELECT query AS q, max(timestamp) AS timestamp FROM log WHERE {TRAFFIC} = 'human' AND result_count >= 1 AND query NOT IN ('q 1', 'q 2') GROUP BY query")
+def telemetry_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("Q  1",), ("q 2",)], "q string")
+    return TL.mine(_log(spark, sf_dir), known).select("q", "timestamp")
+
+
+HITS = "hits AS (SELECT CAST(user_id % 50 AS BIGINT) AS qid, 'src' || event_id % 9 || '/docs/' || event_id || '.md' AS path, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS place FROM events)"
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id").cast("string")
+    path = F.concat(F.lit("src"), (F.col("event_id") % 9).cast("string"), F.lit("/docs/"), i, F.lit(".md"))
+    return e.select((F.col("user_id") % 50).alias("qid"), path.alias("path"), F.row_number().over(Window.partitionBy(F.col("user_id") % 50).orderBy("event_id")).alias("place"))
+
+
+@query(f"""WITH {HITS}, p AS (SELECT *, CASE WHEN contains(path, 'src3/') THEN 20 WHEN contains(path, '/docs/1') THEN 5 ELSE 0 END AS penalty FROM hits),
+k AS (SELECT *, min(place) FILTER (penalty = 0) OVER w AS c, min(place) FILTER (penalty > 0) OVER w AS d FROM p WINDOW w AS (PARTITION BY qid)),
+n AS (SELECT qid, path, penalty, row_number() OVER (PARTITION BY qid ORDER BY penalty, place) AS new_place FROM k WHERE NOT coalesce(c < d, false) OR penalty = 0)
+SELECT * FROM n WHERE new_place <= 10""")
+def hygiene_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hits(spark, sf_dir).withColumn("penalty", P.hygiene_penalty(F.col("path"), F.lit(None).cast("string"), [("src3/", 20), ("/docs/1", 5)]))
+    return P.apply_hygiene(h, 10).select("qid", "path", "penalty", F.col("new_place").cast("long").alias("new_place"))
+
+
+@query(f"WITH {HITS}, s AS (SELECT *, split_part(path, '/', 1) AS stem FROM hits), f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid, stem ORDER BY place) = 1) SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY place) AS new_place FROM f QUALIFY new_place <= 5")
+def version_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.collapse_versions(_hits(spark, sf_dir), F.split("path", "/")[0], 5).select("qid", "path", F.col("new_place").cast("long").alias("new_place"))
+
+
+@query(f"WITH {CORPUS} SELECT path, source = 'src1' OR (source = 'src2' AND regexp_matches(path, '/docs/doc-[^/]*2\\.md$')) AS in_profile, source = 'src2' AND regexp_matches(path, '/docs/doc-[^/]*2\\.md$') AS in_profile_sub FROM corpus")
+def profile_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.profile_match(corpus(spark, sf_dir), [("src1", None), ("src2", "docs/doc-*2.md")]).select("path", "in_profile", "in_profile_sub")
+
+
+@query(f"WITH {CORPUS}, e AS (SELECT unnest(['src1', 'src2', 'src2']) AS source, unnest(['', 'docs/doc-*2.md', 'nothing/?']) AS glob, unnest(['^.*$', '^docs/doc-[^/]*2\\.md$', '^nothing/[^/]$']) AS re) SELECT source, glob, count(*) FILTER (regexp_matches(rel, re)) AS n FROM e JOIN corpus USING (source) GROUP BY source, glob")
+def profile_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.profile_lint(corpus(spark, sf_dir), [("src1", None), ("src2", "docs/doc-*2.md"), ("src2", "nothing/?")])
+
+
+@query("""WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'fam' || c_nationkey || '__v' || c_custkey % 5 ELSE 'fam' || c_nationkey END AS source FROM customer),
+v AS (SELECT c_custkey, regexp_extract(source, '^(.*?)(__v|$)', 1) AS family, nullif(regexp_extract(source, '__v(.+)$', 1), '') AS version FROM s)
+SELECT c_custkey, family, version, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN version IS NULL THEN 500 ELSE 100 END WHEN c_custkey % 7 = 0 THEN 600 WHEN version IS NULL THEN 300 ELSE 450 END AS score FROM v""")
+def version_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    family = F.concat(F.lit("fam"), F.col("c_nationkey").cast("string"))
+    source = F.when(F.col("c_custkey") % 3 == 0, F.concat(family, F.lit("__v"), (F.col("c_custkey") % 5).cast("string"))).otherwise(family)
+    c = table(spark, sf_dir, "customer").select("c_custkey", P.version_of(source).alias("v"))
+    return c.select("c_custkey", "v.family", "v.version", P.lane_score(F.col("v.lane"), F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 7 == 0).alias("score"))
+
+
+@query("""WITH e AS (SELECT 'f' || l_partkey % 20 AS family, 's' || l_suppkey AS scope, CAST(l_quantity AS BIGINT) % 4 AS version, 'file' || l_linenumber AS file, l_linenumber = 1 AS lockfile FROM lineitem),
+b AS (SELECT * FROM e QUALIFY lockfile OR NOT bool_or(lockfile) OVER (PARTITION BY family, scope))
+SELECT family, scope, version, array_to_string(list_sort(list(DISTINCT file)), ',') AS files FROM b WHERE version <> 0 GROUP BY family, scope, version""")
+def version_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    e = li.select(F.concat(F.lit("f"), (F.col("l_partkey") % 20).cast("string")).alias("family"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("scope"), (F.col("l_quantity").cast("long") % 4).alias("version"), F.concat(F.lit("file"), F.col("l_linenumber").cast("string")).alias("file"), (F.col("l_linenumber") == 1).alias("lockfile"))
+    latest = e.select("family").distinct().withColumn("latest_version", F.lit(0).cast("long"))
+    return P.pins(e, latest).withColumn("files", F.array_join("files", ","))
