@@ -88,3 +88,8 @@ def llms_txt(corpus: DataFrame) -> DataFrame:
     link = F.coalesce(F.when(F.col("url") != "", F.col("url")), F.col("path"))
     rows = corpus.select("source", section.alias("section"), F.struct("path", F.concat(F.lit("- ["), F.col("title"), F.lit("]("), link, F.lit(")")).alias("line")).alias("e"))
     return rows.groupBy("source", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def status(manifest: DataFrame) -> DataFrame:
+    """source, n, first and last fetch, n_same (rows that share another's path) of a manifest."""
+    return manifest.groupBy("source").agg(F.count("*").alias("n"), F.min("fetched_at").alias("first"), F.max("fetched_at").alias("last"), (F.count("*") - F.count_distinct("path")).alias("n_same"))

@@ -19,6 +19,8 @@ from .operators import vectors as V
 from .plans import query as Q
 from .plans import search as S
 from .sources import corpus as C
+from .sources import discover as D
+from .sources import markup as MU
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -501,9 +503,9 @@ def profile_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.profile_match(corpus(spark, sf_dir), [("src1", None), ("src2", "docs/doc-*2.md")]).select("path", "in_profile", "in_profile_sub")
 
 
-@query(f"WITH {CORPUS}, e AS (SELECT unnest(['src1', 'src2', 'src2']) AS source, unnest(['', 'docs/doc-*2.md', 'nothing/?']) AS glob, unnest(['^.*$', '^docs/doc-[^/]*2\\.md$', '^nothing/[^/]$']) AS re) SELECT source, glob, count(*) FILTER (regexp_matches(rel, re)) AS n FROM e JOIN corpus USING (source) GROUP BY source, glob")
+@query(f"WITH {CORPUS}, e AS (SELECT unnest(['src1', 'src2', 'src2']) AS source, unnest(['', 'docs/doc-*2.md', 'nothing/?']) AS \"glob\", unnest(['^.*$', '^docs/doc-[^/]*2\\.md$', '^nothing/[^/]$']) AS re) SELECT source, \"glob\" AS pattern, count(*) FILTER (regexp_matches(rel, re)) AS n FROM e JOIN corpus USING (source) GROUP BY source, \"glob\"")
 def profile_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile_lint(corpus(spark, sf_dir), [("src1", None), ("src2", "docs/doc-*2.md"), ("src2", "nothing/?")])
+    return P.profile_lint(corpus(spark, sf_dir), [("src1", None), ("src2", "docs/doc-*2.md"), ("src2", "nothing/?")]).withColumnRenamed("glob", "pattern")
 
 
 @query("""WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'fam' || c_nationkey || '__v' || c_custkey % 5 ELSE 'fam' || c_nationkey END AS source FROM customer),
@@ -524,3 +526,43 @@ def version_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = li.select(F.concat(F.lit("f"), (F.col("l_partkey") % 20).cast("string")).alias("family"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("scope"), (F.col("l_quantity").cast("long") % 4).alias("version"), F.concat(F.lit("file"), F.col("l_linenumber").cast("string")).alias("file"), (F.col("l_linenumber") == 1).alias("lockfile"))
     latest = e.select("family").distinct().withColumn("latest_version", F.lit(0).cast("long"))
     return P.pins(e, latest).withColumn("files", F.array_join("files", ","))
+
+
+@query()
+def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct terms of the corpus with their stems; tests hold the stemmer against SQLite."""
+    terms = B.tokens(corpus(spark, sf_dir)).select("term").distinct()
+    return terms.select("term", T.stem("term").alias("stem"))
+
+
+@query()
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir).select("path", F.posexplode(T.text_chunks(F.col("body"), 2000)).alias("chunk_idx", "chunk"))
+    return c.select("path", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.octet_length("chunk").cast("long").alias("n_bytes"), F.sha2("chunk", 256).alias("sha256"))
+
+
+@query()
+def pages_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", MU.markdown_of_html("html").alias("markdown"))
+
+
+@query("SELECT 'src' || c_custkey % 4 AS source, count(*) AS n, min(c_name) AS first, max(c_name) AS last, count(*) - count(DISTINCT c_nationkey) AS n_same FROM customer GROUP BY 1")
+def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("src"), (F.col("c_custkey") % 4).cast("string")).alias("source"), F.col("c_name").alias("fetched_at"), F.col("c_nationkey").alias("path"))
+    return M.status(c).select("source", "n", "first", "last", "n_same")
+
+
+@query("WITH f AS (SELECT p_partkey AS path, p_size || '.' || p_partkey % 10 || '.0' AS v, p_partkey % 3 AS k FROM part) SELECT path, 'dep' || k AS package, v AS version, k <> 1 AS exact FROM f")
+def package_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    v = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"), F.lit(".0"))
+    k = (F.col("p_partkey") % 3).cast("string")
+    text = F.concat(F.lit('{"dependencies": {"dep'), k, F.lit('": "'), F.when(k == "1", F.lit("^")).otherwise(F.lit("")), v, F.lit('"}}'))
+    return P.package_pins(p.select(F.col("p_partkey").alias("path"), text.alias("text")))
+
+
+@query("WITH RECURSIVE r AS (SELECT 1 AS p, 0 AS depth UNION ALL SELECT unnest([p * 2, p * 2 + 1]), depth + 1 FROM r WHERE depth < 4) SELECT 'n' || p AS path, CAST(depth AS BIGINT) AS depth FROM r")
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("p")).filter("p < 16")
+    edges = n.select(F.concat(F.lit("n"), F.col("p").cast("string")).alias("path"), F.explode(F.array(F.col("p") * 2, F.col("p") * 2 + 1)).alias("t")).select("path", F.concat(F.lit("n"), F.col("t").cast("string")).alias("to"))
+    return D.crawl(edges, n.filter("p = 1").select(F.lit("n1").alias("path")), "n").select("path", F.col("depth").cast("long").alias("depth"))
