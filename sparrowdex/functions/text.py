@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no meaning in a question.
 STOP_WORDS = tuple(
@@ -107,7 +108,7 @@ class Porter:
         return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem(terms: pd.Series) -> pd.Series:
     """Folded and stemmed terms; apply it to distinct terms."""
     return terms.map(lambda t: None if t is None else Porter.stem(fold(t)))

@@ -14,7 +14,7 @@ NOTE_SOURCES = ("kb", "vault")
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """Every *.md below root, the first directory as its source; index files are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     below = F.regexp_replace(F.input_file_name(), r"^.*?" + root.rstrip("/").replace("file://", "").replace(".", r"\.") + "/", "")
     return with_paths(files.select(below.alias("path"), F.col("value").alias("body"), F.lit(None).cast("string").alias("url"))).filter(~F.col("path").rlike(r"(^|/)_INDEX\.md$"))
 

@@ -48,8 +48,8 @@ def objects(migrations: DataFrame) -> DataFrame:
     return both.select("base", "kind", "name", n.alias("n")).filter("n > 0")
 
 
-def split_top(text: str) -> list[str]:
-    """text at its commas outside of brackets and quotes."""
+def split_top(text: str, at: str = ",") -> list[str]:
+    """text at its commas (or another mark) outside of brackets and quotes."""
     out, depth, held, quote = [], 0, "", ""
     for ch in text:
         if quote:
@@ -60,7 +60,7 @@ def split_top(text: str) -> list[str]:
             depth += 1
         elif ch in ")]":
             depth -= 1
-        if ch == "," and not depth and not quote:
+        if ch == at and not depth and not quote:
             out.append(held.strip())
             held = ""
         else:
@@ -115,7 +115,7 @@ def table_states(migrations: DataFrame) -> DataFrame:
     def statements(s: pd.Series) -> pd.Series:
         def of(text: str | None) -> list[tuple[int, str, str]]:
             out = []
-            for i, part in enumerate(re.split(r";\s*(?:\n|$)", without_comments(text or ""))):
+            for i, part in enumerate(split_top(without_comments(text or ""), ";")):
                 m = re.match(rf"(?is)\s*(?:create\s+table\s+(?:if\s+not\s+exists\s+)?|alter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?|drop\s+table\s+(?:if\s+exists\s+)?)({_NAME})", part)
                 if m:
                     out.append((i, qualified(m[1]), part))

@@ -71,7 +71,7 @@ def llms_pages(text: Column) -> Column:
     """path and body of a combined llms.txt (`===/path===` before each page)."""
     parts = F.split(text, r"(?m)^===")
     real = F.filter(parts, lambda x: x.rlike(r"\A/[^\n=]*===\n?"))
-    return F.transform(real, lambda x: F.struct(F.regexp_extract(x, r"\A(/[^\n=]*)===", 1).alias("path"), F.trim(F.regexp_replace(x, r"\A[^\n]*\n?", "")).alias("body")))
+    return F.transform(real, lambda x: F.struct(F.regexp_extract(x, r"\A(/[^\n=]*)===", 1).alias("path"), F.regexp_replace(F.regexp_replace(x, r"\A[^\n]*\n?", ""), r"\A\s+|\s+\z", "").alias("body")))
 
 
 def llms_links(text: Column) -> Column:

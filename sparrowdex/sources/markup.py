@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _DROP = frozenset("script style noscript nav header footer aside form template svg button iframe".split())
 _BLOCK = frozenset("p div section article main ul ol table tr blockquote pre figure dl dt dd".split())
@@ -219,21 +220,21 @@ def docc_links(source: str | None) -> list[str]:
     return sorted({r["url"] for r in (doc.get("references") or {}).values() if isinstance(r, dict) and str(r.get("url", "")).startswith("/documentation/")})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def markdown_of_html(s: pd.Series) -> pd.Series:
     return s.map(html_to_markdown)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def markdown_of_rst(s: pd.Series) -> pd.Series:
     return s.map(rst_to_markdown)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def markdown_of_docc(s: pd.Series) -> pd.Series:
     return s.map(docc_to_markdown)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def links_of_docc(s: pd.Series) -> pd.Series:
     return s.map(docc_links)
