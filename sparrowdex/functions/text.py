@@ -203,3 +203,41 @@ def text_chunks(text: Column, size: int = 2000) -> Column:
         return chunks(it, size)
 
     return run(text)
+
+
+def dedupe_snippets(hits):
+    """hits (qid, place, path, snippets) without snippets that a better hit of the query shows already; no hit is lost."""
+    from pyspark.sql import Window
+
+    each = hits.select("qid", "place", "path", F.posexplode_outer("snippets").alias("idx", "s"))
+    first = each.withColumn("n", F.row_number().over(Window.partitionBy("qid", F.trim("s.text")).orderBy("place", "idx")))
+    kept = F.sort_array(F.collect_list(F.when((F.col("n") == 1) & F.col("s").isNotNull(), F.struct("idx", "s"))))
+    return first.groupBy("qid", "place", "path").agg(F.transform(kept, lambda x: x["s"]).alias("snippets"))
+
+
+def document_window(body: Column, line: Column, size: int = 8000) -> Column:
+    """start, text: the lines around a line that fit `size` bytes, as many before it as a quarter of the size allows."""
+
+    @F.pandas_udf("start int, text string")
+    def window(bodies: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        def of(text: str | None, at: int | None) -> tuple[int, str]:
+            rows = (text or "").split("\n")
+            here = min(max((at or 1) - 1, 0), len(rows) - 1)
+            first, used = here, 0
+            while first > 0 and used + len(rows[first - 1].encode()) + 1 <= size // 4:
+                first -= 1
+                used += len(rows[first].encode()) + 1
+            out, used = [], 0
+            for row in rows[first:]:
+                cost = len(row.encode()) + bool(out)
+                if used + cost > size:
+                    if not out:
+                        out.append(row.encode()[:size].decode(errors="ignore"))
+                    break
+                out.append(row)
+                used += cost
+            return first + 1, "\n".join(out)
+
+        return pd.DataFrame([of(b, n) for b, n in zip(bodies, lines, strict=True)], columns=["start", "text"])
+
+    return window(body, line)

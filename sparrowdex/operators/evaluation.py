@@ -90,3 +90,10 @@ def unknown_expectations(questions: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def slowest(case_rows: DataFrame, column: str, n: int = 10) -> DataFrame:
     return case_rows.orderBy(F.desc(column), "qid").limit(n)
+
+
+def suspects(before: DataFrame, now: DataFrame) -> DataFrame:
+    """q and kind of what got worse: lost (no hit now), pushed out (beyond ten), slipped, from compare()'s rows."""
+    worse = compare(before, now).filter("kind = 'worse'")
+    kind = F.when(F.col("now") == 0, "lost").when(F.col("now") > 10, "pushed out").otherwise("slipped")
+    return worse.select("q", "before", "now", kind.alias("suspect"))

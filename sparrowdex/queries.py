@@ -566,3 +566,59 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("p")).filter("p < 16")
     edges = n.select(F.concat(F.lit("n"), F.col("p").cast("string")).alias("path"), F.explode(F.array(F.col("p") * 2, F.col("p") * 2 + 1)).alias("t")).select("path", F.concat(F.lit("n"), F.col("t").cast("string")).alias("to"))
     return D.crawl(edges, n.filter("p = 1").select(F.lit("n1").alias("path")), "n").select("path", F.col("depth").cast("long").alias("depth"))
+
+
+@query("SELECT 'u' || c_custkey AS url, c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AS unchanged FROM customer WHERE c_custkey % 2 = 0")
+def unchanged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_name").alias("body"))
+    new = c.filter("c_custkey % 2 = 0").select("url", F.when(F.col("c_custkey") % 3 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")).alias("body"))
+    return M.unchanged(c.filter("c_custkey % 4 <> 0").select("url", "body"), new)
+
+
+@query("SELECT vec_id, 'm' || vec_id % 2 AS model FROM embeddings WHERE vec_id % 2 = 1 OR label <> 1 OR vec_id % 3 = 0")
+def vector_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    path = F.concat(F.lit("label"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"))
+    v = e.select("vec_id", path.alias("path"), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"))
+    return V.prune(v, v.filter("vec_id % 3 = 0"), "m0", "label1").select("vec_id", "model")
+
+
+@query("SELECT 'f' || l_partkey % 20 AS family, 's' || l_suppkey AS scope FROM lineitem WHERE l_linenumber = 1 EXCEPT SELECT 'f' || l_partkey % 20, 's' || l_suppkey FROM lineitem WHERE l_linenumber = 2")
+def orphan_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_linenumber", F.concat(F.lit("f"), (F.col("l_partkey") % 20).cast("string")).alias("family"), F.lit(1).alias("version"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("scope"))
+    pins = lambda n: li.filter(F.col("l_linenumber") == n).drop("l_linenumber").distinct()
+    return P.orphans(pins(1), pins(2)).select("family", "scope")
+
+
+@query(f"WITH {HITS}, b AS (SELECT qid, path FROM hits WHERE place BETWEEN 2 AND 4), d AS (SELECT hits.* FROM hits WHERE place <= 3 AND NOT EXISTS (SELECT 1 FROM b WHERE b.qid = hits.qid AND b.path = hits.path)) SELECT qid, string_agg(path, ',' ORDER BY place) AS paths FROM d GROUP BY qid")
+def displacing_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hits(spark, sf_dir)
+    return EV.displacing(h.withColumn("place", F.col("place") - 1).filter("place > 0"), h).select("qid", F.array_join("paths", ",").alias("paths"))
+
+
+@query(f"WITH {RUNS}, x AS (SELECT q, arg_max(first_hit, qid) AS before FROM a GROUP BY q), y AS (SELECT q, arg_max(first_hit, qid) AS now FROM b GROUP BY q) SELECT q, before, now, CASE WHEN now = 0 THEN 'lost' WHEN now > 10 THEN 'pushed out' ELSE 'slipped' END AS suspect FROM x JOIN y USING (q) WHERE CASE WHEN now > 0 THEN now ELSE 100 END > CASE WHEN before > 0 THEN before ELSE 100 END")
+def eval_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    run = lambda d, n, m: d.select("qid", F.concat(F.lit("q"), (F.col("qid") % n).cast("string")).alias("q"), (F.col("qid") % m).alias("first_hit"))
+    return EV.suspects(run(b, 30, 6), run(b.filter("qid > 1"), 35, 4))
+
+
+@query("WITH t AS (SELECT strlen(coalesce(text, '')) // 4 AS k FROM documents) SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS tokens, round(sum(k) * 2.0 / 1000000, 6) AS cents FROM t")
+def embedding_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    return V.embedding_cost(rows, 2.0).withColumn("cents", F.round("cents", 6))
+
+
+@query("SELECT doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'same' END AS change FROM documents WHERE strlen(text) <= 20000 AND doc_id % 10 <> 7")
+def local_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    files = d.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    known = files.filter("doc_id % 3 <> 0").select("path", F.sha2(F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("content")), 256).alias("sha256"))
+    return D.local_changes(files, known, 20_000, ("*7.md",)).select(F.regexp_replace("path", r"\.md$", "").cast("long").alias("path"), "change")
+
+
+@query(f"WITH {CORPUS} SELECT path, 1 AS start, strlen(body) <= 500 AS whole FROM corpus WHERE strlen(body) <= 500")
+def document_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir).filter(F.octet_length("body") <= 500)
+    w = c.select("path", "body", T.document_window(F.col("body"), F.lit(1), 500).alias("w"))
+    return w.select("path", "w.start", (F.col("w.text") == F.col("body")).alias("whole"))

@@ -136,3 +136,16 @@ def table_states(migrations: DataFrame) -> DataFrame:
         return h.map(of)
 
     return histories.select("name", state("history").alias("columns")).filter("columns IS NOT NULL")
+
+
+def render_tables(states: DataFrame) -> DataFrame:
+    """name, markdown of table_states(): a heading and a row for each column."""
+    row = lambda c: F.concat(F.lit("| "), c["name"], F.lit(" | "), F.replace(c["type"], F.lit("|"), F.lit("\\|")), F.lit(" |"))
+    body = F.array_join(F.transform("columns", row), "\n")
+    return states.select("name", F.concat(F.lit("# "), "name", F.lit("\n\n| column | type |\n| --- | --- |\n"), body).alias("markdown"))
+
+
+def render_migrations(found: DataFrame) -> DataFrame:
+    """base, markdown of objects(): what each migration does, by kind and name."""
+    line = F.concat(F.lit("- "), "kind", F.lit(" `"), "name", F.lit("`"), F.when(F.col("n") > 1, F.concat(F.lit(" (x"), F.col("n").cast("string"), F.lit(")"))).otherwise(""))
+    return found.groupBy("base").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "name", line.alias("line")))), lambda x: x["line"]), "\n").alias("list")).select("base", F.concat(F.lit("# "), "base", F.lit("\n\n"), "list").alias("markdown"))

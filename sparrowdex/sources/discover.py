@@ -118,3 +118,43 @@ def fixture(spark: SparkSession, text: str) -> DataFrame:
     if not rows:
         raise ValueError("no questions")
     return spark.createDataFrame(rows, "qid long, q string, expect array<string>, source string, query_type string, note string")
+
+
+def thread_markdown(source: str | None) -> str:
+    """A discussion's JSON (a listing of the post, a listing of comments) as Markdown, replies indented below."""
+    try:
+        post, comments = json.loads(source or "")[:2]
+        head = post["data"]["children"][0]["data"]
+    except (ValueError, KeyError, IndexError, TypeError):
+        return ""
+
+    def replies(listing, depth: int) -> list[str]:
+        out = []
+        for child in (listing or {}).get("data", {}).get("children", []) if isinstance(listing, dict) else []:
+            d = child.get("data", {})
+            if d.get("body"):
+                out.append("  " * depth + f"- **{d.get('author', '')}** ({d.get('score', 0)}): " + " ".join(d["body"].split()))
+            out += replies(d.get("replies"), depth + 1)
+        return out
+
+    return "\n\n".join(x for x in (f"# {head.get('title', '')}", head.get("selftext", "").strip(), "\n".join(replies(comments, 0))) if x)
+
+
+def command_markdown(spec: dict) -> str:
+    """A command of a CLI's YAML reference as Markdown: title, summary, usage and flags."""
+    flags = "\n".join(f"- `{f.get('name', '')}` {f.get('description', '')}".rstrip() for f in spec.get("flags") or [])
+    parts = [f"# {spec.get('title') or spec.get('id', '')}", spec.get("summary", ""), spec.get("description", ""), f"```sh\n{spec['usage']}\n```" if spec.get("usage") else "", f"## Flags\n\n{flags}" if flags else ""]
+    return "\n\n".join(p.strip() for p in parts if p and p.strip())
+
+
+def local_changes(files: DataFrame, manifest: DataFrame, max_bytes: int = 2_000_000, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path, sha256, change (new, changed, same) of documentation files (path, content) that are neither too large nor excluded."""
+    from ..operators.policy import glob_regex
+
+    kept = files.filter(F.lower("path").rlike(r"\.(md|mdx|mdoc|rst)$") & (F.octet_length("content") <= max_bytes))
+    for g in exclude:
+        kept = kept.filter(~F.col("path").rlike(glob_regex(g)))
+    now = kept.select("path", F.sha2("content", 256).alias("sha256"))
+    both = now.join(manifest.select("path", F.col("sha256").alias("old")), "path", "left")
+    change = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("sha256"), "same").otherwise("changed")
+    return both.select("path", "sha256", change.alias("change"))
