@@ -167,9 +167,9 @@ def _boundary(prefixes: DataFrame, percent: int) -> int:
     """The largest size of a light set, by cost.
 
     A set's pairs cost a row each; scanning costs, for each shingle, its list's length as its members see it, which is
-    measured on the keys of one in 64 hash values.
+    measured over all lists.
     """
-    singles = F.explode(F.filter(F.slice("prefix", F.lit(1), F.size("prefix") - 1), lambda h: F.pmod(F.xxhash64(h), F.lit(64)) == 0))
+    singles = F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - 1))
     row = prefixes.select(singles.alias("key")).groupBy("key").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
     seen = (row[0] or 0) / max(1, row[1] or 0)
     sizes = prefixes.groupBy("n").agg(F.count("*").alias("c"))

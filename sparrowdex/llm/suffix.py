@@ -35,8 +35,8 @@ K, CHUNK, HOT = 64, 1 << 20, 16384
 BITS = 27
 #: Windows whose suffixes are sorted at once.
 SORTED = 60_000
-#: Up to so many documents with removed spans are joined by a broadcast (some 50 bytes each).
-MAX_BROADCAST_DOCS = 1_000_000
+#: Up to so many bytes of ids and spans are joined by a broadcast.
+MAX_BROADCAST = 48_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -336,7 +336,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """Per row: id, n_bytes, n_removed, spans (removed runs of bytes), kept (the remaining bytes)."""
     found = repeated_spans(df, id_col, text_col, length).withColumnRenamed("id", "__id")
-    few = found.count() <= MAX_BROADCAST_DOCS
+    size = found.agg(F.sum(F.lit(48).cast("long") + 24 * F.size("spans"))).first()[0] or 0
+    few = size <= MAX_BROADCAST
     docs = df.select(F.col(id_col), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     joined = docs.join(F.broadcast(found) if few else found, "__id", "left").select(id_col, "__text", "spans")
     kind = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
