@@ -125,10 +125,14 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64).reshape(-1, 2)
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), none, none], names=names)
-            h, c = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            often = c >= SHARED_IN_BATCH
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, _signed(h[often]), pa.array(c[often], pa.int64())], names=names)
+            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            del sets
+            every.sort()
+            first = np.flatnonzero(np.concatenate((every[:1] == every[:1], every[1:] != every[:-1])))
+            c = np.diff(np.append(first, len(every)))
+            first, c = first[c >= SHARED_IN_BATCH], c[c >= SHARED_IN_BATCH]
+            none = pa.nulls(len(c), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, _signed(every[first]), pa.array(c, pa.int64())], names=names)
 
     return docs.mapInArrow(each, "id long, n long, s1 long, s2 long, h long, c long")
 

@@ -34,7 +34,7 @@ K, CHUNK, HOT = 64, 1 << 20, 16384
 #: A bit set: so many bits, by the low bits of the hash (the high ones are small in a minimizer).
 BITS = 27
 #: Windows whose suffixes are sorted at once.
-SORTED = 60_000
+SORTED = 30_000
 #: Up to so many bytes of ids and spans are joined by a broadcast.
 MAX_BROADCAST = 48_000_000
 
@@ -207,22 +207,28 @@ def _class_bytes(docs: DataFrame, length: int, wanted: np.ndarray, hot: np.ndarr
     shared = docs.sparkSession.sparkContext.broadcast((wanted, hot))
     names = ["h", "c", "off", "windows", "raw"]
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        h, c, off, windows, parts = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(h).view(np.int64)), pa.array(np.array(c).view(np.int64)), pa.array(np.array(off, dtype=np.int16)), pa.array(np.array(windows, dtype=np.int16)), pa.array(parts, pa.binary())], names=names)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many, too_many = shared.value
         for batch in batches:
             seen: set[tuple[int, int]] = set()
             rows: list[tuple] = []
             for text in batch.column(1):
+                if len(rows) > 10_000:
+                    yield out(rows)
+                    rows = []
                 for _, raw in _chunks(text.as_py(), length):
                     h, c, first, windows, offset = runs(raw, length)
                     for i in np.flatnonzero(_in_set(h, many) & ~_in_set(h, too_many)).tolist():
                         key = int(h[i]), int(c[i])
                         if key not in seen:
                             seen.add(key)
-                            rows.append((i, h[i], c[i], offset[i], windows[i], raw[first[i] : first[i] + windows[i] + length - 1].tobytes()))
+                            rows.append((h[i], c[i], offset[i], windows[i], raw[first[i] : first[i] + windows[i] + length - 1].tobytes()))
             if rows:
-                _, h, c, off, windows, parts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(h).view(np.int64)), pa.array(np.array(c).view(np.int64)), pa.array(np.array(off, dtype=np.int16)), pa.array(np.array(windows, dtype=np.int16)), pa.array(parts, pa.binary())], names=names)
+                yield out(rows)
 
     return docs.mapInArrow(each, "h long, c long, off short, windows short, raw binary")
 
