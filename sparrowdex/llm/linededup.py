@@ -6,7 +6,7 @@ that the result equals the exact one. Of a boilerplate line the first occurrence
 position) stays, all others go: groups of copies keep one whole copy of their text.
 
 Lines are compared without white space at their ends; blank lines always stay. A null text has no lines and stays null;
-a null site is a site of its own. Rows with the same id share their fate. Extra columns are ignored or kept as they are;
+a null site is a site of its own. Rows with the same id share their fate; one with a null id counts but keeps its lines. Extra columns are ignored or kept as they are;
 an empty table gives an empty result.
 """
 

@@ -14,7 +14,8 @@ Minimizers with more than ``HOT`` classes are not gathered in one place: the win
 wanted; a bit too many costs work only. Classes are told apart by the 64-bit hashes of minimizer and run together.
 
 Cases: a null text is an empty one; texts shorter than ``length`` bytes lose nothing. Copies remove each other whole: no
-occurrence is spared. Ids are unique or belong to equal rows, which count as copies. Extra columns are ignored; an empty
+occurrence is spared. Ids are unique or belong to equal rows, which count as copies; a row with a null id counts as a
+copy but keeps its text. Extra columns are ignored; an empty
 table gives an empty result. Texts are read whole, in chunks that overlap by a window.
 """
 
