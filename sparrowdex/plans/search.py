@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import occurrences, snippets
+from ..functions.text import snippets
 from ..operators.bm25 import FIELDS, LEAF_SCHEMA, bm25, lengths, tokens, top
 from ..operators.rank import merge, rerank
 from . import query
@@ -51,16 +55,52 @@ def search(corpus: DataFrame, questions: list[tuple[int, str, str | None]], conf
     return final.join(corpus.select("path", "body"), "path").join(known.select("qid", "q"), "qid").select("qid", "place", "path", "source", "title", "score", snippets(F.col("body"), F.col("q")).alias("snippets"))
 
 
-def scan(corpus: DataFrame, questions: DataFrame, limit: int = 10) -> DataFrame:
-    """The search without an index: every body is read for all questions (qid, q) at once, which are few and broadcast.
+def scan(corpus: DataFrame, questions: DataFrame, limit: int = 10, block: int = 1000) -> DataFrame:
+    """The search without an index: every body is read once for each block of questions (qid, q).
 
-    5 points for a token in the title, and one for each occurrence of each token in the body.
+    5 points for a token in the title, and one for each occurrence of each token in the body. Each batch of pages keeps
+    only its own best of every question before anything is shuffled. limit 0: all pages with points.
     """
-    q = questions.select("qid", F.filter(F.split(F.lower("q"), r"\s+"), lambda x: x != "").alias("tokens"))
-    both = corpus.select("path", F.lower("title").alias("title"), F.lower("body").alias("body")).crossJoin(F.broadcast(q))
-    hit = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + occurrences(F.col("body"), t))
-    scored = both.select("qid", "path", (F.when(F.exists("tokens", lambda t: F.contains(F.col("title"), t)), 5).otherwise(0) + hit).alias("score")).filter("score > 0")
-    placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path")))
+    spark = corpus.sparkSession
+    pages = corpus.select("path", F.lower("title").alias("title"), F.lower("body").alias("body"))
+    asked = questions.select("qid", F.filter(F.split(F.lower("q"), r"\s+"), lambda x: x != "").alias("tokens"))
+
+    def search_block(rows: list[tuple[int, list[str]]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(rows)
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids = np.array([q for q, _ in shared.value], dtype=np.int64)
+            tokens = sorted({t for _, ts in shared.value for t in ts})
+            at = {t: i for i, t in enumerate(tokens)}
+            times = np.zeros((len(qids), len(tokens)))
+            for i, (_, ts) in enumerate(shared.value):
+                for t in ts:
+                    times[i, at[t]] += 1
+            for pdf in batches:
+                scores = np.zeros((len(qids), len(pdf)))
+                for j, (title, body) in enumerate(zip(pdf["title"], pdf["body"], strict=True)):
+                    scores[:, j] = times @ np.array([body.count(t) for t in tokens], dtype=float)
+                    scores[:, j] += 5 * ((times @ np.array([t in title for t in tokens], dtype=float)) > 0)
+                for i, q in enumerate(qids.tolist()):
+                    n = len(pdf) if limit <= 0 else min(limit, len(pdf))
+                    floor = max(1.0, np.partition(scores[i], len(pdf) - n)[len(pdf) - n]) if n else 1.0
+                    own = np.flatnonzero(scores[i] >= floor)
+                    yield pd.DataFrame({"qid": q, "path": pdf["path"].to_numpy()[own], "score": scores[i][own].astype(np.int64)})
+
+        return pages.mapInPandas(best, "qid long, path string, score long")
+
+    parts, held = [], []
+    for q, ts in asked.toLocalIterator():
+        held.append((q, list(ts)))
+        if len(held) >= block:
+            parts.append(search_block(held))
+            held = []
+    if held or not parts:
+        parts.append(search_block(held))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path")))
     return placed.filter(F.col("place") <= limit) if limit > 0 else placed
 
 
