@@ -27,6 +27,22 @@ def tokens(corpus: DataFrame, stemmed: bool = False) -> DataFrame:
     return out.join(stems, "term").select("path", "source", "field", "pos", F.col("stem").alias("term"))
 
 
+def page_lengths(corpus: DataFrame) -> DataFrame:
+    """path and n_tokens, without listing the tokens."""
+    n = sum(F.size(index_tokens(F.col(c))).cast("long") for c in ("title", "path", "body"))
+    return corpus.select("path", n.alias("n_tokens"))
+
+
+def tokens_of(corpus: DataFrame, leaves: DataFrame, stemmed: bool) -> DataFrame:
+    """tokens() of the leaves' terms only. Stems are made of the distinct terms of the corpus."""
+    wanted = leaves.select(F.explode("terms").alias("want")).distinct()
+    toks = tokens(corpus)
+    if not stemmed:
+        return toks.join(wanted, toks["term"] == wanted["want"], "left_semi")
+    known = toks.select("term").distinct().withColumn("stem", stem("term")).join(wanted, F.col("stem") == F.col("want"), "left_semi")
+    return toks.join(known, "term").select("path", "source", "field", "pos", F.col("stem").alias("term"))
+
+
 def lengths(toks: DataFrame) -> DataFrame:
     return toks.groupBy("path").agg(F.count("*").alias("n_tokens"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippets
-from ..operators.bm25 import FIELDS, LEAF_SCHEMA, bm25, lengths, tokens, top
+from ..operators.bm25 import FIELDS, LEAF_SCHEMA, bm25, page_lengths, tokens_of, top
 from ..operators.rank import merge, rerank
 from . import query
 
@@ -40,8 +40,9 @@ def search(corpus: DataFrame, questions: list[tuple[int, str, str | None]], conf
         rows = [(*r[:5], [Porter.stem(fold(t)) for t in r[5]], r[6]) for r in rows]
     leaves = spark.createDataFrame(rows, LEAF_SCHEMA)
     index = corpus.select("path", "source", "title", "body")
-    toks = tokens(index, stemmed)
-    lens = lengths(toks)
+    # Both are small beside the corpus and read by every tier.
+    toks = tokens_of(index, leaves, stemmed).persist()
+    lens = page_lengths(index).persist()
     hits = None
     for tier, (effective, documented, fields, times, more) in TIERS.items():
         if not any(r[1] == tier for r in rows):

@@ -78,8 +78,8 @@ def _strict(spark: SparkSession, sf_dir: str, weights: dict[str, float], phrase:
         parts = [terms] if phrase else [[t] for t in dict.fromkeys(terms if phrase else Q.without_stop_words(terms))]
         rows += [(qid, "body", 0, i, i, p, None) for i, p in enumerate(parts) if p]
     leaves = spark.createDataFrame(rows, B.LEAF_SCHEMA)
-    toks = B.tokens(corpus(spark, sf_dir))
-    return B.top(B.bm25(toks, leaves, weights), 10).select("qid", "path", R.tier_score(F.col("rank")).alias("score"), F.round("rank", 6).alias("rank"))
+    c = corpus(spark, sf_dir)
+    return B.top(B.bm25(B.tokens_of(c, leaves, False), leaves, weights, lens=B.page_lengths(c)), 10).select("qid", "path", R.tier_score(F.col("rank")).alias("score"), F.round("rank", 6).alias("rank"))
 
 
 def _strict_sql(weights: tuple[int, int, int], phrase: bool = False) -> str:
