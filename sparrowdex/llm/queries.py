@@ -25,6 +25,31 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+ORACLES["op8_quality_rules"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}]+'), lambda x: x <> '') AS tokens, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+  regexp_replace(text, '[a-zA-Z\x09-\x0D\x20\p{L}\p{M}]+', '', 'g') AS r0 FROM t),
+r AS (SELECT *, regexp_replace(r0, '[#*$%&|<>]+', '', 'g') AS r1, regexp_replace(regexp_replace(r0, '[#*$%&|<>]+', '', 'g'), '\p{Nd}+', '', 'g') AS r2 FROM w),
+c AS (SELECT *, [length(text) - length(r0), length(r0) - length(r1), length(r1) - length(r2), length(r2) - length(regexp_replace(r2, '[[:punct:]]+', '', 'g')), length(regexp_replace(r2, '[[:punct:]]+', '', 'g'))] AS cs FROM r),
+tri AS (SELECT doc_id, k, array_to_string(ws[k:k + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS k FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS spot FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS m FROM tri) WHERE m > 1) GROUP BY doc_id),
+tok AS (SELECT lang, tok, count(*) AS n FROM (SELECT lang, unnest(tokens) AS tok FROM w) GROUP BY lang, tok),
+ref AS (SELECT lang, tok, n / total AS q FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tok) AS rk FROM tok) WHERE rk <= 32 AND total >= 5000),
+oth AS (SELECT lang, greatest(1 - sum(q), 0) AS q FROM ref GROUP BY lang),
+med AS (SELECT lang, i, quantile_disc(cs[i] / length(text), 0.5) AS q FROM c, (SELECT unnest([1, 2, 3, 4, 5]) AS i) WHERE text <> '' GROUP BY lang, i),
+cd AS (SELECT doc_id, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d FROM (SELECT doc_id, cs[i] / greatest(length(text), 1) AS p, q FROM c JOIN med USING (lang)) GROUP BY doc_id),
+n AS (SELECT doc_id, lang, len(tokens) AS n FROM w),
+cnt AS (SELECT doc_id, lang, tok, count(*) AS k FROM (SELECT doc_id, lang, unnest(tokens) AS tok FROM w) SEMI JOIN ref USING (lang, tok) GROUP BY ALL),
+bin AS (SELECT n.doc_id, coalesce(k, 0) / n.n AS p, q FROM n JOIN ref USING (lang) LEFT JOIN cnt ON cnt.doc_id = n.doc_id AND cnt.tok = ref.tok WHERE n.n > 0
+  UNION ALL SELECT n.doc_id, (n.n - coalesce((SELECT sum(k) FROM cnt WHERE cnt.doc_id = n.doc_id), 0)) / n.n, q FROM n JOIN oth USING (lang) WHERE n.n > 0),
+wd AS (SELECT doc_id, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d FROM bin GROUP BY doc_id),
+f AS (SELECT c.doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(array_to_string(ws, '')) AS word_chars, cs[2] AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  oth.q IS NOT NULL AND len(ws) >= 50 AND (cd.d > 0.185 OR (CASE WHEN len(tokens) = 0 THEN 1 ELSE wd.d END) > 0.30 + 0.9 / sqrt(greatest(len(ws), 1))) AS diverges
+  FROM c LEFT JOIN rep USING (doc_id) LEFT JOIN oth USING (lang) LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR diverges) AS kept FROM f
+"""
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(table(spark, sf_dir, "documents"))
@@ -68,7 +93,21 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+ORACLES["op7_decontamination"] = r"""
+WITH w AS (SELECT 0 AS item, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+l AS (SELECT item, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM w),
+k AS (SELECT id AS item_id, ws, least(len(ws), 10) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k FROM l WHERE item = 1 AND len(ws) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS win FROM k),
+p AS (SELECT id AS doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM l, (SELECT DISTINCT n FROM win) WHERE item = 0 AND len(ws) >= n),
+hit AS (SELECT doc_id, k, p.n, item_id FROM p JOIN win ON win.n = p.n AND win.win = array_to_string(ws[k:k + p.n - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS spot FROM hit) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM l LEFT JOIN c ON c.doc_id = l.id LEFT JOIN i ON i.doc_id = l.id WHERE item = 0
+"""
 
 
 @query
@@ -123,3 +162,17 @@ SELECT a.doc_id, a.path, coalesce(a.license, b.license) AS license, coalesce(a.c
   CASE WHEN a.license IS NOT NULL THEN 'own' WHEN b.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, a.license_file, CASE WHEN a.license IS NULL THEN b.depth END AS depth
 FROM a LEFT JOIN b USING (doc_id)
 """
+
+
+ORACLES["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+k AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS k FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 3], ' ') AS g FROM k),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = w.doc_id
+"""
