@@ -111,6 +111,8 @@ def encode_batch(texts: list[str | None], path: str) -> list[np.ndarray]:
 def _low_bits(rows: np.ndarray, width: int) -> np.ndarray:
     """The lowest `width` bits of each value (uint32), row by row, as packed bytes."""
     bytes_ = np.ascontiguousarray(rows, dtype="<u4").view(np.uint8).reshape(*rows.shape, 4)[:, :, : (width + 7) // 8]
+    if width in (8, 16, 32):  # whole bytes are packed as they are
+        return bytes_.reshape(len(rows), -1)
     bits = np.unpackbits(bytes_, axis=2, bitorder="little")[:, :, :width]
     return np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
 
@@ -159,18 +161,20 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     for (width, n), own in kinds.items():
         size = (n * width + 7) // 8
         at = starts[own] + HEADER_SIZE
-        if width:
+        if width in (8, 16, 32):
+            values = raw[at[:, None] + np.arange(size)].view(f"<u{width // 8}").astype(np.uint32)
+        elif width:
             bits = np.zeros((len(own), n, 16 if width <= 16 else 32), dtype=np.uint8)
             bits[:, :, :width] = np.unpackbits(raw[at[:, None] + np.arange(size)], axis=1, bitorder="little", count=n * width).reshape(len(own), n, width)
             values = np.packbits(bits, axis=2, bitorder="little").view("<u2" if width <= 16 else "<u4")[:, :, 0].astype(np.uint32)
         else:
             values = np.zeros((len(own), n), dtype=np.uint32)
         for k, i in enumerate(own):
-            low, _, _, odd = heads[i]
-            if odd:
+            if odd := heads[i][3]:
                 p = int(at[k]) + size
                 values[k, np.frombuffer(data, "<u2", odd, p)] = np.frombuffer(data, "<u4", odd, p + 2 * odd)
-            out[ends[i] - n : ends[i]] = values[k] + np.uint32(low)
+        low = np.array([heads[i][0] for i in own], dtype=np.uint32)
+        out[(ends[own] - n)[:, None] + np.arange(n)] = values + low[:, None]
     return out
 
 
