@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import tidy, worker_cache
 
 #: Texts over so many characters are cut; pieces have about so many, and stretches of this length count as hard.
 LONG = 1 << 16
@@ -98,7 +98,7 @@ def bpe_encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema] + ["n_tokens long"] + ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
     names = [*cols, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
-    return df.select(*cols, F.col(text_col).alias("__text")).mapInArrow(each, ", ".join(kinds))
+    return df.select(*cols, F.col(text_col).alias("__text")).mapInArrow(tidy(each), ", ".join(kinds))
 
 
 def decode(ids: list[int], rank_file: str, pattern: str) -> bytes:

@@ -51,3 +51,23 @@ def worker_cache() -> dict:
     import pyspark
 
     return pyspark.__dict__.setdefault("_sparrowdex_worker_cache", {})
+
+
+def tidy(work: Callable) -> Callable:
+    """work (batches to batches) for mapInArrow; a worker that waits for its next task gives unused memory back."""
+
+    def run(batches):
+        yield from work(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return run

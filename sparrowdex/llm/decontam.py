@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Maps each ASCII byte that is neither a digit nor a lower-case letter to a blank, after lower-casing.
 _SPLIT = bytes(i if i >= 0x80 or 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A else 32 for i in range(256))
 
@@ -205,4 +207,4 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
             longest = [f[3] and dict(zip(("item", "item_start", "start", "n_words"), f[3], strict=True)) for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.int64()), pa.array(hits, hit_type), pa.array([f[2] for f in found], pa.list_(pa.string())), pa.array(longest, best_type)], names=[*cols, "n_words", "hits", "items", "longest"])
 
-    return df.select(*cols, F.col(text_col).alias("__text")).mapInArrow(shard, kind)
+    return df.select(*cols, F.col(text_col).alias("__text")).mapInArrow(tidy(shard), kind)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # How markup is read.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -206,7 +208,7 @@ def host_paths(df: DataFrame, url_col: str = "url", html_col: str = "html", min_
                     votes[key] = votes.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], names=["host", "path", "votes"])
 
-    cast = _hosts(df, url_col).select(F.col("__host").alias("host"), F.col(html_col).alias("html")).mapInArrow(vote, "host string, path string, votes long")
+    cast = _hosts(df, url_col).select(F.col("__host").alias("host"), F.col(html_col).alias("html")).mapInArrow(tidy(vote), "host string, path string, votes long")
     counted = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     shared = counted.withColumn("total", F.sum("votes").over(Window.partitionBy("host"))).filter(F.col("votes") >= min_share * F.col("total"))
     return shared.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("w")).select("host", F.transform("w", lambda x: x["path"]).alias("paths"))
@@ -230,4 +232,4 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     kind = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string"
-    return joined.select(id_col, url_col, "__html", "paths").mapInArrow(each, kind)
+    return joined.select(id_col, url_col, "__html", "paths").mapInArrow(tidy(each), kind)

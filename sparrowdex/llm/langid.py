@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import tidy, worker_cache
 
 SLICE = 1 << 20
 #: Odd multipliers of the n-gram hash.
@@ -81,7 +81,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["lang", "bucket", "n"])
 
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(tidy(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     languages = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages to learn; raise max_languages")
@@ -121,7 +121,7 @@ def identify(df: DataFrame, languages: list[str], matrix: np.ndarray, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(score, f"`{id_col}` {kind}, lang_pred string, score double")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(score), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: Column) -> Column:

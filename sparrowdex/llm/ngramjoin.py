@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, worker_cache
+from .common import stored, tidy, worker_cache
 
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
@@ -134,7 +134,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(len(c), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, _signed(every[first]), pa.array(c, pa.int64())], names=names)
 
-    return docs.mapInArrow(each, "id long, n long, s1 long, s2 long, h long, c long")
+    return docs.mapInArrow(tidy(each), "id long, n long, s1 long, s2 long, h long, c long")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, shared: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -164,7 +164,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, shared: tuple[np.ndarray, n
                 sketches.append(np.bitwise_xor.reduce(bits[-1].reshape(-1, SKETCH), axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n", "prefix", "bits", "sketch"])
 
-    return docs.mapInArrow(each, "id long, n long, prefix array<long>, bits array<long>, sketch array<long>")
+    return docs.mapInArrow(tidy(each), "id long, n long, prefix array<long>, bits array<long>, sketch array<long>")
 
 
 def _boundary(prefixes: DataFrame, percent: int) -> int:
@@ -217,7 +217,7 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, pe
             sets = [shingles(t.as_py(), k).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    sets = stored(wanted.mapInArrow(each, "id long, s array<long>"), "compared-sets")
+    sets = stored(wanted.mapInArrow(tidy(each), "id long, s array<long>"), "compared-sets")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return stored(both.withColumn("o", common).filter(100 * F.col("o") >= percent * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b"), "links")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, worker_cache
+from .common import shared_dir, stored, tidy, worker_cache
 
 BLOCK = 256
 MAGIC = b"TPF1"
@@ -268,7 +268,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, out_dir: str | None = None,
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    return stored(dealt.mapInArrow(write, "part long, path string, n_ids long, n_docs long"), "token-manifest")
+    return stored(dealt.mapInArrow(tidy(write), "part long, path string, n_ids long, n_docs long"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame, id_col: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -298,4 +298,4 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id", ids: bool = False)
                     yield out(held)
 
     listed = spark.createDataFrame(rows, "path string, base long") if rows else spark.createDataFrame([], "path string, base long")
-    return listed.repartition(max(1, len(rows))).mapInArrow(read, kind)
+    return listed.repartition(max(1, len(rows))).mapInArrow(tidy(read), kind)

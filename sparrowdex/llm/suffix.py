@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, worker_cache
+from .common import stored, tidy, worker_cache
 
 #: Bytes of a minimizer's piece, windows of a text hashed at once, classes of a minimizer gathered at most.
 K, CHUNK, HOT = 64, 1 << 20, 16384
@@ -178,7 +178,7 @@ def _minimizers(docs: DataFrame, length: int) -> DataFrame:
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["h", "n"])
 
-    return docs.mapInArrow(hashes, "h long, n byte")
+    return docs.mapInArrow(tidy(hashes), "h long, n byte")
 
 
 def _runs_of(docs: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
@@ -200,7 +200,7 @@ def _runs_of(docs: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(x)) for x in zip(*cols, strict=True))], names=names)
 
-    return docs.mapInArrow(each, "id long, h long, c long, at int, windows short")
+    return docs.mapInArrow(tidy(each), "id long, h long, c long, at int, windows short")
 
 
 def _class_bytes(docs: DataFrame, length: int, wanted: np.ndarray, hot: np.ndarray) -> DataFrame:
@@ -231,7 +231,7 @@ def _class_bytes(docs: DataFrame, length: int, wanted: np.ndarray, hot: np.ndarr
             if rows:
                 yield out(rows)
 
-    return docs.mapInArrow(each, "h long, c long, off short, windows short, raw binary")
+    return docs.mapInArrow(tidy(each), "h long, c long, off short, windows short, raw binary")
 
 
 def _hot_spans(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
@@ -260,7 +260,7 @@ def _hot_spans(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
             if cols:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols, strict=True)], names=names)
 
-    windows = docs.mapInArrow(each, "h long, c long, place int, w1 long, w2 long").distinct()
+    windows = docs.mapInArrow(tidy(each), "h long, c long, place int, w1 long, w2 long").distinct()
     again = windows.groupBy("w1", "w2").agg(F.count("*").alias("t")).filter("t > 1")
     return windows.join(again, ["w1", "w2"]).select("h", "c", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
 
@@ -309,7 +309,7 @@ def _shard_spans(gathered: DataFrame, length: int) -> DataFrame:
             yield out(held)
 
     parts = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return gathered.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(each, "h long, c long, start int, end int")
+    return gathered.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(tidy(each), "h long, c long, start int, end int")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -363,4 +363,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "spans", "kept"])
 
-    return joined.mapInArrow(each, kind)
+    return joined.mapInArrow(tidy(each), kind)
