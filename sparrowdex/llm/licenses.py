@@ -3,11 +3,14 @@
 DataFrame functions only. A unit is a sentence of a file (a header or notice), or the whole file. Units with a cue word
 are compared with the templates of their kind: term counts times smoothed inverse document frequencies over the
 templates (a term in no template has the highest), cosine, best template of each unit from ``threshold`` on; of a file's
-units the best one names its licence. A file is a licence file where its name says so, or where the sentences that match
-hold at least ``file_share`` of its words. A file without a licence of its own takes that of the licence file in its
+units the best one names its licence. Whole files, and runs of sentences with cue words at most GAP apart, are also
+compared with notices of several sentences and whole licences (licensetexts.texts()), sentences with the further single
+sentences there; these have their own inverse document frequencies. A match of a whole text or of several sentences goes
+before any single sentence, as ``All rights reserved.`` stands in many licences. A file is a licence file where its name
+says so, or where the sentences that match, or the run, hold at least ``file_share`` of its words. A file without a licence of its own takes that of the licence file in its
 nearest ancestor directory, by a join on directory paths whose keys are salted, as one directory may hold most files.
 
-The templates (a fixed list of MAX_TEMPLATES at most) are broadcast; nothing else is.
+The templates (two fixed lists of MAX_TEMPLATES at most) are broadcast; nothing else is.
 
 Cases: a null text has no units; a null path lies in the root directory. Ties go to the higher cosine, then the smaller
 licence name, then (among licence files of a directory) the smaller path. Files with the same id share one result row
@@ -22,10 +25,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licensetexts import texts
+
 SALTS = 16
 MAX_TEMPLATES = 1000
+#: Sentences with cue words form one run with so many places from one to the next.
+GAP = 8
 # Cue words, names of licence files, and short templates of common notices.
 CUES = r"(?i)licen[cs]|copyright|copyleft|public domain|rights reserved|permission|warranty|redistribut"
+RUN_CUES = CUES + r"|liabl|liabilit|damages|merchantab|free software|\bgnu\b"
+SENTENCES = r"\n+|(?<=[.!?;])\s+"
 LICENSE_FILES = r"(?i)^(un)?licen[cs]e|^copying|^copyright|^notice(\.|$)"
 TEMPLATES = [
     ("Apache-2.0", "header", "Licensed under the Apache License, Version 2.0."),
@@ -67,13 +76,13 @@ def template_vectors(spark, templates: list[tuple[str, str, str]]) -> tuple[Data
     return weighed.join(norms, "tid").select("license", "kind", "tid", "term", "idf", (F.col("w") / F.col("norm")).alias("weight")), math.log(1 + n) + 1
 
 
-def notices(files: DataFrame, id_col: str = "id", text_col: str = "text", templates: list[tuple[str, str, str]] | None = None, threshold: float = 0.6) -> DataFrame:
-    """id, unit (sentence number, or -1 for the whole file), n_terms, license and cosine of each unit that matches."""
-    vectors, rare = template_vectors(files.sparkSession, templates or TEMPLATES)
-    texts = files.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(CUES))
-    sentences = texts.select("id", F.posexplode(F.split("text", r"\n+|(?<=[.!?;])\s+")).alias("unit", "text")).filter(F.col("text").rlike(CUES)).withColumn("kind", F.lit("header"))
-    whole = texts.select("id", F.lit(-1).alias("unit"), "text", F.lit("file").alias("kind"))
-    units = sentences.unionByName(whole)
+def _cued(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return files.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(CUES))
+
+
+def _matches(units: DataFrame, templates: list[tuple[str, str, str]], threshold: float) -> DataFrame:
+    """Of id, unit, kind, text: id, unit, n_terms, license and cosine of each unit that matches a template of its kind."""
+    vectors, rare = template_vectors(units.sparkSession, templates)
     terms = units.select("id", "unit", "kind", F.explode(F.transform(_terms(F.col("text")), _clean)).alias("term"))
     counts = terms.groupBy("id", "unit", "kind", "term").agg(F.count("*").alias("tf"))
     idf = F.broadcast(vectors.select("term", "idf").distinct())
@@ -85,6 +94,34 @@ def notices(files: DataFrame, id_col: str = "id", text_col: str = "text", templa
     return scored.groupBy("id", "unit").agg(best).select("id", "unit", F.col("b.n_terms").alias("n_terms"), F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
+def _units(texts: DataFrame) -> DataFrame:
+    """id, unit, kind, text of the sentences with a cue word (header) and of the whole files (file, unit -1)."""
+    sentences = texts.select("id", F.posexplode(F.split("text", SENTENCES)).alias("unit", "text")).filter(F.col("text").rlike(CUES)).withColumn("kind", F.lit("header"))
+    return sentences.unionByName(texts.select("id", F.lit(-1).alias("unit"), "text", F.lit("file").alias("kind")))
+
+
+def _runs(texts: DataFrame) -> DataFrame:
+    """id, unit (-2 and below), kind (file), text of the runs of several sentences with cue words."""
+    s = texts.select("id", F.split("text", SENTENCES).alias("s"))
+    s = s.withColumn("at", F.filter(F.transform("s", lambda x, i: F.when(x.rlike(RUN_CUES), i)), lambda i: i.isNotNull()))
+    near = lambda i, k: F.coalesce(F.abs(i - F.get(F.col("at"), k)) <= GAP, F.lit(False))
+    ends = [F.filter("at", lambda i, k: ~near(i, k - 1)).alias("first"), F.filter("at", lambda i, k: ~near(i, k + 1)).alias("last")]
+    runs = s.select("id", "s", F.posexplode(F.arrays_zip(*ends)).alias("n", "run")).filter("run.last > run.first")
+    text = F.array_join(F.slice("s", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + 1), "\n")
+    return runs.select("id", (-2 - F.col("n")).alias("unit"), F.lit("file").alias("kind"), text.alias("text"))
+
+
+def notices(files: DataFrame, id_col: str = "id", text_col: str = "text", templates: list[tuple[str, str, str]] | None = None, threshold: float = 0.6) -> DataFrame:
+    """id, unit (sentence number, or -1 for the whole file), n_terms, license and cosine of each unit that matches."""
+    return _matches(_units(_cued(files, id_col, text_col)), templates or TEMPLATES, threshold)
+
+
+def text_notices(files: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.6) -> DataFrame:
+    """The same against licensetexts.texts(); units from -2 down are runs of sentences."""
+    cued = _cued(files, id_col, text_col)
+    return _matches(_units(cued).unionByName(_runs(cued)), texts(), threshold)
+
+
 def _ancestors(path: Column) -> Column:
     """The directories above a path, nearest first, the root last."""
     parts = F.split(path, "/")
@@ -95,9 +132,16 @@ def license_scan(files: DataFrame, id_col: str = "id", path_col: str = "path", t
     """Per row: id, path, license (null if none), cosine (of the match that names it), origin (own, inherited, none), license_file, depth.
 
     license_file: whether the file is one; depth: directories between an inheriting file and the licence file's.
+    With templates of the caller's own, only these are compared.
     """
-    found = notices(files, id_col, text_col, templates, threshold)
-    own = found.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", "unit")).alias("b"), F.sum(F.when(F.col("unit") >= 0, F.col("n_terms")).otherwise(0)).alias("matched"), F.max(F.col("unit") < 0).alias("whole"))
+    found = notices(files, id_col, text_col, templates, threshold).withColumn("several", F.lit(False))
+    if not templates:
+        found = found.unionByName(text_notices(files, id_col, text_col, threshold).withColumn("several", F.col("unit") < 0))
+        one = F.min(F.struct((~F.col("several")).alias("single"), (-F.col("cosine")).alias("c"), "license", "n_terms")).alias("b")
+        found = found.groupBy("id", "unit").agg(one).select("id", "unit", F.col("b.n_terms").alias("n_terms"), F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (~F.col("b.single")).alias("several"))
+    terms = lambda which: F.coalesce(F.sum(F.when(which, F.col("n_terms"))), F.lit(0))
+    best = F.min(F.struct((~F.col("several")).alias("single"), (-F.col("cosine")).alias("c"), "license", "unit")).alias("b")
+    own = found.groupBy("id").agg(best, F.greatest(terms(F.col("unit") >= 0), terms(F.col("unit") < -1)).alias("matched"), F.max(F.col("unit") == -1).alias("whole"))
     base = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
     size = F.when(F.col("text").rlike(CUES), F.size(_terms(F.col("text")))).otherwise(0)
     named = F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILES)
