@@ -141,7 +141,10 @@ class Plan:
 
 
 def plan(qid: int, q: str, source: str | None = None, config: Config | None = None, exact: bool = False) -> Plan:
-    """What each tier asks for. Tiers: title, path, body, strong (body of the one source meant), relaxed."""
+    """What each tier asks for. Tiers: title, path, body, strong (body of the one source meant), relaxed, relaxed_body.
+
+    relaxed_body is relaxed in bodies too, for the source that is given or strongly meant.
+    """
     config = config or Config()
     raw = tokenize(q)
     tokens = raw if exact else rewrite(without_stop_words(raw), config)
@@ -155,6 +158,8 @@ def plan(qid: int, q: str, source: str | None = None, config: Config | None = No
         leaves["strong"], sources["strong"] = strict_leaves([t for t in tokens if strong not in config.source_keywords.get(t, ())] or tokens, config), strong
     if not exact and (loose := relaxed_leaves(tokens, config)):
         leaves["relaxed"], sources["relaxed"] = loose, source or strong or inferred
+        if source or strong:
+            leaves["relaxed_body"], sources["relaxed_body"] = loose, source or strong
     scoring = [t for t in scoring_tokens(q, exact) if t != source] or scoring_tokens(q, exact)
     concepts = [[t, *config.others(t, config.synonyms), *config.others(t, config.loose)] for t in intended_sources(tokens, config)[1]]
     return Plan(qid, leaves, sources, scoring, concepts, intended, strong, q.lower())

@@ -21,7 +21,10 @@ TIERS = {
     "body": ({"title": 1, "path": 1, "body": 1}, {"title": 5, "path": 3, "body": 1}, FIELDS, 5, 10),
     "strong": ({"title": 1, "path": 1, "body": 1}, {"title": 5, "path": 3, "body": 1}, FIELDS, 5, 10),
     "relaxed": ({"title": 0, "path": 1, "body": 1}, {"title": 5, "path": 3}, ("title", "path"), 10, 25),
+    "relaxed_body": ({"title": 1, "path": 1, "body": 1}, {"title": 5, "path": 3, "body": 1}, FIELDS, 10, 25),
 }
+#: Pages with this in the body only name their variants, and are no hits of relaxed_body.
+VARIANT_STUB = "this article has multiple variants. fetch one of the following urls"
 PLAN_SCHEMA = "qid long, q string, scoring array<string>, concepts array<array<string>>, intended array<string>, source_words array<string>, strong string"
 
 
@@ -48,6 +51,8 @@ def search(corpus: DataFrame, questions: list[tuple[int, str, str | None]], conf
         if not any(r[1] == tier for r in rows):
             continue
         ranked = bm25(toks, leaves.filter(F.col("tier") == tier), effective if weights == "effective" else documented, fields, lens)
+        if tier == "relaxed_body":
+            ranked = ranked.join(index.filter(F.contains(F.lower("body"), F.lit(VARIANT_STUB))).select("path"), "path", "left_anti").select(ranked.columns)
         best = top(ranked, times * limit + more)
         hits = best if hits is None else hits.unionByName(best)
     words = lambda p: sorted({w for s in p.intended for k, names in config.source_keywords.items() if s in names for w in query.tokenize(k)})
