@@ -110,7 +110,8 @@ def scan(corpus: DataFrame, questions: DataFrame, limit: int = 10, block: int =
     return placed.filter(F.col("place") <= limit) if limit > 0 else placed
 
 
-def questions_of(spark: SparkSession, benchmark: DataFrame, words: int = 6) -> list[tuple[int, str, str | None]]:
-    """The benchmark's items as questions: the first words of each, in order of item_id."""
-    got = benchmark.select("item_id", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, words), " ").alias("q")).orderBy("item_id")
+def questions_of(spark: SparkSession, benchmark: DataFrame, words: int | None = 6) -> list[tuple[int, str, str | None]]:
+    """The benchmark's items as questions: the first words of each (None: all), in order of item_id."""
+    split = F.split(F.trim("text"), r"\s+")
+    got = benchmark.select("item_id", F.array_join(split if words is None else F.slice(split, 1, words), " ").alias("q")).orderBy("item_id")
     return [(r[0], r[1], None) for r in got.toLocalIterator()]

@@ -125,7 +125,7 @@ def search_exact_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tiers with stemming, re-ranked; tests hold it against SQLite and a slow model."""
-    hits = S.search(corpus(spark, sf_dir), S.questions_of(spark, table(spark, sf_dir, "benchmark"), 5))
+    hits = S.search(corpus(spark, sf_dir), S.questions_of(spark, table(spark, sf_dir, "benchmark"), None))
     return hits.select("qid", "place", "path", "source", "title", F.col("score").cast("long").alias("score"), F.to_json("snippets").alias("snippets"))
 
 
