@@ -22,6 +22,8 @@ SYMBOLS = r"[#*$%&|<>]"
 CLASSES = {"letter or white space": r"[a-zA-Z\x09-\x0D\x20\p{L}\p{M}]+", "symbol": SYMBOLS + "+", "digit": r"\p{Nd}+", "punctuation": r"\p{Punct}+"}
 #: Beyond so many languages the references are joined without a broadcast.
 MAX_BROADCAST_LANGUAGES = 4096
+#: Approximate quantiles are off by 1 in ACCURACY ranks at most; exact medians are looked for within MARGIN around them.
+ACCURACY, MARGIN = 10000, 0.002
 #: Up to so many common words of all languages stand in the plan as a set.
 MAX_LITERALS = 8192
 
@@ -80,6 +82,24 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return _with_classes(first, "classes").select("id", "row", "lang", "text", "n_words", "word_chars", F.get("classes", F.lit(1)).alias("n_symbols"), "n_dup_lines", "n_repeat_words", "classes")
 
 
+def _medians(shares: DataFrame) -> DataFrame:
+    """lang and medians, the exact lower medians of its columns c0, c1, ... in order.
+
+    Approximate quantiles on both sides of a median bound it; only the values between them are brought together.
+    """
+    each = shares.select("lang", F.posexplode(F.array(*(f"c{i}" for i in range(len(CLASSES) + 1)))).alias("i", "v"))
+    around = F.percentile_approx("v", F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN)), F.lit(ACCURACY))
+    ends = stored(each.groupBy("lang", "i").agg(around.alias("ends"), F.floor((F.count("*") + 1) / 2).alias("target")), "median-bounds")
+    bounded = each.join(F.broadcast(ends) if ends.count() <= MAX_BROADCAST_LANGUAGES * (len(CLASSES) + 1) else ends, ["lang", "i"]).filter(F.col("v") <= F.get("ends", F.lit(1)))
+    # All values below the bounds are one group, whose value is null; it sorts first.
+    values = bounded.groupBy("lang", "i", "target", F.when(F.col("v") >= F.get("ends", F.lit(0)), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    inner = values.groupBy("lang", "i", "target").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("s"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v"))
+    upto = F.aggregate("s", start, lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.when(a["n"] < F.col("target"), x["v"]).otherwise(a["v"]).alias("v")))
+    checked = inner.withColumn("m", upto).select("lang", "i", F.when((F.col("m.n") >= F.col("target")) & F.col("m.v").isNotNull(), F.col("m.v")).otherwise(F.raise_error(F.lit("a median is outside its bounds")).cast("double")).alias("v"))
+    return checked.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("medians"))
+
+
 def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 32, min_reference_words: int = 5000) -> DataFrame:
     """For each language: its commonest words in order, their shares, and the shares of the character classes.
 
@@ -93,7 +113,7 @@ def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     sized = _with_classes(base.filter("text <> ''"), "classes")
     shares = sized.select("lang", *((F.get("classes", F.lit(i)) / F.length("text")).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
-    medians = shares.groupBy("lang").agg(F.array(*(F.percentile_approx(f"c{i}", 0.5, F.lit(10000)) for i in range(len(CLASSES) + 1))).alias("medians"))
+    medians = _medians(stored(shares, "class-shares"))
     return (
         top.join(total.filter(F.col("total") >= min_reference_words), "lang")
         .join(medians, "lang")
