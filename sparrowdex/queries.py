@@ -384,7 +384,8 @@ def vectors_to_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.to_embed(e, e.filter("path % 6 = 0")).select("path")
 
 
-# Evaluation: a question expects the documents that hold its item's text; the hits are those of the scan by words.
+# Evaluation: a question expects the documents that hold its item's text; the hits are made of these and of each 25th
+# document, ordered by doc_id, and are those of no search.
 EXPECT = "x AS (SELECT item_id AS qid, 'd' || doc_id AS path FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
 RANKED = "hits AS (SELECT item_id AS qid, 'd' || doc_id AS path, doc_id % 90 AS tokens, row_number() OVER (PARTITION BY item_id ORDER BY (CASE WHEN contains(documents.text, benchmark.text) THEN (doc_id + item_id) % 3 ELSE 1 + doc_id % 4 END), doc_id) AS place FROM benchmark, documents WHERE doc_id % 25 = item_id % 25 OR contains(documents.text, benchmark.text) QUALIFY place <= 10)"
 CASES = f"""{EXPECT}, {RANKED}, ne AS (SELECT qid, count(*) AS n_expected FROM x GROUP BY qid),
