@@ -36,85 +36,284 @@ HEADER_FORMAT, FOOTER_FORMAT = "<IBHH", "<QQQQ4s"
 HEADER_SIZE, FOOTER_SIZE = struct.calcsize(HEADER_FORMAT), struct.calcsize(FOOTER_FORMAT)
 #: Ids that a writer or reader holds at once, about.
 BUFFER = 1 << 18
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 1_600_000
-#: Letters that the pieces below know. A text with other characters than Latin ones goes whole.
-_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_LATIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
-_LATIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞₠-₿]*")
-#: A run of letters with its blank, or a run of others (with the letters of a contraction), or white space.
-_PIECE = re.compile(rf" ?[{_LETTERS}]+| ?[^ \t\n\r{_LETTERS}]+(?:(?<=')[{_LETTERS}]+)?|[ \t\n\r]+(?=[ \t\n\r][^ \t\n\r])|[ \t\n\r]+")
+#: Pieces of text whose ids a worker remembers, and bytes that are cut into pieces at once.
+REMEMBERED, WINDOW = 1_600_000, 1 << 20
+#: Bytes of a piece that the arrays below hold; longer ones stand in a dictionary.
+SHORT = 16
+LETTER, OTHER, SPACE = 1, 2, 3
+
+
+def _class_table() -> np.ndarray:
+    """The class of each code point that pieces may hold, 0 for all others: Latin letters, white space, common marks."""
+    out = np.zeros(0x2100, dtype=np.uint8)
+    # Ranges of code points.
+    for low, high in ((0x21, 0x7E), (0xA1, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)):
+        out[low : high + 1] = OTHER
+    for low, high in ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)):
+        out[low : high + 1] = LETTER
+    out[[0x09, 0x0A, 0x0D, 0x20]] = SPACE
+    return out
 
 
-def tokenizer(path: str):
-    cache = worker_cache()
-    if ("tokenizers", path) not in cache:
-        import os
+_CLASS = _class_table()
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(path)
-        cache["tokenizers", path] = (found, re.compile("|".join(re.escape(t.content) for t in found.get_added_tokens_decoder().values()) or r"(?!)"), {})
-    return cache["tokenizers", path]
+def _classes(raw: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8 text: that of its character."""
+    out = _CLASS[raw]
+    for at in range(0, len(raw), WINDOW):
+        lead = at + np.flatnonzero(raw[at : at + WINDOW] >= 0xC0)
+        if not len(lead):
+            continue
+        first, second = raw[lead].astype(np.int64), raw[lead + 1].astype(np.int64) & 0x3F
+        third = raw[np.minimum(lead + 2, len(raw) - 1)].astype(np.int64) & 0x3F
+        point = np.where(first < 0xE0, (first & 0x1F) << 6 | second, (first & 0xF) << 12 | second << 6 | third)
+        kind = np.where((first < 0xF0) & (point < len(_CLASS)), _CLASS[np.minimum(point, len(_CLASS) - 1)], 0)
+        out[lead], out[lead + 1] = kind, kind
+        three = (first >= 0xE0) & (lead + 2 < len(raw))
+        out[lead[three] + 2] = kind[three]
+    return out
 
 
-def _learn(missing: list[str], found, memory: dict[str, bytes]) -> None:
-    """Have the library encode the pieces. Those of letters go in one text, a newline between any two: its id parts them."""
-    newline = found.encode("\n", add_special_tokens=False).ids
-    letters = [p for p in missing if p.lstrip(" ").isalpha()] if len(newline) == 1 else []
-    for at in range(0, len(letters), 2048):
-        some = letters[at : at + 2048]
-        ids = np.array(found.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = (np.flatnonzero(ids == newline[0]) * 4).tolist()
-        data = ids.tobytes()
-        memory.update(zip(some, [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)], strict=True))
-    rest = [p for p in missing if p not in memory]
-    for at in range(0, len(rest), 4096):
-        some = rest[at : at + 4096]
-        memory.update(zip(some, [np.array(e.ids, dtype="<u4").tobytes() for e in found.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+def _cuts(raw: np.ndarray, kind: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where pieces begin in a window that begins with one; edges: where texts begin.
 
+    A piece is a run of letters with the blank before it, or a run of others (with a blank, and with the letters of a
+    contraction), or white space but its last character, or that one.
+    """
+    before, after = np.empty_like(kind), np.empty_like(kind)
+    before[0], before[1:] = 0, kind[:-1]
+    after[-1], after[:-1] = 0, kind[1:]
+    before[edges] = 0
+    after[edges[edges > 0] - 1] = 0
+    last = np.empty_like(raw)
+    last[0], last[1:] = 0, raw[:-1]
+    inside = (before == SPACE) & (last == 0x20) | (kind == LETTER) & (before == OTHER) & (last == 0x27)
+    return np.flatnonzero((kind != before) & ~inside | (kind == SPACE) & (before == SPACE) & (after != 0) & (after != SPACE))
+
+
+class Memory:
+    """The ids of pieces of up to SHORT bytes, found by their bytes (two integers) with open addressing; and of longer ones."""
+
+    def __init__(self):
+        self.slots = np.full(1 << 16, -1, dtype=np.int32)
+        self.a, self.b = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
+        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.n, self.used = 0, 0
+        self.long: dict[bytes, int] = {}
+
+    def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - (len(self.slots).bit_length() - 1))).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The entry of each piece, -1 for unknown ones."""
+        slot = self._slot(a, b)
+        out = self.slots[slot]
+        wrong = np.flatnonzero((out >= 0) & ((self.a[out] != a) | (self.b[out] != b)))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & (len(self.slots) - 1)
+            got = self.slots[slot[wrong]]
+            out[wrong] = got
+            wrong = wrong[(got >= 0) & ((self.a[got] != a[wrong]) | (self.b[got] != b[wrong]))]
+        return out
+
+    def _place(self, entries: np.ndarray) -> None:
+        slot = self._slot(self.a[entries], self.b[entries])
+        left = np.arange(len(entries))
+        while len(left):
+            free = left[self.slots[slot[left]] < 0]
+            self.slots[slot[free]] = entries[free]
+            left = left[self.slots[slot[left]] != entries[left]]
+            slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
+
+    def add(self, ids: list[list[int]], a: np.ndarray | None = None, b: np.ndarray | None = None) -> np.ndarray:
+        """New entries; without a and b they are found by their number only."""
+        new = np.arange(self.n, self.n + len(ids))
+        while self.n + len(ids) > len(self.a):
+            self.a, self.b, self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.a, self.b, self.first, self.count))
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        flat = np.array([i for x in ids for i in x], dtype="<u4")
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.first[new], self.count[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = self.n + len(ids), self.used + len(flat)
+        if a is not None:
+            self.a[new], self.b[new] = a, b
+            if 3 * self.n > len(self.slots):
+                old = self.slots[self.slots >= 0]
+                self.slots = np.full(1 << (4 * self.n).bit_length(), -1, dtype=np.int32)
+                self._place(old)
+            self._place(new)
+        return new
+
+
+#: The byte-level alphabet: printed Latin-1 bytes stand for themselves, the others for characters from 256 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+
+
+class Encoder:
+    """A tokenizer of the tokenizers library with the ids of the pieces that it has met.
+
+    Byte-level BPE splits a text before it merges. Latin texts are cut into pieces at places where it always splits; the
+    library's model merges the letters of a new piece, the library encodes any other new piece whole. Texts with other
+    characters or an added token go whole, and so do all texts of a tokenizer that does not split like that.
+    """
 
-def _is_latin(text: str) -> bool:
-    try:
-        return not text.encode("latin-1").translate(None, _LATIN_BYTES)
-    except UnicodeEncodeError:
-        return _LATIN.fullmatch(text) is not None
+    def __init__(self, path: str):
+        import json
+        import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def encode_batch(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """The ids of each text as the tokenizers library gives them, uint32.
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values() if t.content]
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        split, model = kind.get("pre_tokenizer") or {}, kind["model"]
+        self.cuts = (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            and not any(kind.get(x) for x in ("normalizer", "truncation", "padding"))
+        )
+        self.memory = Memory()
+
+    def _text(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids if text else [], dtype="<u4")
+
+    def _learn(self, pieces: list[bytes]) -> list[list[int]]:
+        merge = self.whole.model.tokenize
+        out: list = [[t.id for t in merge(p.decode("latin-1").translate(_ALPHABET))] if p.decode().removeprefix(" ").isalpha() else None for p in pieces]
+        other = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(other, self.whole.encode_batch_fast([pieces[i].decode() for i in other], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _entries(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each piece of a window; unknown ones are learned."""
+        memory = self.memory
+        words = np.concatenate((raw, np.zeros(32 - len(raw) % 8, np.uint8))).view("<u8")
+        at, shift = start >> 3, ((start & 7) << 3).astype(np.uint64)
+        one, two, three = words[at], words[at + 1], words[at + 2]
+        up = np.uint64(63) - shift
+        a = (one >> shift | (two << np.uint64(1)) << up) & _MASKS[np.minimum(size, 8)]
+        b = (two >> shift | (three << np.uint64(1)) << up) & _MASKS[np.clip(size - 8, 0, 8)]
+        out = memory.find(a, b)
+        long = np.flatnonzero(size > SHORT)
+        out[long] = 0
+        if len(new := np.flatnonzero(out < 0)):
+            order = new[np.lexsort((b[new], a[new]))]
+            first = np.concatenate(([True], (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])))
+            own = order[first]
+            known = memory.add(self._learn([raw[s : s + n].tobytes() for s, n in zip(start[own].tolist(), size[own].tolist(), strict=True)]), a[own], b[own])
+            out[order] = known[np.cumsum(first) - 1]
+        for i in long.tolist():
+            piece = raw[start[i] : start[i] + size[i]].tobytes()
+            if piece not in memory.long:
+                memory.long[piece] = int(memory.add(self._learn([piece]))[0])
+            out[i] = memory.long[piece]
+        return out
+
+    def _latin(self, texts: list[bytes]) -> list[np.ndarray | None]:
+        """The ids of each text, None for those that have to go whole."""
+        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        kind = _classes(raw)
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(kind == 0), side="right")).tolist()
+        if odd:
+            out: list[np.ndarray | None] = [None] * len(texts)
+            good = sorted(set(range(len(texts))) - set(odd))
+            for i, ids in zip(good, self._latin([texts[i] for i in good]) if good else [], strict=True):
+                out[i] = ids
+            return out
+        edges = np.concatenate(([0], ends))
+        at, window, starts, counts, parts = 0, WINDOW, [], [], []
+        while at < len(raw):
+            end = min(len(raw), at + window)
+            own = edges[np.searchsorted(edges, at) : np.searchsorted(edges, end)] - at
+            cut = _cuts(raw[at:end], kind[at:end], own)
+            if end < len(raw):
+                cut = cut[cut < end - at - 1]  # what comes next decides about the last byte
+                if len(cut) < 2:
+                    window *= 2
+                    continue
+                end = at + int(cut[-1])
+            else:
+                cut = np.append(cut, end - at)
+            if self.memory.n > REMEMBERED:
+                self.memory = Memory()
+            entry = self._entries(raw[at:end], cut[:-1], np.diff(cut))
+            count = self.memory.count[entry]
+            upto = np.cumsum(count)
+            parts.append(self.memory.ids[np.repeat(self.memory.first[entry] - upto + count, count) + np.arange(upto[-1])])
+            starts.append(cut[:-1] + at)
+            counts.append(count)
+            at, window = end, WINDOW
+        if not parts:
+            return [np.zeros(0, "<u4") for _ in texts]
+        ids, upto = np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        bounds = upto[np.searchsorted(np.concatenate(starts), edges)].tolist()
+        return [ids[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as the tokenizers library gives them, uint32."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        cut = [i for i, t in enumerate(raw) if self.cuts and not any(x in t for x in self.added)]
+        got = dict(zip(cut, self._latin([raw[i] for i in cut]) if cut else [], strict=True))
+        return [x if (x := got.get(i)) is not None else self._text(t or "") for i, t in enumerate(texts)]
+
+
+#: The lowest bytes of an integer, by their number.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def tokenizer(path: str) -> Encoder:
+    """The encoder of a tokenizer's file, one for each worker."""
+    cache = worker_cache()
+    if ("tokenizers", path) not in cache:
+        cache["tokenizers", path] = Encoder(path)
+    return cache["tokenizers", path]
 
-    Byte-level BPE splits a text before it merges; a Latin text is cut into pieces at places where it always splits, and
-    the ids of pieces are remembered. Texts with other characters or with an added token go whole.
-    """
-    found, added, memory = tokenizer(path)
-    split = [_PIECE.findall(t) if t and _is_latin(t) and not added.search(t) else None for t in texts]
-    got = [list(map(memory.get, p)) if p is not None else None for p in split]
-    gaps = [[i for i, x in enumerate(g) if x is None] if g is not None and None in g else [] for g in got]
-    missing = list(dict.fromkeys(p[i] for p, gap in zip(split, gaps, strict=True) for i in gap))
-    if missing:
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        _learn(missing, found, memory)
-    out = []
-    for text, p, g, gap in zip(texts, split, got, gaps, strict=True):
-        if g is None:
-            out.append(np.array(found.encode(text, add_special_tokens=False).ids if text else [], dtype="<u4"))
-            continue
-        for i in gap:
-            g[i] = memory[p[i]]
-        out.append(np.frombuffer(b"".join(g), dtype="<u4"))
-    return out
+
+def encode_batch(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """The ids of each text as the tokenizers library gives them, uint32."""
+    return tokenizer(path).encode(texts)
 
 
 def _low_bits(rows: np.ndarray, width: int) -> np.ndarray:
-    """The lowest `width` bits of each value (uint32), row by row, as packed bytes."""
-    bytes_ = np.ascontiguousarray(rows, dtype="<u4").view(np.uint8).reshape(*rows.shape, 4)[:, :, : (width + 7) // 8]
-    if width in (8, 16, 32):  # whole bytes are packed as they are
-        return bytes_.reshape(len(rows), -1)
-    bits = np.unpackbits(bytes_, axis=2, bitorder="little")[:, :, :width]
-    return np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+    """The lowest `width` bits of each value (uint32), row by row, as packed bytes: 64 values fill `width` integers."""
+    k, n = rows.shape
+    values = np.zeros((k, -(-n // 64) * 64), dtype=np.uint64)
+    values[:, :n] = rows & np.uint32((1 << width) - 1)
+    columns = np.ascontiguousarray(values.reshape(-1, 64).T)
+    out = np.zeros((width, columns.shape[1]), dtype="<u8")
+    for j in range(64 if width else 0):
+        word, shift = divmod(j * width, 64)
+        out[word] |= columns[j] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= columns[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).view(np.uint8).reshape(k, -1)[:, : (n * width + 7) // 8]
+
+
+def _from_bits(packed: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The n values of `width` bits of each row of packed bytes (uint32)."""
+    k, groups = len(packed), -(-n // 64)
+    raw = np.zeros((k, groups * width * 8), dtype=np.uint8)
+    raw[:, : packed.shape[1]] = packed
+    words = np.ascontiguousarray(raw.view("<u8").reshape(-1, width).T)
+    out = np.empty((64, words.shape[1]), dtype=np.uint32)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= words[word + 1] << np.uint64(64 - shift)
+        out[j] = value & np.uint64((1 << width) - 1)
+    return np.ascontiguousarray(out.T).reshape(k, -1)[:, :n]
 
 
 def pack(ids: np.ndarray, percentile: float = 90.0) -> list[bytes]:
@@ -154,25 +353,19 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     counts = np.array([h[2] for h in heads], dtype=np.int64)
     ends = np.cumsum(counts)
     out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
-    raw = np.frombuffer(data, dtype=np.uint8)
     kinds: dict[tuple[int, int], list[int]] = {}
     for i, h in enumerate(heads):
         kinds.setdefault((h[1], h[2]), []).append(i)
     for (width, n), own in kinds.items():
         size = (n * width + 7) // 8
-        at = starts[own] + HEADER_SIZE
-        if width in (8, 16, 32):
-            values = raw[at[:, None] + np.arange(size)].view(f"<u{width // 8}").astype(np.uint32)
-        elif width:
-            bits = np.zeros((len(own), n, 16 if width <= 16 else 32), dtype=np.uint8)
-            bits[:, :, :width] = np.unpackbits(raw[at[:, None] + np.arange(size)], axis=1, bitorder="little", count=n * width).reshape(len(own), n, width)
-            values = np.packbits(bits, axis=2, bitorder="little").view("<u2" if width <= 16 else "<u4")[:, :, 0].astype(np.uint32)
+        at = (starts[own] + HEADER_SIZE).tolist()
+        if width:
+            values = _from_bits(np.frombuffer(b"".join([data[p : p + size] for p in at]), dtype=np.uint8).reshape(len(own), size), n, width)
         else:
             values = np.zeros((len(own), n), dtype=np.uint32)
-        for k, i in enumerate(own):
-            if odd := heads[i][3]:
-                p = int(at[k]) + size
-                values[k, np.frombuffer(data, "<u2", odd, p)] = np.frombuffer(data, "<u4", odd, p + 2 * odd)
+        odd = [heads[i][3] for i in own]
+        places = np.frombuffer(b"".join([data[p + size : p + size + 2 * x] for p, x in zip(at, odd, strict=True)]), "<u2")
+        values[np.repeat(np.arange(len(own)), odd), places] = np.frombuffer(b"".join([data[p + size + 2 * x : p + size + 6 * x] for p, x in zip(at, odd, strict=True)]), "<u4")
         low = np.array([heads[i][0] for i in own], dtype=np.uint32)
         out[(ends[own] - n)[:, None] + np.arange(n)] = values + low[:, None]
     return out

@@ -173,9 +173,38 @@ def test_token_shards(odd, empty, tmp_path):
     assert shards.read_shards(shards.write_shards(empty, path)).count() == 0
     r = random.Random(2)
     texts = ["".join(r.choice("ab'’sS 3²½é×,.\n\t\r _-tlß жあ\xa0") for _ in range(r.randint(0, 14))) for _ in range(2000)] + ["a<|endoftext|>b"]
+    texts += ["".join(r.choice("ab'’sS 3²½é×,.\n\t\r _-ßªµ–€ɏ") for _ in range(r.randint(0, 40))) for _ in range(2000)]
     assert all(a.tolist() == t.encode(b, add_special_tokens=False).ids for a, b in zip(shards.encode_batch(texts, path), texts, strict=True))
 
 
+@pytest.mark.parametrize("window,remembered", [(16, 1_600_000), (1 << 20, 20), (16, 20)])
+def test_pieces_do_not_depend_on_windows_and_memory(monkeypatch, window, remembered):
+    monkeypatch.setattr(shards, "WINDOW", window)
+    monkeypatch.setattr(shards, "REMEMBERED", remembered)
+    encoder = shards.Encoder(tokenizers_files.path("byte_bpe_50k.json"))
+    r = random.Random(window + remembered)
+    texts = [None, "", " " * 100, "a" * 90 + " b", "x" + "é" * 50] + ["".join(r.choice("ab'sS 3é×,.\n\t ß–ж") for _ in range(r.randint(0, 60))) for _ in range(800)]
+    for at in range(0, len(texts), 100):
+        assert all(a.tolist() == encoder.whole.encode(b or "", add_special_tokens=False).ids for a, b in zip(encoder.encode(texts[at : at + 100]), texts[at : at + 100], strict=True))
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    paths = [tokenizers_files.path("word_bpe_49k.json")]
+    with open(tokenizers_files.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        kind = json.load(f)
+    for i, change in enumerate(({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": kind["pre_tokenizer"] | {"add_prefix_space": True}})):
+        paths.append(str(tmp_path / f"{i}.json"))
+        with open(paths[-1], "w", encoding="utf-8") as f:
+            json.dump(kind | change, f)
+    for path in paths:
+        whole, texts = Tokenizer.from_file(path), ["The Quick brown fox's", " two  blanks\n", "é ü", ""]
+        assert [x.tolist() for x in shards.encode_batch(texts, path)] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 # 5
 def brute_lines(rows, min_sites):
     strip = " \t\n\x0b\x0c\r"
