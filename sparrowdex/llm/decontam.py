@@ -4,15 +4,19 @@ Every batch of documents is a shard: its words become integers (0 for words that
 documents), and a suffix array is built of the places where a run of known words is long enough to hold a window. All
 suffixes of the test items are then searched in it together, word by word: each keeps the interval of the array that
 starts with its words so far, narrowed by binary search, until the interval is empty. The interval at the length of a
-window lists every occurrence of that window; the last interval of a suffix lists its longest verbatim matches.
+window lists every occurrence of that window; the intervals that the next word narrows or ends list the longest matches.
 
 The test items are the only data that is broadcast, in blocks of at most ``block_words`` words, which the shards meet one
-after another; documents are never shuffled.
+after another; documents are never shuffled. Items of fewer words than a window have blocks of their own, one kind for
+each length: the suffix arrays that they need hold nothing but runs of their few words. A longest match is spread over
+the places of its interval, longer ones over shorter ones, so its cost is the places of the array and not all matches.
 
 Words are lower-cased (A-Z) runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. A window is ``window`` consecutive words of an item;
 a shorter item, unless it has no words, is one window. Cases: a null text has no words; an item with a null id counts
 under the empty id; items with the same id count once; repeated document rows are treated alike; extra columns are
-ignored; an empty table of documents gives an empty result, an empty table of items no hits.
+ignored (or carried, if named in keep; columns named like the result's own are not); an empty table of documents gives an empty
+result, an empty table of items no hits. Ties: of equally long matches the one that comes first in the items, then in the
+document, is the longest.
 """
 
 from __future__ import annotations
@@ -84,34 +88,44 @@ def suffix_array(text: np.ndarray, shortest: int, depth: int) -> np.ndarray:
     return places[order][left[order] >= shortest]
 
 
-def search(text: np.ndarray, sa: np.ndarray, items: Items):
-    """For each test suffix: the interval of sa at its window's length (empty if none), its longest match and that interval."""
+def search(text: np.ndarray, sa: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each test suffix the interval of sa at its window's length (empty if none); and its matches.
+
+    A match (suffix, low, high, words; by words) is an interval that the next word narrows, or ends.
+    """
     n = len(items.suffix)
     w_lo, w_hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    length, l_lo, l_hi = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     active = np.arange(n)
     lo, hi = np.zeros(n, np.int64), np.full(n, len(sa), np.int64)
     padded = np.append(text, 0)
-    for d in range(items.longest):
+    matches = [np.zeros((4, 0), np.int64)]
+    for d in range(items.longest + 1):
         if not len(active):
             break
-        word = items.text[items.suffix[active] + d]
-        bounds = []
-        for right in (False, True):
-            a, b = lo.copy(), hi.copy()
-            while (open_ := a < b).any():
-                mid = (a + b) >> 1
-                got = padded[np.minimum(sa[np.minimum(mid, len(sa) - 1)] + d, len(text))]
-                less = (got <= word if right else got < word) & open_
-                a = np.where(less, mid + 1, a)
-                b = np.where(open_ & ~less, mid, b)
-            bounds.append(a)
-        found = (word > 0) & (bounds[0] < bounds[1])
+        if d < items.longest:
+            word = items.text[items.suffix[active] + d]
+            bounds = []
+            for right in (False, True):
+                a, b = lo.copy(), hi.copy()
+                while (open_ := a < b).any():
+                    mid = (a + b) >> 1
+                    got = padded[np.minimum(sa[np.minimum(mid, len(sa) - 1)] + d, len(text))]
+                    less = (got <= word if right else got < word) & open_
+                    a = np.where(less, mid + 1, a)
+                    b = np.where(open_ & ~less, mid, b)
+                bounds.append(a)
+            found = (word > 0) & (bounds[0] < bounds[1])
+        else:
+            bounds, found = [lo, hi], np.zeros(len(active), dtype=bool)
+        if d >= items.shortest:
+            ends = np.flatnonzero(~found | (bounds[0] != lo) | (bounds[1] != hi))
+            # Equal suffixes share their intervals; the first one stands for them.
+            ends = ends[np.unique(lo[ends] * (len(sa) + 1) + hi[ends], return_index=True)[1]]
+            matches.append(np.stack((active[ends], lo[ends], hi[ends], np.full(len(ends), d))))
         active, lo, hi = active[found], bounds[0][found], bounds[1][found]
-        length[active], l_lo[active], l_hi[active] = d + 1, lo, hi
-        ends = items.window[active] == d + 1
-        w_lo[active[ends]], w_hi[active[ends]] = lo[ends], hi[ends]
-    return w_lo, w_hi, length, l_lo, l_hi
+        whole = items.window[active] == d + 1
+        w_lo[active[whole]], w_hi[active[whole]] = lo[whole], hi[whole]
+    return w_lo, w_hi, np.concatenate(matches, axis=1)
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +153,7 @@ def scan(docs: list[list[bytes]], blocks: Iterator[Items]) -> list[tuple]:
         sa = suffix_array(text, items.shortest, items.longest)
         if not len(sa):
             continue
-        w_lo, w_hi, length, l_lo, l_hi = search(text, sa, items)
+        w_lo, w_hi, matches = search(text, sa, items)
         has = np.flatnonzero(w_hi > w_lo)
         if not len(has):
             continue
@@ -155,16 +169,20 @@ def scan(docs: list[list[bytes]], blocks: Iterator[Items]) -> list[tuple]:
         of: list[set[str]] = [set() for _ in range(own.shape[1])]
         for i, k in zip(items.item[has].tolist(), which.ravel().tolist(), strict=True):
             of[k].add(items.names[i])
-        for d, k in np.unique(np.stack((doc, interval), axis=1), axis=0).tolist():
+        for d, k in zip(*(x.tolist() for x in np.divmod(np.unique(doc * len(of) + interval), len(of))), strict=True):
             names[d] |= of[k]
-        top = np.flatnonzero(length >= items.shortest)
-        top = top[np.argsort(-length[top], kind="stable")]
-        kept, place = _expand(l_lo[top], l_hi[top])
+        # Longer matches lie inside the intervals of their shorter beginnings and are painted over them.
+        over = np.full(len(sa), -1, dtype=np.int64)
+        for k, (a, b) in enumerate(matches[1:3].T.tolist()):
+            over[a:b] = k
+        place = np.flatnonzero(over >= 0)
+        which, length = matches[0, over[place]], matches[3, over[place]]
         doc = np.searchsorted(starts, sa[place], side="right") - 1
-        for d, j in zip(*(x.tolist() for x in np.unique(doc, return_index=True)), strict=True):
-            i = top[kept[j]]
-            if best[d] is None or best[d][3] < length[i]:
-                best[d] = (items.names[items.item[i]], int(items.at[i]), int(sa[place[j]] - starts[d]), int(length[i]))
+        order = np.lexsort((sa[place], which, -length, doc))
+        order = order[np.unique(doc[order], return_index=True)[1]]
+        for d, i, at, size in zip(doc[order].tolist(), which[order].tolist(), sa[place[order]].tolist(), length[order].tolist(), strict=True):
+            if best[d] is None or best[d][3] < size:
+                best[d] = (items.names[items.item[i]], int(items.at[i]), int(at - starts[d]), size)
     out = []
     for d, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=False)):
         edges = np.flatnonzero(np.diff(np.concatenate(([0], cover[s : s + n].view(np.int8), [0])))) if names[d] else np.zeros(0, np.int64)
@@ -177,17 +195,23 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     longest: item, item_start, start, n_words of the longest verbatim match with an item; null if nothing is hit.
     """
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in (id_col, "n_words", "hits", "items", "longest"))
     sc = df.sparkSession.sparkContext
-    blocks, held, size = [], [], 0
+    blocks = []
+    held: dict[int, tuple[list, int]] = {}  # by the length of their windows
     for name, text in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text_col)).toLocalIterator():
         ws = words(text)
-        if held and size + len(ws) > block_words:
-            blocks.append(sc.broadcast(Items(held, window)))
-            held, size = [], 0
-        held.append((name, ws))
-        size += len(ws)
-    if held:
-        blocks.append(sc.broadcast(Items(held, window)))
+        if not ws:
+            continue
+        kind = min(len(ws), window)
+        items, size = held.pop(kind, ([], 0))
+        if items and size + len(ws) > block_words:
+            blocks.append(sc.broadcast(Items(items, window)))
+            items, size = [], 0
+        items.append((name, ws))
+        held[kind] = items, size + len(ws)
+    for items, _ in held.values():
+        blocks.append(sc.broadcast(Items(items, window)))
 
     def each_block() -> Iterator[Items]:
         for b in blocks:
