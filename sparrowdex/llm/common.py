@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,27 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot where more rows have it than CHUNK_ROWS and a MAX_HOT-th of all; there are at most MAX_HOT such keys.
+CHUNK_ROWS, MAX_HOT = 256, 100_000
+
+
+def hot_keys(counted: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Of unique keys and how many rows have them: the hot ones with chunks, into how many parts their rows are dealt."""
+    least = max(CHUNK_ROWS, (counted.agg(F.sum(n)).first()[0] or 0) // MAX_HOT)
+    return counted.filter(F.col(n) > least).select(*keys, F.ceil(F.col(n) / least).cast("int").alias("chunks"))
+
+
+def dealt_join(large: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """large joined with small, whose keys are unique; a hot key's rows in large are dealt to its chunks by the columns by.
+
+    hot, of at most MAX_HOT rows, is broadcast; its keys' rows in small are repeated for each chunk, all others are not.
+    """
+    chunks = F.coalesce("chunks", F.lit(1))
+    left = large.join(F.broadcast(hot), keys, "left").withColumn("__chunk", F.pmod(F.xxhash64(*by), chunks).cast("int")).drop("chunks")
+    right = small.join(F.broadcast(hot), keys, "left").withColumn("__chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("chunks")
+    return left.join(right, [*keys, "__chunk"], how).drop("__chunk")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also where body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -53,6 +75,26 @@ def worker_cache() -> dict:
     return pyspark.__dict__.setdefault("_sparrowdex_worker_cache", {})
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit integers."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
+
+
+def power_table(seed: int, base: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random values of bytes, and the first powers of an odd base and of its inverse; one for each worker."""
+    cache = worker_cache()
+    if ("powers", seed, base, size) not in cache:
+        powers = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, b, dtype=np.uint64)
+            p[0] = 1
+            powers.append(np.cumprod(p))
+        cache["powers", seed, base, size] = (np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64), *powers)
+    return cache["powers", seed, base, size]
+
+
 def tidy(work: Callable) -> Callable:
     """work (batches to batches) for mapInArrow; a worker that waits for its next task gives unused memory back."""
 

@@ -9,12 +9,15 @@ common-prefix tree. An interval whose occurrences have different bytes to their
 is a maximal repeat group; its occurrences are what is removed. A class that occurs twice is a leaf of that tree with two
 occurrences, and a repeat as it stands. Classes map back to all runs, runs to documents.
 
-Minimizers with more than ``HOT`` classes are not gathered in one place: the windows of their classes are compared by
-128-bit hashes in an aggregation, which gives the same spans. Bit sets of fixed size, broadcast, tell which minimizers are
-wanted; a bit too many costs work only. Classes are told apart by the 64-bit hashes of minimizer and run together.
+The windows of a minimizer with more than ``HOT`` classes are sharded once more: those at SLICE distances from it that
+follow each other have all but a few bytes at their ends in common, and go by the hash of these bytes. Equal windows
+have equal ones, so these shards have suffix arrays like the others. Where even such a slice has more than ``HOT``
+classes, the shard is nearly one string, and its windows are compared by 128-bit hashes in an aggregation, which gives
+the same spans. Bit sets of fixed size, broadcast, tell which minimizers are wanted; a bit too many costs work only, and
+beyond LOAD minimizers they are told by joins instead. Classes are told apart by the 64-bit hashes of minimizer and run.
 
 Cases: a null text is an empty one; texts shorter than ``length`` bytes lose nothing. Copies remove each other whole: no
-occurrence is spared. Ids are unique or belong to equal rows, which count as copies; a row with a null id counts as a
+occurrence is spared, so no ties arise. Ids are unique or belong to equal rows, which count as copies; a row with a null id counts as a
 copy but keeps its text. Extra columns are ignored; an empty
 table gives an empty result. Texts are read whole, in chunks that overlap by a window.
 """
@@ -28,50 +31,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy, worker_cache
+from .common import dealt_join, hot_keys, mix, power_table, stored, tidy
 
 #: Bytes of a minimizer's piece, windows of a text hashed at once, classes of a minimizer gathered at most.
 K, CHUNK, HOT = 64, 1 << 20, 16384
 #: A bit set: so many bits, by the low bits of the hash (the high ones are small in a minimizer).
 BITS = 27
+#: Of a bit set, hashes at most: beyond, about a bit in eight is set and hashes are compared by joins.
+LOAD = 1 << (BITS - 3)
+#: Distances from the minimizer that a slice of a hot minimizer's windows spans.
+SLICE = 17
 #: Windows whose suffixes are sorted at once.
 SORTED = 30_000
 #: Up to so many bytes of ids and spans are joined by a broadcast.
 MAX_BROADCAST = 48_000_000
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
-def _tables() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For two hashes: random values of bytes, the powers of an odd base and of its inverse."""
-    cache = worker_cache()
-    if "substring powers" not in cache:
-        out = []
-        for seed, base in ((7, 0x9E3779B97F4A7C15), (11, 0xC2B2AE3D27D4EB4F)):
-            values = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
-            powers = []
-            for b in (base, pow(base, -1, 1 << 64)):
-                p = np.full(CHUNK + 1024, b, dtype=np.uint64)
-                p[0] = 1
-                powers.append(np.cumprod(p))
-            out.append((values, *powers))
-        cache["substring powers"] = out
-    return cache["substring powers"]
+#: Seeds and bases of the two hashes of strings.
+_HASHES = ((7, 0x9E3779B97F4A7C15), (11, 0xC2B2AE3D27D4EB4F))
 
 
 class Sums:
     """Hashes of the pieces of a string of at most CHUNK + 1024 bytes."""
 
     def __init__(self, raw: np.ndarray, both: bool = True):
-        self.of = [(np.concatenate((np.zeros(1, np.uint64), np.cumsum(v[raw] * p[: len(raw)]))), q) for v, p, q in _tables()[: 1 + both]]
+        self.of = [(np.concatenate((np.zeros(1, np.uint64), np.cumsum(v[raw] * p[: len(raw)]))), q) for v, p, q in (power_table(seed, base, CHUNK + 1024) for seed, base in _HASHES[: 1 + both])]
 
     def get(self, which: int, start, end, salt=0) -> np.ndarray:
         sums, inverse = self.of[which]
-        return _mix((sums[end] - sums[start]) * inverse[start] + np.asarray(salt, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        return mix((sums[end] - sums[start]) * inverse[start] + np.asarray(salt, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def runs(raw: np.ndarray, length: int, contexts: bool = True):
@@ -155,33 +141,36 @@ def maximal_repeats(regions: list[bytes], windows: np.ndarray, offsets: np.ndarr
     return out
 
 
-def _bit_set(hashes: DataFrame) -> np.ndarray:
-    """The bit set of the column h: at most 2 ** (BITS - 6) words reach the driver."""
-    word = F.expr(f"shiftright(h & {(1 << BITS) - 1}L, 6)").alias("word")
-    words = hashes.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+def _bit_set(hashes: DataFrame, of: str = "h") -> np.ndarray:
+    """The bit set of a column of hashes: at most 2 ** (BITS - 6) words reach the driver."""
+    word = F.expr(f"shiftright({of} & {(1 << BITS) - 1}L, 6)").alias("word")
+    words = hashes.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({of} & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def _in_set(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _in_set(h: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+    """Which hashes are in a bit set; all are in None."""
+    if bits is None:
+        return np.ones(len(h), dtype=bool)
     bit = h & np.uint64((1 << BITS) - 1)
     return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _minimizers(docs: DataFrame, length: int) -> DataFrame:
-    """h and n: how often runs have it, counted to 2 in each batch."""
+    """h and n: how many runs of a batch have it."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [runs(raw, length, False) for t in batch.column(1) for _, raw in _chunks(t.as_py(), length)]
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
-    return docs.mapInArrow(tidy(hashes), "h long, n byte")
+    return docs.mapInArrow(tidy(hashes), "h long, n int")
 
 
-def _runs_of(docs: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
+def _runs_of(docs: DataFrame, length: int, wanted: np.ndarray | None) -> DataFrame:
     """Each run of each document whose minimizer is in the bit set: c tells its bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     names = ["id", "h", "c", "at", "windows"]
@@ -203,14 +192,19 @@ def _runs_of(docs: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(tidy(each), "id long, h long, c long, at int, windows short")
 
 
-def _class_bytes(docs: DataFrame, length: int, wanted: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """h, c, off, windows, raw of the classes of the wanted minimizers that are not hot; a class may come more than once."""
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, hot))
-    names = ["h", "c", "off", "windows", "raw"]
+#: A class's bytes in a shard k: shift tells where in the class they begin, off and windows as in runs().
+_REGION = "k long, h long, c long, shift short, off short, windows short, raw binary"
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        h, c, off, windows, parts = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(h).view(np.int64)), pa.array(np.array(c).view(np.int64)), pa.array(np.array(off, dtype=np.int16)), pa.array(np.array(windows, dtype=np.int16)), pa.array(parts, pa.binary())], names=names)
+
+def _regions(rows: list[tuple]) -> pa.RecordBatch:
+    k, h, c, shift, off, windows, raw = zip(*rows, strict=True)
+    hashes = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (k, h, c)]
+    return pa.RecordBatch.from_arrays([*hashes, *(pa.array(np.array(x, dtype=np.int16)) for x in (shift, off, windows)), pa.array(raw, pa.binary())], names=["k", "h", "c", "shift", "off", "windows", "raw"])
+
+
+def _class_bytes(docs: DataFrame, length: int, wanted: np.ndarray | None, hot: np.ndarray) -> DataFrame:
+    """The regions of the classes of the wanted minimizers that are not hot; a class may come more than once."""
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, hot))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many, too_many = shared.value
@@ -219,7 +213,7 @@ def _class_bytes(docs: DataFrame, length: int, wanted: np.ndarray, hot: np.ndarr
             rows: list[tuple] = []
             for text in batch.column(1):
                 if len(rows) > 10_000:
-                    yield out(rows)
+                    yield _regions(rows)
                     rows = []
                 for _, raw in _chunks(text.as_py(), length):
                     h, c, first, windows, offset = runs(raw, length)
@@ -227,42 +221,120 @@ def _class_bytes(docs: DataFrame, length: int, wanted: np.ndarray, hot: np.ndarr
                         key = int(h[i]), int(c[i])
                         if key not in seen:
                             seen.add(key)
-                            rows.append((h[i], c[i], offset[i], windows[i], raw[first[i] : first[i] + windows[i] + length - 1].tobytes()))
+                            rows.append((h[i], h[i], c[i], 0, offset[i], windows[i], raw[first[i] : first[i] + windows[i] + length - 1].tobytes()))
             if rows:
-                yield out(rows)
+                yield _regions(rows)
 
-    return docs.mapInArrow(tidy(each), "h long, c long, off short, windows short, raw binary")
+    return docs.mapInArrow(tidy(each), _REGION)
 
 
-def _hot_spans(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
-    """h, c, start, end of the repeated windows of the classes of hot minimizers."""
+def _class_bytes_by_join(docs: DataFrame, length: int, classes: DataFrame, shards: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The same with the wanted minimizers told by a join: each class is read where its first row with an id is."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["h", "c", "place", "w1", "w2"]
+    where = classes.join(shards.select("h"), "h", "left_semi").select("c", "h", "spot.id", "spot.at", "windows")
+    spots = where.filter("id IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "h", "c", "windows"))).alias("spots"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         too_many = shared.value
         for batch in batches:
+            rows: list[tuple] = []
+            for text, own in zip(batch.column(0), batch.column(1), strict=True):
+                raw = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                for s in own.as_py():
+                    h = np.array([s["h"]], dtype=np.int64).view(np.uint64)
+                    if _in_set(h, too_many)[0]:
+                        continue
+                    region = raw[s["at"] : s["at"] + s["windows"] + length - 1]
+                    rows.append((h[0], h[0], s["c"] & 0xFFFFFFFFFFFFFFFF, 0, runs(region, length)[4][0], s["windows"], region.tobytes()))
+                    if len(rows) > 10_000:
+                        yield _regions(rows)
+                        rows = []
+            if rows:
+                yield _regions(rows)
+
+    read = docs.join(spots, "id").select("text", "spots").mapInArrow(tidy(each), _REGION)
+    # A class of rows without an id only is read in those.
+    nameless = _class_bytes(docs.filter("id IS NULL"), length, None, hot).join(shards.select("h"), "h", "left_semi")
+    return read.unionByName(nameless)
+
+
+def _slices(raw: np.ndarray, sums: Sums, length: int, h: int, first: int, windows: int, offset: int) -> Iterator[tuple[int, int, int, int]]:
+    """Of a run of a hot minimizer: shard, shift, offset and windows of each of its slices."""
+    for q in range((offset - windows + 1) // SLICE, offset // SLICE + 1):
+        low, high = max(q * SLICE, offset - windows + 1), min(q * SLICE + SLICE - 1, offset)
+        minimizer = first + offset
+        same = sums.get(1, minimizer - q * SLICE, minimizer - q * SLICE - SLICE + 1 + length, q + 1)
+        yield int(same ^ mix(np.uint64(h) + np.uint64(q))), offset - high, high, high - low + 1
+
+
+def _hot_classes(docs: DataFrame, length: int, hot: np.ndarray, shape: str, work) -> DataFrame:
+    """What work makes of the slices of the classes of hot minimizers; a class may come more than once."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def slices(batch: pa.RecordBatch) -> Iterator[tuple]:
             seen: set[tuple[int, int]] = set()
-            cols: list[list[np.ndarray]] = []
             for text in batch.column(1):
                 for _, raw in _chunks(text.as_py(), length):
-                    h, c, first, windows, _ = runs(raw, length)
+                    h, c, first, windows, offset = runs(raw, length)
                     sums = None
-                    for i in np.flatnonzero(_in_set(h, too_many)).tolist():
+                    for i in np.flatnonzero(_in_set(h, bits)).tolist():
                         key = int(h[i]), int(c[i])
-                        if key in seen:
-                            continue
-                        seen.add(key)
-                        sums = sums or Sums(raw)
-                        place = np.arange(windows[i])
-                        at = first[i] + place
-                        cols.append([np.full(len(at), h[i]).view(np.int64), np.full(len(at), c[i]).view(np.int64), place.astype(np.int32), *(sums.get(k, at, at + length).view(np.int64) for k in (0, 1))])
-            if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols, strict=True)], names=names)
+                        if key not in seen:
+                            seen.add(key)
+                            sums = sums or Sums(raw)
+                            for k, shift, off, n in _slices(raw, sums, length, key[0], int(first[i]), int(windows[i]), int(offset[i])):
+                                yield k, *key, shift, off, n, int(first[i]) + shift, raw, sums
+
+        for batch in batches:
+            yield from work(slices(batch))
+
+    return docs.mapInArrow(tidy(each), shape)
 
-    windows = docs.mapInArrow(tidy(each), "h long, c long, place int, w1 long, w2 long").distinct()
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("t")).filter("t > 1")
-    return windows.join(again, ["w1", "w2"]).select("h", "c", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
+
+def _hot_spans(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """h, c, start, end of the repeats of the classes of hot minimizers: suffix arrays of slices, hashes of crowded ones."""
+    sc = docs.sparkSession.sparkContext
+
+    def keys(slices: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        found = np.array([(x[0], x[2]) for x in slices], dtype=np.uint64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, j]).view(np.int64)) for j in (0, 1)], names=["k", "c"])
+
+    counted = _hot_classes(docs, length, hot, "k long, c long", keys).distinct().groupBy("k").agg(F.count("*").alias("n"))
+    shards = stored(counted.filter("n > 1"), "slices")
+    many, crowded = sc.broadcast(_bit_set(shards, "k")), sc.broadcast(_bit_set(shards.filter(F.col("n") > HOT), "k"))
+
+    def regions(slices: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for k, h, c, shift, off, n, at, raw, _ in slices:
+            own = np.array([k], dtype=np.uint64)
+            if _in_set(own, many.value)[0] and not _in_set(own, crowded.value)[0]:
+                rows.append((k, h, c, shift, off, n, raw[at : at + n + length - 1].tobytes()))
+                if len(rows) > 10_000:
+                    yield _regions(rows)
+                    rows = []
+        if rows:
+            yield _regions(rows)
+
+    def windows(slices: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        cols: list[list[np.ndarray]] = []
+        for k, h, c, shift, _, n, at, _, sums in slices:
+            if _in_set(np.array([k], dtype=np.uint64), crowded.value)[0]:
+                place = at + np.arange(n)
+                ids = [np.full(n, x, dtype=np.uint64).view(np.int64) for x in (h, c)]
+                cols.append([*ids, (shift + np.arange(n)).astype(np.int32), *(sums.get(j, place, place + length).view(np.int64) for j in (0, 1))])
+        if cols:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols, strict=True)], names=["h", "c", "place", "w1", "w2"])
+
+    spans = _shard_spans(_hot_classes(docs, length, hot, _REGION, regions), length)
+    if crowded.value.any():
+        each = _hot_classes(docs, length, hot, "h long, c long, place int, w1 long, w2 long", windows).distinct()
+        again = stored(each.groupBy("w1", "w2").agg(F.count("*").alias("t")).filter("t > 1"), "repeated-windows")
+        met = dealt_join(each, again.select("w1", "w2"), ["w1", "w2"], hot_keys(again, ["w1", "w2"], "t"), ["h", "c", "place"])
+        spans = spans.unionByName(met.select("h", "c", F.col("place").alias("start"), (F.col("place") + length).alias("end")))
+    return spans
 
 
 def _shard_spans(gathered: DataFrame, length: int) -> DataFrame:
@@ -270,7 +342,7 @@ def _shard_spans(gathered: DataFrame, length: int) -> DataFrame:
 
     def spans(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and end of each span of the classes of some shards."""
-        regions, windows, offsets = [r[4] for r in rows], np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+        regions, windows, offsets = [r[6] for r in rows], np.array([r[5] for r in rows]), np.array([r[4] for r in rows])
         shard = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
         change = np.zeros((len(rows), max(map(len, regions)) + 1), dtype=np.int32)
         # Suffixes are compared at equal distances from the minimizer only: a large shard goes distance by distance.
@@ -290,45 +362,48 @@ def _shard_spans(gathered: DataFrame, length: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             row, start, end = spans(rows)
-            h, c = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(c[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["h", "c", "start", "end"])
+            h, c = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64)
+            shift = np.array([r[3] for r in rows], dtype=np.int64)[row]
+            return pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(c[row]), pa.array((shift + start).astype(np.int32)), pa.array((shift + end).astype(np.int32))], names=["h", "c", "start", "end"])
 
         held: list[tuple] = []
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:2] == row[:2]:
+                if held and held[-1][:4] == row[:4]:
                     continue
-                # A minimizer's classes (at most HOT) stay together.
+                # A shard's classes (at most HOT) stay together.
                 if size > SORTED and held[-1][0] != row[0]:
                     yield out(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[3]
+                size += row[5]
         if held:
             yield out(held)
 
     parts = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return gathered.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(tidy(each), "h long, c long, start int, end int")
+    return gathered.select("k", "h", "c", "shift", "off", "windows", "raw").repartition(parts, "k").sortWithinPartitions("k", "h", "c", "shift").mapInArrow(tidy(each), "h long, c long, start int, end int")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """id and spans (start, end: bytes, merged, ascending) of every document with a repeat."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    twice = _minimizers(docs, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    found = stored(_runs_of(docs, length, _bit_set(twice)), "runs")
-    classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("m"), F.first("windows").alias("windows")), "classes")
+    twice = stored(_minimizers(docs, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "minimizers")
+    if twice.count() <= LOAD:
+        found = stored(_runs_of(docs, length, _bit_set(twice)), "runs")
+    else:
+        found = stored(dealt_join(_runs_of(docs, length, None), twice.select("h"), ["h"], hot_keys(twice, ["h"], "n"), ["id", "at"]), "runs")
+    classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("m"), F.first("windows").alias("windows"), F.max(F.struct("id", "at")).alias("spot")), "classes")
     shards = stored(classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "shards")
-    hot = shards.filter(F.col("k") > HOT)
-    hot_bits = _bit_set(hot)
-    spans = _shard_spans(_class_bytes(docs, length, _bit_set(shards), hot_bits), length)
+    hot_bits = _bit_set(shards.filter(F.col("k") > HOT))
+    few = shards.count() <= LOAD
+    spans = _shard_spans(_class_bytes(docs, length, _bit_set(shards), hot_bits) if few else _class_bytes_by_join(docs, length, classes, shards, hot_bits), length)
     if hot_bits.any():
         spans = spans.unionByName(_hot_spans(docs, length, hot_bits))
     # What occurs twice is a repeat from end to end.
     spans = spans.unionByName(classes.filter("m > 1").select("h", "c", F.lit(0).alias("start"), (F.col("windows") + length - 1).cast("int").alias("end")))
     merged = spans.groupBy("h", "c").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    # A class of many copies makes a large partition of runs, which adaptive execution splits.
-    placed = found.select("id", "h", "c", "at").join(merged, ["h", "c"])
+    placed = dealt_join(found.filter("id IS NOT NULL").select("id", "h", "c", "at"), merged, ["h", "c"], stored(hot_keys(classes, ["h", "c"], "m"), "hot-classes"), ["id", "at"])
     each = placed.select("id", F.transform("spans", lambda s: F.struct((F.col("at") + s["start"]).alias("start"), (F.col("at") + s["end"]).alias("end"))).alias("spans"))
     together = each.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     # Merge sorted spans: a span that begins after all before it have ended opens a new one.
