@@ -7,11 +7,16 @@ page has, the one that scores highest there gives the text; a page without any u
 
 A container's text is its blocks without chrome: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments, known by tag, role, or class and id words. Character references are decoded, white space in
-a block becomes one blank, blocks are trimmed and joined by newlines; nothing else is dropped or cut.
+a block becomes one blank, blocks are trimmed and joined by newlines; nothing else is dropped or cut. Drawings, frames,
+templates and form fields count as markup; formulas, fallback texts (noscript, object, canvas) and an article's own
+headline stay.
 
 Cases: a null html is an empty one, with an empty text; a null or odd url has the empty host. Broken markup is read as
-far as it goes: a closing tag closes what is open inside, one without an opening tag is ignored, the end closes all.
-Repeated rows are read alike and vote each; extra columns are ignored; an empty table gives an empty result.
+far as it goes: a closing tag closes what is open inside, one without an opening tag is ignored, the end closes all; an
+element that would go with its content, but is closed in its own tag or never, goes alone (scripts and styles reach the
+end of the page). Ties: of containers with equal scores the outer one, of paths with equal votes the smaller one, and of
+winners with equal scores the one with more votes. Repeated rows are read alike and vote each; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,34 +32,48 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 # How markup is read.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas|math)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-z][^>]*+>|<[!?][^>]*+>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TOKEN = re.compile(r"<!--|<(/?)([a-z][^\s/>]*+)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^>]*+>)|<[!?/][^>]*+>", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|[\"'][^\"']*", re.S)
+_NAMES = frozenset("class id role hidden aria-hidden".split())
+#: Elements that go with all that is in them, if they are closed. The first two reach the page's end if they are not.
+_RAW = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "script style template svg iframe textarea select title annotation annotation-xml".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+_INLINE |= frozenset("math semantics mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover".split())
 _CONTAINER = frozenset("body article main section div td".split())
 _CHROME_TAGS = frozenset("head nav aside footer form button dialog fieldset datalist menu".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer header masthead banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments disqus respond replies reply widget widgets toolbar pagination pager".split()
 )
-_TEXT_WORDS = frozenset("content article main post entry body text page wrapper container layout story".split())
+#: What stands after a word of chrome where the name is that of chrome: `share-buttons` is, `share-price` is not.
+_STRUCTURE_WORDS = frozenset(
+    "ad area bar block bottom box button buttons col column container form group holder icon icons inner item items left link links list module outer panel posts region right row section slot stories text title top unit wrap wrapper".split()
+)
+_TEXT_WORDS = frozenset("content article main post entry body text page story".split())
 _STATE_WORDS = frozenset("has with no without is js".split())
+#: What an article has in its class where it is none of the page's own.
+_OTHER_ARTICLES = frozenset("ad ads advert comment comments promo recommended related replies reply sponsored".split())
 #: Over so many hosts the winners are joined by a shuffle with each host's pages dealt to SALTS tasks.
 MAX_BROADCAST_HOSTS = 50_000
 SALTS = 16
 
 
-def _is_chrome_name(name: str) -> bool:
-    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+def _name_words(name: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+
+
+def _is_chrome_name(name: str, in_article: bool = False) -> bool:
+    """Whether a class or an id names chrome: a last word that does, or a first one that only words of structure follow.
+
+    The header of a text (`entry-header`) is none, nor is any header in an article.
+    """
+    words = _name_words(name)
     if not words or words[0] in _STATE_WORDS:
         return False
-    return words[-1] in _CHROME_WORDS or words[0] in _CHROME_WORDS and words[-1] not in _TEXT_WORDS
+    if words[-1] == "header" and (in_article or words[0] in _TEXT_WORDS and words[0] != "page"):
+        return False
+    return words[-1] in _CHROME_WORDS or words[0] in _CHROME_WORDS and all(w in _STRUCTURE_WORDS or w in _CHROME_WORDS for w in words[1:])
 
 
 def read(source: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]], list[float]]:
@@ -66,7 +85,8 @@ def read(source: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]
     containers: list[tuple[int, str, str]] = [(-1, "", "")]
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, int]] = []  # tag, chrome, container
-    chrome_depth, here, at, held = 0, 0, 0, []
+    chrome_depth, here, at = 0, 0, 0
+    held: list[str] = []
     in_article = 0
 
     def flush() -> None:
@@ -93,16 +113,34 @@ def read(source: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]
                 break
         return -1
 
-    for m in _TOKEN.finditer(source):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(source, at):
         if m.start() > at and not chrome_depth:
             held.append(source[at : m.start()])
         at = m.end()
-        tag = m.group(3)
+        tag = (m.group(2) or "").lower()
         if not tag:
+            if m.group() == "<!--":
+                # A comment that is never closed ends with its first bracket.
+                end = source.find("-->", at - 2) if "-->" not in unclosed else -1
+                if end >= 0:
+                    at = end + 3
+                else:
+                    unclosed.add("-->")
+                    at = end + 1 if (end := source.find(">", at)) >= 0 else len(source)
+            continue
+        if tag in _RAW:
+            if not m.group(1) and not (m.group().endswith("/>") and tag not in ("script", "style")):
+                end = _RAW[tag].search(source, at) if tag not in unclosed else None
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(source)
+                else:
+                    unclosed.add(tag)
             continue
-        tag = tag.lower()
         inline = tag in _INLINE
-        if m.group(2):
+        if m.group(1):
             if tag in _VOID:
                 continue
             k = open_at((tag,), ())
@@ -120,17 +158,26 @@ def read(source: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]
             elif tag == "hr":
                 flush()
             continue
-        raw = m.group(4)
+        raw = m.group(3)
         names: dict[str, str] = {}
         if raw and not raw.isspace():
             for a, x, y, z in _ATTRIBUTE.findall(raw):
-                names.setdefault(a.lower(), x or y or z)
+                if (a := a.lower()) in _NAMES:
+                    names.setdefault(a, x or y or z)
         chrome = False
-        if tag not in ("html", "body", "article", "main"):
+        if tag == "article":
+            chrome = any(not _OTHER_ARTICLES.isdisjoint(_name_words(c)) for c in names.get("class", "").split())
+        elif tag not in ("html", "body", "main"):
             chrome = tag in _CHROME_TAGS or tag == "header" and not in_article or bool(names) and (
                 "hidden" in names or names.get("aria-hidden", "").lower() == "true" or names.get("role", "").lower() in _CHROME_ROLES
-                or any(_is_chrome_name(c) for c in names.get("class", "").split()) or _is_chrome_name(names.get("id", ""))
+                or any(_is_chrome_name(c, in_article > 0) for c in names.get("class", "").split()) or _is_chrome_name(names.get("id", ""), in_article > 0)
             )
+        if tag in ("article", "main") and not chrome and chrome_depth:
+            # A form around the whole page is no form of the page.
+            for k, (own, was, container) in enumerate(stack):
+                if own == "form" and was:
+                    stack[k] = (own, False, container)
+                    chrome_depth -= 1
         if inline:
             # Only inline chrome, and what has the same tag inside it, is kept track of.
             if chrome or chrome_depth and stack and stack[-1][0] == tag:
