@@ -5,8 +5,8 @@ space. No match of the splitting pattern crosses such a place, and what a match
 the ids of the pieces are the ids of the text. A stretch without such a place is matched by the regex module and its
 matches are encoded one by one. Ids are decoded to raw bytes, never through a string.
 
-Cases: a null text encodes like an empty one. Repeated rows encode alike; extra columns are ignored (or carried, if
-named in keep); an empty table gives an empty result. Lone surrogates cannot occur in Spark strings.
+Cases: a null text encodes like an empty one. Repeated rows encode alike, and no ties can arise; extra columns are
+ignored (or carried, if named in keep; columns named like the result's own are not); an empty table gives an empty result. Lone surrogates cannot occur in Spark strings.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def bpe_encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
 
     Digests: ids_sha256 over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded bytes.
     """
-    cols = [id_col, *keep]
+    cols = [id_col, *(c for c in dict.fromkeys(keep) if c not in (id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256"))]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
