@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Words that carry no meaning in a question.
 STOP_WORDS = tuple(
@@ -114,6 +114,24 @@ def stem(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: None if t is None else Porter.stem(fold(t)))
 
 
+_STEMS: dict[str, str] = {}
+
+
+def _stem(term: str) -> str:
+    """The folded stem of a term; a worker remembers those of a million terms."""
+    if (found := _STEMS.get(term)) is None:
+        if len(_STEMS) > 1_000_000:
+            _STEMS.clear()
+        found = _STEMS[term] = Porter.stem(fold(term))
+    return found
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stems(terms: pd.Series) -> pd.Series:
+    """Folded and stemmed terms of arrays."""
+    return terms.map(lambda ts: None if ts is None else [_stem(t) for t in ts])
+
+
 def html_title(html: Column) -> Column:
     """The title element without the site's name: what follows a bar, a dash before `docs`, or two prefixes."""
     raw = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
@@ -169,9 +187,19 @@ def snippets(body: Column, query: Column, most: int = 3, size: int = 160) -> Col
     return F.transform(best, lambda x: F.struct(x["line"].alias("line"), cut(F.trim(x["text"]), size).alias("text")))
 
 
+def first_bytes(text: Column, size: int) -> Column:
+    """The longest beginning of text with at most `size` bytes of UTF-8; no character is split."""
+    raw = F.encode(text, "UTF-8")
+    # A character that begins in the last bytes and ends beyond them goes; one that begins there and ends there stays.
+    tail = F.reverse(F.sequence(F.greatest(F.lit(1), F.lit(size - 2)), F.lit(size + 1)))
+    byte = lambda i: F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("int")
+    start = F.get(F.filter(tail, lambda i: (byte(i) < 0x80) | (byte(i) >= 0xC0)), F.lit(0))
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.decode(F.substring(raw, F.lit(1), F.coalesce(start, F.lit(size + 1)) - 1), "UTF-8"))
+
+
 def cut(text: Column, size: int) -> Column:
-    """text, or if it has over `size` bytes its first size - 3 characters and dots."""
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, size - 3), F.lit("...")))
+    """text, or if it has over `size` bytes as much of it as fits with dots behind it."""
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat(first_bytes(text, size - 3), F.lit("...")))
 
 
 def chunks(texts: Iterator[pd.Series], size: int) -> Iterator[pd.Series]:

@@ -1,93 +1,138 @@
-"""Positional postings and BM25 for many queries at once.
+"""A stored positional index, and BM25 for many queries and tiers at once.
 
 A query is a set of leaves (phrases of one or more terms), each in a group of a branch. A page matches where, for one
-branch, every group has a leaf that occurs; its score sums over all leaves that occur. The leaves of all queries are
-joined with the postings by term, so one shuffle serves all queries; Spark broadcasts the leaves where they are small.
+branch, every group has a leaf that occurs; its score sums over all leaves that occur. The index is written once:
+postings (a row for each term of a page, with its frequency in each field) and pages (the terms of each field in order).
+
+All queries and tiers share one plan. A phrase is looked for in the pages of its rarest term only, by their terms in
+order. A branch of several groups starts from the pages of its rarest group, and only what these pages are asked for is
+looked up; a query whose branches have one group each needs no look-up. So common words cost what they are asked for, and
+not the length of their postings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens, stem
+from ..functions.tables import stored
+from ..functions.text import index_tokens, stems
 
 K1, B = 1.2, 0.75
 FIELDS = ("title", "path", "body")
 LEAF_SCHEMA = "qid long, tier string, branch int, grp int, leaf int, terms array<string>, source string"
 
 
-def tokens(corpus: DataFrame, stemmed: bool = False) -> DataFrame:
-    """path, source, field, pos, term of every token of title, path and body."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), index_tokens(F.col(c)).alias("terms")) for f, c in zip(FIELDS, ("title", "path", "body"), strict=True)))
-    out = corpus.select("path", "source", F.explode(fields).alias("f")).select("path", "source", "f.field", F.posexplode("f.terms").alias("pos", "term"))
-    if not stemmed:
-        return out
-    stems = out.select("term").distinct().withColumn("stem", stem("term"))
-    return out.join(stems, "term").select("path", "source", "field", "pos", F.col("stem").alias("term"))
-
-
-def page_lengths(corpus: DataFrame) -> DataFrame:
-    """path and n_tokens, without listing the tokens."""
-    n = sum(F.size(index_tokens(F.col(c))).cast("long") for c in ("title", "path", "body"))
-    return corpus.select("path", n.alias("n_tokens"))
-
+@dataclass(frozen=True)
+class Index:
+    """postings: term, path, source, n_tokens, tf_title, tf_path, tf_body. pages: path, source, title, n_tokens, and
+    terms_title, terms_path, terms_body. totals: one row, n_pages and avg_tokens."""
 
-def tokens_of(corpus: DataFrame, leaves: DataFrame, stemmed: bool) -> DataFrame:
-    """tokens() of the leaves' terms only. Stems are made of the distinct terms of the corpus."""
-    wanted = leaves.select(F.explode("terms").alias("want")).distinct()
-    toks = tokens(corpus)
-    if not stemmed:
-        return toks.join(wanted, toks["term"] == wanted["want"], "left_semi")
-    known = toks.select("term").distinct().withColumn("stem", stem("term")).join(wanted, F.col("stem") == F.col("want"), "left_semi")
-    return toks.join(known, "term").select("path", "source", "field", "pos", F.col("stem").alias("term"))
+    postings: DataFrame
+    pages: DataFrame
+    totals: DataFrame
+    stemmed: bool
 
 
-def lengths(toks: DataFrame) -> DataFrame:
-    return toks.groupBy("path").agg(F.count("*").alias("n_tokens"))
-
-
-def leaf_hits(toks: DataFrame, leaves: DataFrame, fields: tuple[str, ...] = FIELDS, source_filter: bool = True) -> DataFrame:
-    """qid, tier, leaf, path, source and the leaf's frequency in each field (tf_title, tf_path, tf_body).
-
-    A phrase occurs where its terms stand side by side in one field: each term votes for the place where the phrase would
-    begin, and a place with a vote of every term counts.
-    """
-    terms = leaves.select("qid", "tier", "leaf", F.col("source").alias("only"), F.size("terms").alias("m"), F.posexplode("terms").alias("off", "term")).distinct()
-    found = toks.filter(F.col("field").isin(*fields)).join(terms, "term")
-    if source_filter:
-        found = found.filter(F.col("only").isNull() | (F.col("only") == F.col("source")))
-    single = found.filter("m = 1").groupBy("qid", "tier", "leaf", "path", "source", "field").agg(F.count("*").alias("tf"))
-    starts = found.filter("m > 1").withColumn("start", F.col("pos") - F.col("off")).groupBy("qid", "tier", "leaf", "path", "source", "field", "start", "m").agg(F.count_distinct("off").alias("k")).filter("k = m")
-    phrase = starts.groupBy("qid", "tier", "leaf", "path", "source", "field").agg(F.count("*").alias("tf"))
-    tf = lambda f: F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).alias(f"tf_{f}")
-    return single.unionByName(phrase).groupBy("qid", "tier", "leaf", "path", "source").agg(*(tf(f) for f in FIELDS))
-
-
-def bm25(toks: DataFrame, leaves: DataFrame, weights: dict[str, float], fields: tuple[str, ...] = FIELDS, lens: DataFrame | None = None) -> DataFrame:
-    """qid, tier, path, source, rank (negative: smaller is better) of every page that matches its query.
-
-    A leaf's document frequency counts pages in all sources within the fields; a leaf in over half of all pages weighs
-    next to nothing. Weights are by field.
+def tokens(corpus: DataFrame) -> DataFrame:
+    """path, source, field, pos, term of every token of title, path and body."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), index_tokens(F.col(f)).alias("terms")) for f in FIELDS))
+    return corpus.select("path", "source", F.explode(fields).alias("f")).select("path", "source", "f.field", F.posexplode("f.terms").alias("pos", "term"))
+
+
+def build(corpus: DataFrame, stemmed: bool = False, folder: str | None = None) -> Index:
+    """The index of a corpus (path, source, title, body), written to folder, or to the shared folder of the session."""
+    spark = corpus.sparkSession
+    terms = {f"terms_{f}": stems(index_tokens(F.col(f))) if stemmed else index_tokens(F.col(f)) for f in FIELDS}
+    size = sum(F.size(f"terms_{f}").cast("long") for f in FIELDS)
+    pages = corpus.select("path", "source", "title", *(c.alias(n) for n, c in terms.items())).withColumn("n_tokens", size)
+
+    def written(df: DataFrame, what: str) -> DataFrame:
+        if folder is None:
+            return stored(df, f"index-{what}")
+        df.write.parquet(f"{folder}/{what}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{what}")
+
+    pages = written(pages, "pages")
+    each = pages.select("path", "source", "n_tokens", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"terms_{f}").alias("terms")) for f in FIELDS))).alias("f"))
+    each = each.select("path", "source", "n_tokens", "f.field", F.explode("f.terms").alias("term"))
+    tf = [F.count_if(F.col("field") == f).cast("int").alias(f"tf_{f}") for f in FIELDS]
+    # A page's terms are counted where the page is; sorted postings let a scan skip what is not asked for.
+    postings = written(each.groupBy("term", "path", "source", "n_tokens").agg(*tf).sortWithinPartitions("term"), "postings")
+    totals = written(pages.agg(F.count("*").cast("double").alias("n_pages"), F.avg("n_tokens").alias("avg_tokens"), F.lit(stemmed).alias("stemmed")), "totals")
+    return Index(postings, pages, totals, stemmed)
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    """An index that build() wrote to folder."""
+    postings, pages, totals = (spark.read.parquet(f"{folder}/{x}") for x in ("postings", "pages", "totals"))
+    return Index(postings, pages, totals, totals.first()["stemmed"])
+
+
+def _phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
+    """phrase (terms), path, source, n_tokens and tf by field of every phrase that occurs; phrases: phrase, n."""
+    single = phrases.filter("n = 1").select("phrase", F.get("phrase", F.lit(0)).alias("term"))
+    cols = ["phrase", "path", "source", "n_tokens", *(f"tf_{f}" for f in FIELDS)]
+    found = index.postings.join(single, "term").select(*cols)
+    several = phrases.filter("n > 1").select("phrase", F.explode("phrase").alias("term")).distinct()
+    common = index.postings.join(several.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = several.join(common, "term", "left").groupBy("phrase").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    maybe = index.postings.join(rarest, "term").select("phrase", "path")
+
+    def times(terms: Column) -> Column:
+        m = F.size("phrase")
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(terms) - m + 1, F.lit(1))), lambda i: (F.get(terms, i - 1) == F.get("phrase", F.lit(0))) & (F.slice(terms, i, m) == F.col("phrase")))
+        return F.when(F.size(terms) >= m, F.size(at)).otherwise(0)
+
+    read = maybe.join(index.pages.select("path", "source", "n_tokens", *(f"terms_{f}" for f in FIELDS)), "path")
+    read = read.select("phrase", "path", "source", "n_tokens", *(times(F.col(f"terms_{f}")).alias(f"tf_{f}") for f in FIELDS))
+    return found.unionByName(read.filter(F.greatest(*(f"tf_{f}" for f in FIELDS)) > 0))
+
+
+def ranked(index: Index, leaves: DataFrame, tiers: dict[str, tuple[dict[str, float], tuple[str, ...]]]) -> DataFrame:
+    """qid, tier, path, source, rank (negative: smaller is better) of every page that matches its query in a tier.
+
+    leaves: LEAF_SCHEMA, terms as the index has them. tiers: the weights by field and the fields that count. A leaf's
+    document frequency counts pages of all sources within the fields; a leaf in over half of all pages weighs next to
+    nothing.
     """
-    lens = lens if lens is not None else lengths(toks)
-    hits = leaf_hits(toks, leaves, fields, source_filter=False)
-    stats = lens.agg(F.count("*").cast("double").alias("n_pages"), F.avg("n_tokens").alias("avg_tokens"))
-    df = hits.groupBy("qid", "tier", "leaf").agg(F.count("*").alias("df"))
-    only = leaves.select("qid", "tier", "leaf", F.col("source").alias("only")).distinct()
-    hits = hits.join(only, ["qid", "tier", "leaf"]).filter(F.col("only").isNull() | (F.col("only") == F.col("source")))
-    idf = F.log((F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    f = sum(F.lit(float(weights.get(x, 0))) * F.col(f"tf_{x}") for x in FIELDS)
-    # stats is a single row of fixed size
-    scored = hits.join(df, ["qid", "tier", "leaf"]).join(lens, "path").crossJoin(F.broadcast(stats))
-    part = F.greatest(idf, F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
-    scored = scored.withColumn("part", part)
-    shape = leaves.select("qid", "tier", "branch", "grp", "leaf").distinct()
-    need = shape.groupBy("qid", "tier", "branch").agg(F.count_distinct("grp").alias("need"))
-    have = scored.select("qid", "tier", "leaf", "path").join(shape, ["qid", "tier", "leaf"]).groupBy("qid", "tier", "branch", "path").agg(F.count_distinct("grp").alias("have"))
-    matched = have.join(need, ["qid", "tier", "branch"]).filter("have = need").select("qid", "tier", "path").distinct()
-    sums = scored.groupBy("qid", "tier", "path", "source").agg((-F.sum("part")).alias("rank"))
-    return sums.join(matched, ["qid", "tier", "path"])
+    asked = leaves.filter(F.size("terms") > 0).withColumn("phrase", F.col("terms"))
+    hits = stored(_phrase_hits(index, asked.select("phrase", F.size("phrase").alias("n")).distinct()), "phrase-hits")
+    sets = list(dict.fromkeys(fields for _, fields in tiers.values()))
+    within = lambda fields: F.greatest(F.lit(0), F.lit(0), *(f"tf_{f}" for f in fields)) > 0
+    by_tier = lambda value: F.coalesce(*(F.when(F.col("tier") == t, value(w, fields)) for t, (w, fields) in tiers.items()))
+    common = hits.groupBy("phrase").agg(*(F.count_if(within(s)).alias(f"df{i}") for i, s in enumerate(sets)))
+    df = by_tier(lambda _, fields: F.col(f"df{sets.index(fields)}"))
+    shape = asked.join(common, "phrase", "left").select("qid", "tier", "branch", "grp", "phrase", F.col("source").alias("only"), F.coalesce(df, F.lit(0)).alias("df"))
+    need = Window.partitionBy("qid", "tier", "branch")
+    groups = shape.groupBy("qid", "tier", "branch", "grp").agg(F.sum("df").alias("pages"))
+    groups = groups.withColumns({"need": F.count("*").over(need), "rare": F.row_number().over(need.orderBy("pages", "grp"))})
+    groups = groups.withColumn("alone", F.max("need").over(Window.partitionBy("qid", "tier")) == 1)
+    # One small table: the leaves with what their groups need.
+    plan = stored(shape.join(groups.drop("pages"), ["qid", "tier", "branch", "grp"]), "leaf-plan")
+    fits = by_tier(lambda _, fields: within(fields)) & (F.col("only").isNull() | (F.col("only") == F.col("source")))
+    leaf = plan.filter("df > 0").groupBy("qid", "tier", "phrase").agg(F.first("only").alias("only"), F.first("df").alias("df"), F.first("alone").alias("alone"))
+
+    weight = by_tier(lambda w, _: sum(F.lit(float(w.get(f, 0))) * F.col(f"tf_{f}") for f in FIELDS))
+    idf = F.greatest(F.log((F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        # totals is a single row
+        parts = rows.filter(fits).withColumn("f", weight).crossJoin(F.broadcast(index.totals.select("n_pages", "avg_tokens")))
+        part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
+        return parts.select("qid", "tier", "phrase", "path", "source", part.alias("part"))
+
+    direct = scored(leaf.filter("alone").drop("alone").join(hits, "phrase"))
+    start = plan.filter("NOT alone AND rare = 1 AND df > 0").select("qid", "tier", "branch", "phrase", "only").join(hits, "phrase").filter(fits)
+    start = start.select("qid", "tier", "path").distinct()
+    wanted = start.join(leaf.filter("NOT alone").drop("alone"), ["qid", "tier"])
+    looked = stored(scored(wanted.join(hits, ["phrase", "path"])), "looked-up")
+    have = looked.select("qid", "tier", "phrase", "path").join(plan.select("qid", "tier", "branch", "grp", "phrase", "need"), ["qid", "tier", "phrase"])
+    full = have.groupBy("qid", "tier", "branch", "path", "need").agg(F.count_distinct("grp").alias("have")).filter("have = need").select("qid", "tier", "path").distinct()
+    matched = looked.join(full, ["qid", "tier", "path"])
+    return direct.unionByName(matched.select(*direct.columns)).groupBy("qid", "tier", "path", "source").agg((-F.sum("part")).alias("rank"))
 
 
 def top(ranked: DataFrame, limit: int, by: tuple[str, ...] = ("qid", "tier")) -> DataFrame:

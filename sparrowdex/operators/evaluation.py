@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 MISS = 100
 
 
-def order_statistic(values: Column, p: float) -> Column:
-    """The element at the truncated index of the sorted values; 0 of none."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.coalesce(F.try_element_at(ordered, F.floor((F.size(ordered) - 1) * F.lit(p)).cast("int") + 1), F.lit(0))
+def order_statistics(rows: DataFrame, column: str, ps: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, and for each name the element at the truncated index p (n - 1) of the sorted values; nulls don't count.
+
+    Values are counted first, so a group is as large as it has different values.
+    """
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("__v")).agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    all_ = Window.partitionBy(*by)
+    placed = counts.withColumns({"__upto": F.sum("__c").over(upto), "__n": F.sum("__c").over(all_)})
+    at = lambda p: F.min(F.when(F.col("__upto") > F.floor((F.col("__n") - 1) * F.lit(p)), F.col("__v")))
+    return placed.groupBy(*by).agg(*(at(p).alias(name) for name, p in ps.items()))
 
 
 def cases(questions: DataFrame, hits: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -36,12 +43,71 @@ def cases(questions: DataFrame, hits: DataFrame, tokens: Column | None = None) -
 
 
 def summary(case_rows: DataFrame, by: tuple[str, ...] = (), zeros: bool = False) -> DataFrame:
-    """n, hit rates, mrr, recall_5, p50 and p99 of tokens over all cases or groups; tokens of 0 count only with zeros."""
+    """n, hit rates, mrr, recall_5, p50 and p99 of tokens over all cases or groups; tokens of 0 count only with zeros.
+
+    With latency_ms in the cases also avg_ms, p50_ms, p95_ms, p99_ms.
+    """
     rate = lambda c: F.avg(F.col(c).cast("double")).alias(c)
-    tokens = F.col("tokens") if zeros else F.when(F.col("tokens") > 0, F.col("tokens"))
-    return case_rows.groupBy(*by).agg(
-        F.count("*").alias("n"), rate("hit_1"), rate("hit_3"), rate("hit_5"), rate("hit_10"), F.avg(F.when(F.col("first_hit") > 0, 1 / F.col("first_hit")).otherwise(0.0)).alias("mrr"), F.avg("recall_5").alias("recall_5"), order_statistic(tokens, 0.5).alias("tokens_p50"), order_statistic(tokens, 0.99).alias("tokens_p99")
-    )
+    timed = "latency_ms" in case_rows.columns
+    rates = case_rows.groupBy(*by).agg(
+        F.count("*").alias("n"), rate("hit_1"), rate("hit_3"), rate("hit_5"), rate("hit_10"), F.avg(F.when(F.col("first_hit") > 0, 1 / F.col("first_hit")).otherwise(0.0)).alias("mrr"), F.avg("recall_5").alias("recall_5"),
+        *([F.avg("latency_ms").alias("avg_ms")] if timed else []),
+    )
+    counted = case_rows.withColumn("__t", F.col("tokens") if zeros else F.when(F.col("tokens") > 0, F.col("tokens")))
+    parts = [order_statistics(counted, "__t", {"tokens_p50": 0.5, "tokens_p99": 0.99}, by)]
+    if timed:
+        parts.append(order_statistics(case_rows, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, by))
+    for part in parts:
+        # one row a group
+        rates = rates.join(part, list(by), "left") if by else rates.crossJoin(part)
+    return rates.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tokens_p50", "tokens_p99")})
+
+
+#: The order of question types in an overview; others stand between, unknown ones last.
+TYPE_ORDER = {"library_search": 0, "tech_stack_search": 1, "production_telemetry": 2, "natural_language": 3, "lexical": 4, "unknown": 99}
+
+
+def named(case_rows: DataFrame) -> DataFrame:
+    """case_rows with library (the expected source, that of the first expected path, or the one asked) and type."""
+    some = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    first = F.get("expect", F.lit(0))
+    of_path = F.when(F.contains(first, F.lit("/")), F.split(first, "/")[0])
+    return case_rows.withColumns({"library": F.coalesce(some("expected_source"), some(of_path), some("source"), F.lit("unknown")), "type": F.coalesce(some("query_type"), F.lit("unknown"))})
+
+
+def overview(case_rows: DataFrame, by: str) -> DataFrame:
+    """place, name and summary() of the groups of a column of named(): libraries, worst first; types in their fixed order."""
+    rows = summary(case_rows, (by,), zeros=True).withColumnRenamed(by, "name")
+    slow = [F.desc("p95_ms")] if "p95_ms" in rows.columns else []
+    kind = F.coalesce(*(F.when(F.col("name") == t, n) for t, n in TYPE_ORDER.items()), F.lit(50))
+    order = [kind, F.col("name")] if by == "type" else [F.col("hit_5"), *slow, F.col("name")]
+    return rows.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("place"), *rows.columns)
+
+
+def write_report(case_rows: DataFrame, folder: str, now: str) -> None:
+    """An evaluation's artefacts: cases and summary as JSON lines, the summary appended to a log, a Markdown report.
+
+    The report has the summary, the overviews by library and type where cases are named(), and the misses, one line each;
+    lines are written by the tasks that hold them, in order.
+    """
+    total = summary(case_rows)
+    case_rows.write.mode("overwrite").json(f"{folder}/cases")
+    total.write.mode("overwrite").json(f"{folder}/summary")
+    total.select(F.lit(now).alias("timestamp"), F.struct("*").alias("summary")).write.mode("append").json(f"{folder}/log")
+    line = lambda *cols: F.concat(F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in cols)), F.lit(" |"))
+    head = lambda k, *texts: total.sparkSession.createDataFrame([(k, i, t) for i, t in enumerate(texts)], "part int, n int, line string")
+    cols = ("n", "hit_1", "hit_5", "mrr", "recall_5", "tokens_p50", "tokens_p99")
+    parts = [head(0, "# Evaluation", "", "| " + " | ".join(cols) + " |", "|" + " --- |" * len(cols)), total.select(F.lit(1).alias("part"), F.lit(0).alias("n"), line(*cols).alias("line"))]
+    for k, by in ((2, "library"), (4, "type")):
+        if by in case_rows.columns:
+            parts.append(head(k, "", f"## By {by}", "", "| name | n | hit_1 | hit_5 | mrr |", "|" + " --- |" * 5))
+            parts.append(overview(case_rows, by).select(F.lit(k + 1).alias("part"), F.col("place").alias("n"), line("name", "n", "hit_1", "hit_5", "mrr").alias("line")))
+    parts.append(head(6, "", "## Misses", ""))
+    parts.append(case_rows.filter("first_hit = 0").select(F.lit(7).alias("part"), F.col("qid").cast("int").alias("n"), F.concat(F.lit("- "), F.col("qid").cast("string")).alias("line")))
+    report = parts[0]
+    for p in parts[1:]:
+        report = report.unionByName(p)
+    report.orderBy("part", "n").select("line").write.mode("overwrite").text(f"{folder}/report")
 
 
 def within_budget(case_rows: DataFrame, budgets: list[int]) -> DataFrame:

@@ -53,43 +53,88 @@ def unchanged(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def replace_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
-    """url, path, fate of every URL of either: fresh, kept (skipped for now: the last good row stays), pruned.
+    """url, path, fate, was_there of every URL of either: fresh, kept (skipped for now: the last good row stays), pruned.
 
     old: url, path. new: url, path, skipped (a passing failure).
     """
-    o = old.select("url", F.col("path").alias("old_path"))
+    o = old.select("url", F.col("path").alias("old_path"), F.lit(True).alias("was"))
     n = new.select("url", F.col("path").alias("new_path"), "skipped", F.lit(True).alias("here"))
     both = o.join(n, "url", "full_outer")
     fate = F.when(F.col("here").isNull(), "pruned").when(F.col("skipped") & F.col("old_path").isNotNull(), "kept").when(F.col("skipped"), "skipped").otherwise("fresh")
-    return both.select("url", F.when(fate == "fresh", F.col("new_path")).otherwise(F.col("old_path")).alias("path"), fate.alias("fate"))
+    return both.select("url", F.when(fate == "fresh", F.col("new_path")).otherwise(F.col("old_path")).alias("path"), fate.alias("fate"), F.coalesce("was", F.lit(False)).alias("was_there"))
 
 
 def deletion_guard(fates: DataFrame) -> DataFrame:
-    """n_old, n_pruned and allowed of a replacement."""
-    old = F.count_if(F.col("fate").isin("kept", "pruned", "fresh"))
+    """n_old (rows that were there before), n_pruned and allowed of a replacement."""
+    old = F.count_if("was_there")
     counts = fates.agg(old.alias("n_old"), F.count_if(F.col("fate") == "pruned").alias("n_pruned"))
     stop = (F.col("n_pruned") >= MANY_DELETED) | ((F.col("n_pruned") >= SOME_DELETED) & (F.col("n_pruned") > SHARE_DELETED * F.col("n_old")))
     return counts.withColumn("allowed", ~stop)
 
 
 def source_index(corpus: DataFrame) -> DataFrame:
-    """source, grp, n, lines: the entries of a source's index by the first two segments below it."""
+    """source, grp, rel, line: the entries of each source's index, grouped by the first two segments below it.
+
+    A line is a row, so that a source of any size is written by its range of tasks; see write_lines().
+    """
     parts = F.split("rel", "/")
     grp = F.when(F.size(parts) > 2, F.concat_ws("/", parts[0], parts[1])).when(F.size(parts) == 2, parts[0]).otherwise("")
     line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("rel"), F.lit(")"))
-    rows = corpus.select("source", grp.alias("grp"), F.struct("rel", line.alias("line")).alias("e"))
-    return rows.groupBy("source", "grp").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["line"]), "\n").alias("lines"))
+    return corpus.select("source", grp.alias("grp"), "rel", line.alias("line"))
+
+
+def top_index(corpus: DataFrame) -> DataFrame:
+    """source, n, line: the entries of the index of all sources."""
+    line = F.concat(F.lit("- ["), F.col("source"), F.lit("]("), F.col("source"), F.lit("/_INDEX.md) ("), F.col("n").cast("string"), F.lit(")"))
+    return corpus.groupBy("source").agg(F.count("*").alias("n")).withColumn("line", line)
 
 
 def llms_txt(corpus: DataFrame) -> DataFrame:
-    """source, section, lines: the same by first segment (`Docs` without one), linking to the URL where there is one."""
+    """source, section, path, line: the same by first segment (`Docs` without one), linking to the URL where there is one."""
     parts = F.split("rel", "/")
     section = F.when(F.size(parts) > 1, parts[0]).otherwise("Docs")
     link = F.coalesce(F.when(F.col("url") != "", F.col("url")), F.col("path"))
-    rows = corpus.select("source", section.alias("section"), F.struct("path", F.concat(F.lit("- ["), F.col("title"), F.lit("]("), link, F.lit(")")).alias("line")).alias("e"))
-    return rows.groupBy("source", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["line"]), "\n").alias("lines"))
+    return corpus.select("source", section.alias("section"), "path", F.concat(F.lit("- ["), F.col("title"), F.lit("]("), link, F.lit(")")).alias("line"))
+
+
+def write_lines(rows: DataFrame, heading: str, order: str, folder: str) -> None:
+    """Index lines as text, a folder a source: each heading's lines below it, in order."""
+    first = F.row_number().over(Window.partitionBy("source", heading).orderBy(order)) == 1
+    text = F.when(first & (F.col(heading) != ""), F.concat(F.lit("\n## "), F.col(heading), F.lit("\n\n"), F.col("line"))).otherwise(F.col("line"))
+    rows.withColumn("text", text).repartitionByRange("source", heading, order).sortWithinPartitions("source", heading, order).select("source", "text").write.partitionBy("source").mode("overwrite").text(folder)
 
 
 def status(manifest: DataFrame) -> DataFrame:
     """source, n, first and last fetch, n_same (rows that share another's path) of a manifest."""
     return manifest.groupBy("source").agg(F.count("*").alias("n"), F.min("fetched_at").alias("first"), F.max("fetched_at").alias("last"), (F.count("*") - F.count_distinct("path")).alias("n_same"))
+
+
+def staleness(pages: DataFrame, manifest: DataFrame, now: str, stale_hours: int) -> DataFrame:
+    """Per source with pages: n_pages, n_indexable, last, oldest, n_same, missing_fresh, age_hours (0: fresh), place.
+
+    pages: source, rel, body. manifest: source, path, fetched_at (ISO 8601). A source is stale where its last pull is over
+    stale_hours old; without any, or with one that is no time, its freshness is missing. place: the order of a report,
+    missing ones first, then the oldest.
+    """
+    from ..sources.corpus import indexable
+
+    n = pages.groupBy("source").agg(F.count("*").alias("n_pages"))
+    ok = indexable(pages).groupBy("source").agg(F.count("*").alias("n_indexable"))
+    s = n.join(ok, "source", "left").join(status(manifest).select("source", "first", "last", "n_same"), "source", "left")
+    seconds = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp("last"))
+    missing = F.try_to_timestamp("last").isNull()
+    age = F.when(~missing & (seconds > 3600 * stale_hours), F.floor(seconds / 3600)).otherwise(0).cast("long")
+    s = s.select("source", "n_pages", F.coalesce("n_indexable", F.lit(0)).alias("n_indexable"), "last", F.col("first").alias("oldest"), F.coalesce("n_same", F.lit(0)).alias("n_same"), missing.alias("missing_fresh"), age.alias("age_hours"))
+    return s.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("missing_fresh"), F.desc("age_hours"), "source")))
+
+
+def index_match(pages: DataFrame, index_pages: DataFrame) -> DataFrame:
+    """n_pages, n_indexed, n_missing (indexable but not in the index), n_gone (in the index but not there), matches."""
+    both = pages.select("path", F.lit(1).alias("a")).join(index_pages.select("path", F.lit(1).alias("b")), "path", "full_outer")
+    out = both.agg(F.count("a").alias("n_pages"), F.count("b").alias("n_indexed"), F.count_if(F.col("b").isNull()).alias("n_missing"), F.count_if(F.col("a").isNull()).alias("n_gone"))
+    return out.withColumn("matches", (F.col("n_missing") == 0) & (F.col("n_gone") == 0))
+
+
+def rebuild_or_upsert(before: DataFrame | None, changed: int, total: int, share: float = 0.5) -> str:
+    """`rebuild` where there is no index yet, or most pages changed; else `upsert`."""
+    return "rebuild" if before is None or total == 0 or changed > share * total else "upsert"

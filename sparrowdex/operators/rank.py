@@ -7,6 +7,8 @@ candidates.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,17 @@ DEPTH_STEP, DEPTH_LEAST, EXACT_TITLE = -2, -16, 100
 PROFILE, PROFILE_SUB = 30, 15
 
 
+@dataclass(frozen=True)
+class Boost:
+    """Points of a source's pages under a prefix; only of relaxed hits; more where the segment below it is asked for."""
+
+    source: str
+    prefix: str
+    points: int
+    relaxed: bool = False
+    topic_points: int = 0
+
+
 def tier_score(rank: Column) -> Column:
     """Ten times the negated rank, truncated; rounded first, so that sums in another order give the same."""
     return F.round(-rank * 10, 9).cast("int")
@@ -47,17 +60,29 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda x: x != "")
 
 
-def rerank(candidates: DataFrame, plans: DataFrame, corpus: DataFrame, limit: int = 10) -> DataFrame:
+def _prefix_points(boosts: tuple[Boost, ...]) -> Column:
+    """The points of the prefix rules that a page falls under, and of those whose topic is asked for."""
+    points = F.lit(0)
+    topic = F.coalesce(F.get(F.split("inner", "/"), F.lit(1)), F.lit(""))
+    asked = F.exists("concepts", lambda k: _concept_in(_words(topic), k))
+    for b in boosts:
+        fits = (F.col("source") == b.source) & F.startswith("inner", F.lit(b.prefix)) & (F.col("from_relaxed") | F.lit(not b.relaxed))
+        points = points + F.when(fits, b.points + F.when(asked, b.topic_points).otherwise(0)).otherwise(0)
+    return points
+
+
+def rerank(candidates: DataFrame, plans: DataFrame, corpus: DataFrame, limit: int = 10, boosts: tuple[Boost, ...] = ()) -> DataFrame:
     """qid, path, source, title, score, tie, place of the best candidates.
 
-    plans: qid, scoring (tokens), concepts (each with its equivalents), intended (sources), source_words (keywords of
-    the intended sources), strong (source or null). corpus: path, title; in_profile and in_profile_sub if it has them.
+    plans: qid, scoring (tokens), synonymed (those of them that have synonyms), concepts (each with its equivalents),
+    intended (sources), source_words (keywords of the intended sources), strong (source or null). corpus: path, title;
+    in_profile and in_profile_sub if it has them. boosts: what prefixes of a source's paths earn, a short list.
     """
     profile = [c for c in ("in_profile", "in_profile_sub") if c in corpus.columns]
     c = candidates.join(corpus.select("path", "title", *profile), "path").join(plans, "qid")
     inner = F.regexp_replace("path", "^[^/]*/", "")
-    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.mdx?$", "")
-    c = c.withColumns({"low": F.lower("title"), "inner": F.lower(inner), "base_words": _words(base)})
+    base = F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.md$", ""), r"\.mdx$", "")
+    c = c.withColumns({"low": F.lower(F.trim("title")), "inner": F.lower(inner), "base": base, "base_words": _words(base)})
     c = c.withColumn("own", F.array_contains("intended", F.col("source")))
     telling = F.filter("scoring", lambda t: ~(F.col("own") & F.array_contains("source_words", t)))
     c = c.withColumn("telling", telling)
@@ -66,15 +91,16 @@ def rerank(candidates: DataFrame, plans: DataFrame, corpus: DataFrame, limit: in
         {
             "in_title": count("telling", lambda t: F.contains(F.col("low"), t)),
             "in_path": count("telling", lambda t: F.contains(F.col("inner"), t)),
-            "in_base": count("telling", lambda t: F.exists("base_words", lambda w: _same_stem(w, t))),
+            "in_base": count("telling", lambda t: F.contains(F.col("base"), t)),
+            "is_base": count("telling", lambda t: ~F.array_contains("synonymed", t) & _same_stem(F.col("base"), t)),
             "surface": count("concepts", lambda k: _concept_in(F.concat("base_words", _words(F.col("low")), _words(F.col("inner"))), k)),
             "base_concepts": count("concepts", lambda k: _concept_in(F.col("base_words"), k)),
             "depth": F.size(F.split("inner", "/")) - 1,
         }
     )
     score = F.when(F.col("from_title") | F.col("from_path"), F.greatest("score", F.lit(FLOOR_SURFACE))).otherwise(F.col("score"))
-    score = score + TITLE_TOKEN * F.col("in_title") + F.when(F.col("own"), INTENDED).otherwise(0) + PATH_TOKEN * F.col("in_path") + BASENAME_TOKEN * F.col("in_base")
-    named = (F.col("low") == F.array_join("base_words", " ")) & (F.col("in_title") >= 1) & (F.col("in_base") >= 1)
+    score = score + TITLE_TOKEN * F.col("in_title") + F.when(F.col("own"), INTENDED).otherwise(0) + PATH_TOKEN * F.col("in_path") + BASENAME_TOKEN * F.col("is_base") + _prefix_points(boosts)
+    named = (F.col("low") != "") & (F.col("low") == F.translate("base", "-_", "  ")) & (F.col("in_title") >= 1) & (F.col("in_base") >= 1)
     both = (F.col("in_title") >= 2) & (F.col("in_base") >= 2)
     c = c.withColumns({"score": score + F.when(named | both, 1).otherwise(0), "tie": F.when(named, 1).otherwise(0)})
     relaxed = F.col("from_relaxed")

@@ -49,10 +49,10 @@ def dedupe_locales(urls: DataFrame, prefix: str | None = None, limit: int = 0) -
 
 
 def route(urls: DataFrame, routes: DataFrame) -> DataFrame:
-    """url, source, rel by the first of routes (idx, host, prefix, source) that fits; none: no row. routes is a small fixed table."""
+    """url, source, rel by the first of routes (idx, host, prefix, source) that fits; none: no row."""
     host, path = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
     u = urls.select("url", host.alias("host"), path.alias("path"))
-    fits = u.join(F.broadcast(routes), "host").filter(F.col("path").startswith(F.col("prefix")))
+    fits = u.join(routes, "host").filter(F.col("path").startswith(F.col("prefix")))
     rest = F.expr("trim('/' FROM substring(path, length(prefix) + 1))")
     best = fits.groupBy("url").agg(F.min(F.struct("idx", "source", rest.alias("rest"))).alias("r"))
     return best.select("url", "r.source", F.concat(F.when(F.col("r.rest") == "", "index").otherwise(F.col("r.rest")), F.lit(".md")).alias("rel"))

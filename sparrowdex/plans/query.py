@@ -9,6 +9,7 @@ import re
 from dataclasses import dataclass, field
 
 from ..functions.text import STOP_WORDS
+from ..operators.rank import Boost
 
 # Words that stand for each other, acronyms and what they stand for, and looser equivalents.
 SYNONYMS = (
@@ -36,6 +37,7 @@ class Config:
     synonyms: tuple[tuple[str, ...], ...] = SYNONYMS
     acronyms: dict[str, str] = field(default_factory=lambda: dict(ACRONYMS))
     loose: tuple[tuple[str, ...], ...] = LOOSE
+    boosts: tuple[Boost, ...] = ()  # of sources' path prefixes
 
     def others(self, token: str, classes: tuple[tuple[str, ...], ...]) -> list[str]:
         return list(dict.fromkeys(o for c in classes if token in c for o in c if o != token))
@@ -134,6 +136,7 @@ class Plan:
     leaves: dict[str, list[Leaf]]
     sources: dict[str, str | None]
     scoring: list[str]
+    synonymed: list[str]
     concepts: list[list[str]]
     intended: list[str]
     strong: str | None
@@ -162,7 +165,8 @@ def plan(qid: int, q: str, source: str | None = None, config: Config | None = No
             leaves["relaxed_body"], sources["relaxed_body"] = loose, source or strong
     scoring = [t for t in scoring_tokens(q, exact) if t != source] or scoring_tokens(q, exact)
     concepts = [[t, *config.others(t, config.synonyms), *config.others(t, config.loose)] for t in intended_sources(tokens, config)[1]]
-    return Plan(qid, leaves, sources, scoring, concepts, intended, strong, q.lower())
+    synonymed = [t for t in scoring if config.others(t, config.synonyms)]
+    return Plan(qid, leaves, sources, scoring, synonymed, concepts, intended, strong, q.lower())
 
 
 def leaf_rows(plans: list[Plan]) -> list[tuple]:

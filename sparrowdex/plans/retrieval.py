@@ -50,6 +50,11 @@ class Options:
     confidence: float = 0.0  # a lead that needs no reranker
     hygiene: list[tuple[str, int]] = field(default_factory=list)
     latest_only: bool = False
+    version: str | None = None  # only hits of this version, or `latest`
+    registry: DataFrame | None = None  # family, latest_version, lts_version: turns the version policy on
+    pins: DataFrame | None = None  # family, scope, version
+    cwd: str = ""
+    roots: dict[str, str] = field(default_factory=dict)  # of projects: root -> scope
     snippets: bool = True
     once: bool = False  # each snippet once a question
 
@@ -68,6 +73,53 @@ def _ranked(hits: DataFrame, options: Options, questions: list[tuple[int, str, s
     return out.drop("place").withColumnRenamed("new_place", "place")
 
 
+def _searched(pages: DataFrame, questions: list[tuple[int, str, str | None]], families: dict[int, str], config: query.Config | None, limit: int, o: Options) -> DataFrame:
+    """search(); a question about a family asks each of its sources, and keeps a page's best score."""
+    if not families:
+        return search(pages, questions, config, limit, o.exact)
+    version = P.version_of(F.col("source"))
+    wanted = pages.select("source").distinct().withColumn("family", version["family"])
+    sources: dict[str, list[str]] = {}
+    for r in wanted.filter(F.col("family").isin(sorted(set(families.values())))).toLocalIterator():
+        sources.setdefault(r.family, []).append(r.source)
+    asked, of = [], {}
+    for qid, text, source in questions:
+        for s in sorted(sources.get(families[qid], [])) if qid in families else [source]:
+            of[len(asked)] = qid
+            asked.append((len(asked), text, s))
+    each = search(pages, asked, config, limit, o.exact).withColumnRenamed("qid", "ask")
+    named = each.join(pages.sparkSession.createDataFrame(sorted(of.items()), "ask long, qid long"), "ask")
+    best = named.groupBy("qid", "path").agg(F.max_by(F.struct("source", "title", "score", "snippets"), F.struct("score", -F.col("ask"))).alias("h")).select("qid", "path", "h.*")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path")))
+
+
+def _with_versions(hits: DataFrame, o: Options, questions: list[tuple[int, str, str | None]], families: dict[int, str]) -> DataFrame:
+    """hits with family, version, lane, pinned_here and prefers; only those of the family and version that are asked for."""
+    spark = hits.sparkSession
+    pins = o.pins if o.pins is not None else spark.createDataFrame([], "family string, scope string, version string")
+    rows = [(q, o.version == "latest" or o.latest_only or prefers_latest(t), families.get(q)) for q, t, _ in questions]
+    asked = spark.createDataFrame(rows, "qid long, prefers boolean, wanted string")
+    h = P.version_info(hits, pins, o.registry, pin_scope(o.cwd, o.roots)).join(asked, "qid")
+    h = h.filter(F.col("wanted").isNull() | (F.col("family") == F.col("wanted"))).drop("wanted")
+    if o.version == "latest" or o.latest_only:
+        return h.filter("lane = 'latest'")
+    return h.filter(F.col("version").eqNullSafe(F.lit(o.version.lstrip("v")))) if o.version else h
+
+
+def _by_version(hits: DataFrame, o: Options, questions: list[tuple[int, str, str | None]], families: dict[int, str]) -> DataFrame:
+    """hits with their lane's points added to their score, in the order of the sums."""
+    h = _with_versions(hits, o, questions, families)
+    h = h.withColumn("score", F.col("score") + P.lane_score(F.col("lane"), F.col("prefers"), F.col("pinned_here")))
+    return h.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path"))).select(*hits.columns)
+
+
+def _one_of_equivalents(hits: DataFrame, o: Options, questions: list[tuple[int, str, str | None]], families: dict[int, str]) -> DataFrame:
+    """After the rerankers: hits of the wanted versions, in their order, the first of pages that differ by version only."""
+    h = _with_versions(hits, o, questions, families)
+    inner = F.regexp_replace(F.regexp_replace("path", "^[^/]*/", ""), r"(^|/)(v\d+(\.\d+)*|\d+\.\d+(\.\d+)*)(?=/)", "$1")
+    return P.collapse_versions(h, F.concat_ws("/", "family", inner)).drop("place").withColumnRenamed("new_place", "place").select(*hits.columns)
+
+
 def retrieve(corpus: DataFrame, questions: list[tuple[int, str, str | None]], config: query.Config | None = None, options: Options | None = None) -> DataFrame:
     """qid, place, path, source, title, score, snippets of the best pages of each question (qid, text, source or None)."""
     o = options or Options()
@@ -75,7 +127,11 @@ def retrieve(corpus: DataFrame, questions: list[tuple[int, str, str | None]], co
     pages = P.profile_match(corpus, o.profile) if o.profile else corpus
     if o.strict_profile and o.profile:
         pages = pages.filter("in_profile")
-    wide = candidate_limit(o.limit, o.rank_depth if o.ranker else 0)
+    wide = candidate_limit(o.limit, o.rank_depth if o.ranker else 0, o.registry is not None)
+    families: dict[int, str] = {}
+    if o.registry is not None:
+        known = {r[0] for r in o.registry.select("family").collect()}  # a deployment's list
+        families = {q: family for q, _, s in questions if (family := P.family_of(s, known)[1])}
     asked = spark.createDataFrame([(q, t) for q, t, _ in questions], "qid long, q string")
     none = F.array().cast("array<struct<line:int,text:string>>")
 
@@ -86,9 +142,11 @@ def retrieve(corpus: DataFrame, questions: list[tuple[int, str, str | None]], co
     if o.mode == "scan":
         hits = scanned(asked)
     else:
-        hits = search(pages, questions, config, wide, o.exact).select("qid", F.col("place").cast("int").alias("place"), "path", "source", "title", F.col("score").cast("int").alias("score"), "snippets")
+        hits = _searched(pages, questions, families, config, wide, o).select("qid", F.col("place").cast("int").alias("place"), "path", "source", "title", F.col("score").cast("int").alias("score"), "snippets")
         if o.mode == "auto":
             hits = hits.unionByName(scanned(asked.join(hits.select("qid"), "qid", "left_anti")))
+    if o.registry is not None:
+        hits = _by_version(hits, o, questions, families)
     if o.vectors is not None and o.embedder is not None:
         texts = [o.rewriter(t) if o.rewriter else t for _, t, _ in questions]
         rows = [(q, [float(x) for x in e]) for (q, _, _), e in zip(questions, o.embedder(texts), strict=True)]
@@ -100,7 +158,9 @@ def retrieve(corpus: DataFrame, questions: list[tuple[int, str, str | None]], co
         hits = fused.join(info, "path").join(scores, ["qid", "path"], "left").select("qid", "place", "path", "source", "title", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("snippets", none).alias("snippets"))
     if o.ranker:
         hits = _ranked(hits, o, questions)
-    if o.latest_only:
+    if o.registry is not None:
+        hits = _one_of_equivalents(hits, o, questions, families)
+    elif o.latest_only:
         version = P.version_of(F.col("source"))
         hits = hits.filter(version["lane"] == "latest")
     renumber = F.row_number().over(Window.partitionBy("qid").orderBy("place"))

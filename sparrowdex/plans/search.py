@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippets
-from ..operators.bm25 import FIELDS, LEAF_SCHEMA, bm25, page_lengths, tokens_of, top
+from ..operators.bm25 import FIELDS, LEAF_SCHEMA, Index, build, ranked, top
 from ..operators.rank import merge, rerank
 from . import query
 
@@ -25,47 +27,80 @@ TIERS = {
 }
 #: Pages with this in the body only name their variants, and are no hits of relaxed_body.
 VARIANT_STUB = "this article has multiple variants. fetch one of the following urls"
-PLAN_SCHEMA = "qid long, q string, scoring array<string>, concepts array<array<string>>, intended array<string>, source_words array<string>, strong string"
+PLAN_SCHEMA = "qid long, q string, scoring array<string>, synonymed array<string>, concepts array<array<string>>, intended array<string>, source_words array<string>, strong string"
 
 
-def search(corpus: DataFrame, questions: list[tuple[int, str, str | None]], config: query.Config | None = None, limit: int = 10, exact: bool = False, stemmed: bool = True, weights: str = "effective") -> DataFrame:
+def search(corpus: DataFrame, questions: list[tuple[int, str, str | None]], config: query.Config | None = None, limit: int = 10, exact: bool = False, stemmed: bool = True, weights: str = "effective", index: Index | None = None) -> DataFrame:
     """qid, place, path, source, title, score, snippets for questions (qid, text, source or None).
 
-    weights: `effective` or `documented` (see TIERS). Bodies are joined to final hits only.
+    weights: `effective` or `documented` (see TIERS). index: that of the corpus, if it is built already. Bodies are joined
+    to final hits only.
     """
     spark = corpus.sparkSession
     config = config or query.Config()
+    index = index or build(corpus, stemmed)
     plans = [query.plan(qid, q, source, config, exact) for qid, q, source in questions]
     rows = query.leaf_rows(plans)
-    if stemmed:
-        from ..functions.text import Porter, fold
-
-        rows = [(*r[:5], [Porter.stem(fold(t)) for t in r[5]], r[6]) for r in rows]
-    leaves = spark.createDataFrame(rows, LEAF_SCHEMA)
-    index = corpus.select("path", "source", "title", "body")
-    # Both are small beside the corpus and read by every tier.
-    toks = tokens_of(index, leaves, stemmed).persist()
-    lens = page_lengths(index).persist()
-    hits = None
-    for tier, (effective, documented, fields, times, more) in TIERS.items():
-        if not any(r[1] == tier for r in rows):
-            continue
-        ranked = bm25(toks, leaves.filter(F.col("tier") == tier), effective if weights == "effective" else documented, fields, lens)
-        if tier == "relaxed_body":
-            ranked = ranked.join(index.filter(F.contains(F.lower("body"), F.lit(VARIANT_STUB))).select("path"), "path", "left_anti").select(ranked.columns)
-        best = top(ranked, times * limit + more)
-        hits = best if hits is None else hits.unionByName(best)
+    if index.stemmed:
+        from ..functions.text import _stem
+
+        rows = [(*r[:5], [_stem(t) for t in r[5]], r[6]) for r in rows]
+    found = ranked(index, spark.createDataFrame(rows, LEAF_SCHEMA), {t: (effective if weights == "effective" else documented, fields) for t, (effective, documented, fields, _, _) in TIERS.items()})
+    if any(r[1] == "relaxed_body" for r in rows):
+        stubs = corpus.filter(F.contains(F.lower("body"), F.lit(VARIANT_STUB))).select("path", F.lit("relaxed_body").alias("tier"))
+        found = found.join(stubs, ["path", "tier"], "left_anti")
+    best = top(found, 0)
+    hits = best.filter(F.col("place") <= F.coalesce(*(F.when(F.col("tier") == t, times * limit + more) for t, (*_, times, more) in TIERS.items())))
     words = lambda p: sorted({w for s in p.intended for k, names in config.source_keywords.items() if s in names for w in query.tokenize(k)})
-    known = spark.createDataFrame([(p.qid, p.text, p.scoring, p.concepts, p.intended, words(p), p.strong) for p in plans], PLAN_SCHEMA)
-    final = rerank(merge(hits), known.drop("q"), corpus, limit)
+    known = spark.createDataFrame([(p.qid, p.text, p.scoring, p.synonymed, p.concepts, p.intended, words(p), p.strong) for p in plans], PLAN_SCHEMA)
+    profile = [c for c in ("in_profile", "in_profile_sub") if c in corpus.columns]
+    facts = index.pages.select("path", "title")
+    if profile:
+        facts = facts.join(corpus.select("path", *profile), "path")
+    final = rerank(merge(hits), known.drop("q"), facts, limit, config.boosts)
     return final.join(corpus.select("path", "body"), "path").join(known.select("qid", "q"), "qid").select("qid", "place", "path", "source", "title", "score", snippets(F.col("body"), F.col("q")).alias("snippets"))
 
 
+#: White space as the questions are split by it.
+_SPACE = re.compile("[ \t\n\x0b\f\r]+")
+
+
+class _Tokens:
+    """Which tokens occur in a word, and how often: looked up by one automaton, remembered for each word."""
+
+    def __init__(self, tokens: list[str]):
+        import ahocorasick
+
+        self.tokens, self.known = tokens, {}
+        self.automaton = ahocorasick.Automaton()
+        for i, t in enumerate(tokens):
+            self.automaton.add_word(t, i)
+        if tokens:
+            self.automaton.make_automaton()
+
+    def of(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        if (found := self.known.get(word)) is None:
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            at = sorted({i for _, i in self.automaton.iter(word)}) if self.tokens else []
+            found = self.known[word] = np.array(at, dtype=np.int64), np.array([word.count(self.tokens[i]) for i in at], dtype=float)
+        return found
+
+    def counts(self, text: str) -> np.ndarray:
+        """How often each token occurs in text; a token has no white space, so it lies in one word."""
+        words = Counter(w for w in _SPACE.split(text) if w)
+        found = [self.of(w) for w in words]
+        n = np.repeat(np.fromiter(words.values(), dtype=float, count=len(words)), [len(i) for i, _ in found])
+        at, times = (np.concatenate(x) if found else np.zeros(0) for x in (list(zip(*found, strict=True)) or [[], []]))
+        return np.bincount(at.astype(np.int64), weights=times * n, minlength=len(self.tokens))
+
+
 def scan(corpus: DataFrame, questions: DataFrame, limit: int = 10, block: int = 1000) -> DataFrame:
     """The search without an index: every body is read once for each block of questions (qid, q).
 
-    5 points for a token in the title, and one for each occurrence of each token in the body. Each batch of pages keeps
-    only its own best of every question before anything is shuffled. limit 0: all pages with points.
+    5 points for a token in the title, and one for each occurrence of each token in the body, tokens of a question
+    counted as often as it has them. Each batch of pages keeps only its own best of every question before anything is
+    shuffled. limit 0: all pages with points.
     """
     spark = corpus.sparkSession
     pages = corpus.select("path", F.lower("title").alias("title"), F.lower("body").alias("body"))
@@ -76,22 +111,21 @@ def scan(corpus: DataFrame, questions: DataFrame, limit: int = 10, block: int =
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids = np.array([q for q, _ in shared.value], dtype=np.int64)
-            tokens = sorted({t for _, ts in shared.value for t in ts})
-            at = {t: i for i, t in enumerate(tokens)}
-            times = np.zeros((len(qids), len(tokens)))
+            words = sorted({t for _, ts in shared.value for t in ts})
+            at, tokens = {t: i for i, t in enumerate(words)}, _Tokens(words)
+            times = np.zeros((len(qids), len(words)))
             for i, (_, ts) in enumerate(shared.value):
                 for t in ts:
                     times[i, at[t]] += 1
             for pdf in batches:
-                scores = np.zeros((len(qids), len(pdf)))
-                for j, (title, body) in enumerate(zip(pdf["title"], pdf["body"], strict=True)):
-                    scores[:, j] = times @ np.array([body.count(t) for t in tokens], dtype=float)
-                    scores[:, j] += 5 * ((times @ np.array([t in title for t in tokens], dtype=float)) > 0)
-                for i, q in enumerate(qids.tolist()):
-                    n = len(pdf) if limit <= 0 else min(limit, len(pdf))
-                    floor = max(1.0, np.partition(scores[i], len(pdf) - n)[len(pdf) - n]) if n else 1.0
-                    own = np.flatnonzero(scores[i] >= floor)
-                    yield pd.DataFrame({"qid": q, "path": pdf["path"].to_numpy()[own], "score": scores[i][own].astype(np.int64)})
+                for start in range(0, len(pdf), 256):
+                    some = pdf.iloc[start : start + 256]
+                    bodies, titles = (np.stack([tokens.counts(t or "") for t in some[c]], axis=1) for c in ("body", "title"))
+                    scores = times @ bodies + 5 * ((times @ (titles > 0)) > 0)
+                    n = len(some) if limit <= 0 else min(limit, len(some))
+                    floor = np.maximum(1.0, np.partition(scores, len(some) - n, axis=1)[:, len(some) - n])
+                    q, own = np.nonzero(scores >= floor[:, None])
+                    yield pd.DataFrame({"qid": qids[q], "path": some["path"].to_numpy()[own], "score": scores[q, own].astype(np.int64)})
 
         return pages.mapInPandas(best, "qid long, path string, score long")
 
@@ -110,8 +144,7 @@ def scan(corpus: DataFrame, questions: DataFrame, limit: int = 10, block: int =
     return placed.filter(F.col("place") <= limit) if limit > 0 else placed
 
 
-def questions_of(spark: SparkSession, benchmark: DataFrame, words: int | None = 6) -> list[tuple[int, str, str | None]]:
-    """The benchmark's items as questions: the first words of each (None: all), in order of item_id."""
-    split = F.split(F.trim("text"), r"\s+")
-    got = benchmark.select("item_id", F.array_join(split if words is None else F.slice(split, 1, words), " ").alias("q")).orderBy("item_id")
+def questions_of(benchmark: DataFrame) -> list[tuple[int, str, str | None]]:
+    """The benchmark's items as questions, in order of item_id; runs of white space are one blank."""
+    got = benchmark.select("item_id", F.regexp_replace(F.trim("text"), r"\s+", " ").alias("q")).orderBy("item_id")
     return [(r[0], r[1], None) for r in got.toLocalIterator()]

@@ -3,30 +3,54 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 
-def fetch(urls: DataFrame, fetcher: Callable[[str], str], tries: int = 3) -> DataFrame:
-    """url, body, error of each URL by an injected fetcher, tried again where it raises OSError."""
+
+class HttpError(OSError):
+    """What a fetcher raises for a status of 400 or more; after: the seconds of its Retry-After, if it has one."""
+
+    def __init__(self, status: int, after: float = 0.0):
+        super().__init__(f"HTTP {status}")
+        self.status, self.after = status, after
+
+    def __reduce__(self):
+        return HttpError, (self.status, self.after)
+
+
+def fetch(urls: DataFrame, fetcher: Callable[[str], str], tries: int = 3, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep, parallel: int = 0) -> DataFrame:
+    """url, body, error of each URL by an injected fetcher.
+
+    Tried again where it raises OSError, but not for an HttpError of another status than 429 or 500 and up. Waits double
+    from `wait` seconds on; a Retry-After goes before them. parallel: into how many tasks the URLs are dealt (0: as they
+    are), which bounds how many are fetched at once.
+    """
+
+    def one(url: str) -> tuple[str, str | None, str | None]:
+        pause = wait
+        for n in range(tries):
+            try:
+                return url, fetcher(url), None
+            except OSError as e:
+                final = isinstance(e, HttpError) and e.status != 429 and e.status < 500
+                if final or n + 1 == tries:
+                    return url, None, str(e)
+                sleep(e.after if isinstance(e, HttpError) and e.after > 0 else pause)
+                pause *= 2
+        return url, None, "not tried"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for url in pdf["url"]:
-                for n in range(tries):
-                    try:
-                        rows.append((url, fetcher(url), None))
-                        break
-                    except OSError as e:
-                        if n + 1 == tries:
-                            rows.append((url, None, str(e)))
-            yield pd.DataFrame(rows, columns=["url", "body", "error"])
+            yield pd.DataFrame([one(url) for url in pdf["url"]], columns=["url", "body", "error"])
 
-    return urls.select("url").mapInPandas(run, "url string, body string, error string")
+    each = urls.select("url").repartition(parallel) if parallel else urls.select("url")
+    return each.mapInPandas(run, "url string, body string, error string")
 
 
 def sitemap_locations(xml: Column) -> Column:
@@ -35,36 +59,61 @@ def sitemap_locations(xml: Column) -> Column:
 
 
 def sitemap_urls(spark: SparkSession, start: str, fetcher: Callable[[str], str], depth: int = 5) -> DataFrame:
-    """All page URLs of a sitemap, indexes followed level by level."""
-    level, pages = spark.createDataFrame([(start,)], "url string"), None
+    """All page URLs of a sitemap, indexes followed level by level; more than `depth` levels of them are an error.
+
+    Each level is fetched once. An index that was met before is not followed again.
+    """
+    level, pages, seen = spark.createDataFrame([(start,)], "url string"), None, spark.createDataFrame([(start,)], "url string")
     for _ in range(depth):
-        got = fetch(level, fetcher).filter("body IS NOT NULL")
+        got = stored(fetch(level, fetcher).filter("body IS NOT NULL"), "sitemaps")
         locs = got.select(F.col("body").contains("<sitemapindex").alias("index"), F.explode(sitemap_locations(F.col("body"))).alias("url"))
         own = locs.filter("NOT index").select("url")
         pages = own if pages is None else pages.unionByName(own)
-        level = locs.filter("index").select("url").distinct()
+        level = stored(locs.filter("index").select("url").distinct().join(seen, "url", "left_anti"), "sitemap-level")
         if level.isEmpty():
-            break
-    return pages.distinct()
+            return pages.distinct()
+        seen = seen.unionByName(level)
+    raise ValueError(f"{level.count()} sitemaps lie deeper than {depth} levels; raise depth")
 
 
-def crawl(edges: DataFrame, start: DataFrame, prefix: str = "", limit: int = 10_000) -> DataFrame:
+def crawl(edges: DataFrame, start: DataFrame, prefix: str = "", limit: int = 0) -> DataFrame:
     """path and depth of what is reached from start (path) along edges (path, to) below prefix, nearest first.
 
-    A frontier step is a join with the edges less what was seen; steps end when nothing new is found or `limit`, the
-    crawl's budget, is reached.
+    A frontier step is a join with the edges less what was seen; steps end when nothing new is found, or where a crawl has
+    a budget (limit above 0), when as much is found.
     """
     seen = start.select("path").distinct().withColumn("depth", F.lit(0))
     frontier, depth = seen, 0
     while True:
         depth += 1
         step = frontier.join(edges, "path").select(F.col("to").alias("path")).filter(F.col("path").startswith(prefix)).distinct()
-        frontier = step.join(seen, "path", "left_anti").withColumn("depth", F.lit(depth)).checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else step.join(seen, "path", "left_anti").withColumn("depth", F.lit(depth)).cache()
-        if frontier.isEmpty():
-            return seen.orderBy("depth", "path").limit(limit)
-        seen = seen.unionByName(frontier)
-        if seen.count() >= limit:
-            return seen.orderBy("depth", "path").limit(limit)
+        frontier = stored(step.join(seen, "path", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if not frontier.isEmpty():
+            seen = seen.unionByName(frontier)
+            if not limit or seen.count() < limit:
+                continue
+        found = seen.orderBy("depth", "path")
+        return found.limit(limit) if limit else found
+
+
+def crawl_documents(spark: SparkSession, start: str, fetcher: Callable[[str], str], links: Callable[[str], list[str]], prefix: str = "", limit: int = 0, parallel: int = 0) -> DataFrame:
+    """path, depth, body of the documents reached from start by the links that `links` reads in a body.
+
+    Each level is fetched once and stored; a document that can't be fetched has no links. limit: as in crawl().
+    """
+    level = spark.createDataFrame([(start,)], "url string")
+    seen, depth = level, 0
+    out = None
+    found_in = F.pandas_udf(lambda bodies: bodies.map(lambda b: [] if b is None else list(links(b))), "array<string>")
+    while True:
+        got = stored(fetch(level, fetcher, parallel=parallel).select(F.col("url").alias("path"), F.lit(depth).alias("depth"), "body"), "crawled")
+        out = got if out is None else out.unionByName(got)
+        next_ = got.select(F.explode(found_in("body")).alias("url")).filter(F.col("url").startswith(prefix)).distinct().join(seen, "url", "left_anti")
+        level, depth = stored(next_, "crawl-level"), depth + 1
+        if level.isEmpty() or limit and seen.count() >= limit:
+            ordered = out.filter("body IS NOT NULL").orderBy("depth", "path")
+            return ordered.limit(limit) if limit else ordered
+        seen = seen.unionByName(level)
 
 
 def llms_pages(text: Column) -> Column:

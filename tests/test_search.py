@@ -27,11 +27,15 @@ def fts(rows):
     return c
 
 
+def ranks(df, leaves, weights):
+    return {r.path: r.rank for r in B.ranked(B.build(df, True), leaves, {"body": (weights, B.FIELDS)}).collect()}
+
+
 @pytest.mark.parametrize("terms", [["running"], ["policies", "token"], ["etre"], ["connect", "hop"]])
 def test_bm25_equals_fts5(spark, terms):
     df, rows = corpus(spark)
     leaves = spark.createDataFrame([(0, "body", 0, i, i, [Porter.stem(t)], None) for i, t in enumerate(terms)], B.LEAF_SCHEMA)
-    got = {r.path: r.rank for r in B.bm25(B.tokens(df, True), leaves, {"title": 5, "path": 3, "body": 1}).collect()}
+    got = ranks(df, leaves, {"title": 5, "path": 3, "body": 1})
     want = dict(fts(rows).execute("SELECT key, bm25(d, 5, 3, 1) FROM d WHERE d MATCH ?", (" AND ".join(terms),)).fetchall())
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
@@ -40,7 +44,7 @@ def test_bm25_equals_fts5(spark, terms):
 def test_phrase_equals_fts5(spark):
     df, rows = corpus(spark, 60, 3)
     leaves = spark.createDataFrame([(0, "body", 0, 0, 0, [Porter.stem("multi"), Porter.stem("factor")], None)], B.LEAF_SCHEMA)
-    got = {r.path: r.rank for r in B.bm25(B.tokens(df, True), leaves, {"title": 1, "path": 1, "body": 1}).collect()}
+    got = ranks(df, leaves, {"title": 1, "path": 1, "body": 1})
     want = dict(fts(rows).execute("SELECT key, bm25(d) FROM d WHERE d MATCH '\"multi factor\"'").fetchall())
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
@@ -76,3 +80,45 @@ def test_exact_title_comes_first(spark):
     assert [h.path for h in hits if h.qid == 1][0] == "s/a.md"
     assert [h.path for h in hits if h.qid == 2] == ["s/e.md"]
     assert all(isinstance(h.score, int) for h in hits)
+
+
+def test_phrases_of_any_length_equal_fts5(spark):
+    df, rows = corpus(spark, 50, 5)
+    index, db, r = B.build(df, True), fts(rows), random.Random(2)
+    asked = []
+    for qid in range(24):
+        words = fold(r.choice(rows)[3]).lower().split()
+        at = r.randrange(len(words))
+        asked.append((qid, words[at : at + r.randint(1, 5)]))
+    asked += [(100, ["nowhere"]), (101, ["running", "nowhere"]), (102, ["token", "token"])]
+    leaves = spark.createDataFrame([(q, "body", 0, 0, 0, [Porter.stem(t) for t in ts], None) for q, ts in asked], B.LEAF_SCHEMA)
+    got = {(x.qid, x.path): x.rank for x in B.ranked(index, leaves, {"body": ({"title": 5, "path": 3, "body": 1}, B.FIELDS)}).collect()}
+    want = {(q, p): k for q, ts in asked for p, k in db.execute("SELECT key, bm25(d, 5, 3, 1) FROM d WHERE d MATCH ?", ('"' + " ".join(ts) + '"',))}
+    assert got.keys() == want.keys() and len(want) > 24 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_groups_and_branches_equal_fts5(spark):
+    """All groups of a branch, any leaf of a group, any branch; and a source."""
+    df, rows = corpus(spark, 60, 8)
+    index, db = B.build(df, True), fts(rows)
+    shapes = {
+        1: ([(0, 0, "running"), (0, 1, "token"), (0, 1, "connect")], "running AND (token OR connect)"),
+        2: ([(0, 0, "running"), (1, 0, "multi factor"), (2, 0, "etre")], "running OR \"multi factor\" OR etre"),
+        3: ([(0, 0, "policy"), (0, 1, "nowhere"), (1, 0, "hop")], "(policy AND nowhere) OR hop"),
+        4: ([(0, 0, "nowhere")], "nowhere"),
+    }
+    rows_ = [(q, "body", b, g, i, [Porter.stem(w) for w in t.split()], "s1" if q == 1 else None) for q, (leaves, _) in shapes.items() for i, (b, g, t) in enumerate(leaves)]
+    got = {(x.qid, x.path): x.rank for x in B.ranked(index, spark.createDataFrame(rows_, B.LEAF_SCHEMA), {"body": ({"title": 1, "path": 1, "body": 1}, B.FIELDS)}).collect()}
+    want = {(q, p): k for q, (_, match) in shapes.items() for p, k in db.execute("SELECT key, bm25(d) FROM d WHERE d MATCH ?", (match,)) if q != 1 or p.startswith("s1/")}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want if k[0] != 3)  # a leaf that occurs nowhere is no leaf there
+
+
+def test_a_written_index_is_opened_again(spark, tmp_path):
+    df, _ = corpus(spark)
+    built = B.build(df, True, str(tmp_path / "index"))
+    again = B.open_index(spark, str(tmp_path / "index"))
+    assert again.stemmed and again.postings.count() == built.postings.count() > 0
+    leaves = spark.createDataFrame([(0, "body", 0, 0, 0, ["run"], None)], B.LEAF_SCHEMA)
+    tiers = {"body": ({"body": 1.0}, ("body",))}
+    assert sorted(B.ranked(again, leaves, tiers).collect()) == sorted(B.ranked(built, leaves, tiers).collect())
