@@ -2,8 +2,8 @@
 
 Text is lower-cased, each run of other characters than letters becomes one blank, and the n-grams of 1 to 3 characters
 are hashed to ``buckets``. Counts of all training documents are summed by language and bucket; the log-probability
-matrix (buckets x languages, at most ``max_languages``) is broadcast, and a document is scored by the product of its
-sparse count vector with it.
+matrix (buckets x languages, at most ``max_languages``) is broadcast. Documents are scored in batches: the counts of a
+batch are one sparse matrix (row starts, buckets, counts), which is multiplied with the log-probabilities at once.
 
 Cases: a null text, or one without a letter, is `und` with score 0. Ties go to the smaller language name. Training rows
 without language or text are left out; without any training row everything is `und`. Repeated rows count as often as
@@ -12,7 +12,7 @@ they occur; extra columns are ignored; an empty table gives an empty result. Lon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import tidy, worker_cache
 
+#: Characters of a text that are read at once; documents of so many characters together are one sparse matrix.
 SLICE = 1 << 20
+BATCH = 1 << 18
 #: Odd multipliers of the n-gram hash.
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
@@ -64,18 +66,76 @@ def ngram_counts(text: str, buckets: int) -> np.ndarray | None:
     return total if any_letter else None
 
 
+def sparse_counts(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram counts of texts as a sparse matrix: row starts, buckets, counts; and which texts have a letter."""
+    letters, shift = _letters(), np.uint32(32 - (buckets.bit_length() - 1))
+    lower = [t.lower() for t in texts]
+    codes = np.frombuffer(("\n" + "\n".join(lower)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    # Each text has one separator before it, which is the blank that it begins with.
+    starts = np.cumsum([0, *(len(t) + 1 for t in lower)])[:-1]
+    row = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(codes))))
+    is_letter = letters[codes]
+    keep = is_letter | np.concatenate(([False], is_letter[:-1]))
+    keep[starts] = True
+    a, row = np.where(is_letter, codes, np.uint32(32))[keep], row[keep]
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    at = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    h1 = a * _MIX[0]
+    pairs = (a[:-1] * _MIX[1] + h1[1:]) ^ np.uint32(0x9E3779B9)
+    grams = [(h1, at >= 1), (np.concatenate((h1[:1], pairs)), at >= 1)]
+    if len(a) > 2:
+        grams.append((np.concatenate((h1[:2], pairs[:-1] * _MIX[2] + h1[2:])), at >= 2))
+    h = np.concatenate([x[there] for x, there in grams])
+    h = ((h ^ (h >> np.uint32(15))) * _MIX[1]) >> shift
+    rows = np.concatenate([row[there] for _, there in grams])
+    key, counts = np.unique(rows * buckets + h, return_counts=True)
+    any_letter = np.zeros(len(texts), dtype=bool)
+    any_letter[row[a != 32]] = True
+    return np.searchsorted(key, np.arange(len(texts) + 1) * buckets), key % buckets, counts, any_letter
+
+
+def count_matrices(texts: Iterable[str | None], buckets: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse matrices of the texts that have a letter: their places among all, row starts, buckets, counts."""
+
+    def matrix(held: list[tuple[int, str]]):
+        starts, where, counts, any_letter = sparse_counts([t for _, t in held], buckets)
+        kept = np.flatnonzero(any_letter)
+        sizes = np.diff(starts)
+        inside = np.repeat(any_letter, sizes)  # texts without letters have no n-grams
+        return [held[i][0] for i in kept.tolist()], np.concatenate(([0], np.cumsum(sizes[kept]))), where[inside], counts[inside]
+
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        if len(text) > SLICE:
+            if (got := ngram_counts(text, buckets)) is not None:
+                where = np.flatnonzero(got)
+                yield [i], np.array([0, len(where)]), where, got[where]
+            continue
+        if held and size + len(text) > BATCH:
+            yield matrix(held)
+            held, size = [], 0
+        held.append((i, text))
+        size += len(text)
+    if held:
+        yield matrix(held)
+
+
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = 1 << 15, alpha: float = 0.5, max_languages: int = 256) -> tuple[list[str], np.ndarray]:
     """The languages, sorted, and a matrix of buckets + 1 rows: log-probabilities, and last the log-priors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = ngram_counts(text.as_py(), buckets)
-                if got is not None:
+            langs = batch.column(0).to_pylist()
+            for rows, starts, where, counts in count_matrices((t.as_py() for t in batch.column(1)), buckets):
+                of = np.array([langs[i] for i in rows], dtype=object)
+                for lang in set(of.tolist()):
                     own = sums.setdefault(lang, np.zeros(buckets + 1, dtype=np.int64))
-                    own[:-1] += got
-                    own[-1] += 1
+                    mine = np.repeat(of == lang, np.diff(starts))
+                    own[:-1] += np.bincount(where[mine], weights=counts[mine], minlength=buckets).astype(np.int64)
+                    own[-1] += int((of == lang).sum())
         for lang, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["lang", "bucket", "n"])
@@ -106,18 +166,15 @@ def identify(df: DataFrame, languages: list[str], matrix: np.ndarray, id_col: st
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logs = shared.value
         for batch in batches:
-            best, scores = [], []
-            for text in batch.column(1):
-                counts = ngram_counts(text.as_py() or "", buckets) if names else None
-                if counts is None:
-                    best.append("und")
-                    scores.append(0.0)
+            best, scores = ["und"] * len(batch), [0.0] * len(batch)
+            for rows, starts, where, counts in count_matrices((t.as_py() for t in batch.column(1)), buckets) if names else ():
+                if not rows:
                     continue
-                at = np.flatnonzero(counts)
-                sums = counts[at] @ logs[at] + logs[-1]
-                top = int(sums.argmax())
-                best.append(names[top])
-                scores.append(float(1 / np.exp(sums - sums[top]).sum()))
+                sums = np.add.reduceat(counts[:, None] * logs[where], starts[:-1], axis=0) + logs[-1]
+                top = sums.argmax(axis=1)
+                sure = 1 / np.exp(sums - sums.max(axis=1)[:, None]).sum(axis=1)
+                for i, t, x in zip(rows, top.tolist(), sure.tolist(), strict=True):
+                    best[i], scores[i] = names[t], x
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
