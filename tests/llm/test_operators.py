@@ -119,6 +119,54 @@ def test_language_id(spark, sf_dir, odd, empty):
     assert none == [] and {r.lang_pred for r in langid.identify(odd, none, m).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """The hashed n-grams of a text, one by one, in Python's integers."""
+    m, out = 1 << 32, []
+    kept = [32]
+    for ch in text.lower():
+        if ch.isalpha():
+            kept.append(ord(ch))
+        elif kept[-1] != 32:
+            kept.append(32)
+    for i in range(1, len(kept)):
+        one = kept[i] * 2654435761 % m
+        two = (kept[i - 1] * 2246822519 + one) % m ^ 0x9E3779B9
+        grams = [one, two]
+        if i >= 2:
+            before = (kept[i - 2] * 2246822519 + kept[i - 1] * 2654435761) % m ^ 0x9E3779B9
+            grams.append((before * 3266489917 + one) % m)
+        out += [(g ^ g >> 15) * 2246822519 % m >> 17 for g in grams]
+    return out
+
+
+@pytest.mark.parametrize("batch,slice_", [(1 << 18, 1 << 20), (500, 1 << 20), (1, 1 << 20), (1 << 18, 50)])
+def test_language_id_equals_plain_naive_bayes(monkeypatch, spark, docs, batch, slice_):
+    monkeypatch.setattr(langid, "BATCH", batch)
+    monkeypatch.setattr(langid, "SLICE", slice_)
+    odd = [(1000, None, "en"), (1001, "", "en"), (1002, "123 -- 4", "fr"), (1003, "a", None), (1004, "  Été\n", "fr"), (1005, "x", "zz"), (1005, "x", "zz"), (1006, "日本語 text", "fr"), (1007, "a" * 400, "de")]
+    rows = [(r.doc_id, (r.text or "")[:1500], r.lang) for r in docs.limit(60).collect()] + odd
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, matrix = langid.train(df.filter(~langid.held_out(F.col("doc_id"))))
+    learned = [(t, lang) for d, t, lang in rows if t is not None and lang is not None and zlib.crc32(str(d).encode()) % 5 and any(c.isalpha() for c in t)]
+    assert languages == sorted({lang for _, lang in learned})
+    counts = {lang: Counter(g for t, own in learned if own == lang for g in plain_grams(t)) for lang in languages}
+    for d, pred, score in langid.identify(df, languages, matrix).collect():
+        text = next(t for i, t, _ in rows if i == d)
+        if not text or not any(c.isalpha() for c in text):
+            assert (pred, score) == ("und", 0.0)
+            continue
+        sums = {lang: math.log(sum(own == lang for _, own in learned) / len(learned)) + sum(math.log((counts[lang][g] + 0.5) / (sum(counts[lang].values()) + 0.5 * 32768)) for g in plain_grams(text)) for lang in languages}
+        best = max(sums.values())
+        assert sums[pred] > best - 1e-6 and abs(score - 1 / sum(math.exp(x - best) for x in sums.values())) < 1e-6
+
+
+def test_accuracy_on_all_held_out_rows(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    languages, matrix = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    out = langid.identify(docs, languages, matrix).join(docs.filter("lang IS NOT NULL"), "doc_id").filter(langid.held_out(F.col("doc_id"))).select("lang", "lang_pred").collect()
+    assert len(out) > 150 and sum(r.lang == r.lang_pred for r in out) / len(out) > 0.9
+
+
 def test_ngrams_do_not_depend_on_slices(monkeypatch):
     text = "Der Fluß, 12 Bäume -- x" * 50
     whole = langid.ngram_counts(text, 1 << 12)
