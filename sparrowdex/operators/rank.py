@@ -71,12 +71,13 @@ def _prefix_points(boosts: tuple[Boost, ...]) -> Column:
     return points
 
 
-def rerank(candidates: DataFrame, plans: DataFrame, corpus: DataFrame, limit: int = 10, boosts: tuple[Boost, ...] = ()) -> DataFrame:
+def rerank(candidates: DataFrame, plans: DataFrame, corpus: DataFrame, limit: int = 10, boosts: tuple[Boost, ...] = (), profile_points: tuple[int, int] = (PROFILE, PROFILE_SUB)) -> DataFrame:
     """qid, path, source, title, score, tie, place of the best candidates.
 
     plans: qid, scoring (tokens), synonymed (those of them that have synonyms), concepts (each with its equivalents),
     intended (sources), source_words (keywords of the intended sources), strong (source or null). corpus: path, title;
     in_profile and in_profile_sub if it has them. boosts: what prefixes of a source's paths earn, a short list.
+    profile_points: of pages in the profile, and of those in a part of a source that it names.
     """
     profile = [c for c in ("in_profile", "in_profile_sub") if c in corpus.columns]
     c = candidates.join(corpus.select("path", "title", *profile), "path").join(plans, "qid")
@@ -109,7 +110,7 @@ def rerank(candidates: DataFrame, plans: DataFrame, corpus: DataFrame, limit: in
     bonus = F.when(F.col("base_concepts") >= 1, BASENAME_CONCEPT + BASENAME_MORE * (F.col("base_concepts") - 1) + density).otherwise(0)
     score = score + F.when(relaxed, CONCEPT * F.col("surface") + bonus).otherwise(0) + F.greatest(DEPTH_STEP * F.col("depth"), F.lit(DEPTH_LEAST))
     if profile:
-        score = score + F.when(F.col("in_profile"), PROFILE).otherwise(0) + F.when(F.col("in_profile_sub"), PROFILE_SUB).otherwise(0)
+        score = score + F.when(F.col("in_profile"), profile_points[0]).otherwise(0) + F.when(F.col("in_profile") & F.col("in_profile_sub"), profile_points[1]).otherwise(0)
     c = c.withColumn("score", score)
 
     of_query = Window.partitionBy("qid")

@@ -44,3 +44,13 @@ def mine(log: DataFrame, known: DataFrame, since: str | None = None, least_resul
 def newest(log: DataFrame, limit: int = 0) -> DataFrame:
     ordered = log.filter(F.coalesce("query", F.lit("")) != "").orderBy(F.desc("timestamp"), "query")
     return ordered.limit(limit) if limit else ordered
+
+
+def age_hours(at: Column, now: str) -> Column:
+    """Whole hours from a time (ISO 8601) to now; null where it is no time."""
+    return F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp(at))) / 3600)
+
+
+def within_days(at: Column, now: str, days: int) -> Column:
+    """Whether a time lies at most so many days before now; false where it is no time."""
+    return F.coalesce(age_hours(at, now) <= 24 * days, F.lit(False))

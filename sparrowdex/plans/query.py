@@ -9,7 +9,7 @@ import re
 from dataclasses import dataclass, field
 
 from ..functions.text import STOP_WORDS
-from ..operators.rank import Boost
+from ..operators.rank import PROFILE, PROFILE_SUB, Boost
 
 # Words that stand for each other, acronyms and what they stand for, and looser equivalents.
 SYNONYMS = (
@@ -38,6 +38,7 @@ class Config:
     acronyms: dict[str, str] = field(default_factory=lambda: dict(ACRONYMS))
     loose: tuple[tuple[str, ...], ...] = LOOSE
     boosts: tuple[Boost, ...] = ()  # of sources' path prefixes
+    profile_points: tuple[int, int] = (PROFILE, PROFILE_SUB)  # none below 0
 
     def others(self, token: str, classes: tuple[tuple[str, ...], ...]) -> list[str]:
         return list(dict.fromkeys(o for c in classes if token in c for o in c if o != token))

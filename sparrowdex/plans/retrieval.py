@@ -56,9 +56,18 @@ class Options:
     cwd: str = ""
     roots: dict[str, str] = field(default_factory=dict)  # of projects: root -> scope
     snippets: bool = True
+    most_snippets: int = 0  # 0: 3, or what compact has
+    snippet_size: int = 0  # 0: 160 bytes, or what compact has
+    compact: bool = False  # one snippet of 80 bytes where nothing else is asked for
     once: bool = False  # each snippet once a question
 
 
+    def shape(self) -> tuple[int, int]:
+        """How many snippets, and how long."""
+        few = (1, 80) if self.compact else (3, 160)
+        return self.most_snippets or few[0], self.snippet_size or few[1]
+
+
 def _ranked(hits: DataFrame, options: Options, questions: list[tuple[int, str, str | None]]) -> DataFrame:
     """hits by an injected ranker, which sees the first rank_depth paths of a question; sure questions are left alone."""
     spark = hits.sparkSession
@@ -76,7 +85,7 @@ def _ranked(hits: DataFrame, options: Options, questions: list[tuple[int, str, s
 def _searched(pages: DataFrame, questions: list[tuple[int, str, str | None]], families: dict[int, str], config: query.Config | None, limit: int, o: Options) -> DataFrame:
     """search(); a question about a family asks each of its sources, and keeps a page's best score."""
     if not families:
-        return search(pages, questions, config, limit, o.exact)
+        return search(pages, questions, config, limit, o.exact, most=o.shape()[0], size=o.shape()[1])
     version = P.version_of(F.col("source"))
     wanted = pages.select("source").distinct().withColumn("family", version["family"])
     sources: dict[str, list[str]] = {}
@@ -87,7 +96,7 @@ def _searched(pages: DataFrame, questions: list[tuple[int, str, str | None]], fa
         for s in sorted(sources.get(families[qid], [])) if qid in families else [source]:
             of[len(asked)] = qid
             asked.append((len(asked), text, s))
-    each = search(pages, asked, config, limit, o.exact).withColumnRenamed("qid", "ask")
+    each = search(pages, asked, config, limit, o.exact, most=o.shape()[0], size=o.shape()[1]).withColumnRenamed("qid", "ask")
     named = each.join(pages.sparkSession.createDataFrame(sorted(of.items()), "ask long, qid long"), "ask")
     best = named.groupBy("qid", "path").agg(F.max_by(F.struct("source", "title", "score", "snippets"), F.struct("score", -F.col("ask"))).alias("h")).select("qid", "path", "h.*")
     return best.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path")))

@@ -30,11 +30,11 @@ VARIANT_STUB = "this article has multiple variants. fetch one of the following u
 PLAN_SCHEMA = "qid long, q string, scoring array<string>, synonymed array<string>, concepts array<array<string>>, intended array<string>, source_words array<string>, strong string"
 
 
-def search(corpus: DataFrame, questions: list[tuple[int, str, str | None]], config: query.Config | None = None, limit: int = 10, exact: bool = False, stemmed: bool = True, weights: str = "effective", index: Index | None = None) -> DataFrame:
+def search(corpus: DataFrame, questions: list[tuple[int, str, str | None]], config: query.Config | None = None, limit: int = 10, exact: bool = False, stemmed: bool = True, weights: str = "effective", index: Index | None = None, most: int = 3, size: int = 160) -> DataFrame:
     """qid, place, path, source, title, score, snippets for questions (qid, text, source or None).
 
-    weights: `effective` or `documented` (see TIERS). index: that of the corpus, if it is built already. Bodies are joined
-    to final hits only.
+    weights: `effective` or `documented` (see TIERS). index: that of the corpus, if it is built already. most, size: of the
+    snippets. Bodies are joined to final hits only.
     """
     spark = corpus.sparkSession
     config = config or query.Config()
@@ -57,8 +57,8 @@ def search(corpus: DataFrame, questions: list[tuple[int, str, str | None]], conf
     facts = index.pages.select("path", "title")
     if profile:
         facts = facts.join(corpus.select("path", *profile), "path")
-    final = rerank(merge(hits), known.drop("q"), facts, limit, config.boosts)
-    return final.join(corpus.select("path", "body"), "path").join(known.select("qid", "q"), "qid").select("qid", "place", "path", "source", "title", "score", snippets(F.col("body"), F.col("q")).alias("snippets"))
+    final = rerank(merge(hits), known.drop("q"), facts, limit, config.boosts, tuple(max(0, p) for p in config.profile_points))
+    return final.join(corpus.select("path", "body"), "path").join(known.select("qid", "q"), "qid").select("qid", "place", "path", "source", "title", "score", snippets(F.col("body"), F.col("q"), most, size).alias("snippets"))
 
 
 #: White space as the questions are split by it.

@@ -1,0 +1,46 @@
+"""One writer at a time for a corpus folder."""
+
+from __future__ import annotations
+
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
+
+
+@contextmanager
+def write_lock(spark: SparkSession, folder: str, wait: float = 60.0, stale: float = 3600.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[None]:
+    """Holds the folder's lock: a file that is created only where it is not there yet.
+
+    Another's lock is waited for, `wait` seconds at most; one that is older than `stale` seconds belongs to a writer that
+    is gone, and is taken over.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/.write-lock")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    own, waited = uuid.uuid4().hex, 0.0
+    while True:
+        try:
+            out = fs.create(path, False)
+            out.write(bytearray(own.encode()))
+            out.close()
+            break
+        except Exception as e:
+            if not fs.exists(path):
+                if "exist" not in str(e).lower():
+                    raise
+                continue
+            if time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale:
+                fs.delete(path, False)
+                continue
+            if waited >= wait:
+                raise TimeoutError(f"{folder} is locked by another writer") from e
+            sleep(0.5)
+            waited += 0.5
+    try:
+        yield
+    finally:
+        fs.delete(path, False)

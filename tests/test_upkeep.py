@@ -167,7 +167,7 @@ def test_the_guard_counts_what_was_there(spark):
 def test_index_lines(spark, tmp_path):
     c = spark.createDataFrame([("s/b.md", "s", "b.md", "B", None), ("s/x/a.md", "s", "x/a.md", "A", "http://a"), ("s/x/0.md", "s", "x/0.md", "Z", ""), ("t/a.md", "t", "a.md", "A", None)], "path string, source string, rel string, title string, url string")
     M.write_lines(M.source_index(c), "grp", "rel", str(tmp_path / "index"))
-    text = {r.source: r.t for r in spark.read.text(str(tmp_path / "index"), wholetext=True).groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.input_file_name(), "value"))), lambda x: x["value"]), "").alias("t")).collect()}
+    text = {r.source: r.t for r in spark.read.text(str(tmp_path / "index"), wholetext=True).withColumn("f", F.input_file_name()).groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "value"))), lambda x: x["value"]), "").alias("t")).collect()}
     assert text["s"] == "- [B](b.md)\n\n## x\n\n- [Z](x/0.md)\n- [A](x/a.md)\n" and text["t"] == "- [A](a.md)\n"
     assert {r.line for r in M.llms_txt(c).collect()} == {"- [B](s/b.md)", "- [A](http://a)", "- [Z](s/x/0.md)", "- [A](t/a.md)"}
 
@@ -199,7 +199,7 @@ def test_routes_of_any_size(spark):
 
 
 def test_version_policy_in_retrieval(spark):
-    rows = [("lib/guide.md", "lib", "guide", "tokens here"), ("lib__v1/guide.md", "lib__v1", "guide", "tokens here"), ("lib__v2/guide.md", "lib__v2", "guide", "tokens here"), ("lib__v2/only.md", "lib__v2", "only", "tokens tokens"), ("misc/x.md", "misc", "x", "tokens tokens tokens tokens")]
+    rows = [("lib/guide.md", "lib", "guide", "latest tokens here"), ("lib__v1/guide.md", "lib__v1", "guide", "latest tokens here"), ("lib__v2/guide.md", "lib__v2", "guide", "latest tokens here"), ("lib__v2/only.md", "lib__v2", "only", "latest tokens tokens"), ("misc/x.md", "misc", "x", "latest tokens tokens tokens tokens")]
     df = spark.createDataFrame([(*r, None) for r in rows], "path string, source string, title string, body string, url string")
     registry = spark.createDataFrame([("lib", "3", "2")], "family string, latest_version string, lts_version string")
     pins = spark.createDataFrame([("lib", "proj", "1")], "family string, scope string, version string")
@@ -217,3 +217,39 @@ def test_version_policy_in_retrieval(spark):
     assert set(paths(source="lib")) == {"lib__v2/guide.md", "lib__v2/only.md"} or set(paths(source="lib")) == {"lib__v1/guide.md", "lib__v2/only.md"}
     assert paths(source="lib__v1") == ["lib__v1/guide.md"]
     assert set(paths(version="2")) == {"lib__v2/guide.md", "lib__v2/only.md"} and paths(version="latest") == ["lib/guide.md"]
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    from sparrowdex.streaming.lock import write_lock
+
+    waits = []
+    with write_lock(spark, str(tmp_path)):
+        with pytest.raises(TimeoutError):
+            with write_lock(spark, str(tmp_path), wait=1, sleep=waits.append):
+                pass
+        assert waits == [0.5, 0.5]
+        with write_lock(spark, str(tmp_path), stale=-1):
+            pass
+    with write_lock(spark, str(tmp_path), wait=0):
+        pass
+
+
+def test_usage_and_ages(spark):
+    from sparrowdex.operators import telemetry as TL
+
+    calls = spark.createDataFrame([("p", "m", "", 0, 2_000_000, None), ("p", "m", "rank", 1_000_000, 9, 500_000), ("p", "free", "x", 5, 5, 5)], "provider string, model string, call_site string, prompt_tokens long, total_tokens long, output_tokens long")
+    prices = spark.createDataFrame([("m", 0.02, 0.1)], "model string, input_per_million double, output_per_million double")
+    got = [(r.call_site, r.tokens, round(r.cents, 6)) for r in V.usage_events(calls, prices, "2024-01-01T00:00:00Z").orderBy("call_site").collect()]
+    assert got == [("embed", 2_000_000, 4.0), ("rank", 1_000_000, 7.0), ("x", 5, 0.0)]
+    row = spark.range(1).select(TL.age_hours(F.lit("2024-01-01T10:30:00Z"), "2024-01-03T00:00:00Z"), TL.age_hours(F.lit("x"), "2024-01-03T00:00:00Z"), TL.within_days(F.lit("2024-01-01T10:30:00Z"), "2024-01-03T00:00:00Z", 1)).first()
+    assert tuple(row) == (37, None, False)
+
+
+def test_snippets_as_asked(spark):
+    body = "\n".join(f"tokens line {i} " + "x" * 200 for i in range(6))
+    df = spark.createDataFrame([("s/a.md", "s", "a", body, None)], "path string, source string, title string, body string, url string")
+
+    def got(**options):
+        return [(s.line, len(s.text)) for r in retrieve(df, [(1, "tokens", None)], options=Options(**options)).collect() for s in r.snippets]
+
+    assert got() == [(1, 160), (2, 160), (3, 160)] and got(compact=True) == [(1, 80)] and got(compact=True, most_snippets=2, snippet_size=50) == [(1, 50), (2, 50)] and got(snippets=False) == []
