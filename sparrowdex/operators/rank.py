@@ -84,7 +84,7 @@ def rerank(candidates: DataFrame, plans: DataFrame, corpus: DataFrame, limit: in
     inner = F.regexp_replace("path", "^[^/]*/", "")
     base = F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.md$", ""), r"\.mdx$", "")
     c = c.withColumns({"low": F.lower(F.trim("title")), "inner": F.lower(inner), "base": base, "base_words": _words(base)})
-    c = c.withColumn("own", F.array_contains("intended", F.col("source")))
+    c = c.withColumns({"own": F.array_contains("intended", F.col("source")), "surface_words": F.concat("base_words", _words(F.col("low")), _words(F.col("inner")))})
     telling = F.filter("scoring", lambda t: ~(F.col("own") & F.array_contains("source_words", t)))
     c = c.withColumn("telling", telling)
     count = lambda a, f: F.size(F.filter(a, f))
@@ -94,8 +94,9 @@ def rerank(candidates: DataFrame, plans: DataFrame, corpus: DataFrame, limit: in
             "in_path": count("telling", lambda t: F.contains(F.col("inner"), t)),
             "in_base": count("telling", lambda t: F.contains(F.col("base"), t)),
             "is_base": count("telling", lambda t: ~F.array_contains("synonymed", t) & _same_stem(F.col("base"), t)),
-            "surface": count("concepts", lambda k: _concept_in(F.concat("base_words", _words(F.col("low")), _words(F.col("inner"))), k)),
-            "base_concepts": count("concepts", lambda k: _concept_in(F.col("base_words"), k)),
+            # Only what the relaxed tiers found is scored by concepts.
+            "surface": F.when(F.col("from_relaxed"), count("concepts", lambda k: _concept_in(F.col("surface_words"), k))).otherwise(0),
+            "base_concepts": F.when(F.col("from_relaxed"), count("concepts", lambda k: _concept_in(F.col("base_words"), k))).otherwise(0),
             "depth": F.size(F.split("inner", "/")) - 1,
         }
     )
