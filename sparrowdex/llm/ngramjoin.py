@@ -7,15 +7,21 @@ both, so that no pair is lost. The boundary is the size up to which the pairs co
 whose length is measured.
 
 Equal sets become one first. Of each list and size class a few leaders are compared with the rest, which joins the large
-groups of near copies without all their pairs; then all pairs of a list that lie in different components so far are
-compared, so that every link is either verified or lies inside a component. Comparisons start with a bound from parity
+groups of near copies without all their pairs. Lists that still hold many pairs of different components are compared with
+other leaders, one of each list, as long as that leaves half the pairs or less; then all pairs of a list that lie in
+different components so far are compared, so that every link is either verified or lies inside a component. Comparisons start with a bound from parity
 bitmaps (bits that differ are shingles of one side only), a small one within the lists and a large one for each pair;
 what passes both is compared in full. Components come from star contraction on written tables.
 
-Which shingles count as shared, and the leaders, affect the cost only, never the result: any order and any leaders give
-the same components. Shingles are 64-bit hashes of word sequences.
+A long list is not compared as one. It is split by size, then twice by the distance of its small bitmaps from that of a
+pivot: bits that differ are a metric, so linked sets lie in the same or in neighbouring rings around any pivot. Rings of
+one component need no comparison, which is what two large groups of near copies come to; what is left of more than BLOCK
+sets is dealt to tasks by pairs of blocks. Joins spread a hot list, leader or set over several tasks, by measured counts.
 
-Cases: a null or blank text has no shingles and is linked with nothing; one with fewer than k words has its whole
+Which shingles count as shared, the leaders and the pivots affect the cost only, never the result: any order and any
+choice give the same components. Shingles are 64-bit hashes of word sequences.
+
+Cases: no ties can arise, as components have one smallest id. A null or blank text has no shingles and is linked with nothing; one with fewer than k words has its whole
 sequence as one shingle. Rows with the same id are one node and get its component each. Extra columns are ignored; an
 empty table gives an empty result; texts are read whole.
 """
@@ -23,14 +29,16 @@ empty table gives an empty result; texts are read whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tidy, worker_cache
+from . import common
+from .common import dealt_join, hot_keys, mix, power_table, stored, tidy
 
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
@@ -46,34 +54,16 @@ SKETCH = 8
 #: So many of a set's earlier keys tell whether two sets meet in an earlier list.
 EARLIER = 4
 LEADERS = 3
-SALTS = 16
+#: A list of more sets is split by PIVOTS pivots, and dealt by blocks of so many.
+BLOCK, PIVOTS = 1024, 2
+#: While the lists hold more pairs of different components than PAIRS a member, other leaders are tried, ROUNDS times.
+PAIRS, ROUNDS = 8, 6
 #: Up to so many documents are told by a broadcast of their ids whose shingles are to be compared in full.
 MAX_BROADCAST_IDS = 2_000_000
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random values of bytes, and the powers of an odd base and of its inverse."""
-    cache = worker_cache()
-    if "powers" not in cache:
-        values = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
-        base = 0x9E3779B97F4A7C15
-        steps = [np.empty(CHUNK + 1, dtype=np.uint64) for _ in range(2)]
-        for powers, b in zip(steps, (base, pow(base, -1, 1 << 64)), strict=True):
-            powers[0] = 1
-            powers[1:] = np.uint64(b)
-            np.cumprod(powers, out=powers)
-        cache["powers"] = (values, *steps)
-    return cache["powers"]
-
-
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    values, powers, inverse = _tables()
+    values, powers, inverse = power_table(20240229, 0x9E3779B97F4A7C15, CHUNK + 1)
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     out = np.empty(len(words), dtype=np.uint64)
     ends = np.cumsum(lengths)
@@ -90,7 +80,7 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
         end, start = ends[first:last] - before, ends[first:last] - lengths[first:last] - before
         out[first:last] = (sums[end] - sums[start]) * inverse[start]
         first = last
-    return _mix(out + lengths.astype(np.uint64))
+    return mix(out + lengths.astype(np.uint64))
 
 
 def shingles(text: str | None, k: int = 4) -> np.ndarray:
@@ -103,7 +93,7 @@ def shingles(text: str | None, k: int = 4) -> np.ndarray:
     total = np.full(len(h) - m + 1, m, dtype=np.uint64)
     for i in range(m):
         total = total * np.uint64(0xD1342543DE82EF95) + h[i : i + len(total)]
-    return np.unique(_mix(total))
+    return np.unique(mix(total))
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -167,26 +157,28 @@ def _prefixes(docs: DataFrame, k: int, percent: int, shared: tuple[np.ndarray, n
     return docs.mapInArrow(tidy(each), "id long, n long, prefix array<long>, bits array<long>, sketch array<long>")
 
 
-def _boundary(prefixes: DataFrame, percent: int) -> int:
-    """The largest size of a light set, by cost.
+def _boundary(prefixes: DataFrame, percent: int) -> tuple[int, DataFrame]:
+    """The largest size of a light set, by cost; and the hot lists of single shingles: key, chunks.
 
     A set's pairs cost a row each; scanning costs, for each shingle, its list's length as its members see it, which is
-    measured over all lists.
+    measured over all lists. Both grow with the size, so the first size whose pairs cost more ends the light ones.
     """
     singles = F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - 1))
-    row = prefixes.select(singles.alias("key")).groupBy("key").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
-    seen = (row[0] or 0) / max(1, row[1] or 0)
-    sizes = prefixes.groupBy("n").agg(F.count("*").alias("c"))
-    first = F.size("prefix")
-    total = prefixes.agg(F.sum(first.cast("long") - 1)).first()[0] or 0
+    counts = prefixes.select(singles.alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    # All lists that are not long are one row.
+    lengths = stored(counts.groupBy(F.when(F.col("c") > common.CHUNK_ROWS, F.col("key")).alias("key")).agg(F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum("c").alias("c")), "list-lengths")
+    row = lengths.agg(F.sum("squares"), F.sum("c")).first()
+    total = row[1] or 0
+    seen = (row[0] or 0) / max(1, total)
     best, spent = 0, 0
-    for n, c in sizes.orderBy("n").toLocalIterator():
+    for n, c in prefixes.groupBy("n").agg(F.count("*").alias("c")).orderBy("n").toLocalIterator():
         p = n - least_overlap(n, percent) + 1
         spent += c * (p + 1) * p // 2
         if (p + 1) / 2 > seen or spent > MAX_SUBSETS * total:
             break
         best = n
-    return best
+    logging.getLogger(__name__).info("sets of up to %d shingles are light: a member sees lists of %.1f sets", best, seen)
+    return best, hot_keys(lengths.filter(F.col("key").isNotNull()), ["key"], "c")
 
 
 def _postings(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -204,7 +196,15 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, pe
     side = {x: prefixes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"}
     # The larger bitmap folds onto the smaller; bits that differ are shingles of one side only, at least.
     larger, smaller = (F.when((F.size("bitsa") >= F.size("bitsb")) == way, F.col("bitsa")).otherwise(F.col("bitsb")) for way in (True, False))
-    both = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "na", "nb", larger.alias("x"), smaller.alias("y"))
+    # A leader has many pairs.
+    counted = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > common.CHUNK_ROWS)
+    hot = hot_keys(stored(counted, "pair-counts"), ["id"], "n")
+
+    def with_sides(pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+        first = dealt_join(pairs, one, ["a"], hot.withColumnRenamed("id", "a"), ["b"])
+        return dealt_join(first, two, ["b"], hot.withColumnRenamed("id", "b"), ["a"])
+
+    both = with_sides(pairs, side["a"], side["b"]).select("a", "b", "na", "nb", larger.alias("x"), smaller.alias("y"))
     folded = lambda i: F.aggregate(F.sequence(i, F.size("x") - 1, F.size("y")), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.get("x", k)))
     apart = F.aggregate(F.transform("y", lambda v, i: F.bit_count(v.bitwiseXOR(folded(i)))), F.lit(0), lambda s, v: s + v)
     near = both.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
@@ -218,9 +218,9 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, pe
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
     sets = stored(wanted.mapInArrow(tidy(each), "id long, s array<long>"), "compared-sets")
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return stored(both.withColumn("o", common).filter(100 * F.col("o") >= percent * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b"), "links")
+    both = with_sides(near, sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb")))
+    overlap = F.size(F.array_intersect("sa", "sb"))
+    return stored(both.withColumn("o", overlap).filter(100 * F.col("o") >= percent * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,6 +242,135 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _class(n: Column | str, percent: int) -> Column:
+    """Sets that may be linked have the same size class or neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+
+
+def _stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of the members of a list and size class with its leaders."""
+    classed = lists.withColumn("class", _class("n", percent))
+
+    def led(part: DataFrame, keys: list[str]) -> DataFrame:
+        leaders = part.groupBy("key", "class").agg(F.max("chunks").alias("chunks"), *(F.min(F.struct(F.xxhash64("id", F.lit(i)), "id", "n")).alias(f"l{i}") for i in range(LEADERS)))
+        if "chunk" in keys:
+            leaders = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        return part.join(leaders.drop("chunks"), keys).select("id", "n", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
+
+    pairs = led(classed.filter("chunks IS NULL"), ["key", "class"]).unionByName(led(classed.filter("chunks IS NOT NULL"), ["key", "class", "chunk"]))
+    alike = 100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")
+    return pairs.filter(F.col("l.id") != F.col("id")).filter(alike).select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+
+
+def _open_lists(lists: DataFrame, joined: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The members of the lists of several components, with component, m (the list's length), sketch and earlier keys."""
+    placed = lists.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.max("chunks").alias("chunks")).filter("x <> y")
+    each = mixed.select("key", "m", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
+    several = placed.join(each, ["key", "chunk"]).select("key", "pos", "id", "n", "component", "m")
+    sketches = prefixes.select("id", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
+    # Sets that share one of the keys before this one are paired there already.
+    before = Window.partitionBy("id").orderBy("pos")
+    return stored(several.join(sketches, "id").withColumns({f"p{i}": F.lag("key", i).over(before) for i in range(1, EARLIER + 1)}).drop("pos"), "open-lists")
+
+
+def _alike(end: str, percent: int) -> Column:
+    """Whether two sets may be linked by their sizes and sketches."""
+    return (100 * F.least("n", f"n{end}") >= percent * F.greatest("n", f"n{end}")) & (_bits_apart(end) * (100 + percent) <= (F.col("n") + F.col(f"n{end}")) * (100 - percent))
+
+
+def _bits_apart(end: str) -> Column:
+    return sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}{end}"))) for i in range(SKETCH))
+
+
+def _open_pairs(open_: DataFrame) -> tuple[int, int]:
+    """How many pairs of different components the lists hold, and how many members."""
+    of = open_.groupBy("key", "component").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    row = of.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
+def _other_stars(open_: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs a < b of the members of a list and size class with a leader of the list's own, of another component."""
+    chunks = F.ceil(F.col("m") / BLOCK).cast("int")
+    classed = open_.withColumns({"class": _class("n", percent), "chunk": F.pmod(F.xxhash64("id"), chunks).cast("int")})
+    facts = F.struct(F.xxhash64("id", "key", F.lit(seed)).alias("h"), *(F.col(c).alias(f"{c}_l") for c in ("id", "n", "component", *(f"s{i}" for i in range(SKETCH)))))
+    leaders = classed.groupBy("key", "class").agg(F.min(facts).alias("l"), F.max("m").alias("m")).select("key", "class", "l.*", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    met = classed.join(leaders, ["key", "class", "chunk"]).filter((F.col("component") != F.col("component_l")) & _alike("_l", percent))
+    return met.select(F.least("id", "id_l").alias("a"), F.greatest("id", "id_l").alias("b")).distinct()
+
+
+def _merged(joined: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """joined (id, component) after the links more: the new one, and first and last of the components that changed."""
+    to = {x: joined.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
+    between = more.join(to["a"], "a", "left").join(to["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
+    again = stored(components(between), "components").select(F.col("id").alias("first"), F.col("component").alias("last"))
+    old = joined.join(again, joined["component"] == again["first"], "left").select("id", F.coalesce("last", "component").alias("component"))
+    new = again.join(joined, again["first"] == joined["id"], "left_anti").select(F.col("first").alias("id"), F.col("last").alias("component"))
+    return stored(old.unionByName(new), "star-components"), again
+
+
+def _reopened(open_: DataFrame, again: DataFrame) -> DataFrame:
+    """The open lists after components became one: those that still hold several."""
+    moved = open_.join(again, open_["component"] == again["first"], "left").withColumn("component", F.coalesce("last", "component")).drop("first", "last")
+    chunks = F.ceil(F.col("m") / BLOCK).cast("int")
+    moved = stored(moved.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")), "moved-lists")
+    mixed = moved.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("m").alias("m")).filter("x <> y").select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    return stored(moved.join(mixed, ["key", "chunk"]).select(*open_.columns), "open-lists")
+
+
+def _pairs_within(rows: DataFrame, keys: list[str], percent: int, met_here: Callable[[Callable[[str], Column]], Column] | None = None) -> DataFrame:
+    """The pairs a < b of different components that meet in keys and may be linked by their sizes and sketches."""
+    other = rows.select(*keys, *(F.col(c).alias(f"{c}_2") for c in rows.columns if c not in keys))
+    again = F.lit(False)
+    for x in range(1, EARLIER + 1):
+        for y in range(1, EARLIER + 1):
+            again = again | F.coalesce(F.col(f"p{x}") == F.col(f"p{y}_2"), F.lit(False))
+    wanted = (F.col("id") < F.col("id_2")) & (F.col("component") != F.col("component_2")) & ~again & _alike("_2", percent)
+    if met_here is not None:
+        wanted = met_here(lambda c: F.least(c, f"{c}_2")) & wanted
+    return rows.join(other, keys).filter(wanted).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+
+
+def _split(rows: DataFrame, keys: list[str], name: str, percent: int, seed: int) -> DataFrame:
+    """rows of lists (keys) dealt once more, by name: the ring around a pivot, and the next inner one.
+
+    Pairs are to be compared in the inner one of their two rings (column `in_`name), where more than one component is.
+    """
+    chunks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+    each_chunk = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
+    pivot = F.min(F.struct(F.xxhash64("id", F.lit(seed)), *(F.col(f"s{i}").alias(f"s{i}_p") for i in range(SKETCH)))).alias("pivot")
+    pivots = rows.groupBy(*keys).agg(pivot, F.max("n").alias("top"), F.max("m").alias("m")).select(*keys, "top", *(f"pivot.s{i}_p" for i in range(SKETCH)), each_chunk)
+    radius = F.floor(2 * F.col("top") * (100 - percent) / (100 + percent)) + 1
+    ring = F.floor(_bits_apart("_p") / radius).cast("int")
+    rings = dealt.join(pivots, [*keys, "chunk"]).withColumn(f"in_{name}", ring).select(*rows.columns, "chunk", f"in_{name}", F.explode(F.array(F.col(f"in_{name}"), F.col(f"in_{name}") - 1)).alias(name))
+    rings = stored(rings, "rings")
+    mixed = rings.groupBy(*keys, name).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.max("m").alias("m")).filter("x <> y").select(*keys, name, "size", each_chunk)
+    return stored(rings.join(mixed, [*keys, name, "chunk"]).drop("chunk").withColumn("m", F.col("size")).drop("size"), "mixed-rings")
+
+
+def _pairs_of_long_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """The same for lists of more than BLOCK sets."""
+    keys, inner = ["key", "band"], {"band": "class"}
+    rows = rows.withColumn("class", _class("n", percent))
+    rows = rows.select(*rows.columns, F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("band"))
+    for i in range(PIVOTS):
+        rows = _split(rows, keys, f"ring{i}", percent, i + LEADERS)
+        keys, inner = [*keys, f"ring{i}"], inner | {f"ring{i}": f"in_ring{i}"}
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    rows = stored(rows.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).drop("with"), "blocks")
+
+    def met_here(least: Callable[[str], Column]) -> Column:
+        met = (F.col("block") != F.col("block_2")) | (F.col("low") == F.col("high"))
+        for key, own in inner.items():
+            met = met & (least(own) == F.col(key))
+        return met
+
+    return _pairs_within(rows, [*keys, "low", "high"], percent, met_here)
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """Per row: id, n_shingles, component_id. Linked: 100 * intersection >= percent * union. Ids are integers; a row with a null id links nothing."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -251,43 +380,34 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     got = often.orderBy(F.desc("c"), "h").limit(MAX_SHARED).toArrow()
     keys, counts = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    classes = stored(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "set-classes")
+    classes = stored(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "set-classes")
     reps = classes.select(F.col("rep").alias("id"))
     prefixes = stored(_prefixes(docs, k, percent, (keys[order], counts[order])).join(reps.distinct(), "id", "left_semi"), "prefixes")
 
+    boundary, hot = _boundary(prefixes, percent)
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = _postings(prefixes, _boundary(prefixes, percent), percent).repartition(parts, "key")
-    many = dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    lists = stored(dealt.join(many, "key"), "lists")
-
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    classed = lists.withColumn("class", size_class)
-    leaders = classed.groupBy("key", "class").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(i)), "id", "n")).alias(f"l{i}") for i in range(LEADERS)))
-    led = classed.join(leaders, ["key", "class"]).select("id", "n", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
-    stars = led.filter(F.col("l.id") != F.col("id")).filter(100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")).select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-    links = _verified(stored(stars, "star-pairs"), prefixes, docs, k, percent)
+    chunk = F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int")
+    dealt = _postings(prefixes, boundary, percent).join(F.broadcast(hot), "key", "left").withColumn("chunk", chunk).repartition(parts, "key", "chunk")
+    many = dealt.groupBy("key", "chunk").agg(F.count("*").alias("n_rows"), F.max("chunks").alias("of")).filter("n_rows > 1 OR of IS NOT NULL").select("key", "chunk")
+    lists = stored(dealt.join(many, ["key", "chunk"]), "lists")
+
+    links = _verified(stored(_stars(lists, percent), "star-pairs"), prefixes, docs, k, percent)
     joined = stored(components(links), "star-components")
+    open_ = _open_lists(lists, joined, prefixes)
+    pairs, members = _open_pairs(open_)
+    for seed in range(ROUNDS):
+        if pairs <= PAIRS * members:
+            break
+        joined, again = _merged(joined, _verified(stored(_other_stars(open_, percent, seed), "star-pairs"), prefixes, docs, k, percent))
+        open_, before = _reopened(open_, again), pairs
+        pairs, members = _open_pairs(open_)
+        if 2 * pairs > before:
+            break
+    rest = _pairs_within(open_.filter(F.col("m") <= BLOCK).drop("m"), ["key"], percent)
+    if not (long := open_.filter(F.col("m") > BLOCK)).isEmpty():
+        rest = rest.unionByName(_pairs_of_long_lists(long, percent))
+    joined, _ = _merged(joined, _verified(stored(rest.distinct(), "rest-pairs"), prefixes, docs, k, percent))
 
-    placed = lists.join(joined, "id", "left").select("key", "pos", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    sketches = prefixes.select("id", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
-    # Sets that share one of the keys before this one are paired there already.
-    before = Window.partitionBy("id").orderBy("pos")
-    earlier = {f"p{i}": F.lag("key", i).over(before) for i in range(1, EARLIER + 1)}
-    open_ = stored(placed.join(mixed, "key").join(sketches, "id").withColumns(earlier).drop("pos"), "open-lists")
-    other = open_.select("key", *(F.col(c).alias(f"{c}_2") for c in open_.columns if c != "key"))
-    apart = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_2"))) for i in range(SKETCH))
-    alike = (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")) & (apart * (100 + percent) <= (F.col("n") + F.col("n_2")) * (100 - percent))
-    again = F.lit(False)
-    for x in earlier:
-        for y in earlier:
-            again = again | F.coalesce(F.col(x) == F.col(f"{y}_2"), F.lit(False))
-    rest = open_.join(other, (open_["key"] == other["key"]) & (F.col("id") < F.col("id_2")) & (F.col("component") != F.col("component_2")) & ~again & alike)
-    rest = stored(rest.select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct(), "rest-pairs")
-    more = _verified(rest, prefixes, docs, k, percent)
-    found = components(links.unionByName(more))
-
-    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = sets.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["s1", "s2", "salt"], "left")
+    named = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    out = dealt_join(sets, named, ["s1", "s2"], hot_keys(classes, ["s1", "s2"], "m"), ["id"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
