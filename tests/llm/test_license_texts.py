@@ -98,3 +98,13 @@ def test_license_texts(spark):
         rows.append((f.name, f"whole/{f.name}", f.read_text()))
     got = {r.id: (r.license, r.origin) for r in licenses.license_scan(spark.createDataFrame(rows, "id string, path string, text string")).collect()}
     assert got == {k: (v, "own") for k, v in want.items()}
+
+
+def test_ties_and_repeated_ids(spark):
+    rows = [
+        ("1", "d/LICENSE", "Released under the MIT License."), ("2", "d/COPYING", "Released under the MIT License."), ("3", "d/x.py", "code"), ("4", "e/LICENSE", "Licensed under the MIT License.\nReleased under the MIT License."),
+        ("4", "e/LICENSE", "Licensed under the MIT License.\nReleased under the MIT License."), ("5", None, None), (None, "f/LICENSE", "Released under the MIT License."), ("6", "f/a.py", "code"), ("7", "f/a.py", ""),
+    ]
+    got = licenses.license_scan(spark.createDataFrame(rows, "id string, path string, text string").withColumn("b", licenses.F.lit(1)).withColumn("unit", licenses.F.lit("clash"))).collect()
+    assert sorted((r.id or "", r.license, r.origin) for r in got if r.id in ("3", "4")) == [("3", "MIT", "inherited"), ("4", "MIT", "own"), ("4", "MIT", "own")]
+    assert len(got) == len(rows) and [r.license for r in got if r.id == "5"] == [None]
