@@ -300,23 +300,14 @@ def _other_stars(open_: DataFrame, percent: int, seed: int) -> DataFrame:
     return met.select(F.least("id", "id_l").alias("a"), F.greatest("id", "id_l").alias("b")).distinct()
 
 
-def _merged(joined: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """joined (id, component) after the links more: the new one, and first and last of the components that changed."""
+def _merged(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """joined (id, component) after the links more."""
     to = {x: joined.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
     between = more.join(to["a"], "a", "left").join(to["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
     again = stored(components(between), "components").select(F.col("id").alias("first"), F.col("component").alias("last"))
     old = joined.join(again, joined["component"] == again["first"], "left").select("id", F.coalesce("last", "component").alias("component"))
     new = again.join(joined, again["first"] == joined["id"], "left_anti").select(F.col("first").alias("id"), F.col("last").alias("component"))
-    return stored(old.unionByName(new), "star-components"), again
-
-
-def _reopened(open_: DataFrame, again: DataFrame) -> DataFrame:
-    """The open lists after components became one: those that still hold several."""
-    moved = open_.join(again, open_["component"] == again["first"], "left").withColumn("component", F.coalesce("last", "component")).drop("first", "last")
-    chunks = F.ceil(F.col("m") / BLOCK).cast("int")
-    moved = stored(moved.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")), "moved-lists")
-    mixed = moved.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("m").alias("m")).filter("x <> y").select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-    return stored(moved.join(mixed, ["key", "chunk"]).select(*open_.columns), "open-lists")
+    return stored(old.unionByName(new), "star-components")
 
 
 def _pairs_within(rows: DataFrame, keys: list[str], percent: int, met_here: Callable[[Callable[[str], Column]], Column] | None = None) -> DataFrame:
@@ -398,15 +389,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for seed in range(ROUNDS):
         if pairs <= PAIRS * members:
             break
-        joined, again = _merged(joined, _verified(stored(_other_stars(open_, percent, seed), "star-pairs"), prefixes, docs, k, percent))
-        open_, before = _reopened(open_, again), pairs
+        joined = _merged(joined, _verified(stored(_other_stars(open_, percent, seed), "star-pairs"), prefixes, docs, k, percent))
+        open_, before = _open_lists(lists, joined, prefixes), pairs
         pairs, members = _open_pairs(open_)
         if 2 * pairs > before:
             break
     rest = _pairs_within(open_.filter(F.col("m") <= BLOCK).drop("m"), ["key"], percent)
     if not (long := open_.filter(F.col("m") > BLOCK)).isEmpty():
         rest = rest.unionByName(_pairs_of_long_lists(long, percent))
-    joined, _ = _merged(joined, _verified(stored(rest.distinct(), "rest-pairs"), prefixes, docs, k, percent))
+    joined = _merged(joined, _verified(stored(rest.distinct(), "rest-pairs"), prefixes, docs, k, percent))
 
     named = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = dealt_join(sets, named, ["s1", "s2"], hot_keys(classes, ["s1", "s2"], "m"), ["id"], "left")
