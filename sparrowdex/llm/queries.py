@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, langid, licenses, linededup, ngramjoin, quality, shards, suffix
+from . import asof, bpe, decontam, divergence, htmltext, langid, licenses, linededup, mixing, ngramjoin, quality, shards, suffix
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,76 @@ reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reac
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = w.doc_id
 """
+
+
+@query
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_mix"] = rf"""
+WITH d AS (SELECT doc_id, source, ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h,
+  CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, CAST(sum(source_size) OVER () AS HUGEINT) AS words FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source) AS k FROM w),
+p AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_size, sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_sum FROM r),
+l AS (SELECT 3 * words - 4 * full_size AS rest, w_sum FROM p WHERE (3 * words - 4 * full_size) * weight <= 4 * source_size * w_sum ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, n_docs, CASE WHEN source_size = 0 THEN 0.0 WHEN l.rest * weight > 4 * source_size * l.w_sum THEN 2.0 * source_size ELSE CAST(weight * l.rest AS DOUBLE) / CAST(2 * l.w_sum AS DOUBLE) END AS target FROM p LEFT JOIN l ON true),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INT) ELSE 0 END AS base, target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS budget FROM t),
+c AS (SELECT d.*, b.* EXCLUDE (source), sum(d.size) OVER (PARTITION BY d.source ORDER BY h) AS upto FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+e AS (SELECT source, min(h) FILTER (upto > budget) AS edge FROM c GROUP BY source),
+n AS (SELECT c.source, shift, count(*) FILTER (c.h >> shift = e.edge >> shift) AS n FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source, (SELECT unnest([60, 50, 40, 30, 20, 10, 0]) AS shift) GROUP BY ALL),
+f AS (SELECT source, max(shift) FILTER (n <= {mixing.REFINE} OR shift = 0) AS shift FROM n GROUP BY source),
+g AS (SELECT c.*, f.shift, e.edge, coalesce(c.h >> f.shift < e.edge >> f.shift, false) AS below, coalesce(c.h >> f.shift = e.edge >> f.shift, false) AS inside FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source JOIN f ON c.source IS NOT DISTINCT FROM f.source),
+u AS (SELECT source, h, sum(size) AS size FROM g WHERE inside AND size > 0 AND budget > 0 GROUP BY source, h),
+v AS (SELECT source, list(struct_pack(h := h, size := size) ORDER BY h) AS us FROM u GROUP BY source),
+y AS (SELECT source, budget - coalesce(sum(size) FILTER (below), 0) AS rest FROM g GROUP BY source, budget),
+z AS (SELECT v.source, us, list_reduce(us, lambda a, x: CASE WHEN x.size <= a.rest THEN struct_pack(rest := a.rest - x.size, hs := list_append(a.hs, x.h)) ELSE a END, struct_pack(rest := y.rest, hs := CAST([] AS BIGINT[]))) AS got FROM v JOIN y ON v.source IS NOT DISTINCT FROM y.source),
+o AS (SELECT source, got.hs AS hs, list_min(list_transform(list_filter(us, lambda x: NOT list_contains(got.hs, x.h) AND x.size < 2 * got.rest), lambda x: struct_pack(off := abs(x.size - got.rest), h := x.h))).h AS more FROM z)
+SELECT doc_id, size, source_size, target, base + CAST(base < 2 AND (below OR inside AND coalesce(list_contains(o.hs, h) OR o.more IS NOT DISTINCT FROM h, false)) AS INT) AS copies,
+  size * (base + CAST(base < 2 AND (below OR inside AND coalesce(list_contains(o.hs, h) OR o.more IS NOT DISTINCT FROM h, false)) AS INT)) AS taken
+FROM g LEFT JOIN o ON g.source IS NOT DISTINCT FROM o.source
+"""
+
+
+@query
+def op12_asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.clicks_to_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
+ORACLES["op12_asof_orders"] = """
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+ids AS (SELECT DISTINCT click_id AS id FROM clicks UNION SELECT sale_id FROM sales),
+h AS (SELECT id, xor(list_reduce(list_transform(range(1, length(CAST(id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(id AS VARCHAR)[i]) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM ids, tab WHERE id IS NOT NULL),
+c0 AS (SELECT click_id, client_id, epoch_us(ts) AS us FROM clicks QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts NULLS LAST, client_id NULLS LAST) = 1),
+c AS (SELECT click_id, client_id, CASE WHEN h % 2 = 1 THEN us - us % 21600000000 ELSE us END AS ts_us FROM c0 LEFT JOIN h ON h.id = click_id),
+s AS (SELECT sale_id, client_id, h, CASE WHEN h % 2 = 1 THEN epoch_us(sold_at) - epoch_us(sold_at) % 21600000000 ELSE epoch_us(sold_at) END AS t, CASE WHEN abs(total) < 9e16 THEN CAST(floor(100 * total + 0.5) AS BIGINT) END AS total_cents FROM sales LEFT JOIN h ON h.id = sale_id),
+o AS (SELECT client_id, t, sale_id, total_cents FROM s UNION ALL SELECT client_id, t, -1 - sale_id, total_cents FROM s WHERE h % 3 <> 0),
+b AS (SELECT client_id, t, count(*) AS n, first(struct_pack(c := total_cents, s := sale_id) ORDER BY total_cents DESC NULLS LAST, sale_id DESC NULLS LAST) AS top FROM o WHERE client_id IS NOT NULL AND t IS NOT NULL GROUP BY client_id, t),
+m AS (SELECT c.*, b.t, b.n, b.top FROM c ASOF LEFT JOIN b ON c.client_id = b.client_id AND c.ts_us >= b.t)
+SELECT click_id, client_id, ts_us, CASE WHEN ts_us - t <= 2592000000000 THEN top.s END AS sale_id, CASE WHEN ts_us - t <= 2592000000000 THEN ts_us - t END AS lag_us, CASE WHEN ts_us - t <= 2592000000000 THEN top.c END AS total_cents, CASE WHEN ts_us - t <= 2592000000000 THEN n ELSE 0 END AS n_tied FROM m
+"""
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5) // (n.n + 5 * v.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (k.c + 5) // (v.n + 5 * v.v) AS q
+  FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+tm AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tm) QUALIFY part = 'pair' OR rank <= 50
+"""
