@@ -1,7 +1,7 @@
 """Divergence of the sources of a language: sums of absolute differences of smoothed term shares, for all pairs exactly.
 
 The distance of two sources starts from that of their shares of an absent term, for all terms. A term that many of a
-language's sources have is heavy: the shares of TILE terms in two blocks of sources are laid out as dense numpy tiles, and
+language's sources have is heavy: the shares of a tile's terms in two blocks of sources are laid out as dense numpy tiles, and
 tile after tile adds what its terms change. All other terms are light: nearly all sources have only the share of an absent
 term, and what changes are the terms that one source has (running sums over its different shares, read off at every other
 source's absent share) and the terms that two have (pairs of postings). All sums are whole numbers and add up to the exact
@@ -30,8 +30,8 @@ from .common import dealt_join, hot_keys, stored, tidy
 
 #: A term is heavy where at least one of so many sources of its language has it.
 HEAVY = 4
-#: Terms of a tile and sources of a block.
-TILE, BLOCK = 512, 256
+#: Terms of a tile: as many as its language has sources, within these bounds, so that its sums are no more than its cells. Sources of a block.
+LEAST_TILE, TILE, BLOCK = 128, 512, 256
 #: Groups (language and source) are broadcast up to so many; beyond, they are joined, with hot ones dealt.
 BROADCAST_GROUPS = 50_000
 #: A worker's counts are handed on after so many terms, its pairs after so many; texts are cut (between terms) at so many bytes.
@@ -123,7 +123,7 @@ def groups(df: DataFrame, found: DataFrame, lang_col: str, source_col: str) -> D
     whole = seen.join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left").select("lang", "source", *(F.coalesce(F.col(c), zero).alias(c) for c in ("total", "rows", "kept", "n_heavy")))
     out = whole.withColumns({"i": F.row_number().over(w.orderBy("source")) - 1, "s": F.count("*").over(w), "lang_total": F.sum("total").over(w)})
     base = F.coalesce(share(zero, F.col("total"), F.col("kept")), zero)
-    return stored(out.withColumns({"base": base, "tiles": F.ceil(F.col("n_heavy") / TILE).cast("int")}).drop("n_heavy"), "divergence-groups")
+    return stored(out.withColumns({"base": base, "tiles": F.ceil(F.col("n_heavy") / F.least(F.greatest(F.col("s"), F.lit(LEAST_TILE)), F.lit(TILE))).cast("int")}).drop("n_heavy"), "divergence-groups")
 
 
 def _tile(size: int):

@@ -165,7 +165,7 @@ def audit_rows(seed, n=1300):
 
 @pytest.mark.parametrize("heavy, tile, block, broadcast", [(4, 512, 256, True), (4, 3, 4, False), (0, 512, 256, True), (10**6, 2, 3, True), (2, 5, 1, True)])
 def test_divergence(spark, tmp_path, monkeypatch, heavy, tile, block, broadcast):
-    for k, v in (("HEAVY", heavy), ("TILE", tile), ("BLOCK", block)):
+    for k, v in (("HEAVY", heavy), ("LEAST_TILE", 2), ("TILE", tile), ("BLOCK", block)):
         monkeypatch.setattr(divergence, k, v)
     if not broadcast:
         monkeypatch.setattr(divergence, "BROADCAST_GROUPS", 1)
