@@ -25,15 +25,32 @@ FIELDS = ("title", "path", "body")
 LEAF_SCHEMA = "qid long, tier string, branch int, grp int, leaf int, terms array<string>, source string"
 
 
+#: Postings that are clustered lie in so many buckets of terms.
+BUCKETS = 32
+
+
 @dataclass(frozen=True)
 class Index:
     """postings: term, path, source, n_tokens, tf_title, tf_path, tf_body. pages: path, source, title, n_tokens, and
-    terms_title, terms_path, terms_body. totals: one row, n_pages and avg_tokens."""
+    terms_title, terms_path, terms_body. totals: one row, n_pages and avg_tokens.
+
+    gone: path and gone_seq, where pages and postings have a seq and those of a path before its gone_seq don't count (see
+    segments). bucketed: postings have their term's bucket as a partition column.
+    """
 
     postings: DataFrame
     pages: DataFrame
     totals: DataFrame
     stemmed: bool
+    gone: DataFrame | None = None
+    bucketed: bool = False
+
+
+def alive(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """Of rows with path and seq those that count."""
+    if gone is None:
+        return rows
+    return rows.join(gone, "path", "left").filter(F.col("gone_seq").isNull() | (F.col("gone_seq") <= F.col("seq"))).drop("gone_seq")
 
 
 def tokens(corpus: DataFrame) -> DataFrame:
@@ -42,12 +59,33 @@ def tokens(corpus: DataFrame) -> DataFrame:
     return corpus.select("path", "source", F.explode(fields).alias("f")).select("path", "source", "f.field", F.posexplode("f.terms").alias("pos", "term"))
 
 
+def analyzed(corpus: DataFrame, stemmed: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The pages of a corpus (path, source, title, body) as an index holds them."""
+    terms = {f"terms_{f}": stems(index_tokens(F.col(f))) if stemmed else index_tokens(F.col(f)) for f in FIELDS}
+    size = sum(F.size(f"terms_{f}").cast("long") for f in FIELDS)
+    return corpus.select("path", "source", "title", *(c.alias(n) for n, c in terms.items()), *keep).withColumn("n_tokens", size)
+
+
+def postings_of(pages: DataFrame) -> DataFrame:
+    """term, path, source, n_tokens and the frequency in each field (and seq, where pages have it)."""
+    row = ["path", "source", "n_tokens", *(c for c in ("seq",) if c in pages.columns)]
+    each = pages.select(*row, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"terms_{f}").alias("terms")) for f in FIELDS))).alias("f"))
+    each = each.select(*row, "f.field", F.explode("f.terms").alias("term"))
+    return each.groupBy("term", *row).agg(*(F.count_if(F.col("field") == f).cast("int").alias(f"tf_{f}") for f in FIELDS))
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def clustered(postings: DataFrame) -> DataFrame:
+    """postings with their bucket, each bucket's rows together in as many tasks as their size asks for, in order of terms."""
+    return postings.withColumn("bucket", bucket_of(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+
+
 def build(corpus: DataFrame, stemmed: bool = False, folder: str | None = None) -> Index:
     """The index of a corpus (path, source, title, body), written to folder, or to the shared folder of the session."""
     spark = corpus.sparkSession
-    terms = {f"terms_{f}": stems(index_tokens(F.col(f))) if stemmed else index_tokens(F.col(f)) for f in FIELDS}
-    size = sum(F.size(f"terms_{f}").cast("long") for f in FIELDS)
-    pages = corpus.select("path", "source", "title", *(c.alias(n) for n, c in terms.items())).withColumn("n_tokens", size)
 
     def written(df: DataFrame, what: str) -> DataFrame:
         if folder is None:
@@ -55,12 +93,9 @@ def build(corpus: DataFrame, stemmed: bool = False, folder: str | None = None) -
         df.write.parquet(f"{folder}/{what}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{what}")
 
-    pages = written(pages, "pages")
-    each = pages.select("path", "source", "n_tokens", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"terms_{f}").alias("terms")) for f in FIELDS))).alias("f"))
-    each = each.select("path", "source", "n_tokens", "f.field", F.explode("f.terms").alias("term"))
-    tf = [F.count_if(F.col("field") == f).cast("int").alias(f"tf_{f}") for f in FIELDS]
+    pages = written(analyzed(corpus, stemmed), "pages")
     # A page's terms are counted where the page is; sorted postings let a scan skip what is not asked for.
-    postings = written(each.groupBy("term", "path", "source", "n_tokens").agg(*tf).sortWithinPartitions("term"), "postings")
+    postings = written(postings_of(pages).sortWithinPartitions("term"), "postings")
     totals = written(pages.agg(F.count("*").cast("double").alias("n_pages"), F.avg("n_tokens").alias("avg_tokens"), F.lit(stemmed).alias("stemmed")), "totals")
     return Index(postings, pages, totals, stemmed)
 
@@ -73,20 +108,26 @@ def open_index(spark: SparkSession, folder: str) -> Index:
 
 def _phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     """phrase (terms), path, source, n_tokens and tf by field of every phrase that occurs; phrases: phrase, n."""
+    postings = index.postings
+    if index.bucketed:
+        # At most BUCKETS numbers: the scan reads the buckets of the terms that are asked for, and no other.
+        asked = [r[0] for r in phrases.select(F.explode("phrase").alias("term")).select(bucket_of(F.col("term"))).distinct().collect()]
+        postings = postings.filter(F.col("bucket").isin(asked))
     single = phrases.filter("n = 1").select("phrase", F.get("phrase", F.lit(0)).alias("term"))
     cols = ["phrase", "path", "source", "n_tokens", *(f"tf_{f}" for f in FIELDS)]
-    found = index.postings.join(single, "term").select(*cols)
+    found = alive(postings.join(single, "term"), index.gone).select(*cols)
     several = phrases.filter("n > 1").select("phrase", F.explode("phrase").alias("term")).distinct()
-    common = index.postings.join(several.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+    common = postings.join(several.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
     rarest = several.join(common, "term", "left").groupBy("phrase").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    maybe = index.postings.join(rarest, "term").select("phrase", "path")
+    at = ["path", *(["seq"] if index.gone is not None else [])]
+    maybe = alive(postings.join(rarest, "term"), index.gone).select("phrase", *at)
 
     def times(terms: Column) -> Column:
         m = F.size("phrase")
         at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(terms) - m + 1, F.lit(1))), lambda i: (F.get(terms, i - 1) == F.get("phrase", F.lit(0))) & (F.slice(terms, i, m) == F.col("phrase")))
         return F.when(F.size(terms) >= m, F.size(at)).otherwise(0)
 
-    read = maybe.join(index.pages.select("path", "source", "n_tokens", *(f"terms_{f}" for f in FIELDS)), "path")
+    read = maybe.join(index.pages.select(*at, "source", "n_tokens", *(f"terms_{f}" for f in FIELDS)), at)
     read = read.select("phrase", "path", "source", "n_tokens", *(times(F.col(f"terms_{f}")).alias(f"tf_{f}") for f in FIELDS))
     return found.unionByName(read.filter(F.greatest(*(f"tf_{f}" for f in FIELDS)) > 0))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippets
-from ..operators.bm25 import FIELDS, LEAF_SCHEMA, Index, build, ranked, top
+from ..operators.bm25 import FIELDS, LEAF_SCHEMA, Index, alive, build, ranked, top
 from ..operators.rank import merge, rerank
 from . import query
 
@@ -54,7 +54,7 @@ def search(corpus: DataFrame, questions: list[tuple[int, str, str | None]], conf
     words = lambda p: sorted({w for s in p.intended for k, names in config.source_keywords.items() if s in names for w in query.tokenize(k)})
     known = spark.createDataFrame([(p.qid, p.text, p.scoring, p.synonymed, p.concepts, p.intended, words(p), p.strong) for p in plans], PLAN_SCHEMA)
     profile = [c for c in ("in_profile", "in_profile_sub") if c in corpus.columns]
-    facts = index.pages.select("path", "title")
+    facts = alive(index.pages, index.gone).select("path", "title")
     if profile:
         facts = facts.join(corpus.select("path", *profile), "path")
     final = rerank(merge(hits), known.drop("q"), facts, limit, config.boosts, tuple(max(0, p) for p in config.profile_points))
