@@ -23,9 +23,14 @@ def missing(expected: DataFrame, base: DataFrame, key: str = "path") -> DataFram
     return expected.join(base.select(key), key, "left_anti")
 
 
-def replace_source(base: DataFrame, fresh: DataFrame, source_col: str = "source") -> DataFrame:
-    """base with the sources of fresh replaced whole."""
-    return base.join(fresh.select(source_col).distinct(), source_col, "left_anti").select(*base.columns).unionByName(fresh.select(*base.columns))
+def replace_source(base: DataFrame, fresh: DataFrame, source_col: str = "source", sources: list[str] | None = None) -> DataFrame:
+    """base with whole sources replaced by fresh: those that are listed, with or without rows in fresh, or else those of fresh."""
+    if sources is None:
+        kept = base.join(fresh.select(source_col).distinct(), source_col, "left_anti")
+    else:
+        kept = base.filter(~F.coalesce(F.col(source_col).isin(sources), F.lit(False)))
+        fresh = fresh.filter(F.col(source_col).isin(sources))
+    return kept.select(*base.columns).unionByName(fresh.select(*base.columns))
 
 
 def latest(rows: DataFrame, key: str, *order) -> DataFrame:

@@ -194,7 +194,7 @@ def seed_plan(wanted: DataFrame, there: DataFrame) -> DataFrame:
     """source, family, version, action of pinned sources: seed what is asked for and not there, keep the rest.
 
     wanted: family, version (pins()). there: source. A seeded source is written beside the old ones under its own name, so
-    that the swap is the source's appearance, and a rollback its removal (replace_source of manifest.py with no rows).
+    that the swap is the source's appearance; streaming.corpora.seed() publishes them, and rollback() takes that back.
     """
     w = wanted.select("family", "version").distinct().withColumn("source", F.concat("family", F.lit("__v"), F.col("version").cast("string")))
     both = w.join(there.select("source").distinct().withColumn("here", F.lit(True)), "source", "left")

@@ -25,6 +25,7 @@ from .plans import search as S
 from .sources import corpus as C
 from .sources import discover as D
 from .sources import markup as MU
+from .streaming import corpora as CO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -337,6 +338,24 @@ def index_replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.replace_source(c, fresh).select("path", "title")
 
 
+@query(f"""
+WITH {CORPUS}, p AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, trim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/') AS path, coalesce(html, '') AS html FROM pages),
+c AS (SELECT path, source, sha256(body) AS digest FROM corpus UNION ALL SELECT host || '/' || CASE WHEN path = '' THEN 'index' ELSE path END || '.md', host, sha256(html) FROM p)
+SELECT path, source, CASE WHEN source = 'src1' THEN 'swapped' ELSE max(digest) END AS digest FROM c WHERE source <> 'src2' AND path IS NOT NULL GROUP BY path, source
+""")
+def corpus_of_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus kept by two streams with checkpoints of their own, of the documents and of the pages; then one source is swapped and one taken out."""
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, pages_of in (("documents", C.from_documents), ("pages", C.from_pages)):
+        # A pattern, as a stream can't start from the path of a single file.
+        rows = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+        changes = pages_of(rows).select("path", "source", F.sha2(F.coalesce("body", F.lit("")), 256).alias("digest"))
+        CO.upsert_stream(changes, folder, f"{folder}-{name}").awaitTermination()
+    CO.swap_source(spark, folder, CO.current(spark, folder).filter("source = 'src1'").withColumn("digest", F.lit("swapped")), "src1")
+    CO.publish(spark, folder, sources=["src2"])
+    return CO.current(spark, folder)
+
+
 @query(f"WITH {CORPUS} SELECT source, 'docs' AS grp, rel, '- [' || title || '](' || rel || ')' AS line FROM corpus")
 def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.source_index(corpus(spark, sf_dir))

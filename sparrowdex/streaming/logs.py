@@ -1,10 +1,9 @@
-"""Structured Streaming over append-only logs, and upserts of changed pages."""
+"""Structured Streaming over append-only logs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.telemetry import normal, traffic_class
 
@@ -32,66 +31,3 @@ def hourly(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Entries by hour and class, closed once the watermark has passed."""
     timed = log.withColumn("at", F.try_to_timestamp("timestamp")).withWatermark("at", lateness)
     return timed.groupBy(F.window("at", "1 hour"), traffic_class(F.col("run_context")).alias("traffic")).agg(F.count("*").alias("entries"))
-
-
-def _versions(spark: SparkSession, corpus_path: str) -> list[int]:
-    """The versions that are complete: those whose manifest was written to its end."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{corpus_path}/v*/manifest/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(int(f.getPath().getParent().getParent().getName()[1:]) for f in found or [])
-
-
-def upsert_stream(changes: DataFrame, corpus_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """Keeps a Parquet corpus up to date from a stream of changed pages (path first of its keys).
-
-    Pages lie in buckets by their path. A batch writes the buckets that it touches anew, as version n, and then the
-    version's manifest: which version holds each bucket. A version counts once its manifest is complete (the marker that
-    a finished write leaves), so there is no pointer to move and readers see whole versions only. A batch that is run
-    again finds its version complete and does nothing, or writes over what was left unfinished and nobody reads. Of
-    several changes of a page in a batch one is kept, the greatest row.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = _versions(spark, corpus_path)
-        if number in done:
-            return
-        bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket")
-        rest = [F.col(c) for c in batch.columns if c != "path"]
-        fresh = batch.groupBy("path").agg(F.max(F.struct(*rest)).alias("row")).select("path", "row.*").select(*batch.columns, bucket)
-        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        held = _manifest(spark, corpus_path, done[-1]) if done else {}
-        old = _read(spark, corpus_path, {b: v for b, v in held.items() if b in touched})
-        out = fresh if old is None else old.join(fresh.select("path"), "path", "left_anti").select(*fresh.columns).unionByName(fresh)
-        out.repartition("bucket", F.pmod(F.xxhash64("path", F.lit(1)), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{corpus_path}/v{number}/data")
-        rows = sorted((held | {b: number for b in touched}).items())
-        spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{corpus_path}/v{number}/manifest")
-
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _manifest(spark: SparkSession, corpus_path: str, version: int) -> dict[int, int]:
-    return {r.bucket: r.version for r in spark.read.parquet(f"{corpus_path}/v{version}/manifest").collect()}
-
-
-def _read(spark: SparkSession, corpus_path: str, held: dict[int, int]) -> DataFrame | None:
-    out = None
-    for version in sorted(set(held.values())):
-        own = spark.read.parquet(f"{corpus_path}/v{version}/data").filter(F.col("bucket").isin([b for b, v in held.items() if v == version]))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def current(spark: SparkSession, corpus_path: str, version: int | None = None) -> DataFrame | None:
-    """The latest complete version (or an earlier one), if there is any: a reader's plan stays on it."""
-    done = _versions(spark, corpus_path)
-    if not done:
-        return None
-    found = _read(spark, corpus_path, _manifest(spark, corpus_path, done[-1] if version is None else version))
-    return None if found is None else found.drop("bucket")
-
-
-def changed_since(spark: SparkSession, corpus_path: str, version: int) -> bool:
-    """Whether a reader on a version has to open the corpus again."""
-    done = _versions(spark, corpus_path)
-    return bool(done) and done[-1] > version

@@ -10,7 +10,7 @@ from sparrowdex.operators import policy as P
 from sparrowdex.operators import vectors as V
 from sparrowdex.sources import corpus as C
 from sparrowdex.sources import ddl, discover, markup
-from sparrowdex.streaming import logs
+from sparrowdex.streaming import corpora, logs
 
 
 def one(spark, expr):
@@ -96,8 +96,8 @@ def test_streams(spark, tmp_path):
     for body in ("one", "two"):
         spark.createDataFrame([("p", body), (body, body)], "path string, body string").write.mode("append").parquet(str(src))
         changes = spark.readStream.schema("path string, body string").parquet(str(src))
-        logs.upsert_stream(changes, str(tmp_path / "corpus"), str(tmp_path / "cp")).awaitTermination()
-    assert {r.path: r.body for r in logs.current(spark, str(tmp_path / "corpus")).collect()} == {"p": "two", "one": "one", "two": "two"}
+        corpora.upsert_stream(changes, str(tmp_path / "corpus"), str(tmp_path / "cp")).awaitTermination()
+    assert {r.path: r.body for r in corpora.current(spark, str(tmp_path / "corpus")).collect()} == {"p": "two", "one": "one", "two": "two"}
 
 
 def test_upkeep(spark):

@@ -16,7 +16,6 @@ from sparrowdex.operators import urls as U
 from sparrowdex.operators import vectors as V
 from sparrowdex.plans.retrieval import Options, retrieve
 from sparrowdex.sources import discover as D
-from sparrowdex.streaming import logs
 
 
 @pytest.mark.parametrize("size", [4, 5, 6, 7, 8, 9, 160])
@@ -80,28 +79,6 @@ def test_crawl_documents(spark):
     assert len(D.crawl_documents(spark, "/d/a", fetcher, json.loads, "/d/", limit=2).collect()) == 2
 
 
-def test_a_stream_s_versions(spark, tmp_path):
-    """Versions are whole; a batch that is run again changes nothing; what was left unfinished is nobody's."""
-    corpus, schema = str(tmp_path / "corpus"), "path string, body string"
-    for n, rows in enumerate(([("a", "1"), ("b", "1"), ("c", "1")], [("a", "2"), ("a", "1")], [("d", "3")])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
-        if n == 2:  # a write that stopped before its manifest
-            os.makedirs(f"{corpus}/v2/data")
-            open(f"{corpus}/v2/data/part-0.parquet", "w").write("half")
-        logs.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "changes")), corpus, str(tmp_path / "checkpoint"), 4).awaitTermination()
-    assert {tuple(r) for r in logs.current(spark, corpus).collect()} == {("a", "2"), ("b", "1"), ("c", "1"), ("d", "3")}
-    assert {tuple(r) for r in logs.current(spark, corpus, 0).collect()} == {("a", "1"), ("b", "1"), ("c", "1")}
-    assert logs.changed_since(spark, corpus, 1) and not logs.changed_since(spark, corpus, 2)
-    before = sorted(os.listdir(f"{corpus}/v2/data"))
-    os.remove(tmp_path / "checkpoint" / "commits" / "2")  # stopped after the version, before the commit
-    for f in os.listdir(tmp_path / "checkpoint" / "commits"):
-        if f.startswith(".2"):
-            os.remove(tmp_path / "checkpoint" / "commits" / f)
-    logs.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "changes")), corpus, str(tmp_path / "checkpoint"), 4).awaitTermination()
-    assert sorted(os.listdir(f"{corpus}/v2/data")) == before and logs.current(spark, corpus).count() == 4
-    assert logs.current(spark, str(tmp_path / "none")) is None
-
-
 def test_vectors_are_checked(spark, tmp_path):
     schema = "path string, model string, chunk_idx int, dim int, embedding array<double>"
     old = spark.createDataFrame([("p", "m", 0, 2, [1.0, 0.0]), ("p", "m", 1, 2, [0.0, 1.0]), ("q", "m", 0, 2, [1.0, 1.0]), ("q", "other", 0, 3, [1.0] * 3)], schema)
@@ -219,21 +196,6 @@ def test_version_policy_in_retrieval(spark):
     assert set(paths(version="2")) == {"lib__v2/guide.md", "lib__v2/only.md"} and paths(version="latest") == ["lib/guide.md"]
 
 
-def test_one_writer_at_a_time(spark, tmp_path):
-    from sparrowdex.streaming.lock import write_lock
-
-    waits = []
-    with write_lock(spark, str(tmp_path)):
-        with pytest.raises(TimeoutError):
-            with write_lock(spark, str(tmp_path), wait=1, sleep=waits.append):
-                pass
-        assert waits == [0.5, 0.5]
-        with write_lock(spark, str(tmp_path), stale=-1):
-            pass
-    with write_lock(spark, str(tmp_path), wait=0):
-        pass
-
-
 def test_usage_and_ages(spark):
     from sparrowdex.operators import telemetry as TL
 
