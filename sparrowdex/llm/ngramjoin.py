@@ -13,6 +13,10 @@ different components so far are compared, so that every link is either verified
 bitmaps (bits that differ are shingles of one side only), a small one within the lists and a large one for each pair;
 what passes both is compared in full. Components come from star contraction on written tables.
 
+Where two sets meet in a list that is the first they share, what they have in common lies at its key and behind, so the
+place of the key bounds their overlap. Lists and sets that no linked pair can meet in first are left out before any
+comparison: texts of one template that differ in a word are told apart by their places alone.
+
 A long list is not compared as one. It is split by size, then twice by the distance of its small bitmaps from that of a
 pivot: bits that differ are a metric, so linked sets lie in the same or in neighbouring rings around any pivot. Rings of
 one component need no comparison, which is what two large groups of near copies come to; what is left of more than BLOCK
@@ -22,7 +26,8 @@ Which shingles count as shared, the leaders and the pivots affect the cost only,
 choice give the same components. Shingles are 64-bit hashes of word sequences.
 
 Cases: no ties can arise, as components have one smallest id. A null or blank text has no shingles and is linked with nothing; one with fewer than k words has its whole
-sequence as one shingle. Rows with the same id are one node and get its component each. Extra columns are ignored; an
+sequence as one shingle. Rows with the same id are one node and get its component each; a row with a null id is compared with nothing, and gets the
+component of the texts whose set equals its own, or none. Extra columns are ignored; an
 empty table gives an empty result; texts are read whole.
 """
 
@@ -157,16 +162,19 @@ def _prefixes(docs: DataFrame, k: int, percent: int, shared: tuple[np.ndarray, n
     return docs.mapInArrow(tidy(each), "id long, n long, prefix array<long>, bits array<long>, sketch array<long>")
 
 
+def _long(keys: DataFrame, what: str) -> DataFrame:
+    """How long the lists of the keys are: key (null for all lists that are not long together), squares, c."""
+    counts = keys.groupBy("key").agg(F.count("*").alias("c"))
+    return stored(counts.groupBy(F.when(F.col("c") > common.CHUNK_ROWS, F.col("key")).alias("key")).agg(F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum("c").alias("c")), what)
+
+
 def _boundary(prefixes: DataFrame, percent: int) -> tuple[int, DataFrame]:
-    """The largest size of a light set, by cost; and the hot lists of single shingles: key, chunks.
+    """The largest size of a light set, by cost; and the hot lists, of single shingles and of pairs: key, chunks.
 
     A set's pairs cost a row each; scanning costs, for each shingle, its list's length as its members see it, which is
     measured over all lists. Both grow with the size, so the first size whose pairs cost more ends the light ones.
     """
-    singles = F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - 1))
-    counts = prefixes.select(singles.alias("key")).groupBy("key").agg(F.count("*").alias("c"))
-    # All lists that are not long are one row.
-    lengths = stored(counts.groupBy(F.when(F.col("c") > common.CHUNK_ROWS, F.col("key")).alias("key")).agg(F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum("c").alias("c")), "list-lengths")
+    lengths = _long(prefixes.select(F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("key")), "list-lengths")
     row = lengths.agg(F.sum("squares"), F.sum("c")).first()
     total = row[1] or 0
     seen = (row[0] or 0) / max(1, total)
@@ -178,17 +186,49 @@ def _boundary(prefixes: DataFrame, percent: int) -> tuple[int, DataFrame]:
             break
         best = n
     logging.getLogger(__name__).info("sets of up to %d shingles are light: a member sees lists of %.1f sets", best, seen)
-    return best, hot_keys(lengths.filter(F.col("key").isNotNull()), ["key"], "c")
+    long = lengths.filter(F.col("key").isNotNull())
+    if best:
+        pairs = _long(_postings(prefixes.filter(F.col("n") <= best), best, 100, percent).select("key"), "pair-lengths")
+        long = long.unionByName(pairs.filter(F.col("key").isNotNull())).groupBy("key").agg(F.max("c").alias("c"))
+    return best, hot_keys(long, ["key"], "c")
+
 
+def _postings(prefixes: DataFrame, boundary: int, heavy_from: int, percent: int) -> DataFrame:
+    """key, id, n, pos (keys' places in an order that all sets share) and reach for every key that a set lists.
 
-def _postings(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """key, id, n, and pos (keys' places in an order that all sets share) for every key that a set lists."""
-    pairs = F.flatten(F.transform("prefix", lambda a, i: F.transform(F.slice("prefix", i + 2, F.greatest(F.size("prefix") - i - 1, F.lit(0))), lambda b: F.xxhash64(a, b))))
-    singles = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
-    none = F.array().cast("array<long>")
+    Sets of over heavy_from percent of the boundary list their single shingles. If a key is the first that two sets share,
+    they have no shingles in common but its own and what lies behind it; reach is the largest size that another set may
+    have then.
+    """
+    behind = lambda key, left: F.struct(key.alias("key"), (F.floor(left * (100 + percent) / percent) - F.col("n")).alias("reach"))
+    pairs = F.flatten(F.transform("prefix", lambda a, i: F.transform(F.slice("prefix", i + 2, F.greatest(F.size("prefix") - i - 1, F.lit(0))), lambda b, j: behind(F.xxhash64(a, b), F.col("n") - i - j))))
+    singles = F.transform(F.slice("prefix", F.lit(1), F.size("prefix") - 1), lambda a, i: behind(a, F.col("n") - i))
+    none = F.slice(singles, F.lit(1), F.lit(0))
     light = F.when(F.col("n") <= boundary, pairs).otherwise(none)
-    heavy = F.when(100 * F.col("n") > percent * boundary, singles).otherwise(none)
-    return prefixes.select(F.posexplode(F.concat(light, heavy)).alias("pos", "key"), "id", "n")
+    heavy = F.when(100 * F.col("n") > heavy_from * boundary, singles).otherwise(none)
+    return prefixes.select(F.posexplode(F.concat(light, heavy)).alias("pos", "o"), "id", "n").select("pos", "o.key", "id", "n", "o.reach")
+
+
+#: Of two sets that may be linked, if this key is the first that they share, the smaller one reaches at least its own size.
+STRONG = "reach >= n"
+
+
+def _lists(postings: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
+    """Rows of lists that may hold the first shared key of a linked pair, with chunk, and chunks where the list is hot.
+
+    A pair needs a set that reaches its own size, the smaller one; lists without one go, and so do the sets that no such
+    set of their list reaches.
+    """
+    chunk = F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int")
+    dealt = postings.join(F.broadcast(hot), "key", "left").withColumn("chunk", chunk).repartition(parts, "key", "chunk")
+    strong = F.expr(STRONG)
+    facts = {"n_rows": F.count("*"), "far": F.max(F.when(strong, F.col("reach"))), "low": F.min(F.when(strong, F.col("n"))), "of": F.max("chunks")}
+    each = dealt.groupBy("key", "chunk").agg(*(c.alias(n) for n, c in facts.items()))
+    cold = each.filter("of IS NULL AND n_rows > 1 AND far IS NOT NULL").select("key", "chunk", "far", "low")
+    # Hot lists have their facts from all their chunks; there are at most MAX_HOT such lists.
+    whole = each.filter("of IS NOT NULL").groupBy("key").agg(F.max("far").alias("far"), F.min("low").alias("low"), F.max("of").alias("of")).filter("far IS NOT NULL")
+    known = cold.unionByName(whole.select("key", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("chunk"), "far", "low"))
+    return dealt.join(known, ["key", "chunk"]).filter(strong | ((F.col("far") >= F.col("n")) & (F.col("low") <= F.col("reach")))).drop("far", "low")
 
 
 def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -267,7 +307,7 @@ def _open_lists(lists: DataFrame, joined: DataFrame, prefixes: DataFrame) -> Dat
     placed = lists.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.max("chunks").alias("chunks")).filter("x <> y")
     each = mixed.select("key", "m", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
-    several = placed.join(each, ["key", "chunk"]).select("key", "pos", "id", "n", "component", "m")
+    several = placed.join(each, ["key", "chunk"]).select("key", "pos", "id", "n", "reach", "component", "m")
     sketches = prefixes.select("id", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
     # Sets that share one of the keys before this one are paired there already.
     before = Window.partitionBy("id").orderBy("pos")
@@ -275,8 +315,8 @@ def _open_lists(lists: DataFrame, joined: DataFrame, prefixes: DataFrame) -> Dat
 
 
 def _alike(end: str, percent: int) -> Column:
-    """Whether two sets may be linked by their sizes and sketches."""
-    return (100 * F.least("n", f"n{end}") >= percent * F.greatest("n", f"n{end}")) & (_bits_apart(end) * (100 + percent) <= (F.col("n") + F.col(f"n{end}")) * (100 - percent))
+    """Whether two sets may be linked by their sizes, reaches and sketches."""
+    return (F.col("n") <= F.col(f"reach{end}")) & (F.col(f"n{end}") <= F.col("reach")) & (100 * F.least("n", f"n{end}") >= percent * F.greatest("n", f"n{end}")) & (_bits_apart(end) * (100 + percent) <= (F.col("n") + F.col(f"n{end}")) * (100 - percent))
 
 
 def _bits_apart(end: str) -> Column:
@@ -294,7 +334,7 @@ def _other_stars(open_: DataFrame, percent: int, seed: int) -> DataFrame:
     """Pairs a < b of the members of a list and size class with a leader of the list's own, of another component."""
     chunks = F.ceil(F.col("m") / BLOCK).cast("int")
     classed = open_.withColumns({"class": _class("n", percent), "chunk": F.pmod(F.xxhash64("id"), chunks).cast("int")})
-    facts = F.struct(F.xxhash64("id", "key", F.lit(seed)).alias("h"), *(F.col(c).alias(f"{c}_l") for c in ("id", "n", "component", *(f"s{i}" for i in range(SKETCH)))))
+    facts = F.struct(F.xxhash64("id", "key", F.lit(seed)).alias("h"), *(F.col(c).alias(f"{c}_l") for c in ("id", "n", "reach", "component", *(f"s{i}" for i in range(SKETCH)))))
     leaders = classed.groupBy("key", "class").agg(F.min(facts).alias("l"), F.max("m").alias("m")).select("key", "class", "l.*", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     met = classed.join(leaders, ["key", "class", "chunk"]).filter((F.col("component") != F.col("component_l")) & _alike("_l", percent))
     return met.select(F.least("id", "id_l").alias("a"), F.greatest("id", "id_l").alias("b")).distinct()
@@ -317,10 +357,11 @@ def _pairs_within(rows: DataFrame, keys: list[str], percent: int, met_here: Call
     for x in range(1, EARLIER + 1):
         for y in range(1, EARLIER + 1):
             again = again | F.coalesce(F.col(f"p{x}") == F.col(f"p{y}_2"), F.lit(False))
-    wanted = (F.col("id") < F.col("id_2")) & (F.col("component") != F.col("component_2")) & ~again & _alike("_2", percent)
+    # The smaller set comes first, and is a strong one.
+    wanted = ((F.col("n") < F.col("n_2")) | ((F.col("n") == F.col("n_2")) & (F.col("id") < F.col("id_2")))) & (F.col("component") != F.col("component_2")) & ~again & _alike("_2", percent)
     if met_here is not None:
         wanted = met_here(lambda c: F.least(c, f"{c}_2")) & wanted
-    return rows.join(other, keys).filter(wanted).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+    return rows.filter(STRONG).join(other, keys).filter(wanted).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
 
 
 def _split(rows: DataFrame, keys: list[str], name: str, percent: int, seed: int) -> DataFrame:
@@ -363,7 +404,7 @@ def _pairs_of_long_lists(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """Per row: id, n_shingles, component_id. Linked: 100 * intersection >= percent * union. Ids are integers; a row with a null id links nothing."""
+    """Per row: id, n_shingles, component_id. Linked: 100 * intersection >= percent * union. Ids are integers."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = stored(_sets(docs, k), "shingle-sets")
     sets = seen.filter(F.col("n").isNotNull()).select("id", "n", "s1", "s2")
@@ -377,10 +418,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     boundary, hot = _boundary(prefixes, percent)
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    chunk = F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int")
-    dealt = _postings(prefixes, boundary, percent).join(F.broadcast(hot), "key", "left").withColumn("chunk", chunk).repartition(parts, "key", "chunk")
-    many = dealt.groupBy("key", "chunk").agg(F.count("*").alias("n_rows"), F.max("chunks").alias("of")).filter("n_rows > 1 OR of IS NOT NULL").select("key", "chunk")
-    lists = stored(dealt.join(many, ["key", "chunk"]), "lists")
+    lists = stored(_lists(_postings(prefixes, boundary, percent, percent), hot, parts), "lists")
 
     links = _verified(stored(_stars(lists, percent), "star-pairs"), prefixes, docs, k, percent)
     joined = stored(components(links), "star-components")

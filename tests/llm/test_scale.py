@@ -4,6 +4,7 @@ import random
 import time
 import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,25 @@ def test_carried_columns_may_clash(spark):
     assert cleaned.columns == [*df.columns, "n_lines", "n_removed", "removed"] and cleaned.first()["__gone_id"] == "x.y" and cleaned.first()["a.b"] == 1
 
 
+
+
+def test_jaccard_of_templated_texts(spark):
+    """Texts of one template that differ in a word meet in many lists, and in none that a linked pair could meet in first."""
+    words = "this page could not be found on our site please".split()
+    rows = [(i, " ".join([*words, f"w{i}"])) for i in range(3000)] + [(5000 + i, " ".join([*words, "log", "in", f"w{i}"])) for i in range(500)]
+    rows += [(9000, " ".join([*words, "w7"])), (9001, " ".join([*words, "w7", "w8"])), (9002, "x " + " ".join([*words, "w9"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = df.select(F.col("doc_id").alias("id"), "text")
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    prefixes = ngramjoin._prefixes(docs, 4, 85, none)
+    boundary, hot = ngramjoin._boundary(prefixes, 85)
+    assert hot.count() > 0
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(df).collect()}
+    sets = {i: set(ngramjoin.shingles(t).tolist()) for i, t in rows}
+    few = [i for i in sets if i < 200 or i >= 5400]
+    linked = {(a, b) for a in few for b in few if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    least = {i: i for i in few}
+    for _ in range(5):
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {i: got[i] for i in few} == least
