@@ -24,6 +24,8 @@ from .common import tidy, worker_cache
 #: Characters of a text that are read at once; documents of so many characters together are one sparse matrix.
 SLICE = 1 << 20
 BATCH = 1 << 18
+#: Products of n-grams and languages that are held at once.
+CELLS = 4_000_000
 #: Odd multipliers of the n-gram hash.
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
@@ -170,7 +172,10 @@ def identify(df: DataFrame, languages: list[str], matrix: np.ndarray, id_col: st
             for rows, starts, where, counts in count_matrices((t.as_py() for t in batch.column(1)), buckets) if names else ():
                 if not rows:
                     continue
-                sums = np.add.reduceat(counts[:, None] * logs[where], starts[:-1], axis=0) + logs[-1]
+                # So many languages at once that the products stay within CELLS, however many n-grams and languages there are.
+                step = max(1, CELLS // max(1, len(where)))
+                parts = [np.add.reduceat(counts[:, None] * logs[:, a : a + step][where], starts[:-1], axis=0) for a in range(0, len(names), step)]
+                sums = np.concatenate(parts, axis=1) + logs[-1]
                 top = sums.argmax(axis=1)
                 sure = 1 / np.exp(sums - sums.max(axis=1)[:, None]).sum(axis=1)
                 for i, t, x in zip(rows, top.tolist(), sure.tolist(), strict=True):

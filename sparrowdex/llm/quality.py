@@ -5,8 +5,8 @@ references of its language by the Jensen-Shannon distance (base 2, 0 to 1). The
 so they grow with it; what is joined to the documents is one short row for each language.
 
 Cases: a null text is an empty one (all counts 0, base_failed). Documents with a null language form a language of their
-own. A language with fewer than ``min_reference_words`` words in all gives no verdict (the base rules alone decide),
-nor does a document with fewer than ``min_words`` words. Repeated rows are scored alike; extra columns are ignored; an
+own. A language without any word gives no verdict (the base rules alone decide), nor does a document with fewer than
+``min_words`` words; else a language's reference is that of its documents, few or many. Repeated rows are scored alike; extra columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -100,7 +100,7 @@ def _medians(shares: DataFrame) -> DataFrame:
     return checked.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("medians"))
 
 
-def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 32, min_reference_words: int = 5000) -> DataFrame:
+def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 32) -> DataFrame:
     """For each language: its commonest words in order, their shares, and the shares of the character classes.
 
     Ties of count go to the smaller word. Every document counts; a class's share is the median over the documents with
@@ -115,7 +115,7 @@ def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shares = sized.select("lang", *((F.get("classes", F.lit(i)) / F.length("text")).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
     medians = _medians(stored(shares, "class-shares"))
     return (
-        top.join(total.filter(F.col("total") >= min_reference_words), "lang")
+        top.join(total, "lang")
         .join(medians, "lang")
         .select("lang", F.transform("top", lambda x: x["word"]).alias("ref_words"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("ref_shares"), F.col("medians").alias("ref_classes"))
     )
@@ -158,7 +158,6 @@ def quality_rules(
     lang_col: str = "lang",
     common_words: int = 32,
     min_words: int = 50,
-    min_reference_words: int = 5000,
     max_class_distance: float = 0.185,
     max_word_distance: float = 0.30,
     short_allowance: float = 0.9,
@@ -169,7 +168,7 @@ def quality_rules(
     words over max_word_distance + short_allowance / sqrt(n_words), which leaves room for the chance deviation of short
     texts.
     """
-    refs = references(df, id_col, text_col, lang_col, common_words, min_reference_words)
+    refs = references(df, id_col, text_col, lang_col, common_words)
     scored = counts(df, id_col, text_col, lang_col)
     refs = stored(refs, "language-references")
     joined = scored.join(F.broadcast(refs) if refs.count() <= MAX_BROADCAST_LANGUAGES else refs, "lang", "left")

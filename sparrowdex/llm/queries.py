@@ -34,7 +34,7 @@ c AS (SELECT *, [length(text) - length(r0), length(r0) - length(r1), length(r1)
 tri AS (SELECT doc_id, k, array_to_string(ws[k:k + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS k FROM w)),
 rep AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS spot FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS m FROM tri) WHERE m > 1) GROUP BY doc_id),
 tok AS (SELECT lang, tok, count(*) AS n FROM (SELECT lang, unnest(tokens) AS tok FROM w) GROUP BY lang, tok),
-ref AS (SELECT lang, tok, n / total AS q FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tok) AS rk FROM tok) WHERE rk <= 32 AND total >= 5000),
+ref AS (SELECT lang, tok, n / total AS q FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tok) AS rk FROM tok) WHERE rk <= 32),
 oth AS (SELECT lang, greatest(1 - sum(q), 0) AS q FROM ref GROUP BY lang),
 med AS (SELECT lang, i, quantile_disc(cs[i] / length(text), 0.5) AS q FROM c, (SELECT unnest([1, 2, 3, 4, 5]) AS i) WHERE text <> '' GROUP BY lang, i),
 cd AS (SELECT doc_id, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d FROM (SELECT doc_id, cs[i] / greatest(length(text), 1) AS p, q FROM c JOIN med USING (lang)) GROUP BY doc_id),

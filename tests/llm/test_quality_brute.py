@@ -42,7 +42,7 @@ def brute_kept(rows):
     references = {}
     for lang, counts in tokens.items():
         total = sum(counts.values())
-        if total >= 5000:
+        if total:
             top = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:32]
             references[lang] = [(w, n / total) for w, n in top], [sorted(x)[(len(x) + 1) // 2 - 1] for x in zip(*shares[lang], strict=True)]
     out = {}

@@ -12,7 +12,7 @@ def test_exact_medians(spark):
     size = lambda k: (F.col("id") * 7919 * k) % (97 + 114 * k) + 1
     text = F.concat(F.repeat(F.lit("a"), size(1).cast("int")), F.repeat(F.lit("1"), size(2).cast("int")), F.repeat(F.lit("#"), size(3).cast("int")))
     df = spark.range(0, n, 1, 7).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 50 == 0, "de").otherwise("en").alias("lang"))
-    got = {r.lang: r.ref_classes for r in quality.references(df, min_reference_words=0).collect()}
+    got = {r.lang: r.ref_classes for r in quality.references(df).collect()}
     shares = defaultdict(list)
     for i in range(n):
         a, b, c = ((i * 7919 * k) % (97 + 114 * k) + 1 for k in (1, 2, 3))

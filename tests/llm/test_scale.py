@@ -249,3 +249,17 @@ def test_jaccard_of_templated_texts(spark):
         for a, b in linked:
             least[a] = least[b] = min(least[a], least[b])
     assert {i: got[i] for i in few} == least
+
+
+@pytest.mark.parametrize("cells", [1, 40_000])
+def test_languages_in_slices(spark, monkeypatch, cells):
+    from sparrowdex.llm import langid
+
+    r = random.Random(cells)
+    rows = [(i, f"l{i % 60:02}", " ".join(r.choices([f"{'abcdefghij'[i % 10]}{'klmnop'[i % 60 // 10]}{c}" for c in "xyz"], k=30))) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    languages, matrix = langid.train(df)
+    whole = {x.doc_id: (x.lang_pred, round(x.score, 9)) for x in langid.identify(df, languages, matrix).collect()}
+    monkeypatch.setattr(langid, "CELLS", cells)
+    assert {x.doc_id: (x.lang_pred, round(x.score, 9)) for x in langid.identify(df, languages, matrix).collect()} == whole
+    assert len(languages) == 60 and sum(whole[i][0] == lang for i, lang, _ in rows) > 200
