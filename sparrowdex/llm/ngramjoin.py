@@ -315,8 +315,8 @@ def _open_lists(lists: DataFrame, joined: DataFrame, prefixes: DataFrame) -> Dat
 
 
 def _alike(end: str, percent: int) -> Column:
-    """Whether two sets may be linked by their sizes, reaches and sketches."""
-    return (F.col("n") <= F.col(f"reach{end}")) & (F.col(f"n{end}") <= F.col("reach")) & (100 * F.least("n", f"n{end}") >= percent * F.greatest("n", f"n{end}")) & (_bits_apart(end) * (100 + percent) <= (F.col("n") + F.col(f"n{end}")) * (100 - percent))
+    """Whether two sets may be linked by their sizes and sketches."""
+    return (100 * F.least("n", f"n{end}") >= percent * F.greatest("n", f"n{end}")) & (_bits_apart(end) * (100 + percent) <= (F.col("n") + F.col(f"n{end}")) * (100 - percent))
 
 
 def _bits_apart(end: str) -> Column:
@@ -334,7 +334,7 @@ def _other_stars(open_: DataFrame, percent: int, seed: int) -> DataFrame:
     """Pairs a < b of the members of a list and size class with a leader of the list's own, of another component."""
     chunks = F.ceil(F.col("m") / BLOCK).cast("int")
     classed = open_.withColumns({"class": _class("n", percent), "chunk": F.pmod(F.xxhash64("id"), chunks).cast("int")})
-    facts = F.struct(F.xxhash64("id", "key", F.lit(seed)).alias("h"), *(F.col(c).alias(f"{c}_l") for c in ("id", "n", "reach", "component", *(f"s{i}" for i in range(SKETCH)))))
+    facts = F.struct(F.xxhash64("id", "key", F.lit(seed)).alias("h"), *(F.col(c).alias(f"{c}_l") for c in ("id", "n", "component", *(f"s{i}" for i in range(SKETCH)))))
     leaders = classed.groupBy("key", "class").agg(F.min(facts).alias("l"), F.max("m").alias("m")).select("key", "class", "l.*", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     met = classed.join(leaders, ["key", "class", "chunk"]).filter((F.col("component") != F.col("component_l")) & _alike("_l", percent))
     return met.select(F.least("id", "id_l").alias("a"), F.greatest("id", "id_l").alias("b")).distinct()
@@ -358,7 +358,7 @@ def _pairs_within(rows: DataFrame, keys: list[str], percent: int, met_here: Call
         for y in range(1, EARLIER + 1):
             again = again | F.coalesce(F.col(f"p{x}") == F.col(f"p{y}_2"), F.lit(False))
     # The smaller set comes first, and is a strong one.
-    wanted = ((F.col("n") < F.col("n_2")) | ((F.col("n") == F.col("n_2")) & (F.col("id") < F.col("id_2")))) & (F.col("component") != F.col("component_2")) & ~again & _alike("_2", percent)
+    wanted = ((F.col("n") < F.col("n_2")) | ((F.col("n") == F.col("n_2")) & (F.col("id") < F.col("id_2")))) & (F.col("component") != F.col("component_2")) & ~again & (F.col("n") <= F.col("reach_2")) & (F.col("n_2") <= F.col("reach")) & _alike("_2", percent)
     if met_here is not None:
         wanted = met_here(lambda c: F.least(c, f"{c}_2")) & wanted
     return rows.filter(STRONG).join(other, keys).filter(wanted).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
