@@ -9,9 +9,10 @@ whose length is measured.
 Equal sets become one first. Of each list and size class a few leaders are compared with the rest, which joins the large
 groups of near copies without all their pairs. Lists that still hold many pairs of different components are compared with
 other leaders, one of each list, as long as that leaves half the pairs or less; then all pairs of a list that lie in
-different components so far are compared, so that every link is either verified or lies inside a component. Comparisons start with a bound from parity
-bitmaps (bits that differ are shingles of one side only), a small one within the lists and a large one for each pair;
-what passes both is compared in full. Components come from star contraction on written tables.
+different components so far are found, and compared from the likeliest on as long as that joins many others, so that
+every link is either verified or lies inside a component. Comparisons start with a bound from parity bitmaps (bits that
+differ are shingles of one side only), a small one within the lists and a large one for each pair; what passes both is
+compared in full. Components come from star contraction on written tables.
 
 Where two sets meet in a list that is the first they share, what they have in common lies at its key and behind, so the
 place of the key bounds their overlap. Lists and sets that no linked pair can meet in first are left out before any
@@ -231,14 +232,25 @@ def _lists(postings: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
     return dealt.join(known, ["key", "chunk"]).filter(strong | ((F.col("far") >= F.col("n")) & (F.col("low") <= F.col("reach")))).drop("far", "low")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """id and n, in how many of the pairs it is."""
+    return stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")), "pair-counts")
+
+
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among the distinct ids of a stored table."""
+    ids = ids.select("id")
+    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the distinct pairs (a < b), those that are linked."""
-    side = {x: prefixes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"}
+    ends = _ends(pairs)
+    facts = _of(prefixes.select("id", "n", "bits"), ends)
+    side = {x: facts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"}
     # The larger bitmap folds onto the smaller; bits that differ are shingles of one side only, at least.
     larger, smaller = (F.when((F.size("bitsa") >= F.size("bitsb")) == way, F.col("bitsa")).otherwise(F.col("bitsb")) for way in (True, False))
-    # A leader has many pairs.
-    counted = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > common.CHUNK_ROWS)
-    hot = hot_keys(stored(counted, "pair-counts"), ["id"], "n")
+    hot = hot_keys(ends, ["id"], "n")  # a leader has many pairs
 
     def with_sides(pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
         first = dealt_join(pairs, one, ["a"], hot.withColumnRenamed("id", "a"), ["b"])
@@ -250,7 +262,7 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, pe
     near = both.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
     near = stored(near.select("a", "b").distinct(), "near-pairs")
     ids = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "compared-ids")
-    wanted = docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+    wanted = _of(docs, ids).dropDuplicates(["id"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,7 +363,7 @@ def _merged(joined: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def _pairs_within(rows: DataFrame, keys: list[str], percent: int, met_here: Callable[[Callable[[str], Column]], Column] | None = None) -> DataFrame:
-    """The pairs a < b of different components that meet in keys and may be linked by their sizes and sketches."""
+    """The pairs a < b of different components that meet in keys and may be linked by their sizes and sketches; apart: bits."""
     other = rows.select(*keys, *(F.col(c).alias(f"{c}_2") for c in rows.columns if c not in keys))
     again = F.lit(False)
     for x in range(1, EARLIER + 1):
@@ -361,7 +373,7 @@ def _pairs_within(rows: DataFrame, keys: list[str], percent: int, met_here: Call
     wanted = ((F.col("n") < F.col("n_2")) | ((F.col("n") == F.col("n_2")) & (F.col("id") < F.col("id_2")))) & (F.col("component") != F.col("component_2")) & ~again & (F.col("n") <= F.col("reach_2")) & (F.col("n_2") <= F.col("reach")) & _alike("_2", percent)
     if met_here is not None:
         wanted = met_here(lambda c: F.least(c, f"{c}_2")) & wanted
-    return rows.filter(STRONG).join(other, keys).filter(wanted).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+    return rows.filter(STRONG).join(other, keys).filter(wanted).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), _bits_apart("_2").alias("apart"))
 
 
 def _split(rows: DataFrame, keys: list[str], name: str, percent: int, seed: int) -> DataFrame:
@@ -403,6 +415,40 @@ def _pairs_of_long_lists(rows: DataFrame, percent: int) -> DataFrame:
     return _pairs_within(rows, [*keys, "low", "high"], percent, met_here)
 
 
+def _likeliest(rest: DataFrame, seed: int) -> DataFrame:
+    """Of each set's pairs (a, b, apart) the one with the nearest partner, and the one whose partner is first by a hash."""
+    way = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("other"))
+    ways = rest.select("a", "b", "apart", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w"))
+    first = lambda *by: F.min(F.struct(*by, "a", "b"))
+    order = F.xxhash64("w.other", F.lit(seed))
+    best = ways.groupBy("w.id").agg(first("apart", order).alias("near"), first(order).alias("led"))
+    return best.select(F.explode(F.array(*(F.struct(f"{x}.a", f"{x}.b") for x in ("near", "led")))).alias("p")).select("p.*").distinct()
+
+
+def _settled(joined: DataFrame, rest: DataFrame, prefixes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """joined (id, component) after all links among the distinct pairs rest (a, b, apart).
+
+    Where a set has many pairs the likeliest ones are compared first; pairs that lie in one component afterwards need no
+    comparison, and what is left is compared whole. Rounds end when one leaves over half of its pairs.
+    """
+    for seed in range(ROUNDS):
+        ends = _ends(rest)
+        pairs, sets = rest.count(), ends.count()
+        if pairs <= PAIRS * sets:
+            break
+        chosen = stored(_likeliest(rest, seed), "likely-pairs")
+        joined = _merged(joined, _verified(chosen, prefixes, docs, k, percent))
+        hot = hot_keys(ends, ["id"], "n")
+        placed = rest.join(chosen, ["a", "b"], "left_anti")
+        for x, y in ("ab", "ba"):
+            to = _of(joined, ends).select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+            placed = dealt_join(placed, to, [x], hot.withColumnRenamed("id", x), [y], "left")
+        rest = stored(placed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart"), "rest-pairs")
+        if 2 * rest.count() > pairs:
+            break
+    return _merged(joined, _verified(rest.select("a", "b"), prefixes, docs, k, percent))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """Per row: id, n_shingles, component_id. Linked: 100 * intersection >= percent * union. Ids are integers."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -435,7 +481,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = _pairs_within(open_.filter(F.col("m") <= BLOCK).drop("m"), ["key"], percent)
     if not (long := open_.filter(F.col("m") > BLOCK)).isEmpty():
         rest = rest.unionByName(_pairs_of_long_lists(long, percent))
-    joined = _merged(joined, _verified(stored(rest.distinct(), "rest-pairs"), prefixes, docs, k, percent))
+    joined = _settled(joined, stored(rest.distinct(), "rest-pairs"), prefixes, docs, k, percent)
 
     named = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = dealt_join(sets, named, ["s1", "s2"], hot_keys(classes, ["s1", "s2"], "m"), ["id"], "left")

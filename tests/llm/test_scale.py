@@ -132,6 +132,32 @@ def test_two_large_groups_cost_no_pairs(monkeypatch, spark):
     assert all(c == d % 2 for d, c in got.items()) and sum(compared) < 10 * len(rows)
 
 
+def test_pairs_left_are_compared_from_the_likeliest_on(monkeypatch, spark):
+    """All pairs of two groups of near copies and a chain between strangers: few are compared in full, no link is lost."""
+    r = random.Random(3)
+    rows = []
+    for group in range(2):
+        for i in range(60):
+            words = [f"g{group}w{j}" for j in range(150)]
+            words[r.randrange(150)] = f"x{i}"
+            rows.append((100 * group + i, " ".join(words)))
+    rows += [(300 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 100))) for i in range(12)] + [(400, "all alone " * 9)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    prefixes = common.stored(ngramjoin._prefixes(docs, 4, 85, (np.zeros(0, np.uint64), np.zeros(0, np.int64))), "prefixes")
+    ids = sorted(x.id for x in prefixes.select("id").collect())
+    everything = [(a, b, abs(a - b) % 7) for a in ids for b in ids if a < b]
+    compared, verified = [], ngramjoin._verified
+    monkeypatch.setattr(ngramjoin, "_verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    none = spark.createDataFrame([], "id long, component long")
+    rest = common.stored(spark.createDataFrame(everything, "a long, b long, apart int"), "rest")
+    for most, few in ((8, True), (10_000, False)):
+        compared.clear()
+        monkeypatch.setattr(ngramjoin, "PAIRS", most)
+        found = {x.id: x.component for x in ngramjoin._settled(none, rest, prefixes, docs, 4, 85).collect()}
+        assert {i: found.get(i, i) for i in ids} == {i: c for i, (_, c) in brute_components(rows, 4, 85).items() if i in ids}
+        assert (sum(compared) < len(everything)) == few
+
+
 # decontamination
 def test_a_short_item_costs_little():
     r = random.Random(1)
