@@ -1,15 +1,20 @@
 """Main-text extraction by consensus host paths.
 
-Every page's containers are scored by the text that their paragraphs hold; the page votes for its best container's
-path, generalised to tags and first classes without digits. The votes of a host are counted in Spark, and its winners
-(paths with at least ``min_share`` of its votes) are joined to its pages, which are then read again: of the winners that a
-page has, the one that scores highest there gives the text; a page without any uses its own best container.
+Every page's containers are scored by the text that their paragraphs hold. From the best one the page climbs outwards as
+long as a container around it adds text (a block of LEAST_WORDS words that is no menu, or a headline before it), so that a
+lead, a second section or a column is not left behind; articles and mains are not left. The page votes for the path of
+where it arrives, generalised to tags and first classes without digits. The votes of a host are counted in Spark, and its
+winners (paths with at least ``min_share`` of its votes) are joined to its pages, which are then read again: a page whose
+own best container, or where it arrives, is a winner uses its own; of the winners that another page has, the one that
+scores highest there gives the text; a page without any uses its own too. A headline (h1) before an article without one
+belongs to it where it lies in an element around the article.
 
 A container's text is its blocks without chrome: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments, known by tag, role, or class and id words. Character references are decoded, white space in
 a block becomes one blank, blocks are trimmed and joined by newlines; nothing else is dropped or cut. Drawings, frames,
 templates and form fields count as markup; formulas, fallback texts (noscript, object, canvas) and an article's own
-headline stay.
+headline stay. Of what climbing adds, parts that are links by more than half are menus and go; a name that ends in a word
+that texts use too (`red-alert`, `legal-notice`) is no chrome inside an article.
 
 Cases: a null html is an empty one, with an empty text; a null or odd url has the empty host. Broken markup is read as
 far as it goes: a closing tag closes what is open inside, one without an opening tag is ignored, the end closes all; an
@@ -24,12 +29,13 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import dealt_join, hot_keys, stored, tidy
 
 # How markup is read.
 _TOKEN = re.compile(r"<!--|<(/?)([a-z][^\s/>]*+)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^>]*+>)|<[!?/][^>]*+>", re.I)
@@ -51,12 +57,17 @@ _STRUCTURE_WORDS = frozenset(
     "ad area bar block bottom box button buttons col column container form group holder icon icons inner item items left link links list module outer panel posts region right row section slot stories text title top unit wrap wrapper".split()
 )
 _TEXT_WORDS = frozenset("content article main post entry body text page story".split())
+#: Words that name chrome at the end of a name too, but in an article only beside words of chrome, structure or the site.
+_MILD_WORDS = frozenset("alert banner login modal notice notices overlay popup promotion related replies reply respond search signup social subscription widget widgets".split())
+_SITE_WORDS = frozenset("cookie cookies gdpr global page privacy site top user".split())
 _STATE_WORDS = frozenset("has with no without is js".split())
 #: What an article has in its class where it is none of the page's own.
 _OTHER_ARTICLES = frozenset("ad ads advert comment comments promo recommended related replies reply sponsored".split())
 #: Over so many hosts the winners are joined by a shuffle with each host's pages dealt to SALTS tasks.
 MAX_BROADCAST_HOSTS = 50_000
 SALTS = 16
+#: Words of a block without which a container around the best one does not count as more of its text.
+LEAST_WORDS = 5
 
 
 def _name_words(name: str) -> list[str]:
@@ -73,29 +84,45 @@ def _is_chrome_name(name: str, in_article: bool = False) -> bool:
         return False
     if words[-1] == "header" and (in_article or words[0] in _TEXT_WORDS and words[0] != "page"):
         return False
-    return words[-1] in _CHROME_WORDS or words[0] in _CHROME_WORDS and all(w in _STRUCTURE_WORDS or w in _CHROME_WORDS for w in words[1:])
+    if words[0] in _CHROME_WORDS and all(w in _STRUCTURE_WORDS or w in _CHROME_WORDS for w in words[1:]):
+        return True
+    if in_article and words[-1] in _MILD_WORDS:
+        return all(w in _SITE_WORDS or w in _STRUCTURE_WORDS or w in _CHROME_WORDS for w in words[:-1])
+    return words[-1] in _CHROME_WORDS
 
 
-def read(source: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]], list[float]]:
-    """The blocks (container, text), the containers (parent, tag, path) and their scores.
+class Block(NamedTuple):
+    """A block of text: its container, whether most of it is links, and 1 or 2 where it is a headline of that order."""
+
+    container: int
+    text: str
+    links: bool
+    headline: int
+
+
+def read(source: str) -> tuple[list[Block], list[tuple[int, str, str]], list[float]]:
+    """The blocks, the containers (parent, tag, path) and their scores.
 
     Chrome is left out. Container 0 is the page itself. A block adds its length without blanks at its ends to its
     container and half to each next one outwards, but in full to articles and mains around it.
     """
     containers: list[tuple[int, str, str]] = [(-1, "", "")]
-    blocks: list[tuple[int, str]] = []
+    blocks: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # tag, chrome, container
     chrome_depth, here, at = 0, 0, 0
     held: list[str] = []
-    in_article = 0
+    in_article = linked = 0
+    in_link = False
 
     def flush() -> None:
-        nonlocal held
+        nonlocal held, linked
         if held:
-            text = " ".join(html_lib.unescape("".join(held)).split())
+            raw = "".join(held)
+            text = " ".join(html_lib.unescape(raw).split())
             if text:
-                blocks.append((here, text))
-            held = []
+                own = stack[-1][0] if stack else ""
+                blocks.append(Block(here, text, 2 * linked > len(raw.strip()), 1 if own == "h1" else 2 if own == "h2" else 0))
+            held, linked = [], 0
 
     def pop_to(depth: int) -> None:
         nonlocal chrome_depth, here, in_article
@@ -117,6 +144,7 @@ def read(source: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]
     while m := _TOKEN.search(source, at):
         if m.start() > at and not chrome_depth:
             held.append(source[at : m.start()])
+            linked += in_link and len(held[-1])
         at = m.end()
         tag = (m.group(2) or "").lower()
         if not tag:
@@ -140,6 +168,8 @@ def read(source: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]
                     unclosed.add(tag)
             continue
         inline = tag in _INLINE
+        if tag == "a":
+            in_link = not m.group(1) and "href" in (m.group(3) or "").lower()
         if m.group(1):
             if tag in _VOID:
                 continue
@@ -204,9 +234,10 @@ def read(source: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]
             here = len(containers) - 1
     if not chrome_depth:
         held.append(source[at:])
+        linked += in_link and len(held[-1])
     flush()
     scores = [0.0] * len(containers)
-    for c, text in blocks:
+    for c, text, *_ in blocks:
         share = float(len(text))
         while c >= 0:
             scores[c] += len(text) if containers[c][1] in ("article", "main") else share
@@ -219,6 +250,60 @@ def best_container(containers: list[tuple[int, str, str]], scores: list[float])
     return max(range(len(scores)), key=lambda i: (scores[i], -i))
 
 
+def _chain(containers: list[tuple[int, str, str]], c: int) -> list[int]:
+    """c and the containers around it, outwards."""
+    out = []
+    while c >= 0:
+        out.append(c)
+        c = containers[c][0]
+    return out
+
+
+def climb(blocks: list[Block], containers: list[tuple[int, str, str]], start: int) -> tuple[int, set[int]]:
+    """The outermost container that adds text to start, and the blocks in it that are menus; see above.
+
+    A part is what a container on the way holds beside the next one inwards: a whole container, or a block of its own.
+    """
+    chain = _chain(containers, start)
+    place = {c: i for i, c in enumerate(chain)}
+    if any(containers[c][1] in ("article", "main") for c in chain):
+        return start, set()
+    roots: dict[int, tuple[int, int]] = {c: (i, -1) for c, i in place.items()}  # where it joins the way, and by which part
+
+    def joins(c: int) -> tuple[int, int]:
+        way = []
+        while c not in roots:
+            way.append(c)
+            c = containers[c][0]
+        at, part = roots[c]
+        for w in reversed(way):
+            part = w if part < 0 else part
+            roots[w] = at, part
+        return at, part
+
+    parts: dict[tuple[int, int], list[int]] = {}
+    first = len(blocks)
+    for b, block in enumerate(blocks):
+        at, part = joins(block.container)
+        if at == 0:
+            first = min(first, b)
+        else:
+            parts.setdefault((at, part if part >= 0 else -2 - b), []).append(b)
+    top, menus = 0, []
+    for (at, _), own in parts.items():
+        length = sum(len(blocks[b].text) for b in own)
+        if 2 * sum(len(blocks[b].text) for b in own if blocks[b].links) > length:
+            menus += own
+        elif at > top and any(b < first and blocks[b].headline or not blocks[b].links and len(blocks[b].text.split()) >= LEAST_WORDS for b in own):
+            top = at
+    return chain[top], set(menus)
+
+
+def own_path(blocks: list[Block], containers: list[tuple[int, str, str]], scores: list[float]) -> str:
+    """The path that a page votes for."""
+    return containers[climb(blocks, containers, best_container(containers, scores))[0]][2]
+
+
 def extract(source: str, winners: list[str]) -> str:
     """The main text of a page whose host has these winning paths."""
     blocks, containers, scores = read(source)
@@ -230,11 +315,21 @@ def extract(source: str, winners: list[str]) -> str:
             by_path[path] = score
     there = [w for w in winners if w in by_path]
     best = best_container(containers, scores)
-    path = max(there, key=lambda w: by_path[w]) if there else None
+    top, menus = climb(blocks, containers, best)
+    path = None
+    if containers[best][2] in there:
+        path = containers[best][2]
+    elif there and containers[top][2] not in there:
+        path = max(there, key=lambda w: by_path[w])
+        top, menus = next(i for i, c in enumerate(containers) if c[2] == path), set()
     inside = [False] * len(containers)
     for i, (parent, _, own) in enumerate(containers):
-        inside[i] = (own == path if path is not None else i == best) or parent >= 0 and inside[parent]
-    return "\n".join(text for c, text in blocks if inside[c])
+        inside[i] = i == top or own == path or parent >= 0 and inside[parent]
+    kept = [b for b, block in enumerate(blocks) if inside[block.container] and b not in menus]
+    around = set(_chain(containers, top)[1:])
+    if kept and containers[top][1] in ("article", "main") and not any(blocks[b].headline == 1 for b in kept):
+        kept = [b for b in range(kept[0]) if blocks[b].headline == 1 and blocks[b].container in around][-1:] + kept
+    return "\n".join(blocks[b].text for b in kept)
 
 
 def _hosts(df: DataFrame, url_col: str) -> DataFrame:
@@ -248,23 +343,23 @@ def host_paths(df: DataFrame, url_col: str = "url", html_col: str = "html", min_
         for batch in batches:
             votes: dict[tuple[str, str], int] = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, containers, scores = read(source.as_py() or "")
-                best = best_container(containers, scores)
-                if scores[best] > 0:
-                    key = host, containers[best][2]
+                blocks, containers, scores = read(source.as_py() or "")
+                if blocks:
+                    key = host, own_path(blocks, containers, scores)
                     votes[key] = votes.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], names=["host", "path", "votes"])
 
     cast = _hosts(df, url_col).select(F.col("__host").alias("host"), F.col(html_col).alias("html")).mapInArrow(tidy(vote), "host string, path string, votes long")
-    counted = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    shared = counted.withColumn("total", F.sum("votes").over(Window.partitionBy("host"))).filter(F.col("votes") >= min_share * F.col("total"))
+    counted = stored(cast.groupBy("host", "path").agg(F.sum("votes").alias("votes")), "host-votes")
+    # A host may have a path for each page: its total is summed up before the shuffle, and its paths never meet in a task.
+    totals = counted.groupBy("host").agg(F.sum("votes").alias("total"))
+    hot = hot_keys(counted.groupBy("host").agg(F.count("*").alias("n")), ["host"], "n")
+    shared = dealt_join(counted, totals, ["host"], hot, ["path"]).filter(F.col("votes") >= min_share * F.col("total"))
     return shared.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("w")).select("host", F.transform("w", lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_share: float = 0.1) -> DataFrame:
     """Per row: id, url, text."""
-    from .common import stored
-
     winners = stored(host_paths(df, url_col, html_col, min_share), "host-paths").withColumnRenamed("host", "__host")
     pages = _hosts(df.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("__html")), url_col)
     if winners.count() <= MAX_BROADCAST_HOSTS:
