@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..functions.text import dedupe_snippets
 from ..operators import policy as P
 from ..operators import vectors as V
+from ..operators.calls import Limits, call, rerank
 from . import query
 from .search import scan, search
 
@@ -47,6 +49,7 @@ class Options:
     rewriter: Callable[[str], str] | None = None  # of the text that is embedded
     ranker: Callable[[str, list[str]], list[int]] | None = None  # places (from 1) of the best paths
     rank_depth: int = 20
+    calls: Limits | None = None  # of the ranker and the rewriter, which run on the executors
     confidence: float = 0.0  # a lead that needs no reranker
     hygiene: list[tuple[str, int]] = field(default_factory=list)
     latest_only: bool = False
@@ -68,18 +71,21 @@ class Options:
         return self.most_snippets or few[0], self.snippet_size or few[1]
 
 
-def _ranked(hits: DataFrame, options: Options, questions: list[tuple[int, str, str | None]]) -> DataFrame:
-    """hits by an injected ranker, which sees the first rank_depth paths of a question; sure questions are left alone."""
-    spark = hits.sparkSession
-    sure = {r.qid for r in V.confident(hits, options.confidence).filter("confident").collect()} if options.confidence > 0 else set()
-    text = {q: t for q, t, _ in questions}
-    first = hits.filter(F.col("place") <= options.rank_depth).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
-    # one row a question, rank_depth paths each
-    orders = [(r.qid, [int(x) for x in options.ranker(text[r.qid], list(r.paths))]) for r in first.toLocalIterator() if r.qid not in sure]
-    if not orders:
-        return hits
-    out = V.apply_order(hits, spark.createDataFrame(orders, "qid long, order array<int>"))
-    return out.drop("place").withColumnRenamed("new_place", "place")
+def _ranked(hits: DataFrame, options: Options, questions: DataFrame) -> DataFrame:
+    """hits by an injected ranker, asked on the executors; sure questions, and those without an answer, are left alone."""
+    held = stored(hits, "ranked-hits")
+    sure = V.confident(held, options.confidence).filter("confident") if options.confidence > 0 else None
+    return rerank(held, questions, options.ranker, options.calls, options.rank_depth, sure)[0]
+
+
+def _embedded(questions: DataFrame, o: Options) -> DataFrame:
+    """qid, embedding of the questions, rewritten first where a rewriter answers; what the embedder refuses is left out."""
+    texts = questions.select("qid", F.col("q").alias("text"))
+    if o.rewriter:
+        said = call(questions, "qid", "q", o.rewriter, "string", o.calls).filter("state = 'answered'")
+        texts = texts.join(said.select("qid", "answer"), "qid", "left").select("qid", F.coalesce("answer", "text").alias("text"))
+    got = V.embed(texts.select(F.col("qid").cast("string").alias("path"), "text"), o.embedder)
+    return stored(got.select(F.col("path").cast("long").alias("qid"), "embedding"), "question-vectors")
 
 
 def _searched(pages: DataFrame, questions: list[tuple[int, str, str | None]], families: dict[int, str], config: query.Config | None, limit: int, o: Options) -> DataFrame:
@@ -157,16 +163,14 @@ def retrieve(corpus: DataFrame, questions: list[tuple[int, str, str | None]], co
     if o.registry is not None:
         hits = _by_version(hits, o, questions, families)
     if o.vectors is not None and o.embedder is not None:
-        texts = [o.rewriter(t) if o.rewriter else t for _, t, _ in questions]
-        rows = [(q, [float(x) for x in e]) for (q, _, _), e in zip(questions, o.embedder(texts), strict=True)]
-        near = V.nearest(o.vectors, spark.createDataFrame(rows, "qid long, embedding array<double>"), wide)
+        near = V.nearest(o.vectors, _embedded(asked, o), wide)
         union = V.hybrid_candidates(hits, near).select("qid", "path", "place")
         fused = V.fuse(union, near).select("qid", "path", "place")
         info = pages.select("path", "source", "title")
         scores = hits.select("qid", "path", "score", "snippets")
         hits = fused.join(info, "path").join(scores, ["qid", "path"], "left").select("qid", "place", "path", "source", "title", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("snippets", none).alias("snippets"))
     if o.ranker:
-        hits = _ranked(hits, o, questions)
+        hits = _ranked(hits, o, asked)
     if o.registry is not None:
         hits = _one_of_equivalents(hits, o, questions, families)
     elif o.latest_only:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.tables import shared_dir
 from .operators import bm25 as B
+from .operators import calls as CA
 from .operators import evaluation as EV
 from .operators import manifest as M
 from .operators import policy as P
@@ -441,6 +442,45 @@ def reranker_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.apply_order(V.nearest(v, q, 10), orders).select("qid", "path", F.col("new_place").cast("long").alias("new_place"))
 
 
+def _count_blanks(text: str) -> int:
+    """Stands for a model: counts blanks, and refuses every seventh count."""
+    n = text.count(" ")
+    if n % 7 == 0:
+        raise ValueError("refused")
+    return n
+
+
+@query("""WITH t AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN 0 ELSE strlen(text) // 4 END AS n, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT doc_id, text, n, sum(n) OVER (ORDER BY h, doc_id, n ROWS UNBOUNDED PRECEDING) <= (SELECT sum(n) // 2 FROM t) AS sent, length(text) - length(replace(text, ' ', '')) AS blanks FROM t),
+s AS (SELECT *, CASE WHEN text IS NULL THEN 'empty' WHEN NOT sent THEN 'over budget' WHEN blanks % 7 = 0 THEN 'refused' ELSE 'answered' END AS state FROM r)
+SELECT doc_id, state, CASE WHEN state IN ('answered', 'refused') THEN 1 ELSE 0 END AS tries, CAST(CASE WHEN state IN ('answered', 'refused') THEN n ELSE 0 END AS BIGINT) AS prompt_tokens, CAST(CASE WHEN state = 'answered' THEN blanks END AS BIGINT) AS answer FROM s""")
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call for each document, within half of all documents' tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = F.floor(F.octet_length("text") / 4).cast("long")
+    budget = (docs.agg(F.sum(tokens)).first()[0] or 0) // 2
+    done = CA.call(docs, "doc_id", "text", _count_blanks, "long", CA.Limits(budget=budget, seconds=0), tokens)
+    return done.select("doc_id", "state", "tries", "prompt_tokens", "answer")
+
+
+def _by_path(q: str, paths: list[str]) -> list[int]:
+    """Stands for a reranker: the last path first; every fifth length of a question is refused."""
+    if len(q) % 5 == 0:
+        raise D.HttpError(400)
+    return [i + 1 for i in sorted(range(len(paths)), key=paths.__getitem__, reverse=True)]
+
+
+@query(f"WITH {CORPUS}, {SCAN}, a AS (SELECT item_id AS qid, length(text) % 5 = 0 AS refused FROM benchmark) SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN refused THEN place END, path DESC) AS place, NOT refused AS reranked FROM scanned JOIN a USING (qid)")
+def model_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.tables import stored
+
+    hits = stored(_scanned(spark, sf_dir).select("qid", "path", "place"), "scan-hits")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
+    ranked, calls = CA.rerank(hits, asked, _by_path)
+    known = calls.select("qid", (F.col("state") == "answered").alias("reranked"))
+    return ranked.join(known, "qid").select("qid", "path", F.col("place").cast("long").alias("place"), "reranked")
+
+
 @query("SELECT 'm' || label % 3 AS model, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY 1")
 def vector_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
