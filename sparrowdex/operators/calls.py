@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import stored
@@ -26,8 +26,8 @@ from . import vectors as V
 
 #: Why a request has no answer, besides `answered`.
 EMPTY, REFUSED, FAILED, LATE, OVER = "empty", "refused", "failed", "late", "over budget"
-#: Requests are summed up by so many hash ranges before the one in which a budget ends is looked at.
-RANGES = 4096
+#: Hash ranges of three hexadecimal digits.
+RANGES = 16**3
 
 
 @dataclass(frozen=True)
@@ -123,27 +123,38 @@ def ask_all(requests: list[Any], caller: Callable[[Any], Any], limits: Limits) -
     return replies  # every place is filled
 
 
+def _last_that_fits(hashed: DataFrame, budget: int) -> str:
+    """The greatest hash up to which all tokens fit in the budget; an empty text where not even the first one does.
+
+    Tokens are summed up by the next three digits of the hashes that lie around the budget's end, until one hash is left:
+    sums of at most RANGES ranges come to the driver each time, no row is sorted, and equal hashes never meet in a task.
+    """
+    prefix, before, last = "", 0, ""
+    while True:
+        own = hashed.filter(F.col("__h").startswith(prefix)) if prefix else hashed
+        sums = own.groupBy(F.substring("__h", len(prefix) + 1, 3).alias("p")).agg(F.sum("prompt_tokens").alias("n"), F.min("__h").alias("low"), F.max("__h").alias("high"))
+        for r in sums.orderBy("p").collect():  # at most RANGES rows
+            if before + r.n > budget:
+                if r.low == r.high:
+                    return last
+                prefix += r.p
+                break
+            before, last = before + r.n, r.high
+        else:
+            return last
+
+
 def within_budget(requests: DataFrame, key: str, tokens: Column, budget: int) -> DataFrame:
     """requests with their tokens and sent: whether they and those before them, in the order of md5(key), fit in the budget.
 
-    The order is that of a hash, so that what is left out is no matter of a source or of time. Sums of RANGES hash ranges
-    say what comes before each; running sums stay within a range, and ranges beyond the budget are not sorted.
+    The order is that of a hash, so that what is left out is no matter of a source or of time. Requests with equal keys
+    stand together: all are sent or none.
     """
-    every = requests.withColumn("prompt_tokens", tokens.cast("long"))
+    every = requests.withColumn("prompt_tokens", F.coalesce(tokens.cast("long"), F.lit(0)))
     if budget <= 0:
         return every.withColumn("sent", F.lit(True))
     hashed = every.withColumn("__h", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    hashed = hashed.withColumn("__range", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
-    sums = hashed.groupBy("__range").agg(F.sum("prompt_tokens").alias("__n"))  # at most RANGES rows
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sums.select("__range", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    joined = hashed.join(F.broadcast(placed), "__range")
-    whole = F.col("__before") + F.col("__n") <= budget
-    sure = joined.filter(whole | (F.col("__before") > budget)).withColumn("sent", whole)
-    edge = joined.filter(~whole & (F.col("__before") <= budget))
-    run = F.sum("prompt_tokens").over(Window.partitionBy("__range").orderBy("__h", key, "prompt_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = edge.withColumn("sent", F.col("__before") + run <= budget)
-    return sure.unionByName(edge).drop("__h", "__range", "__n", "__before")
+    return hashed.withColumn("sent", F.col("__h") <= _last_that_fits(hashed, budget)).drop("__h")
 
 
 def call(requests: DataFrame, key: str, request: str, caller: Callable[[Any], Any], answer: str, limits: Limits | None = None, tokens: Column | None = None, reply_tokens: Callable[[Any], int] | None = None) -> DataFrame:

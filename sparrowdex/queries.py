@@ -451,7 +451,7 @@ def _count_blanks(text: str) -> int:
 
 
 @query("""WITH t AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN 0 ELSE strlen(text) // 4 END AS n, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-r AS (SELECT doc_id, text, n, sum(n) OVER (ORDER BY h, doc_id, n ROWS UNBOUNDED PRECEDING) <= (SELECT sum(n) // 2 FROM t) AS sent, length(text) - length(replace(text, ' ', '')) AS blanks FROM t),
+r AS (SELECT doc_id, text, n, sum(n) OVER (ORDER BY h) <= (SELECT sum(n) // 2 FROM t) AS sent, length(text) - length(replace(text, ' ', '')) AS blanks FROM t),
 s AS (SELECT *, CASE WHEN text IS NULL THEN 'empty' WHEN NOT sent THEN 'over budget' WHEN blanks % 7 = 0 THEN 'refused' ELSE 'answered' END AS state FROM r)
 SELECT doc_id, state, CASE WHEN state IN ('answered', 'refused') THEN 1 ELSE 0 END AS tries, CAST(CASE WHEN state IN ('answered', 'refused') THEN n ELSE 0 END AS BIGINT) AS prompt_tokens, CAST(CASE WHEN state = 'answered' THEN blanks END AS BIGINT) AS answer FROM s""")
 def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

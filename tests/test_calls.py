@@ -50,15 +50,21 @@ def test_many_at_once_and_hanging_calls():
 def test_budget_against_plain_sums(spark):
     import hashlib
 
-    rows = [(i if i % 50 else None, (i * 37) % 11) for i in range(3000)] + [(5, 3), (5, 3)]
+    hot = [(7, 2)] * 900  # a third of all rows has one key
+    rows = [(i if i % 50 else None, (i * 37) % 11) for i in range(2000)] + [(5, 3), (5, 3)] + hot
     df = spark.createDataFrame(rows, "k long, n long")
-    for budget in (0, 1, 10, 7000, 10**9):
+    digest = lambda k: hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()
+    every = sum(n for _, n in rows)
+    for budget in (0, 1, 10, 1000, 3000, 7000, every - 1, every, 10**9):
         got = C.within_budget(df.withColumn("r", F.lit("x")), "k", F.col("n"), budget).collect()
-        total, want = 0, []
-        for k, n in sorted(rows, key=lambda r: (hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest(), r[0] or 0, r[1])):
-            total += n
-            want.append((k, n, budget == 0 or total <= budget))
-        assert sorted(map(str, want)) == sorted(str((r.k, r.prompt_tokens, r.sent)) for r in got)
+        by_hash = {}
+        for k, n in rows:
+            by_hash[digest(k)] = by_hash.get(digest(k), 0) + n
+        total, sent = 0, {}
+        for h in sorted(by_hash):
+            total += by_hash[h]
+            sent[h] = budget == 0 or total <= budget
+        assert sorted(str((k, n, sent[digest(k)])) for k, n in rows) == sorted(str((r.k, r.prompt_tokens, r.sent)) for r in got)
 
 
 def test_table_of_requests(spark):
