@@ -127,7 +127,7 @@ def _last_that_fits(hashed: DataFrame, budget: int) -> str:
     """The greatest hash up to which all tokens fit in the budget; an empty text where not even the first one does.
 
     Tokens are summed up by the next three digits of the hashes that lie around the budget's end, until one hash is left:
-    sums of at most RANGES ranges come to the driver each time, no row is sorted, and equal hashes never meet in a task.
+    sums of at most RANGES ranges come to the driver each time, and rows are summed up before they are shuffled.
     """
     prefix, before, last = "", 0, ""
     while True:
