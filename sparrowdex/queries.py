@@ -200,8 +200,7 @@ d AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS dir
 SELECT page_id, c.path, d.dir IS NOT NULL AS is_hub FROM c LEFT JOIN d ON d.dir = regexp_replace(c.path, '\\.md$', '')
 """)
 def hub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    c = C.from_pages(pages).select("path", "url").join(pages.select("page_id", "url"), "url")
+    c = C.from_pages(table(spark, sf_dir, "pages"), ("page_id",)).select("page_id", "path")
     return C.with_hub_flag(c).select("page_id", "path", "is_hub")
 
 

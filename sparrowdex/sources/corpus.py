@@ -33,12 +33,12 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(path.alias("path"), "source", rel.alias("rel"), title.alias("title"), F.coalesce("text", F.lit("")).alias("body"), F.lit(None).cast("string").alias("url"))
 
 
-def from_pages(pages: DataFrame) -> DataFrame:
-    """A pages table: host as source, the URL's path as file name."""
-    host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
-    inner = F.regexp_replace(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), "^/|/$", "")
-    path = F.concat(host, F.lit("/"), F.when(inner == "", "index").otherwise(inner), F.lit(".md"))
-    return pages.select(path.alias("path"), host.alias("source"), F.concat(F.when(inner == "", "index").otherwise(inner), F.lit(".md")).alias("rel"), html_title(F.col("html")).alias("title"), F.col("html").alias("body"), "url")
+def from_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A pages table: host as source, the URL's path as file name; null paths for pages without a URL. keep: further columns."""
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))
+    inner = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1), r"^/+|/+\z", "")
+    rel = F.concat(F.when(inner == "", "index").otherwise(inner), F.lit(".md"))
+    return pages.select(F.concat(host, F.lit("/"), rel).alias("path"), host.alias("source"), rel.alias("rel"), html_title(F.col("html")).alias("title"), F.col("html").alias("body"), "url", *keep)
 
 
 def translated(rel: Column) -> Column:
