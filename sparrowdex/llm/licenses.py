@@ -25,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from .licensetexts import texts
 
 SALTS = 16
@@ -73,7 +74,9 @@ def template_vectors(spark, templates: list[tuple[str, str, str]]) -> tuple[Data
     df = counts.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weighed = counts.join(df, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("tid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norms, "tid").select("license", "kind", "tid", "term", "idf", (F.col("w") / F.col("norm")).alias("weight")), math.log(1 + n) + 1
+    vectors = weighed.join(norms, "tid").select("license", "kind", "tid", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
+    # Some thousand rows that a scan reads twice: written once, so that no plan holds how they are made.
+    return stored(vectors, "license-vectors"), math.log(1 + n) + 1
 
 
 def _cued(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,7 +94,9 @@ def _matches(units: DataFrame, templates: list[tuple[str, str, str]], threshold:
     dots = weighed.join(F.broadcast(vectors.select("license", "kind", "tid", "term", "weight")), ["kind", "term"]).groupBy("id", "unit", "tid", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["id", "unit"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= threshold)
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "license", "n_terms")).alias("b")
-    return scored.groupBy("id", "unit").agg(best).select("id", "unit", F.col("b.n_terms").alias("n_terms"), F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    found = scored.groupBy("id", "unit").agg(best).select("id", "unit", F.col("b.n_terms").alias("n_terms"), F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    # A row for each unit that matches: later steps read it several times.
+    return stored(found, "license-matches")
 
 
 def _units(texts: DataFrame) -> DataFrame:
@@ -147,6 +152,7 @@ def license_scan(files: DataFrame, id_col: str = "id", path_col: str = "path", t
     named = F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILES)
     all_ = base.select("id", "path", size.alias("n")).join(own, "id", "left")
     all_ = all_.select("id", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), F.coalesce(F.col("b").isNotNull() & (named | F.col("whole") | (F.col("matched") >= file_share * F.col("n"))), F.lit(False)).alias("license_file"))
+    all_ = stored(all_, "licensed-files")
     directory = F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
     dirs = all_.filter("license_file").select(directory.alias("dir"), "license", "cosine", "path").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", "path")).alias("b"))
     dirs = dirs.select("dir", F.col("b.license").alias("dir_license"), (-F.col("b.c")).alias("dir_cosine"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
