@@ -42,17 +42,26 @@ class Version:
     state: State
 
 
+def _with_digest(pages: DataFrame) -> DataFrame:
+    return pages.select(*FIELDS).withColumn("digest", F.sha2(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("\x00")) for c in FIELDS[1:])), 256))
+
+
 def _digested(corpus: DataFrame) -> DataFrame:
-    """One page a path, with the digest of what is indexed."""
-    rest = F.struct(*FIELDS[1:])
-    one = corpus.filter("path IS NOT NULL").groupBy("path").agg(F.max(rest).alias("p")).select("path", "p.*")
-    return one.withColumn("digest", F.sha2(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("\x00")) for c in FIELDS[1:])), 256))
+    """One page a path, with the digest of what is indexed. Only pages of repeated paths are shuffled."""
+    rows = corpus.filter("path IS NOT NULL")
+    again = stored(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path"), "repeated-paths")
+    n = again.count()
+    if n == 0:
+        return _with_digest(rows)
+    again = F.broadcast(again) if n <= bm25.FEW else again
+    several = rows.join(again, "path", "left_semi").groupBy("path").agg(F.max(F.struct(*FIELDS[1:])).alias("p")).select("path", "p.*")
+    return _with_digest(rows.join(again, "path", "left_anti").select(*FIELDS).unionByName(several.select(*FIELDS)))
 
 
 def _schemas(spark: SparkSession, stemmed: bool) -> tuple[DataFrame, DataFrame]:
     """Empty pages and postings, for their columns."""
-    pages = bm25.analyzed(_digested(spark.createDataFrame([], "path string, source string, title string, body string")), stemmed, ("digest",)).withColumn("seq", F.lit(0).cast("long"))
-    return pages, bm25.postings_of(pages)
+    pages = bm25.analyzed(_with_digest(spark.createDataFrame([], "path string, source string, title string, body string")), stemmed, ("digest",)).withColumn("seq", F.lit(0).cast("long"))
+    return pages, bm25.clustered(pages)
 
 
 def _write(spark: SparkSession, folder: str, pages: DataFrame) -> tuple[str, int, int]:
@@ -60,7 +69,7 @@ def _write(spark: SparkSession, folder: str, pages: DataFrame) -> tuple[str, int
     name = uuid.uuid4().hex
     pages.write.parquet(f"{folder}/data/{name}/pages")
     back = spark.read.schema(pages.schema).parquet(f"{folder}/data/{name}/pages")
-    bm25.clustered(bm25.postings_of(back)).write.option("parquet.bloom.filter.enabled#term", "true").partitionBy("bucket").parquet(f"{folder}/data/{name}/postings")
+    bm25.clustered(back).write.option("parquet.bloom.filter.enabled#term", "true").partitionBy("bucket").parquet(f"{folder}/data/{name}/postings")
     n, tokens = back.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     return name, n, tokens
 
@@ -72,15 +81,16 @@ def _parts(spark: SparkSession, folder: str, state: State) -> tuple[DataFrame, D
     if names:
         pages = spark.read.schema(empty_pages.schema).parquet(*(f"{folder}/data/{n}/pages" for n in names))
         # One scan of all segments: each is read with its buckets as a column.
-        each = [spark.read.schema(bm25.clustered(empty_postings).schema).parquet(f"{folder}/data/{n}/postings") for n in names]
+        each = [spark.read.schema(empty_postings.schema).parquet(f"{folder}/data/{n}/postings") for n in names]
         postings = each[0]
         for p in each[1:]:
             postings = postings.unionByName(p)
     else:
-        pages, postings = empty_pages, bm25.clustered(empty_postings)
+        pages, postings = empty_pages, empty_postings
     gone = None
     if state["gone"]:
         gone = spark.read.schema("path string, seq long").parquet(*(f"{folder}/data/{n}" for n in state["gone"])).groupBy("path").agg(F.max("seq").alias("gone_seq"))
+        gone = F.broadcast(gone) if gone.count() <= bm25.FEW else gone
     return pages, postings, gone
 
 
@@ -185,7 +195,10 @@ def difference(held: Version, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages of the corpus that the index lacks or has otherwise, and path of those that it has and the corpus lacks."""
     now = _digested(corpus)
     has = bm25.alive(held.index.pages.select("path", "seq", "digest"), held.index.gone).select("path", "digest")
-    return now.join(has, ["path", "digest"], "left_anti").select(*FIELDS), has.join(corpus.select("path").filter("path IS NOT NULL"), "path", "left_anti").select("path")
+    # Texts are joined to the paths that changed only.
+    changed = stored(now.select("path", "digest").join(has, ["path", "digest"], "left_anti").select("path"), "changed-paths")
+    changed = F.broadcast(changed) if changed.count() <= bm25.FEW else changed
+    return now.join(changed, "path", "left_semi").select(*FIELDS), has.join(corpus.select("path").filter("path IS NOT NULL"), "path", "left_anti").select("path")
 
 
 def refresh(corpus: DataFrame, folder: str, stemmed: bool = False, note: str | None = None, share: float = 0.5) -> Version:
