@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +66,7 @@ _SPACE = re.compile("[ \t\n\x0b\f\r]+")
 
 
 class _Tokens:
-    """Which tokens occur in a word, and how often: looked up by one automaton, remembered for each word."""
+    """Which tokens occur in a word, and how often: looked up by one automaton, remembered for some thousand words, whatever a table has."""
 
     def __init__(self, tokens: list[str]):
         import ahocorasick
@@ -80,7 +80,7 @@ class _Tokens:
 
     def of(self, word: str) -> tuple[np.ndarray, np.ndarray]:
         if (found := self.known.get(word)) is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) >= 32_768:
                 self.known.clear()
             at = sorted({i for _, i in self.automaton.iter(word)}) if self.tokens else []
             found = self.known[word] = np.array(at, dtype=np.int64), np.array([word.count(self.tokens[i]) for i in at], dtype=float)
@@ -109,7 +109,7 @@ def scan(corpus: DataFrame, questions: DataFrame, limit: int = 10, block: int =
     def search_block(rows: list[tuple[int, list[str]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(rows)
 
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids = np.array([q for q, _ in shared.value], dtype=np.int64)
             words = sorted({t for _, ts in shared.value for t in ts})
             at, tokens = {t: i for i, t in enumerate(words)}, _Tokens(words)
@@ -117,17 +117,18 @@ def scan(corpus: DataFrame, questions: DataFrame, limit: int = 10, block: int =
             for i, (_, ts) in enumerate(shared.value):
                 for t in ts:
                     times[i, at[t]] += 1
-            for pdf in batches:
-                for start in range(0, len(pdf), 256):
-                    some = pdf.iloc[start : start + 256]
-                    bodies, titles = (np.stack([tokens.counts(t or "") for t in some[c]], axis=1) for c in ("body", "title"))
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    some = batch.slice(start, 256)
+                    path, titles, bodies = (some.column(j) for j in range(3))
+                    bodies, titles = (np.stack([tokens.counts(t or "") for t in c.to_pylist()], axis=1) for c in (bodies, titles))
                     scores = times @ bodies + 5 * ((times @ (titles > 0)) > 0)
-                    n = len(some) if limit <= 0 else min(limit, len(some))
-                    floor = np.maximum(1.0, np.partition(scores, len(some) - n, axis=1)[:, len(some) - n])
+                    n = some.num_rows if limit <= 0 else min(limit, some.num_rows)
+                    floor = np.maximum(1.0, np.partition(scores, some.num_rows - n, axis=1)[:, some.num_rows - n])
                     q, own = np.nonzero(scores >= floor[:, None])
-                    yield pd.DataFrame({"qid": qids[q], "path": some["path"].to_numpy()[own], "score": scores[q, own].astype(np.int64)})
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[q]), path.take(pa.array(own)), pa.array(scores[q, own].astype(np.int64))], ["qid", "path", "score"])
 
-        return pages.mapInPandas(best, "qid long, path string, score long")
+        return pages.mapInArrow(best, "qid long, path string, score long")
 
     parts, held = [], []
     for q, ts in asked.toLocalIterator():
