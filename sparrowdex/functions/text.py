@@ -221,8 +221,10 @@ def chunks(texts: Iterator[pd.Series], size: int) -> Iterator[pd.Series]:
             at = end
         return out
 
+    # Some texts at a time, so that not all pieces of a batch are held.
     for s in texts:
-        yield s.map(split)
+        for start in range(0, len(s), 128):
+            yield s.iloc[start : start + 128].map(split)
 
 
 def text_chunks(text: Column, size: int = 2000) -> Column:
